@@ -65,6 +65,20 @@ FIXTURES = {
                cast(160 + 30 * (s_suppkey % 4) as int) as dim_y, 160 as dim_x,
                4e-3 as mm_z, 4e-3 as mm_y, 4e-3 as mm_x, 4e-3 as fr_mm_z, 2e-3 as fr_mm_y, 2e-3 as fr_mm_x
         from {supplier}""",
+    # Mask tiles of a brain (ten volumes each) along z, y running backwards.
+    "TI": """
+        select s_suppkey as tile_id, cast(floor(s_suppkey / 10) as bigint) as brain,
+               cast(s_suppkey % 10 as double) * 3e-2 as oz, 48e-3 as oy, 0e0 as ox,
+               4e-3 as sz, -4e-3 as sy, 4e-3 as sx, 12 as nz, 12 as ny, 12 as nx
+        from {supplier}""",
+    # Physical boxes to cut from the tiled masks.
+    "BX": """
+        select c_custkey as box_id, cast(floor(c_custkey / 150) as bigint) as brain,
+               cast(c_custkey % 150 as double) * 2e-3 as lo_z, cast(c_custkey % 150 as double) * 2e-3 + 3e-2 as hi_z,
+               cast(c_custkey % 7 as double) * 3e-3 as lo_y, cast(c_custkey % 7 as double) * 3e-3 + 3e-2 as hi_y,
+               cast(c_custkey % 5 as double) * 3e-3 as lo_x, cast(c_custkey % 5 as double) * 3e-3 + 3e-2 as hi_x,
+               4e-3 as st_z, 4e-3 as st_y, 4e-3 as st_x
+        from {customer}""",
     # Embedding pairs: consecutive vectors are two views of one item.
     "E": """
         select vec_id, case when vec_id % 2 = 0 then 'i' else 'j' end as view_name,
