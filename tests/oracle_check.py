@@ -5,7 +5,6 @@
 
 import argparse
 import fnmatch
-import math
 import os
 import sys
 import time
@@ -14,6 +13,7 @@ import traceback
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb  # noqa: E402
+import pandas as pd  # noqa: E402
 
 from voxframe.plans.fixtures import TABLES  # noqa: E402
 
@@ -28,37 +28,44 @@ def kind(t):
     return t
 
 
-def norm(v):
-    if v is None:
-        return "NULL"
-    if isinstance(v, float):
-        if math.isnan(v):
-            return "NaN"
-        return repr(v + 0.0)
-    return str(v)
-
-
 def compare(df, con, sql):
+    t0 = time.time()
+    mine = df.toPandas()
+    t1 = time.time()
     rel = con.sql(sql)
-    dcols, dtypes = rel.columns, dict(zip(rel.columns, rel.types))
-    drows = rel.fetchall()
-    srows = df.collect()
-    scols = df.columns
-    if sorted(scols) != sorted(dcols):
-        return False, f"columns {sorted(scols)} != {sorted(dcols)}"
+    dtypes = dict(zip(rel.columns, rel.types))
+    theirs = rel.df()
+    took = f"[spark {t1 - t0:.1f}s sql {time.time() - t1:.1f}s]"
+    order = sorted(df.columns)
+    if order != sorted(dtypes):
+        return False, f"columns {order} != {sorted(dtypes)}"
+    if len(mine) != len(theirs):
+        return False, f"rows {len(mine)} != {len(theirs)}; spark {mine[order].head(2).values} sql {theirs[order].head(2).values}"
     types = [f"{c}: spark {t} sql {dtypes[c]}" for c, t in df.dtypes if kind(t) != kind(dtypes[c])]
-    order = sorted(scols)
-    a = sorted(tuple(norm(r[c]) for c in order) for r in srows)
-    di = [dcols.index(c) for c in order]
-    b = sorted(tuple(norm(r[i]) for i in di) for r in drows)
-    if len(a) != len(b):
-        return False, f"rows {len(a)} != {len(b)}; spark {a[:2]} sql {b[:2]}"
-    bad = [(x, y) for x, y in zip(a, b) if x != y]
-    if bad:
-        return False, f"{len(bad)} of {len(a)} rows differ, cols {order}: {bad[:3]}"
+
+    def canon(pdf):
+        pdf = pdf[order].copy()
+        for c in order:
+            if pdf[c].dtype.kind == "f":
+                pdf[c] = pdf[c] + 0.0
+            elif pdf[c].dtype.kind not in "iub":
+                pdf[c] = pdf[c].map(lambda v: "NULL" if v is None or v is pd.NA or v != v else str(v))
+        return pdf.sort_values(order, kind="stable").reset_index(drop=True)
+
+    a, b = canon(mine), canon(theirs)
+    bad = None
+    for c in order:
+        x, y = a[c], b[c]
+        if x.dtype.kind == "f" or y.dtype.kind == "f":
+            x, y = x.astype(float), y.astype(float)
+        diff = ~((x == y) | (x.isna() & y.isna()))
+        bad = diff if bad is None else bad | diff
+    if bad.any():
+        i = bad[bad].index[:3]
+        return False, f"{int(bad.sum())} of {len(a)} rows differ {took}, cols {order}: {a.loc[i].values.tolist()} / {b.loc[i].values.tolist()}"
     if types:
         return False, f"types: {types}"
-    return True, f"{len(a)} rows"
+    return True, f"{len(a)} rows {took}"
 
 
 def connect(sf_dir):

@@ -6,18 +6,18 @@ from pyspark.sql import functions as F
 RANK_BITS = 32
 
 
-def row_numbers(df, by, rank, ties, name="pos", bits=12):
+def row_numbers(df, by, rank, ties, name="pos", bits=12, bucket=None):
     """0-based position of each row within ``by``, in the order (rank, ties).
 
     ``rank`` is a uniform 32-bit hash. Its top bits split a group into 2^bits
     buckets of near equal size, so no task sorts a whole group: each bucket is
     numbered by itself and shifted by the number of rows in earlier buckets.
-    Only the per-bucket counts pass through the offset window.
+    Only the per-bucket counts pass through the offset window. For other
+    orders, pass a ``bucket`` column that never decreases with the rank.
     """
     by = list(by)
-    keyed = df.withColumn("_rank", rank).withColumn(
-        "_bucket", F.shiftright("_rank", RANK_BITS - bits).cast("int")
-    )
+    top = F.shiftright("_rank", RANK_BITS - bits).cast("int") if bucket is None else bucket
+    keyed = df.withColumn("_rank", rank).withColumn("_bucket", top)
     before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         keyed.groupBy(*by, "_bucket")
