@@ -4,7 +4,6 @@ import math
 
 from pyspark.sql import functions as F
 
-from voxframe.functions.scalar import let
 from voxframe.operators import kernels
 
 
@@ -34,11 +33,10 @@ def uniform_filter(patches, size=15, out="data"):
 
 def blur_taps(sigma):
     """Five normalised Gaussian weights for a sigma column."""
-    at = F.array(*[F.lit(float(i)) for i in (-2, -1, 0, 1, 2)])
-    raw = F.transform(at, lambda i: F.exp(F.lit(-0.5) * F.pow(i / F.greatest(sigma, F.lit(1e-8)), F.lit(2.0))))
-    return let(
-        raw, lambda r: let(F.aggregate(r, F.lit(0.0), lambda a, v: a + v), lambda t: F.transform(r, lambda v: v / t))
-    )
+    s = F.greatest(sigma, F.lit(1e-8))
+    near, far = F.exp(F.lit(-0.5) / (s * s)), F.exp(F.lit(-2.0) / (s * s))
+    total = near * 2.0 + far * 2.0 + 1.0
+    return F.array(far / total, near / total, F.lit(1.0) / total, near / total, far / total)
 
 
 def gaussian_blur_5(patches, sigma, out="data"):

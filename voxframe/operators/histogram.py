@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from voxframe.functions.scalar import let, unflatten_index
+from voxframe.operators import kernels
 from voxframe.operators.dense import _fill
 
 # Percentiles of the distribution record.
@@ -73,70 +74,24 @@ def histogram(patches, keys, bins=256):
     )
 
 
-def _class_term(weight, moment):
-    return F.when(weight > 0, moment * moment / weight).otherwise(F.lit(0.0))
-
-
-def _best(steps, score):
-    """(score, index) of the first best index."""
-    start = F.struct(F.lit(-1.0).alias("s"), F.lit(-1).alias("t"))
-
-    def step(best, t):
-        return let(score(t), lambda v: F.when(v > best["s"], F.struct(v.alias("s"), t.alias("t"))).otherwise(best))
-
-    return F.aggregate(steps, start, step)
-
-
 def multi_otsu(hist, keys, classes=2, bins=256):
     """Last threshold that maximises the between-class variance, as a bin centre.
 
-    Candidate pairs are scanned inside the patch's own row (two prefix arrays of
-    ``bins`` numbers), so nothing is emitted per pair. Null where there are
-    fewer distinct bins than classes; the mask is then empty.
+    Candidates are scanned inside the patch's own row of ``bins`` counts, so
+    nothing is emitted per pair of thresholds. Null where there are fewer
+    distinct bins than classes; the mask is then empty.
     """
-    counts = hist.groupBy(*keys, "lo", "hi").agg(
-        F.sort_array(
-            F.collect_list(F.struct(F.col("bin").alias("idx"), F.col("n").cast("double").alias("value")))
-        ).alias("_e")
-    )
-    c = counts.withColumn("_c", _fill(F.col("_e"), bins, F.lit(0.0))).withColumn("_used", F.size("_e"))
-
-    def prefix(values):
-        return F.aggregate(
-            values, F.array(F.lit(0.0)), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + v))
-        )
-
-    c = c.withColumn("_w", prefix(F.col("_c"))).withColumn(
-        "_m", prefix(F.transform("_c", lambda v, i: v * i))
-    )
-
-    def search(p):
-        total_w, total_m = F.get(p["w"], F.lit(bins)), F.get(p["m"], F.lit(bins))
-        w_at, m_at = (lambda i: F.get(p["w"], i + 1)), (lambda i: F.get(p["m"], i + 1))
-        if classes == 2:
-            score = lambda t: _class_term(w_at(t), m_at(t)) + _class_term(total_w - w_at(t), total_m - m_at(t))
-            return _best(F.sequence(F.lit(0), F.lit(bins - 2)), score)["t"]
-
-        def second(t1):
-            def score(t2):
-                return (
-                    _class_term(w_at(t1), m_at(t1))
-                    + _class_term(w_at(t2) - w_at(t1), m_at(t2) - m_at(t1))
-                    + _class_term(total_w - w_at(t2), total_m - m_at(t2))
-                )
-
-            return _best(F.sequence(t1 + 1, F.lit(bins - 2)), score)
-
-        start = F.struct(F.lit(-1.0).alias("s"), F.lit(-1).alias("t"))
-        step = lambda best, t1: let(second(t1), lambda v: F.when(v["s"] > best["s"], v).otherwise(best))
-        return F.aggregate(F.sequence(F.lit(0), F.lit(bins - 3)), start, step)["t"]
-
-    found = let(F.struct(F.col("_w").alias("w"), F.col("_m").alias("m")), search)
+    if classes not in (2, 3):
+        raise ValueError("classes must be 2 or 3")
+    entry = F.struct(F.col("bin").alias("idx"), F.col("n").cast("double").alias("value"))
+    c = hist.groupBy(*keys, "lo", "hi").agg(F.sort_array(F.collect_list(entry)).alias("_e"))
+    used = F.size("_e")
     last = (
-        F.when(F.col("_used") < classes, F.lit(None).cast("int"))
-        .when(F.col("_used") == classes, F.element_at("_e", F.lit(-2))["idx"])
-        .otherwise(found)
+        F.when(used < classes, F.lit(None).cast("int"))
+        .when(used == classes, F.try_element_at("_e", F.lit(-2))["idx"])
+        .otherwise(F.col("_best"))
     )
+    c = c.withColumn("_best", kernels.otsu_index(_fill(F.col("_e"), bins, F.lit(0.0)), classes))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     return c.withColumn("bin", last).select(
         *keys, "bin", (F.col("lo") + (F.col("bin") + 0.5) * width).alias("threshold")

@@ -114,3 +114,64 @@ def sample_grid(data, dz, dy, dx, z, y, x, outside=None):
     """
     fill = F.lit(None).cast("double") if outside is None else F.lit(float(outside))
     return _sample_grid(data, dz, dy, dx, z, y, x, fill)
+
+
+def _otsu_index(counts, classes):
+    """Index of the last threshold that maximises the between-class variance."""
+    bins = len(counts)
+    w = np.cumsum(counts)
+    m = np.cumsum(counts * np.arange(bins))
+
+    def term(weight, moment):
+        return np.where(weight > 0, moment * moment / np.where(weight > 0, weight, 1.0), 0.0)
+
+    last = term(w[-1] - w, m[-1] - m)
+    first = term(w, m)
+    if classes == 2:
+        return int(np.argmax((first + last)[: bins - 1]))
+    score = first[:, None] + term(w[None, :] - w[:, None], m[None, :] - m[:, None]) + last[None, :]
+    t1, t2 = np.arange(bins)[:, None], np.arange(bins)[None, :]
+    score = np.where((t2 > t1) & (t1 <= bins - 3) & (t2 <= bins - 2), score, -1.0)
+    return int(np.argmax(score)) % bins
+
+
+@F.arrow_udf(T.IntegerType())
+def _otsu(counts: pa.Array, classes: pa.Array) -> pa.Array:
+    return pa.array(
+        [_otsu_index(c, k) for c, k in zip(_rows(counts), classes.to_pylist())], type=pa.int32()
+    )
+
+
+def otsu_index(counts, classes):
+    """First best last-threshold bin of a histogram with 2 or 3 classes."""
+    return _otsu(counts, F.lit(classes))
+
+
+def _contrastive(rows, pairs, temperature, cosine):
+    """Mean NT-Xent loss and top-1 accuracy of one batch of paired views."""
+    if cosine:
+        rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-8)
+    logits = rows @ rows.T / temperature
+    n = len(rows)
+    mate = pairs[None, :] == pairs[:, None]
+    positive = logits[np.arange(n), np.argmax(mate & ~np.eye(n, dtype=bool), axis=1)]
+    negative = np.where(mate, -np.inf, logits)
+    top = np.maximum(negative.max(axis=1), positive)
+    total = np.exp(positive - top) + np.exp(negative - top[:, None]).sum(axis=1)
+    loss = top + np.log(total) - positive
+    # the positive is listed first, so a tie counts as right
+    return [float(loss.mean()), float((positive >= negative.max(axis=1)).mean())]
+
+
+@F.arrow_udf(ARRAY)
+def _ntxent(flat: pa.Array, pairs: pa.Array, temperature: pa.Array, cosine: pa.Array) -> pa.Array:
+    out = (
+        np.array(_contrastive(v.reshape(len(p), -1), p, t, c))
+        for v, p, t, c in zip(_rows(flat), _rows(pairs), temperature.to_pylist(), cosine.to_pylist())
+    )
+    return _pack(out)
+
+
+def ntxent(flat, pairs, temperature, cosine):
+    """[loss, accuracy] of one batch: concatenated vectors and their pair ids."""
+    return _ntxent(flat, pairs, F.lit(float(temperature)), F.lit(bool(cosine)))

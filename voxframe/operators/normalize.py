@@ -162,10 +162,10 @@ def bias_correct(patches, fields, on, scale, origin=("z0", "y0", "x0")):
     field rows are joined, so no voxel is shuffled.
     """
     df = patches.join(fields, on)
-    at = [
-        F.transform(F.sequence(F.lit(0), F.col(d) - 1), lambda i, o=o, s=s: (F.col(o) + i) * F.lit(float(s)))
-        for d, o, s in zip(("dz", "dy", "dx"), origin, scale)
-    ]
+    def coordinates(d, o, k):
+        return F.transform(F.sequence(F.lit(0), F.col(d) - 1), lambda i: (F.col(o) + i) * F.lit(float(k)))
+
+    at = [coordinates(d, o, k) for d, o, k in zip(("dz", "dy", "dx"), origin, scale)]
     sampled = kernels.sample_grid(F.col("bias"), F.col("bz"), F.col("by"), F.col("bx"), *at, outside=1.0)
     return (
         df.withColumn("_b", sampled)

@@ -130,11 +130,11 @@ def resample_nearest(patches, shape):
 
 def resample_affine_nearest(patches, shape, scale, offset):
     """Nearest neighbour onto a reference grid: source = target * scale + offset."""
-    maps = [
-        F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i, s=s, o=o: F.floor(i * F.lit(float(s)) + F.lit(float(o)) + 0.5).cast("int"))
-        for n, s, o in zip(shape, scale, offset)
-    ]
-    return gather(patches, maps, shape)
+    def source(n, k, o):
+        steps = F.sequence(F.lit(0), F.lit(n - 1))
+        return F.transform(steps, lambda i: F.floor(i * F.lit(float(k)) + F.lit(float(o)) + 0.5).cast("int"))
+
+    return gather(patches, [source(n, k, o) for n, k, o in zip(shape, scale, offset)], shape)
 
 
 def resample_linear(patches, shape, rule="endpoints", saturate=True):
