@@ -89,6 +89,13 @@ FIXTURES = {
         select event_id as step, ts, user_id as run_id, event_type as metric, cast(day(ts) as int) as epoch,
                case when user_id % 2 = 0 then value * 1e-7 else value * 1e-2 end as loss, value
         from {events}""",
+    # Review events of one log.
+    "EV": """
+        select user_id as patch_id, event_id as seq,
+               case cast(floor(value) as int) % 4 when 0 then 'init' when 2 then 'unmark' else 'review' end as kind,
+               case event_id % 2 when 0 then 'otsu2' else 'otsu3' end as variant, event_id % 5 = 0 as force,
+               case event_id % 3 when 0 then concat('note ', cast(event_id as string)) end as notes
+        from {events}""",
     # Review marker files, next to data files and helper scripts.
     "R": """
         select doc_id as patch_id, case when quality = 1 then 'A' else 'view_fullres.sh' end as marker from {labels}
