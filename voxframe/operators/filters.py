@@ -15,7 +15,7 @@ def gaussian_taps(sigma, radius):
 
 
 def _apply(patches, taps, edge, out):
-    return patches.withColumn(
+    return kernels.pin(patches).withColumn(
         out, kernels.separable(F.col("data"), F.col("dz"), F.col("dy"), F.col("dx"), taps, edge)
     )
 

@@ -13,6 +13,27 @@ from pyspark.sql import types as T
 ARRAY = T.ArrayType(T.DoubleType())
 
 
+def _kernel(return_type):
+    """An Arrow function that the optimiser keeps in its own projection.
+
+    Merged into a later lambda expression, a Python function could not be
+    evaluated at all, and named twice it would run twice. Marking it
+    non-deterministic is Spark's way to forbid both; the functions are pure.
+    """
+    return lambda fn: F.arrow_udf(fn, return_type).asNondeterministic()
+
+
+def pin(patches, name="data"):
+    """Compute a column before a kernel reads it.
+
+    Arguments that contain lambdas over structs are not evaluated when the
+    optimiser merges them into a Python function's argument list; a
+    non-deterministic guard around the column keeps the two apart.
+    """
+    guard = F.monotonically_increasing_id() >= 0
+    return patches.withColumn(name, F.when(guard, F.col(name)))
+
+
 def _rows(data):
     """Views of the rows of a list column, without copying."""
     flat = data.values.to_numpy(zero_copy_only=False)
@@ -34,7 +55,9 @@ def _shapes(dz, dy, dx):
 
 
 def _convolve(vol, taps, edge):
-    """Weighted sum of shifted copies along each axis in turn."""
+    """Weighted sum of shifted copies along each axis in turn; no taps, no change."""
+    if not len(taps):
+        return vol
     half = len(taps) // 2
     for axis in range(3):
         n = vol.shape[axis]
@@ -47,7 +70,7 @@ def _convolve(vol, taps, edge):
     return vol
 
 
-@F.arrow_udf(ARRAY)
+@_kernel(ARRAY)
 def _separable_reflect(data: pa.Array, dz: pa.Array, dy: pa.Array, dx: pa.Array, taps: pa.Array) -> pa.Array:
     out = (
         _convolve(v.reshape(s), t, "symmetric").ravel()
@@ -56,7 +79,7 @@ def _separable_reflect(data: pa.Array, dz: pa.Array, dy: pa.Array, dx: pa.Array,
     return _pack(out)
 
 
-@F.arrow_udf(ARRAY)
+@_kernel(ARRAY)
 def _separable_replicate(data: pa.Array, dz: pa.Array, dy: pa.Array, dx: pa.Array, taps: pa.Array) -> pa.Array:
     out = (
         _convolve(v.reshape(s), t, "edge").ravel()
@@ -94,7 +117,7 @@ def _trilinear(vol, z, y, x, outside):
     return out
 
 
-@F.arrow_udf(ARRAY)
+@_kernel(ARRAY)
 def _sample_grid(
     data: pa.Array, dz: pa.Array, dy: pa.Array, dx: pa.Array, z: pa.Array, y: pa.Array, x: pa.Array, outside: pa.Array
 ) -> pa.Array:
@@ -116,6 +139,28 @@ def sample_grid(data, dz, dy, dx, z, y, x, outside=None):
     return _sample_grid(data, dz, dy, dx, z, y, x, fill)
 
 
+@_kernel(ARRAY)
+def _orient(
+    data: pa.Array, dz: pa.Array, dy: pa.Array, dx: pa.Array, flips: pa.Array, plane: pa.Array, turns: pa.Array
+) -> pa.Array:
+    planes = [(0, 1), (0, 2), (1, 2)]
+    out = []
+    for v, s, f, p, k in zip(
+        _rows(data), _shapes(dz, dy, dx), flips.to_pylist(), plane.to_pylist(), turns.to_pylist()
+    ):
+        vol = np.flip(v.reshape(s), [a for a in range(3) if f[a]])
+        out.append(np.rot90(vol, k, planes[p]).ravel())
+    return _pack(out)
+
+
+def orient(data, dz, dy, dx, flips, plane, turns):
+    """Flip axes (array of three booleans), then rotate by quarter turns in a plane.
+
+    Planes: 0 is (z, y), 1 is (z, x), 2 is (y, x).
+    """
+    return _orient(data, dz, dy, dx, flips, plane, turns)
+
+
 def _otsu_index(counts, classes):
     """Index of the last threshold that maximises the between-class variance."""
     bins = len(counts)
@@ -135,7 +180,7 @@ def _otsu_index(counts, classes):
     return int(np.argmax(score)) % bins
 
 
-@F.arrow_udf(T.IntegerType())
+@_kernel(T.IntegerType())
 def _otsu(counts: pa.Array, classes: pa.Array) -> pa.Array:
     return pa.array(
         [_otsu_index(c, k) for c, k in zip(_rows(counts), classes.to_pylist())], type=pa.int32()
@@ -163,7 +208,7 @@ def _contrastive(rows, pairs, temperature, cosine):
     return [float(loss.mean()), float((positive >= negative.max(axis=1)).mean())]
 
 
-@F.arrow_udf(ARRAY)
+@_kernel(ARRAY)
 def _ntxent(flat: pa.Array, pairs: pa.Array, temperature: pa.Array, cosine: pa.Array) -> pa.Array:
     out = (
         np.array(_contrastive(v.reshape(len(p), -1), p, t, c))

@@ -161,7 +161,7 @@ def bias_correct(patches, fields, on, scale, origin=("z0", "y0", "x0")):
     voxels per image voxel (z, y, x); ``origin``: window corner columns. Only
     field rows are joined, so no voxel is shuffled.
     """
-    df = patches.join(fields, on)
+    df = kernels.pin(patches.join(fields, on), "bias")
     def coordinates(d, o, k):
         return F.transform(F.sequence(F.lit(0), F.col(d) - 1), lambda i: (F.col(o) + i) * F.lit(float(k)))
 

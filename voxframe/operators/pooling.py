@@ -140,7 +140,7 @@ def resample_affine_nearest(patches, shape, scale, offset):
 def resample_linear(patches, shape, rule="endpoints", saturate=True):
     """Trilinear resampling; with ``saturate`` to unsigned 16-bit integers."""
     maps = [_axis_map(F.col(d), n, rule) for d, n in zip(("dz", "dy", "dx"), shape)]
-    out = patches.withColumn(
+    out = kernels.pin(patches).withColumn(
         "data", kernels.sample_grid(F.col("data"), F.col("dz"), F.col("dy"), F.col("dx"), *maps)
     )
     if saturate:
