@@ -147,12 +147,6 @@ def region_mask(s):
     return keys.region_mask(label_voxels(s), s.L.filter("group_pos = 2"))
 
 
-@query("read_label_table", "V L", f"""
-    select l.name, count(*) as n_voxels from ({LV}) v join L l on v.label = l.label group by 1""")
-def label_counts(s):
-    return label_voxels(s).groupBy("label").agg(F.count("*").alias("n_voxels")).join(s.L, "label").select("name", "n_voxels")
-
-
 # --- quotas and samples ---------------------------------------------------
 
 QUOTA = """

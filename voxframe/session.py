@@ -1,6 +1,7 @@
 """Session settings the library relies on, and the checkpoint folder."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -47,3 +48,8 @@ def ensure_checkpoint_dir(spark):
         configured = tempfile.mkdtemp(prefix="voxframe-ckpt-")
     sc.setCheckpointDir(configured)
     return configured
+
+
+def scratch_dir(spark, name):
+    """A new folder next to the checkpoints, shared by all executors."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
