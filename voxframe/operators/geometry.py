@@ -1,5 +1,7 @@
 """Coordinates, boxes, grids and windows."""
 
+from itertools import product
+
 from pyspark.sql import functions as F
 
 from voxframe.functions.scalar import half_even, let
@@ -234,33 +236,58 @@ def foreground_bbox(voxels, by, thr, value="value"):
     )
 
 
-def recrop(patches, start, size):
-    """Cut a sub-box out of dense rows, zeros where it leaves the patch.
-
-    ``start`` and ``size`` are (z, y, x) columns or numbers; runs along x are
-    copied whole, so the cost is per line, not per voxel.
-    """
-    z0, y0, x0 = (F.lit(v) if isinstance(v, int) else v for v in start)
-    nz, ny, nx = (F.lit(v) if isinstance(v, int) else v for v in size)
+def _cut(data, dims, start, size):
+    """Sub-box of a C-order array, zeros outside; whole lines along x are copied."""
+    dz, dy, dx = dims
+    z0, y0, x0 = start
+    nz, ny, nx = size
     skip = F.least(nx, F.greatest(F.lit(0), -x0))
-    stop = F.greatest(skip, F.least(nx, F.col("dx") - x0))
+    stop = F.greatest(skip, F.least(nx, dx - x0))
 
-    def line(data, z, y):
-        inside = (z >= 0) & (z < F.col("dz")) & (y >= 0) & (y < F.col("dy")) & (stop > skip)
-        body = F.slice(data, (z * F.col("dy") + y) * F.col("dx") + x0 + skip + 1, stop - skip)
+    def line(z, y):
+        inside = (z >= 0) & (z < dz) & (y >= 0) & (y < dy) & (stop > skip)
+        body = F.slice(data, (z * dy + y) * dx + x0 + skip + 1, stop - skip)
         padded = F.concat(F.array_repeat(F.lit(0.0), skip), body, F.array_repeat(F.lit(0.0), nx - stop))
         return F.when(inside, padded).otherwise(F.array_repeat(F.lit(0.0), nx))
 
-    def cut(data):
-        zy = F.sequence(F.lit(0), nz * ny - 1)
-        return F.flatten(
-            F.transform(zy, lambda i: line(data, z0 + F.floor(i / ny).cast("int"), y0 + F.pmod(i, ny)))
-        )
+    zy = F.sequence(F.lit(0), nz * ny - 1)
+    return F.flatten(F.transform(zy, lambda i: line(z0 + F.floor(i / ny).cast("int"), y0 + F.pmod(i, ny))))
+
+
+def recrop(patches, start, size):
+    """Cut a sub-box out of dense rows, zeros where it leaves the patch.
 
-    lines = let(F.col("data"), cut)
+    ``start`` and ``size`` are (z, y, x) columns or numbers.
+    """
+    start = [F.lit(v) if isinstance(v, int) else v for v in start]
+    size = [F.lit(v) if isinstance(v, int) else v for v in size]
+    dims = [F.col(d) for d in ("dz", "dy", "dx")]
     # two steps: inside a lambda, "dz" would otherwise resolve to the new dz
-    return patches.withColumn("data", lines).withColumns(
-        {"dz": nz.cast("int"), "dy": ny.cast("int"), "dx": nx.cast("int")}
+    return patches.withColumn("data", let(F.col("data"), lambda d: _cut(d, dims, start, size))).withColumns(
+        {f"d{a}": v.cast("int") for a, v in zip(AXES, size)}
+    )
+
+
+def slice_windows(buffers, keys, patch, stride, buffer):
+    """Sliding windows of buffers that are already cut, one row per window.
+
+    ``buffers``: dense rows of ``buffer``^3 cells with their corner b{a}0. The
+    volume is read once per buffer, not once per overlapping window.
+    """
+    steps = range(0, buffer - patch + 1, stride)
+    starts = F.array(*[F.struct(*[F.lit(v).alias(a) for v, a in zip(p, AXES)]) for p in product(steps, steps, steps)])
+    dims, size = [F.lit(buffer)] * 3, [F.lit(patch)] * 3
+
+    def window(data, w):
+        return F.struct(w.alias("at"), _cut(data, dims, [w["z"], w["y"], w["x"]], size).alias("data"))
+
+    windows = let(F.col("data"), lambda d: F.transform(starts, lambda w: window(d, w)))
+    rows = buffers.select(*keys, *[f"b{a}0" for a in AXES], F.explode(windows).alias("_w"))
+    return rows.select(
+        *keys,
+        *[(F.col(f"_w.at.{a}") + F.col(f"b{a}0")).alias(f"w{a}0") for a in AXES],
+        *[F.lit(patch).alias(f"d{a}") for a in AXES],
+        F.col("_w.data").alias("data"),
     )
 
 

@@ -98,29 +98,26 @@ def assemble_tiles(tiles, voxels, boxes, cell_mm, keys=()):
         first = first & (F.col(f"_c{a}") == F.floor(lo / cell_mm).cast("int"))
     pairs = t.join(b, [*keys, "_cz", "_cy", "_cx"]).filter(overlap & first).drop("_cz", "_cy", "_cx")
     pairs = pairs.drop(*[k for k in keys])
-    pasted = pairs.join(voxels, "tile_id")
-    inside = F.lit(True)
+    # the placement is settled per pair, so the voxel join carries ten integers
+    placed = {}
     for a in AXES:
-        o, s, n = F.col(f"o{a}"), F.col(f"s{a}"), F.col(f"n{a}")
+        o, s, n, st = F.col(f"o{a}"), F.col(f"s{a}"), F.col(f"n{a}"), F.col(f"st_{a}")
         lo = F.greatest(F.col(f"lo_{a}"), F.col(f"tl_{a}"))
         hi = F.least(F.col(f"hi_{a}"), F.col(f"th_{a}"))
         near, far = F.when(s > 0, lo).otherwise(hi), F.when(s > 0, hi).otherwise(lo)
         t0 = F.greatest(F.lit(0), F.floor((near - o) / s).cast("int"))
         t1 = F.least(n, F.ceil((far - o) / s).cast("int"))
-        st = F.col(f"st_{a}")
         p0, p1 = o + s * t0, o + s * t1
         anchor = F.when(st > 0, F.least(p0, p1)).otherwise(F.greatest(p0, p1))
         o0 = F.greatest(F.lit(0), F.floor((anchor - F.col(f"lo_{a}")) / st).cast("int"))
         size = F.ceil((F.col(f"hi_{a}") - F.col(f"lo_{a}")) / F.abs(st)).cast("int")
-        at = o0 + F.col(a) - t0
-        pasted = pasted.withColumn(f"_out_{a}", at)
-        inside = inside & (F.col(a) >= t0) & (F.col(a) < t1) & (at < size)
+        placed |= {f"_from_{a}": t0, f"_to_{a}": F.least(t1, t0 + size - o0), f"_shift_{a}": o0 - t0}
+    placement = pairs.select("tile_id", "box_id", *[v.alias(k) for k, v in placed.items()])
+    pasted = placement.join(voxels, "tile_id")
+    for a in AXES:
+        pasted = pasted.filter((F.col(a) >= F.col(f"_from_{a}")) & (F.col(a) < F.col(f"_to_{a}")))
     counts = pairs.groupBy("box_id").agg(F.count("*").alias("n_tiles"))
-    out = (
-        pasted.filter(inside)
-        .select("box_id", *[F.col(f"_out_{a}").alias(a) for a in AXES])
-        .distinct()
-    )
+    out = pasted.select("box_id", *[(F.col(a) + F.col(f"_shift_{a}")).alias(a) for a in AXES]).distinct()
     return out.join(counts, "box_id")
 
 

@@ -181,11 +181,11 @@ def read_array_patches(s):
 
 
 def cut_windows(s):
-    chunks = dense.to_chunks(s.V, KEY, 4)
+    chunks = dense.to_chunks(s.V, KEY, 6)
 
     def cut(todo):
         boxes = todo.selectExpr("patch_id", "volume_id", *[f"{a}0" for a in "zyx"], *[f"{a}0 + 6 as {a}1" for a in "zyx"])
-        return joins.extract_windows(boxes, chunks, KEY, 4)
+        return joins.extract_windows(boxes, chunks, KEY, 6)
 
     return cut
 

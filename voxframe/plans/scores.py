@@ -23,18 +23,25 @@ R2 = "((z - wz0 - 2.5e0) * (z - wz0 - 2.5e0) + (y - wy0 - 2.5e0) * (y - wy0 - 2.
 WEIGHT = f"greatest(exp((0.75e0 - {R2}) / (2e0 * 0.75e0 * 0.75e0)), 1e-3)"
 
 
-def window_preds(s, grid=None):
+def faded(windows):
+    """A stand-in for the model: intensity, weakened away from the origin."""
+    fade = 1 - F.lit(1e-2) * (F.col("wz0") + F.col("wy0") + F.col("wx0"))
+    return windows.withColumn("data", F.transform("data", lambda v: v / 50.0 * fade))
+
+
+def volume_shapes(s):
+    return s.V.select("volume_id").distinct().withColumns({f"dim_{a}": F.lit(12) for a in "zyx"})
+
+
+def window_preds(s):
     """Predictions per sliding window, cut out of chunked volumes."""
-    if grid is None:
-        vols = s.V.select("volume_id").distinct().withColumns({f"dim_{a}": F.lit(12) for a in "zyx"})
-        grid = geometry.window_grid(vols, 6, 3).select("volume_id", *[F.col(f"{a}0").alias(f"w{a}0") for a in "zyx"])
+    grid = geometry.window_grid(volume_shapes(s), 6, 3)
     boxes = grid.select(
-        F.struct(*grid.columns).alias("tile"), "volume_id", *[F.col(f"w{a}0").alias(f"{a}0") for a in "zyx"], *[(F.col(f"w{a}0") + 6).alias(f"{a}1") for a in "zyx"]
+        F.struct("volume_id", *[F.col(f"{a}0").alias(f"w{a}0") for a in "zyx"]).alias("tile"),
+        "volume_id", "z0", "y0", "x0", *[(F.col(f"{a}0") + 6).alias(f"{a}1") for a in "zyx"],
     )
-    cut = joins.extract_windows(boxes, dense.to_chunks(s.V, KEY, 4), KEY, 4, "tile")
-    cut = cut.select("tile.*", "dz", "dy", "dx", "data")
-    fade = 1 - F.lit(1e-2) * (F.col("wz0") + F.col("wy0") + F.col("wx0"))
-    return cut.withColumn("data", F.transform("data", lambda v: v / 50.0 * fade))
+    cut = joins.extract_windows(boxes, dense.to_chunks(s.V, KEY, 6), KEY, 6, "tile")
+    return faded(cut.select("tile.*", "dz", "dy", "dx", "data"))
 
 
 def blended(df):
@@ -64,10 +71,16 @@ OWNED = """
 @query("blend_supertiles", "D", f"""
     select volume_id, z, y, x, round(sum(p * {WEIGHT}) / sum({WEIGHT}), 6) as prob from ({OWNED}) group by 1, 2, 3, 4""")
 def blend_supertiles(s):
-    vols = s.V.select("volume_id").distinct().withColumns({f"dim_{a}": F.lit(12) for a in "zyx"})
-    tiles = geometry.supertile_windows(geometry.supertile_grid(vols, 6, 6, 3), 6, 3)
-    grid = tiles.select("volume_id", *[f"w{a}0" for a in "zyx"], *[f"{a}{e}" for a in "zyx" for e in "01"])
-    return blended(stitch.blend_tiles(window_preds(s, grid), KEY, 6, owner=True))
+    """Cut each buffer once, slide windows inside it, keep the owned voxels."""
+    tiles = geometry.supertile_grid(volume_shapes(s), 6, 6, 3)
+    owned = [f"{a}{e}" for a in "zyx" for e in "01"]
+    corner = [f"b{a}0" for a in "zyx"]
+    boxes = tiles.select(
+        F.struct("volume_id", *owned, *corner).alias("tile"), "volume_id", *[F.col(f"b{a}{e}").alias(f"{a}{e}") for a in "zyx" for e in "01"]
+    )
+    cut = joins.extract_windows(boxes, dense.to_chunks(s.V, KEY, 6), KEY, 6, "tile").select("tile.*", "data")
+    windows = geometry.slice_windows(cut, ["volume_id", *owned], 6, 3, 12)
+    return blended(stitch.blend_tiles(faded(windows), KEY, 6, owner=True))
 
 
 @query("ensemble_vote", "H", """

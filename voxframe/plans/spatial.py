@@ -212,7 +212,7 @@ def central_crop(s):
 
 def window_rows(s):
     boxes = s.W.selectExpr("patch_id", "volume_id", *[f"{a}0" for a in ZYX], *[f"{a}0 + 6 as {a}1" for a in ZYX])
-    return joins.extract_windows(boxes, dense.to_chunks(s.V, ["volume_id"], 4), ["volume_id"], 4)
+    return joins.extract_windows(boxes, dense.to_chunks(s.V, ["volume_id"], 6), ["volume_id"], 6)
 
 
 @query("extract_windows", "W V", """

@@ -44,7 +44,7 @@ WD = """
 def windows(s):
     """Windows of W with their corner and an inside-the-volume array."""
     boxes = s.W.selectExpr("patch_id", "volume_id", *[f"{a}0" for a in "zyx"], *[f"{a}0 + 6 as {a}1" for a in "zyx"])
-    cut = joins.extract_windows(boxes, dense.to_chunks(s.V, KEY, 4), KEY, 4)
+    cut = joins.extract_windows(boxes, dense.to_chunks(s.V, KEY, 6), KEY, 6)
     both = cut.join(boxes.select("patch_id", "volume_id", "z0", "y0", "x0"), "patch_id")
 
     def inside(i):
