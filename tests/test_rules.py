@@ -272,7 +272,8 @@ def test_blending_a_constant(spark):
     vols = spark.createDataFrame([(1, 7, 7, 7)], "volume_id int, dim_z int, dim_y int, dim_x int")
     grid = geometry.window_grid(vols, 4, 2).select("volume_id", *[F.col(f"{a}0").alias(f"w{a}0") for a in "zyx"])
     preds = grid.withColumns({"dz": F.lit(4), "dy": F.lit(4), "dx": F.lit(4), "data": F.array_repeat(F.lit(0.3), 64)})
-    out = stitch.blend_tiles(preds, ["volume_id"], 4)
+    chunks = stitch.blend_tiles(preds, ["volume_id"], 4, 5)
+    out = dense.chunk_voxels(chunks, ["volume_id"], 5, value="prob").filter("prob > 0")
     assert out.count() == 343
     assert out.filter(F.abs(F.col("prob") - 0.3) > 1e-12).count() == 0
 

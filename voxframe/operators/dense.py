@@ -61,6 +61,13 @@ def to_voxels(patches, keys, keep=None, value="value"):
     return rows.select(*keys, z.alias("z"), y.alias("y"), x.alias("x"), value)
 
 
+def chunk_voxels(chunks, keys, edge, keep=None, value="value"):
+    """Chunk rows to voxel rows in volume coordinates."""
+    rows = to_voxels(chunks, [*keys, "cz", "cy", "cx"], keep, value)
+    at = [(F.col(f"c{a}") * edge + F.col(a)).alias(a) for a in "zyx"]
+    return rows.select(*keys, *at, value)
+
+
 def map_voxels(patches, fn, name="data"):
     """Apply ``fn(value, z, y, x)`` to every voxel in place."""
     def one(v, i):

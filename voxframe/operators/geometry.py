@@ -236,7 +236,7 @@ def foreground_bbox(voxels, by, thr, value="value"):
     )
 
 
-def _cut(data, dims, start, size):
+def cut_box(data, dims, start, size):
     """Sub-box of a C-order array, zeros outside; whole lines along x are copied."""
     dz, dy, dx = dims
     z0, y0, x0 = start
@@ -263,7 +263,7 @@ def recrop(patches, start, size):
     size = [F.lit(v) if isinstance(v, int) else v for v in size]
     dims = [F.col(d) for d in ("dz", "dy", "dx")]
     # two steps: inside a lambda, "dz" would otherwise resolve to the new dz
-    return patches.withColumn("data", let(F.col("data"), lambda d: _cut(d, dims, start, size))).withColumns(
+    return patches.withColumn("data", let(F.col("data"), lambda d: cut_box(d, dims, start, size))).withColumns(
         {f"d{a}": v.cast("int") for a, v in zip(AXES, size)}
     )
 
@@ -279,7 +279,7 @@ def slice_windows(buffers, keys, patch, stride, buffer):
     dims, size = [F.lit(buffer)] * 3, [F.lit(patch)] * 3
 
     def window(data, w):
-        return F.struct(w.alias("at"), _cut(data, dims, [w["z"], w["y"], w["x"]], size).alias("data"))
+        return F.struct(w.alias("at"), cut_box(data, dims, [w["z"], w["y"], w["x"]], size).alias("data"))
 
     windows = let(F.col("data"), lambda d: F.transform(starts, lambda w: window(d, w)))
     rows = buffers.select(*keys, *[f"b{a}0" for a in AXES], F.explode(windows).alias("_w"))

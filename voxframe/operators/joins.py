@@ -175,15 +175,17 @@ def pending(todo, done, key, force=False):
     return todo if force else todo.join(done.select(*key), list(key), "left_anti")
 
 
-def attach_references(patches, refs, on="dataset"):
+def attach_references(patches, refs, on="dataset", max_refs=100000):
     """One row per (patch, reference); a data set without references takes all.
 
     ``refs`` is the short list of reference subjects; it travels as one scalar
-    array per data set, not as a join partner of every patch.
+    array per data set, not as a join partner of every patch. More than
+    ``max_refs`` of them is an error: the list would not be a list of references.
     """
     ref = F.struct(F.col(on).alias("ref_dataset"), F.col("subject_id").alias("ref_subject"))
     own = refs.groupBy(on).agg(F.collect_set(ref).alias("_refs"))
-    pool = refs.agg(F.collect_set(ref)).scalar()
+    bounded = F.assert_true(F.count("*") <= max_refs, "too many references").isNull()
+    pool = refs.agg(F.when(bounded, F.collect_set(ref))).scalar()
     return (
         patches.join(own, on, "left")
         .withColumn("_pool", pool)

@@ -220,3 +220,38 @@ def _ntxent(flat: pa.Array, pairs: pa.Array, temperature: pa.Array, cosine: pa.A
 def ntxent(flat, pairs, temperature, cosine):
     """[loss, accuracy] of one batch: concatenated vectors and their pair ids."""
     return _ntxent(flat, pairs, F.lit(float(temperature)), F.lit(bool(cosine)))
+
+
+def _blend_chunk(flat, place, profile, edge):
+    """Weighted mean of pieces laid into one chunk; weights floored at 1e-3."""
+    total = np.zeros((edge,) * 3)
+    weight = np.zeros((edge,) * 3)
+    at = 0
+    for m in place.reshape(-1, 9):
+        first, size, inside = m[:3], m[3:6], m[6:]
+        n = int(size.prod())
+        p = flat[at : at + n].reshape(size)
+        at += n
+        z, y, x = (profile[i : i + k] for i, k in zip(inside, size))
+        w = np.maximum(z[:, None, None] * y[None, :, None] * x[None, None, :], 1e-3)
+        box = tuple(slice(f, f + k) for f, k in zip(first, size))
+        total[box] += p * w
+        weight[box] += w
+    return np.where(weight > 1e-6, total / np.maximum(weight, 1e-6), 0.0)
+
+
+@_kernel(ARRAY)
+def _blend(data: pa.Array, place: pa.Array, profile: pa.Array, edge: pa.Array) -> pa.Array:
+    return _pack(
+        _blend_chunk(v, m, w, e).ravel()
+        for v, m, w, e in zip(_rows(data), _rows(place), _rows(profile), edge.to_pylist())
+    )
+
+
+def blend(data, place, profile, edge):
+    """Blend the pieces of one chunk.
+
+    ``place``: nine integers per piece, in the order of ``data``: corner in the
+    chunk, size, corner in the window; ``profile``: window weight along an axis.
+    """
+    return _blend(data, place, profile, F.lit(edge))

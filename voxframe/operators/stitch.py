@@ -1,59 +1,81 @@
 """Overlap blending, ensemble voting, encoding, rasterising."""
 
+import math
+
 from pyspark.sql import functions as F
 
-from voxframe.functions.scalar import binarize_u8, encode_prob_u8, unflatten_index
+from voxframe.functions.scalar import binarize_u8, encode_prob_u8, let
+from voxframe.operators import kernels
+from voxframe.operators.geometry import cut_box
 
 AXES = "zyx"
 
 
-def gaussian_weight(z, y, x, patch, sigma=None):
-    """Weight of a voxel in its window: 1 at the centre, floored at 1e-3.
+def blend_tiles(preds, keys, patch, edge, gaussian=True, owner=False, sigma=None):
+    """Weighted mean of overlapping window predictions, as chunk rows.
 
-    Closed form, so there is no kernel table to join.
+    ``preds``: dense rows of ``patch``^3 cells (*keys, w{a}0 window corner,
+    data). With ``owner`` the columns z0, z1, y0 ... bound the box a window's
+    super-tile owns, and nothing outside it is kept, so every voxel has one
+    owner. A window is cut at the chunk borders of the output inside its own
+    row; what moves is one array per (window, chunk), never single voxels. The
+    windows over one chunk are bounded by the overlap. Returns (*keys, cz, cy,
+    cx, dz, dy, dx, data) with 0 where nothing was predicted.
     """
-    sigma = float(sigma) if sigma else patch / 8.0
-    mid = (patch - 1) / 2.0
-    # normalised so that the largest weight is 1 (an even patch has no centre voxel)
-    off = 0.5 if patch % 2 == 0 else 0.0
-    peak = 3 * off * off
-    r2 = sum(((a - mid) * (a - mid) for a in (z, y, x)), F.lit(0.0))
-    return F.greatest(F.exp((F.lit(peak) - r2) / (2.0 * sigma * sigma)), F.lit(1e-3))
-
-
-def blend_tiles(preds, keys, patch, gaussian=True, owner=None, sigma=None):
-    """Weighted mean of overlapping window predictions per voxel.
+    lo = {a: F.greatest(F.col(f"w{a}0"), F.col(f"{a}0")) if owner else F.col(f"w{a}0") for a in AXES}
+    end = {a: F.col(f"w{a}0") + patch for a in AXES}
+    hi = {a: F.least(end[a], F.col(f"{a}1")) if owner else end[a] for a in AXES}
+    touched = {
+        a: F.when(
+            lo[a] < hi[a],
+            F.sequence(F.floor(lo[a] / edge).cast("int"), F.floor((hi[a] - 1) / edge).cast("int")),
+        ).otherwise(F.array().cast("array<int>"))
+        for a in AXES
+    }
+    cells = F.flatten(
+        F.transform(
+            touched["z"],
+            lambda z: F.flatten(
+                F.transform(
+                    touched["y"],
+                    lambda y: F.transform(touched["x"], lambda x: F.struct(z.alias("z"), y.alias("y"), x.alias("x"))),
+                )
+            ),
+        )
+    )
 
-    ``preds``: dense rows (*keys, w{a}0 window corner, data). With ``owner``
-    (column prefixes z0/z1 ... of the owned inner box present in ``preds``) only
-    owned voxels are kept, so every voxel has one owner. Rows are placed by
-    owner before they are exploded: the sums then finish without moving voxels.
-    """
-    cols = [*keys, *[f"w{a}0" for a in AXES], "dy", "dx"]
-    group = list(keys)
-    if owner:
-        cols += [f"{a}{e}" for a in AXES for e in "01"]
-        group += [f"{a}0" for a in AXES]
-        preds = preds.repartition(*group)
-    rows = preds.select(*cols, F.posexplode("data").alias("_i", "p"))
-    z, y, x = unflatten_index(F.col("_i"), F.col("dy"), F.col("dx"))
-    w = gaussian_weight(z, y, x, patch, sigma) if gaussian else F.lit(1.0)
-    rows = rows.select(
-        *[c for c in cols if c not in ("dy", "dx")],
-        (z + F.col("wz0")).alias("_z"),
-        (y + F.col("wy0")).alias("_y"),
-        (x + F.col("wx0")).alias("_x"),
-        "p",
-        w.alias("w"),
+    def piece(data, c):
+        first = {a: F.greatest(lo[a], c[a] * edge).cast("int") for a in AXES}
+        size = {a: (F.least(hi[a], (c[a] + 1) * edge) - first[a]).cast("int") for a in AXES}
+        inside = [(first[a] - F.col(f"w{a}0")).cast("int") for a in AXES]
+        place = F.array(*[(first[a] - c[a] * edge).cast("int") for a in AXES], *[size[a] for a in AXES], *inside)
+        cut = cut_box(data, [F.lit(patch)] * 3, inside, [size[a] for a in AXES])
+        return F.struct(c.alias("c"), place.alias("place"), cut.alias("p"))
+
+    pieces = let(F.col("data"), lambda d: F.transform(cells, lambda c: piece(d, c)))
+    rows = preds.select(*keys, F.explode(pieces).alias("_p")).select(
+        *keys, *[F.col(f"_p.c.{a}").alias(f"c{a}") for a in AXES], F.struct("_p.place", "_p.p").alias("_p")
     )
-    if owner:
-        for a in AXES:
-            rows = rows.filter((F.col(f"_{a}") >= F.col(f"{a}0")) & (F.col(f"_{a}") < F.col(f"{a}1")))
-    sums = rows.groupBy(*group, "_z", "_y", "_x").agg(
-        F.sum(F.col("p") * F.col("w")).alias("_pw"), F.sum("w").alias("_w")
+    grouped = rows.groupBy(*keys, "cz", "cy", "cx").agg(F.sort_array(F.collect_list("_p")).alias("_p")).select(
+        *keys,
+        "cz",
+        "cy",
+        "cx",
+        F.flatten(F.transform("_p", lambda p: p["place"])).alias("_place"),
+        F.flatten(F.transform("_p", lambda p: p["p"])).alias("data"),
     )
-    value = F.when(F.col("_w") > 1e-6, F.col("_pw") / F.col("_w")).otherwise(F.lit(0.0))
-    return sums.select(*keys, *[F.col(f"_{a}").alias(a) for a in AXES], value.alias("prob"))
+    width = float(sigma) if sigma else patch / 8.0
+    profile = gaussian_profile(patch, width) if gaussian else [1.0] * patch
+    blended = kernels.blend(F.col("data"), F.col("_place"), F.array(*[F.lit(v) for v in profile]), edge)
+    ready = kernels.pin(kernels.pin(grouped, "_place"))
+    return ready.select(*keys, "cz", "cy", "cx", *[F.lit(edge).alias(f"d{a}") for a in AXES], blended.alias("data"))
+
+
+def gaussian_profile(patch, sigma):
+    """Weight along one axis of a window, largest value 1."""
+    mid = (patch - 1) / 2.0
+    raw = [math.exp(-((i - mid) ** 2) / (2.0 * sigma * sigma)) for i in range(patch)]
+    return [v / max(raw) for v in raw]
 
 
 def ensemble_vote(preds, keys, thr=0.5):

@@ -200,7 +200,7 @@ def spread_round_robin(s):
 def sample_region_centers(s):
     groups = s.G.select(F.col("pos").alias("group_pos"), F.col("name").alias("group_name"), (F.col("pos") + 1).cast("bigint").alias("n"))
     labels = s.L.select("label", "group_pos").join(groups.select("group_pos", "group_name"), "group_pos").drop("group_pos")
-    picked = sampling.sample_region_centers(label_voxels(s), labels, groups.select("group_name", "n"), 7)
+    picked = sampling.sample_region_centers(label_voxels(s), labels, groups.select("group_name", "n"), 7, k_max=5)
     return picked.select("volume_id", "group_name", "z", "y", "x", *[F.round(F.col(a) * 4e-3, 6).alias(f"mm_{a}") for a in "zyx"])
 
 

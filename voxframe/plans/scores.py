@@ -44,20 +44,20 @@ def window_preds(s):
     return faded(cut.select("tile.*", "dz", "dy", "dx", "data"))
 
 
-def blended(df):
-    return df.select("volume_id", "z", "y", "x", F.round("prob", 6).alias("prob"))
+def blended(chunks):
+    return dense.chunk_voxels(chunks, KEY, 6, value="prob").withColumn("prob", F.round("prob", 6))
 
 
 @query("blend_tiles", "D", f"""
     select volume_id, z, y, x, round(case when sum({WEIGHT}) > 1e-6 then sum(p * {WEIGHT}) / sum({WEIGHT}) else 0e0 end, 6) as prob from ({PRED}) group by 1, 2, 3, 4""")
 def blend_tiles(s):
-    return blended(stitch.blend_tiles(window_preds(s), KEY, 6))
+    return blended(stitch.blend_tiles(window_preds(s), KEY, 6, 6))
 
 
 @query("blend_tiles_uniform", "D", f"""
     select volume_id, z, y, x, round(sum(p) / count(*), 6) as prob from ({PRED}) group by 1, 2, 3, 4""")
 def blend_tiles_uniform(s):
-    return blended(stitch.blend_tiles(window_preds(s), KEY, 6, gaussian=False))
+    return blended(stitch.blend_tiles(window_preds(s), KEY, 6, 6, gaussian=False))
 
 
 OWNED = """
@@ -80,7 +80,7 @@ def blend_supertiles(s):
     )
     cut = joins.extract_windows(boxes, dense.to_chunks(s.V, KEY, 6), KEY, 6, "tile").select("tile.*", "data")
     windows = geometry.slice_windows(cut, ["volume_id", *owned], 6, 3, 12)
-    return blended(stitch.blend_tiles(faded(windows), KEY, 6, owner=True))
+    return blended(stitch.blend_tiles(faded(windows), KEY, 6, 6, owner=True))
 
 
 @query("ensemble_vote", "H", """
