@@ -32,7 +32,7 @@ def test_patch_work_adds_no_shuffle(spark, sf_dir, name):
     assert plan(entry.queries()[name](spark, sf_dir)).count("Exchange hashpartitioning") == base
 
 
-@pytest.mark.parametrize("name", ["extract_windows", "zscore", "multi_otsu_k2", "dice_ce", "seeded_shuffle", "block_reduce_max"])
+@pytest.mark.parametrize("name", ["minmax", "zscore", "multi_otsu_k2", "dice_ce", "seeded_shuffle", "block_reduce_max"])
 def test_only_kernels_use_python(spark, sf_dir, name):
     text = plan(entry.queries()[name](spark, sf_dir))
     assert ("ArrowEvalPython" in text) == (name == "multi_otsu_k2")

@@ -237,21 +237,36 @@ def foreground_bbox(voxels, by, thr, value="value"):
 
 
 def cut_box(data, dims, start, size):
-    """Sub-box of a C-order array, zeros outside; whole lines along x are copied."""
+    """Sub-box of a C-order array, zeros outside; whole lines along x are copied.
+
+    All offsets are bound to one struct first: written out inside the lambda,
+    they would be evaluated again for every line.
+    """
     dz, dy, dx = dims
     z0, y0, x0 = start
     nz, ny, nx = size
     skip = F.least(nx, F.greatest(F.lit(0), -x0))
     stop = F.greatest(skip, F.least(nx, dx - x0))
+    bound = F.struct(
+        *[v.cast("int").alias(n) for v, n in zip((dz, dy, dx, z0, y0, nz, ny), ("dz", "dy", "dx", "z0", "y0", "nz", "ny"))],
+        (x0 + skip + 1).cast("int").alias("from"),
+        (stop - skip).cast("int").alias("n"),
+        F.array_repeat(F.lit(0.0), skip.cast("int")).alias("left"),
+        F.array_repeat(F.lit(0.0), (nx - stop).cast("int")).alias("right"),
+        F.array_repeat(F.lit(0.0), nx.cast("int")).alias("blank"),
+    )
+
+    def line(b, z, y):
+        inside = (z >= 0) & (z < b["dz"]) & (y >= 0) & (y < b["dy"]) & (b["n"] > 0)
+        body = F.slice(data, (z * b["dy"] + y) * b["dx"] + b["from"], b["n"])
+        return F.when(inside, F.concat(b["left"], body, b["right"])).otherwise(b["blank"])
 
-    def line(z, y):
-        inside = (z >= 0) & (z < dz) & (y >= 0) & (y < dy) & (stop > skip)
-        body = F.slice(data, (z * dy + y) * dx + x0 + skip + 1, stop - skip)
-        padded = F.concat(F.array_repeat(F.lit(0.0), skip), body, F.array_repeat(F.lit(0.0), nx - stop))
-        return F.when(inside, padded).otherwise(F.array_repeat(F.lit(0.0), nx))
+    def lines(b):
+        zs = F.sequence(b["z0"], b["z0"] + b["nz"] - 1)
+        ys = F.sequence(b["y0"], b["y0"] + b["ny"] - 1)
+        return F.flatten(F.transform(zs, lambda z: F.flatten(F.transform(ys, lambda y: line(b, z, y)))))
 
-    zy = F.sequence(F.lit(0), nz * ny - 1)
-    return F.flatten(F.transform(zy, lambda i: line(z0 + F.floor(i / ny).cast("int"), y0 + F.pmod(i, ny))))
+    return let(bound, lines)
 
 
 def recrop(patches, start, size):

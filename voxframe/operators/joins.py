@@ -6,7 +6,9 @@ hash or sort the sides and no nested loop over voxels can occur.
 
 from pyspark.sql import functions as F
 
-from voxframe.functions.scalar import col
+from voxframe.functions.scalar import col, let
+from voxframe.operators import kernels
+from voxframe.operators.geometry import cut_box
 
 AXES = "zyx"
 
@@ -21,41 +23,47 @@ def extract_windows(boxes, chunks, keys, edge, patch_key="patch_id"):
 
     ``boxes``: (patch_key, *keys, z0, z1, y0, y1, x0, x1), half open; cells
     outside the volume or in absent chunks are 0. ``chunks`` come from
-    ``dense.to_chunks`` with the same ``edge``. The join is on the chunk key;
-    what is shuffled afterwards is lines along x, not voxels.
+    ``dense.to_chunks`` with the same ``edge``. The join is on the chunk key; a
+    chunk is cut to the box before it moves on, as one array.
     """
     touched = boxes
     for a in AXES:
         touched = touched.withColumn(f"c{a}", F.explode(_cells(F.col(f"{a}0"), F.col(f"{a}1"), edge)))
-    joined = touched.join(chunks.select(*keys, "cz", "cy", "cx", "data"), [*keys, "cz", "cy", "cx"], "left")
-    lo = {a: F.greatest(F.col(f"{a}0"), F.col(f"c{a}") * edge) for a in AXES}
-    hi = {a: F.least(F.col(f"{a}1"), (F.col(f"c{a}") + 1) * edge) for a in AXES}
-    width = hi["x"] - lo["x"]
-    zero = F.array_repeat(F.lit(0.0), width)
-
-    def line(z, y):
-        at = ((z - F.col("cz") * edge) * edge + (y - F.col("cy") * edge)) * edge + (lo["x"] - F.col("cx") * edge)
-        return F.struct(
-            (z - F.col("z0")).alias("z"),
-            (y - F.col("y0")).alias("y"),
-            (lo["x"] - F.col("x0")).alias("x"),
-            F.when(F.col("data").isNull(), zero).otherwise(F.slice("data", at + 1, width)).alias("v"),
+    # A short list of boxes may touch many chunks: spread the exploded keys over
+    # the cluster on the join key, whichever join Spark then picks.
+    chunk_key = [*keys, "cz", "cy", "cx"]
+    joined = touched.repartition(*chunk_key).join(chunks.select(*chunk_key, "data"), chunk_key, "left")
+    # the part of the box in this chunk, relative to the box and to the chunk
+    for a in AXES:
+        lo = F.greatest(F.col(f"{a}0"), F.col(f"c{a}") * edge)
+        hi = F.least(F.col(f"{a}1"), (F.col(f"c{a}") + 1) * edge)
+        joined = joined.withColumns(
+            {
+                f"_box_{a}": (lo - F.col(f"{a}0")).cast("int"),
+                f"_chunk_{a}": (lo - F.col(f"c{a}") * edge).cast("int"),
+                f"_n_{a}": (hi - lo).cast("int"),
+            }
         )
 
-    lines = F.flatten(
-        F.transform(
-            F.sequence(lo["z"], hi["z"] - 1),
-            lambda z: F.transform(F.sequence(lo["y"], hi["y"] - 1), lambda y: line(z, y)),
-        )
-    )
+    place = F.array(*[F.col(f"_{name}_{a}") for name in ("box", "n") for a in AXES])
+    corner = [F.col(f"_chunk_{a}") for a in AXES]
+    part = let(F.col("data"), lambda d: cut_box(d, [F.lit(edge)] * 3, corner, [F.col(f"_n_{a}") for a in AXES]))
+    piece = F.when(F.col("data").isNotNull(), F.struct(place.alias("place"), part.alias("p")))
     size = {f"d{a}": (F.col(f"{a}1") - F.col(f"{a}0")).cast("int") for a in AXES}
-    pieces = joined.select(patch_key, *[v.alias(k) for k, v in size.items()], lines.alias("_lines"))
-    # A window is bounded by its own shape, so the collected lines are too.
-    return pieces.groupBy(patch_key, "dz", "dy", "dx").agg(
-        F.flatten(
-            F.transform(F.sort_array(F.flatten(F.collect_list("_lines"))), lambda r: r["v"])
-        ).alias("data")
+    pieces = joined.select(patch_key, *[v.alias(k) for k, v in size.items()], piece.alias("_p"))
+    # A window is bounded by its own shape, so its collected pieces are too;
+    # absent chunks are null and leave zeros.
+    grouped = pieces.groupBy(patch_key, "dz", "dy", "dx").agg(F.collect_list("_p").alias("_p")).select(
+        patch_key,
+        "dz",
+        "dy",
+        "dx",
+        F.flatten(F.transform("_p", lambda p: p["place"])).alias("_place"),
+        F.flatten(F.transform("_p", lambda p: p["p"])).alias("data"),
     )
+    ready = kernels.pin(kernels.pin(grouped, "_place"))
+    data = kernels.assemble(F.col("data"), F.col("_place"), F.col("dz"), F.col("dy"), F.col("dx"))
+    return ready.select(patch_key, "dz", "dy", "dx", data.alias("data"))
 
 
 def points_in_boxes(points, boxes, cell, keys=()):

@@ -222,6 +222,31 @@ def ntxent(flat, pairs, temperature, cosine):
     return _ntxent(flat, pairs, F.lit(float(temperature)), F.lit(bool(cosine)))
 
 
+def _assemble_box(flat, place, shape):
+    """Pieces laid into one box, zeros elsewhere."""
+    out = np.zeros(shape)
+    at = 0
+    for m in place.reshape(-1, 6):
+        first, size = m[:3], m[3:]
+        n = int(size.prod())
+        box = tuple(slice(f, f + k) for f, k in zip(first, size))
+        out[box] = flat[at : at + n].reshape(size)
+        at += n
+    return out
+
+
+@_kernel(ARRAY)
+def _assemble(data: pa.Array, place: pa.Array, dz: pa.Array, dy: pa.Array, dx: pa.Array) -> pa.Array:
+    return _pack(
+        _assemble_box(v, m, s).ravel() for v, m, s in zip(_rows(data), _rows(place), _shapes(dz, dy, dx))
+    )
+
+
+def assemble(data, place, dz, dy, dx):
+    """Dense row of disjoint pieces; ``place``: corner and size of each, in order."""
+    return _assemble(data, place, dz, dy, dx)
+
+
 def _blend_chunk(flat, place, profile, edge):
     """Weighted mean of pieces laid into one chunk; weights floored at 1e-3."""
     total = np.zeros((edge,) * 3)

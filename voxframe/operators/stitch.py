@@ -47,10 +47,15 @@ def blend_tiles(preds, keys, patch, edge, gaussian=True, owner=False, sigma=None
     def piece(data, c):
         first = {a: F.greatest(lo[a], c[a] * edge).cast("int") for a in AXES}
         size = {a: (F.least(hi[a], (c[a] + 1) * edge) - first[a]).cast("int") for a in AXES}
-        inside = [(first[a] - F.col(f"w{a}0")).cast("int") for a in AXES]
-        place = F.array(*[(first[a] - c[a] * edge).cast("int") for a in AXES], *[size[a] for a in AXES], *inside)
-        cut = cut_box(data, [F.lit(patch)] * 3, inside, [size[a] for a in AXES])
-        return F.struct(c.alias("c"), place.alias("place"), cut.alias("p"))
+        in_chunk = [(first[a] - c[a] * edge).cast("int") for a in AXES]
+        in_window = [(first[a] - F.col(f"w{a}0")).cast("int") for a in AXES]
+
+        def placed(m):
+            at = [F.get(m, F.lit(i)) for i in range(9)]
+            cut = cut_box(data, [F.lit(patch)] * 3, at[6:], at[3:6])
+            return F.struct(c.alias("c"), m.alias("place"), cut.alias("p"))
+
+        return let(F.array(*in_chunk, *[size[a] for a in AXES], *in_window), placed)
 
     pieces = let(F.col("data"), lambda d: F.transform(cells, lambda c: piece(d, c)))
     rows = preds.select(*keys, F.explode(pieces).alias("_p")).select(
