@@ -5,11 +5,17 @@ filter; these small vectorised helpers run on Arrow batches at a fraction of
 that. Spark decides the partitioning; a kernel only ever sees single patches.
 """
 
+import sys
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Send the helpers with the functions: executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ARRAY = T.ArrayType(T.DoubleType())
 
 

@@ -203,11 +203,11 @@ def materialize_patches(s):
 
 
 @query("materialize_patches_counts", "W", """
-    select count(*) as total, count(*) filter (where volume_id % 2 = 0) as skipped, count(*) filter (where volume_id % 2 = 1) as saved, cast(0 as bigint) as failed from W""")
+    select count(*) as total, count(*) filter (where z0 < 4) as skipped, count(*) filter (where z0 >= 4) as saved, cast(0 as bigint) as failed from W""")
 def materialize_patches_counts(s):
-    """A second run over a store that already holds half of the patches."""
+    """A second run over a store that already holds a part of the patches."""
     out = scratch_dir(s.spark, "patches")
-    sinks.materialize_patches(cut_windows(s), s.W.filter("volume_id % 2 = 0"), "patch_id", out)
+    sinks.materialize_patches(cut_windows(s), s.W.filter("z0 < 4"), "patch_id", out)
     return sinks.materialize_patches(cut_windows(s), s.W, "patch_id", out)
 
 
@@ -262,3 +262,15 @@ def json_functions(s):
     text = F.to_json(stats)
     back = F.from_json(text, "map<string,int>")
     return s.events.select("event_id", back["k"].alias("k"), back["next"].alias("k_next"))
+
+
+@query("hash_draws", "P", f"""
+    select patch_no, {sql_rank(1, 'patch_no')} as rank, round({sql_rank(1, 'patch_no')} / 4294967296e0, 9) as uniform,
+           round(sqrt(-2e0 * ln(({sql_rank(2, 'patch_no', "'u1'")} + 1e0) / 4294967296e0)) * cos(6.283185307179586e0 * ({sql_rank(2, 'patch_no', "'u2'")} / 4294967296e0)), 6) as normal from P""")
+def hash_draws(s):
+    from voxframe.functions.scalar import hash_normal, hash_rank, hash_uniform
+
+    return s.P.select(
+        "patch_no", hash_rank(1, "patch_no").alias("rank"), F.round(hash_uniform(1, "patch_no"), 9).alias("uniform"),
+        F.round(hash_normal(2, "patch_no"), 6).alias("normal"),
+    )
