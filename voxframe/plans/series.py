@@ -91,11 +91,12 @@ def collapse_alert_stream(s):
 
 
 @query("ema_smooth", "T", """
-    with recursive n as (select run_id, step, value, row_number() over (partition by run_id order by step) as i from T),
+    with recursive n as (select run_id, step, sqrt(value) as value, row_number() over (partition by run_id order by step) as i from T),
     e as (select run_id, step, i, value as smooth from n where i = 1 union all select n.run_id, n.step, n.i, 1e-2 * n.value + 99e-2 * e.smooth from e join n on n.run_id = e.run_id and n.i = e.i + 1)
     select run_id, step, round(smooth, 6) as smooth from e""")
 def ema_smooth(s):
-    return metrics.ema_smooth(s.T, "run_id", block=500).select("run_id", "step", F.round("smooth", 6).alias("smooth"))
+    # square roots, so that no result sits exactly on a rounding tie
+    return metrics.ema_smooth(s.T.withColumn("value", F.sqrt("value")), "run_id", block=500).select("run_id", "step", F.round("smooth", 6).alias("smooth"))
 
 
 @query("monitor_time", "T", "select step, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') as at, cast(epoch(date_trunc('second', ts)) as bigint) as unix from T")
