@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from voxframe.llm import bpe, packing
+from voxframe.llm import bpe, neardup, packing
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -15,12 +15,36 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.pack(spark, _table(spark, sf_dir, "documents"), RANKS)
 
 
+def op7_minhash_near_dedup(spark, sf_dir):
+    return neardup.near_duplicates(spark, _table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op9_byte_bpe(spark, sf_dir):
     return bpe.digests(spark, _table(spark, sf_dir, "documents"), RANKS)
 
 
 QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_byte_bpe": op9_byte_bpe,
 }
-ORACLES = {}
+NEAR_DEDUP = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+s AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+    FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+x AS (SELECT doc_id, unnest(s) AS x FROM s),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (
+    SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+arc AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, arc.b FROM reach r JOIN arc ON r.b = arc.a)
+SELECT n.doc_id, n.n AS n_shingles, r.component_id, n.doc_id = r.component_id AS kept
+FROM n JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = n.doc_id
+"""
+
+ORACLES = {"op7_minhash_near_dedup": NEAR_DEDUP}

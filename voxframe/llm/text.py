@@ -53,6 +53,7 @@ def blocks(batches, name="text", limit=BLOCK_BYTES):
             last = min(max(last, first + 1), n, first + 20_000)
             yield batch.slice(first, last - first)
             first = last
+    pa.default_memory_pool().release_unused()
 
 
 def mix(h):
@@ -75,7 +76,7 @@ def _powers(n):
             out.append(np.cumprod(x, dtype=np.uint64))
         return out
 
-    size = 1 << max(21, int(n).bit_length())
+    size = (int(n) // (1 << 20) + 1) << 20
     return worker_cache(f"powers{size}", lambda: build(size))
 
 
@@ -83,8 +84,10 @@ def prefix_hash(data):
     """Running polynomial sums: slices of ``data`` get hashes by ``slice_hash``."""
     power, _ = _powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=out[1:])
-    return out
+    out[1:] = data
+    out[1:] += np.uint64(1)
+    out[1:] *= power[: len(data)]
+    return np.cumsum(out, out=out)
 
 
 def slice_hash(prefix, starts, ends):
@@ -114,6 +117,22 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def ngrams(data, n):
+    """32-bit hashes of all windows of ``n`` bytes (one per start position)."""
+    m = len(data) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint32)
+    out = np.full(m, n, np.uint32)
+    for j in range(n):
+        out *= np.uint32(0x01000193)
+        out += data[j : j + m]
+        out ^= out << np.uint32(7)
+    out ^= out >> np.uint32(15)
+    out *= np.uint32(0x2C1B3C6D)
+    out ^= out >> np.uint32(12)
+    return out
+
+
 def _class_table():
     """Character class of each code point: 0 space, 1 letter, 2 number, 3 other."""
     table = np.full(0x110000, 3, np.uint8)
