@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from voxframe.llm import bpe, neardup, packing
+from voxframe.llm import bpe, neardup, packing, quality, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -11,10 +11,18 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_counterfactual_toxicity(spark, sf_dir):
+    return toxicity.classify(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_best_fit_packing(spark, sf_dir):
     return packing.pack(spark, _table(spark, sf_dir, "documents"), RANKS)
 
 
+def op6_subword_quality(spark, sf_dir):
+    return quality.classify(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_minhash_near_dedup(spark, sf_dir):
     return neardup.near_duplicates(spark, _table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -24,7 +32,9 @@ def op9_byte_bpe(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_subword_quality": op6_subword_quality,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_byte_bpe": op9_byte_bpe,
 }
