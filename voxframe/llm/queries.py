@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from voxframe.llm import bpe, neardup, packing, quality, toxicity
+from voxframe.llm import bpe, neardup, neighbours, packing, quality, topk, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -19,6 +19,11 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.pack(spark, _table(spark, sf_dir, "documents"), RANKS)
 
 
+def op4_stable_projection_neighbours(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(spark, vectors, topk.every(vectors))
+
+
 def op6_subword_quality(spark, sf_dir):
     return quality.classify(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -31,12 +36,19 @@ def op9_byte_bpe(spark, sf_dir):
     return bpe.digests(spark, _table(spark, sf_dir, "documents"), RANKS)
 
 
+def op10_threshold_top_k(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.top_k(spark, vectors, topk.every(vectors))
+
+
 QUERIES = {
     "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_stable_projection_neighbours": op4_stable_projection_neighbours,
     "op6_subword_quality": op6_subword_quality,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_threshold_top_k": op10_threshold_top_k,
 }
 NEAR_DEDUP = r"""
 WITH RECURSIVE w AS (
@@ -57,4 +69,20 @@ SELECT n.doc_id, n.n AS n_shingles, r.component_id, n.doc_id = r.component_id AS
 FROM n JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = n.doc_id
 """
 
-ORACLES = {"op7_minhash_near_dedup": NEAR_DEDUP}
+TOP_K = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(c.v) + 1), i -> c.v[i] * q.v[i])) AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
+r AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id,
+        CAST(score AS BIGINT) AS score
+    FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+ORACLES = {"op10_threshold_top_k": TOP_K, "op7_minhash_near_dedup": NEAR_DEDUP}
