@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from voxframe.llm import bpe, neardup, neighbours, packing, quality, topk, toxicity
+from voxframe.llm import bpe, neardup, neighbours, packing, quality, secrets, topk, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -11,6 +11,10 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_randomness_secrets(spark, sf_dir):
+    return secrets.scan(spark, _table(spark, sf_dir, "documents"))
+
+
 def op2_counterfactual_toxicity(spark, sf_dir):
     return toxicity.classify(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -42,6 +46,7 @@ def op10_threshold_top_k(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_randomness_secrets": op1_randomness_secrets,
     "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_stable_projection_neighbours": op4_stable_projection_neighbours,
