@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from voxframe.llm import bpe, neardup, neighbours, packing, quality, secrets, topk, toxicity
+from voxframe.llm import bpe, neardup, neighbours, packing, pages, quality, secrets, topk, toxicity, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -28,6 +28,10 @@ def op4_stable_projection_neighbours(spark, sf_dir):
     return neighbours.nearest(spark, vectors, topk.every(vectors))
 
 
+def op5_host_suffix_html(spark, sf_dir):
+    return pages.main_text(spark, _table(spark, sf_dir, "pages"))
+
+
 def op6_subword_quality(spark, sf_dir):
     return quality.classify(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -36,6 +40,10 @@ def op7_minhash_near_dedup(spark, sf_dir):
     return neardup.near_duplicates(spark, _table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op8_splittable_warc(spark, sf_dir):
+    return warc.round_trip(spark, _table(spark, sf_dir, "pages"))
+
+
 def op9_byte_bpe(spark, sf_dir):
     return bpe.digests(spark, _table(spark, sf_dir, "documents"), RANKS)
 
@@ -50,8 +58,10 @@ QUERIES = {
     "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_stable_projection_neighbours": op4_stable_projection_neighbours,
+    "op5_host_suffix_html": op5_host_suffix_html,
     "op6_subword_quality": op6_subword_quality,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_splittable_warc": op8_splittable_warc,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_threshold_top_k": op10_threshold_top_k,
 }
@@ -90,4 +100,15 @@ r AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLES = {"op10_threshold_top_k": TOP_K, "op7_minhash_near_dedup": NEAR_DEDUP}
+WARC = """
+SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+    CASE WHEN strlen(html) >= 100 AND page_id > min(page_id) OVER w THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN strlen(html) >= 100 AND page_id > min(page_id) OVER w THEN min(page_id) OVER w END AS refers_to
+FROM pages WINDOW w AS (PARTITION BY coalesce(html, ''))
+"""
+
+ORACLES = {
+    "op7_minhash_near_dedup": NEAR_DEDUP,
+    "op8_splittable_warc": WARC,
+    "op10_threshold_top_k": TOP_K,
+}
