@@ -251,3 +251,9 @@ def near_duplicates(spark, docs, k=5, percent=80):
     linked = sketched.filter("n_shingles > 0 and doc_id is not null").join(of_digest, "digest").select("doc_id", "n_shingles", "component_id")
     alone = sketched.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(spark, docs, k=5, percent=80):
+    """One document of each class, with all its columns: the smallest id."""
+    dropped = near_duplicates(spark, docs, k, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__dropped_id"))
+    return docs.join(dropped, docs["doc_id"].cast("long") == dropped["__dropped_id"], "left_anti")

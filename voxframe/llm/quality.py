@@ -98,11 +98,15 @@ def scores(data, offsets, table, bias):
     return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
-def classify(spark, docs, labels, sample_size=SAMPLE, folds=4, held_out=2, cut=0.7):
-    """One row per document: doc_id, held_out, score, predicted."""
+def fitted(spark, docs, labels, sample_size, folds, held_out):
     texts, y = sample.labelled(docs, labels, "quality", folds, held_out, sample_size)
     table, bias = train(texts.to_pylist(), y) if len(y) else (np.zeros(1 << BITS, np.float32), 0.0)
-    model = spark.sparkContext.broadcast((table, bias))
+    return spark.sparkContext.broadcast((table, bias))
+
+
+def classify(spark, docs, labels, sample_size=SAMPLE, folds=4, held_out=2, cut=0.7):
+    """One row per document: doc_id, held_out, score, predicted."""
+    model = fitted(spark, docs, labels, sample_size, folds, held_out)
 
     def run(batches):
         for batch in tx.blocks(batches):
@@ -116,3 +120,14 @@ def classify(spark, docs, labels, sample_size=SAMPLE, folds=4, held_out=2, cut=0
         "score",
         (F.col("score") >= cut).cast("int").alias("predicted"),
     )
+
+
+def keep(spark, docs, labels, sample_size=SAMPLE, folds=4, held_out=2, cut=0.7):
+    """The documents with a score at least ``cut``, with all their columns."""
+    model = fitted(spark, docs, labels, sample_size, folds, held_out)
+
+    def run(batches):
+        for batch in tx.blocks(batches):
+            yield batch.filter(pa.array(scores(*tx.raw(batch.column("text")), *model.value) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)

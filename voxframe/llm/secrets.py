@@ -162,7 +162,7 @@ def length_class(n):
 
 
 def findings(docs):
-    """Add ``base`` (spans of the patterns) and ``tokens`` (tested runs)."""
+    """Add ``__base`` (spans of the patterns) and ``__tokens`` (tested runs)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     # A short value fails, but has used up its characters, so it is dropped last.
     assign = F.filter(
@@ -175,12 +175,12 @@ def findings(docs):
     base = F.array_sort(
         F.concat(spans(assign, 0), spans(_located(text, ACCESS), 1), spans(_located(text, HEX), 2))
     )
-    return docs.withColumn("base", base).withColumn("tokens", _tested(_located(text, RUN)))
+    return docs.withColumn("__base", base).withColumn("__tokens", _tested(_located(text, RUN)))
 
 
 def thresholds(found):
     """{length class: cut of p} from the counts of all documents (a bounded table)."""
-    t = found.select(F.explode("tokens").alias("t")).select(length_class(F.col("t.n")).alias("length"), "t.decoy", "t.p")
+    t = found.select(F.explode("__tokens").alias("t")).select(length_class(F.col("t.n")).alias("length"), "t.decoy", "t.p")
     passing = [F.count_if((F.col("p") >= cut) & (F.col("decoy") == d)).alias(f"{side}{i}") for i, cut in enumerate(CUTS) for side, d in (("false", True), ("true", False))]
     out = {}
     for row in t.groupBy("length").agg(*passing).collect():
@@ -192,7 +192,7 @@ def thresholds(found):
 
 
 def all_spans(found, cuts):
-    """Add ``spans``: base spans and the discoveries that touch none of them."""
+    """Add ``__spans``: base spans and the discoveries that touch none of them."""
     def limit(n):
         out = F.lit(2.0)
         for low in LENGTHS:
@@ -200,13 +200,13 @@ def all_spans(found, cuts):
         return out
 
     def new(t):
-        touches = F.exists(F.col("base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+        touches = F.exists(F.col("__base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
         return ~t["decoy"] & (t["p"] >= limit(t["n"])) & ~touches
 
     random = F.transform(
-        F.filter("tokens", new), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("rank"), t["end"].alias("end"))
+        F.filter("__tokens", new), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("rank"), t["end"].alias("end"))
     )
-    return found.withColumn("spans", F.array_sort(F.concat("base", random)))
+    return found.withColumn("__spans", F.array_sort(F.concat("__base", random)))
 
 
 def written(spans):
@@ -226,13 +226,13 @@ def scan(spark, docs):
     ensure_checkpoint_dir(spark)
     found = findings(docs.select("doc_id", "text")).drop("text").checkpoint()
     spans = all_spans(found, thresholds(found))
-    n = [_count("base", rank) for rank in range(3)]
+    n = [_count("__base", rank) for rank in range(3)]
     return spans.select(
         "doc_id",
         *n,
-        _count("spans", 3),
-        F.sha2(written("base"), 256).alias("base_sha256"),
-        written("spans").alias("spans"),
+        _count("__spans", 3),
+        F.sha2(written("__base"), 256).alias("base_sha256"),
+        written("__spans").alias("spans"),
     )
 
 
@@ -251,9 +251,9 @@ def redact(docs, mask="[SECRET]"):
         )
 
     masked = F.aggregate(
-        "spans",
+        "__spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         step,
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))),
     )
-    return spans.withColumn("text", F.when(F.size("spans") > 0, masked).otherwise(text)).select(*docs.columns)
+    return spans.withColumn("text", F.when(F.size("__spans") > 0, masked).otherwise(text)).select(*docs.columns)

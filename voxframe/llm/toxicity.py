@@ -177,10 +177,14 @@ def scores(data, offsets, hashes, weights, bias):
     return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
+def fitted(spark, docs, labels, sample_size, folds, held_out):
+    texts, y = sample.labelled(docs, labels, "toxic", folds, held_out, sample_size)
+    return spark.sparkContext.broadcast(train(texts.to_pylist(), y))
+
+
 def classify(spark, docs, labels, sample_size=SAMPLE, folds=5, held_out=0, cut=0.5):
     """One row per document: doc_id, held_out, score, predicted."""
-    texts, y = sample.labelled(docs, labels, "toxic", folds, held_out, sample_size)
-    model = spark.sparkContext.broadcast(train(texts.to_pylist(), y))
+    model = fitted(spark, docs, labels, sample_size, folds, held_out)
 
     def run(batches):
         for batch in tx.blocks(batches):
@@ -194,3 +198,14 @@ def classify(spark, docs, labels, sample_size=SAMPLE, folds=5, held_out=0, cut=0
         "score",
         (F.col("score") >= cut).cast("int").alias("predicted"),
     )
+
+
+def keep(spark, docs, labels, sample_size=SAMPLE, folds=5, held_out=0, cut=0.5):
+    """The documents with a score below ``cut``, with all their columns."""
+    model = fitted(spark, docs, labels, sample_size, folds, held_out)
+
+    def run(batches):
+        for batch in tx.blocks(batches):
+            yield batch.filter(pa.array(scores(*tx.raw(batch.column("text")), *model.value) < cut))
+
+    return docs.mapInArrow(run, docs.schema)
