@@ -12,8 +12,14 @@ CELL = 64
 
 
 def voxel_code(z, y, x):
-    return (
-        F.shiftleft(z.cast("bigint"), 2 * AXIS_BITS) + F.shiftleft(y.cast("bigint"), AXIS_BITS) + x.cast("bigint")
+    """One number for a voxel; a coordinate outside the range is an error."""
+    inside = F.lit(True)
+    for c in (z, y, x):
+        inside = inside & (c >= 0) & (c < F.lit(1 << AXIS_BITS))
+    fits = F.assert_true(inside, "a voxel coordinate is outside 0 .. 2^21 - 1").isNull()
+    return F.when(
+        fits,
+        F.shiftleft(z.cast("bigint"), 2 * AXIS_BITS) + F.shiftleft(y.cast("bigint"), AXIS_BITS) + x.cast("bigint"),
     )
 
 
@@ -178,7 +184,10 @@ def size_bin_columns(size="size"):
     return out
 
 
-def size_bins(sizes, keys):
+def size_bins(sizes, keys, patches=None):
+    """Components by size; ``patches`` without components get zeros."""
+    if patches is not None:
+        sizes = patches.select(*keys).distinct().join(sizes, list(keys), "left")
     return sizes.groupBy(*keys).agg(*size_bin_columns())
 
 

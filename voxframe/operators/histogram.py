@@ -19,20 +19,22 @@ def percentile_of_sorted(a, pct):
     return lo + (hi - lo) * (pos - low)
 
 
+def _finite(v):
+    return ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
+
+
 def distribution_stats(patches, keys, data="data"):
     """Upper percentiles, max and max / p99 of the finite voxels.
 
     One sort per patch row and no shuffle. ``max_over_p99`` is infinite when p99
     is not positive; everything is 0 without finite voxels.
     """
-    def finite(v):
-        return ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
 
     def stats(a):
         fields = [percentile_of_sorted(a, p).alias(n) for n, p in AUDIT_PERCENTILES.items()]
         return F.struct(*fields, F.element_at(a, -1).alias("max"))
 
-    clean = F.sort_array(F.filter(F.col(data), finite))
+    clean = F.sort_array(F.filter(F.col(data), _finite))
     df = patches.withColumn("_d", let(clean, lambda a: F.when(F.size(a) > 0, stats(a))))
     out = {n: F.coalesce(F.col(f"_d.{n}"), F.lit(0.0)) for n in [*AUDIT_PERCENTILES, "max"]}
     ratio = (
@@ -45,7 +47,7 @@ def distribution_stats(patches, keys, data="data"):
 
 def percentile_range(patches, keys, lo=5.0, hi=99.5, ignore_zeros=True):
     """Robust intensity range; (0, 1) if empty, hi = lo + 1 if not above lo."""
-    keep = (lambda v: ~F.isnan(v) & (v > 0)) if ignore_zeros else (lambda v: ~F.isnan(v))
+    keep = (lambda v: _finite(v) & (v > 0)) if ignore_zeros else _finite
     both = let(
         F.sort_array(F.filter("data", keep)),
         lambda a: F.when(

@@ -29,10 +29,8 @@ def extract_windows(boxes, chunks, keys, edge, patch_key="patch_id"):
     touched = boxes
     for a in AXES:
         touched = touched.withColumn(f"c{a}", F.explode(_cells(F.col(f"{a}0"), F.col(f"{a}1"), edge)))
-    # A short list of boxes may touch many chunks: spread the exploded keys over
-    # the cluster on the join key, whichever join Spark then picks.
     chunk_key = [*keys, "cz", "cy", "cx"]
-    joined = touched.repartition(*chunk_key).join(chunks.select(*chunk_key, "data"), chunk_key, "left")
+    joined = touched.join(chunks.select(*chunk_key, "data"), chunk_key, "left")
     # the part of the box in this chunk, relative to the box and to the chunk
     for a in AXES:
         lo = F.greatest(F.col(f"{a}0"), F.col(f"c{a}") * edge)
@@ -87,7 +85,8 @@ def assemble_tiles(tiles, voxels, boxes, cell_mm, keys=()):
     ``tiles``: (tile_id, *keys, o{a} origin mm, s{a} signed voxel step mm,
     n{a} voxels); ``voxels``: positive tile voxels (tile_id, z, y, x);
     ``boxes``: (box_id, *keys, lo_{a}, hi_{a} in mm, st_{a} signed output step).
-    Returns (box_id, z, y, x, n_tiles); overlaps combine with OR.
+    Returns (box_id, z, y, x, n_tiles); overlaps combine with OR. A negative
+    output step counts from the upper side of the box.
     """
     t, b = tiles, boxes
     for a in AXES:
@@ -106,26 +105,29 @@ def assemble_tiles(tiles, voxels, boxes, cell_mm, keys=()):
         first = first & (F.col(f"_c{a}") == F.floor(lo / cell_mm).cast("int"))
     pairs = t.join(b, [*keys, "_cz", "_cy", "_cx"]).filter(overlap & first).drop("_cz", "_cy", "_cx")
     pairs = pairs.drop(*[k for k in keys])
-    # the placement is settled per pair, so the voxel join carries ten integers
-    placed = {}
+    # A voxel goes where its centre falls, counted from the box side at which
+    # the output axis starts; the join carries the line from index to index.
+    lines = {}
     for a in AXES:
-        o, s, n, st = F.col(f"o{a}"), F.col(f"s{a}"), F.col(f"n{a}"), F.col(f"st_{a}")
-        lo = F.greatest(F.col(f"lo_{a}"), F.col(f"tl_{a}"))
-        hi = F.least(F.col(f"hi_{a}"), F.col(f"th_{a}"))
-        near, far = F.when(s > 0, lo).otherwise(hi), F.when(s > 0, hi).otherwise(lo)
-        t0 = F.greatest(F.lit(0), F.floor((near - o) / s).cast("int"))
-        t1 = F.least(n, F.ceil((far - o) / s).cast("int"))
-        p0, p1 = o + s * t0, o + s * t1
-        anchor = F.when(st > 0, F.least(p0, p1)).otherwise(F.greatest(p0, p1))
-        o0 = F.greatest(F.lit(0), F.floor((anchor - F.col(f"lo_{a}")) / st).cast("int"))
-        size = F.ceil((F.col(f"hi_{a}") - F.col(f"lo_{a}")) / F.abs(st)).cast("int")
-        placed |= {f"_from_{a}": t0, f"_to_{a}": F.least(t1, t0 + size - o0), f"_shift_{a}": o0 - t0}
-    placement = pairs.select("tile_id", "box_id", *[v.alias(k) for k, v in placed.items()])
-    pasted = placement.join(voxels, "tile_id")
+        st = F.col(f"st_{a}")
+        start = F.when(st > 0, F.col(f"lo_{a}")).otherwise(F.col(f"hi_{a}"))
+        lines |= {
+            f"_o{a}": F.col(f"o{a}"),
+            f"_s{a}": F.col(f"s{a}"),
+            f"_start_{a}": start,
+            f"_st_{a}": st,
+            f"_n_{a}": F.ceil((F.col(f"hi_{a}") - F.col(f"lo_{a}")) / F.abs(st)).cast("int"),
+        }
+    pasted = pairs.select("tile_id", "box_id", *[v.alias(k) for k, v in lines.items()]).join(voxels, "tile_id")
+    index = {}
     for a in AXES:
-        pasted = pasted.filter((F.col(a) >= F.col(f"_from_{a}")) & (F.col(a) < F.col(f"_to_{a}")))
+        centre = F.col(f"_o{a}") + F.col(f"_s{a}") * (F.col(a) + 0.5)
+        index[a] = F.floor((centre - F.col(f"_start_{a}")) / F.col(f"_st_{a}")).cast("int")
+    pasted = pasted.withColumns({f"_{a}": v for a, v in index.items()})
+    for a in AXES:
+        pasted = pasted.filter((F.col(f"_{a}") >= 0) & (F.col(f"_{a}") < F.col(f"_n_{a}")))
     counts = pairs.groupBy("box_id").agg(F.count("*").alias("n_tiles"))
-    out = pasted.select("box_id", *[(F.col(a) + F.col(f"_shift_{a}")).alias(a) for a in AXES]).distinct()
+    out = pasted.select("box_id", *[F.col(f"_{a}").alias(a) for a in AXES]).distinct()
     return out.join(counts, "box_id")
 
 
@@ -183,23 +185,28 @@ def pending(todo, done, key, force=False):
     return todo if force else todo.join(done.select(*key), list(key), "left_anti")
 
 
-def attach_references(patches, refs, on="dataset", max_refs=100000):
+def attach_references(patches, refs, on="dataset", salts=16):
     """One row per (patch, reference); a data set without references takes all.
 
-    ``refs`` is the short list of reference subjects; it travels as one scalar
-    array per data set, not as a join partner of every patch. More than
-    ``max_refs`` of them is an error: the list would not be a list of references.
+    Pairs come from an equi join on (pooled, data set, salt): patches are dealt
+    over the salts and references repeated for each, so a data set that holds a
+    third of the patches is spread, and no list of references sits in a row.
     """
-    ref = F.struct(F.col(on).alias("ref_dataset"), F.col("subject_id").alias("ref_subject"))
-    own = refs.groupBy(on).agg(F.collect_set(ref).alias("_refs"))
-    bounded = F.assert_true(F.count("*") <= max_refs, "too many references").isNull()
-    pool = refs.agg(F.when(bounded, F.collect_set(ref))).scalar()
-    return (
-        patches.join(own, on, "left")
-        .withColumn("_pool", pool)
-        .withColumn("pooled", F.col("_refs").isNull())
-        .withColumn("_r", F.explode(F.coalesce("_refs", "_pool")))
-        .select(*patches.columns, "pooled", "_r.*")
+    known = refs.select(F.col(on).alias("ref_dataset"), F.col("subject_id").alias("ref_subject")).distinct()
+    has = known.select(F.col("ref_dataset").alias(on)).distinct().withColumn("_own", F.lit(True))
+    keyed = (
+        patches.join(has, on, "left")
+        .withColumn("pooled", F.col("_own").isNull())
+        .withColumn("_key", F.when(F.col("_own"), F.col(on)))
+        .withColumn("_salt", F.pmod(F.xxhash64(*patches.columns), F.lit(salts)))
+    )
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt")
+    own = known.select("*", F.lit(False).alias("pooled"), F.col("ref_dataset").alias("_key"), copies)
+    pool = known.select("*", F.lit(True).alias("pooled"), F.lit(None).cast("string").alias("_key"), copies)
+    # Null keys meet under a name of their own kind, so the join stays an equi join.
+    blank = lambda df: df.withColumn("_key", F.coalesce(F.col("_key").cast("string"), F.lit("")))
+    return blank(keyed).join(blank(own.union(pool)), ["pooled", "_key", "_salt"]).select(
+        *patches.columns, "pooled", "ref_dataset", "ref_subject"
     )
 
 

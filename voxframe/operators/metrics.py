@@ -10,11 +10,17 @@ from voxframe.operators import kernels
 LEVEL_WEIGHTS = [1.0, 0.5, 0.25, 0.125, 0.0625]
 
 
-def dice(pred, truth, by, on, smooth=1):
-    """(2I + s) / (P + T + s) of sparse masks per ``by`` (a batch or a patch)."""
+def dice(pred, truth, by, on, smooth=1, patches=None):
+    """(2I + s) / (P + T + s) of sparse masks per ``by`` (a batch or a patch).
+
+    A sparse mask does not show empty patches: with the list of ``patches``
+    those that are empty on both sides get their 1.0.
+    """
     p = pred.select(*on).withColumn("_p", F.lit(1))
     t = truth.select(*on).withColumn("_t", F.lit(1))
     both = p.join(t, list(on), "full_outer")
+    if patches is not None:
+        both = patches.select(*by).distinct().join(both, list(by), "left")
     hit = F.count_if(F.col("_p").isNotNull() & F.col("_t").isNotNull())
     score = (2 * hit + smooth) / (F.count("_p") + F.count("_t") + smooth)
     return both.groupBy(*by).agg(score.alias("dice"))
@@ -91,9 +97,11 @@ def regression_loss(online, target, on, by, vector="embedding"):
     return online.join(t, list(on)).groupBy(*by).agg(loss.alias("loss"))
 
 
-def component_count_error(pred, truth, keys, conn=26):
+def component_count_error(pred, truth, keys, conn=26, patches=None):
     """Object counts of two masks: difference, spurious and missed objects.
 
+    With the list of ``patches`` those that are empty on both sides get zeros.
+
     A predicted object is spurious if it touches no true voxel, and a true one
     is missed if no predicted voxel touches it.
     """
@@ -108,5 +116,7 @@ def component_count_error(pred, truth, keys, conn=26):
         return per.groupBy(*keys).agg(F.count("*").alias(n), F.count_if(F.col("_hits") == 0).alias(missed))
 
     both = count(p, truth, "spurious").join(count(t, pred, "missed"), list(keys), "full_outer")
+    if patches is not None:
+        both = patches.select(*keys).distinct().join(both, list(keys), "left")
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("n_pred", "spurious", "n_truth", "missed")}
     return both.withColumns(zero).withColumn("count_error", F.abs(F.col("n_pred") - F.col("n_truth")))

@@ -106,12 +106,14 @@ def global_stats(chunks, by, min_valid=1000, pct=0.05, missing=(0.0, 1.0)):
     fore = counts.join(cut, by).filter(
         F.col("v") > F.when(F.col("_nz") > min_valid, F.col("_p")).otherwise(F.lit(0.0))
     )
-    stats = fore.groupBy(*by).agg(
+    found = fore.groupBy(*by).agg(
         F.sum("n").alias("n_fore"),
         (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("_m"),
         F.sum(F.col("v") * F.col("v") * F.col("n")).alias("_ss"),
     )
     var = F.greatest(F.col("_ss") / F.col("n_fore") - F.col("_m") * F.col("_m"), F.lit(0.0))
+    # Volumes without foreground (flat or empty ones) have a row, too.
+    stats = chunks.select(*by).distinct().join(found, list(by), "left").withColumn("n_fore", F.coalesce("n_fore", F.lit(0)))
     few = F.col("n_fore") <= min_valid
     return stats.select(
         *by,

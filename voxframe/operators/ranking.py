@@ -33,20 +33,17 @@ def row_numbers(df, by, rank, ties, name="pos", bits=12, bucket=None):
     )
 
 
-def top_k_per_group(df, by, k, order, salt_key, salts=64, k_max=None):
-    """The first ``k`` rows of each group; ``k`` may be a column up to ``k_max``.
+def top_k_per_group(df, by, k, order, salt_key, salts=64):
+    """The first ``k`` rows of each group; ``k`` may be a column.
 
     A salted first pass leaves at most salts * k rows per group, so the exact
-    second pass never sees a whole hot group. A literal bound lets Spark cut
-    each group before the shuffle (WindowGroupLimit).
+    second pass never sees a whole hot group. With a number, Spark cuts each
+    group before the shuffle, too (WindowGroupLimit).
     """
-    bound = k if isinstance(k, int) else k_max
     k = F.lit(k) if isinstance(k, int) else k
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_key), F.lit(salts)))
     for part in ([*by, "_salt"], by):
         salted = salted.withColumn("_rn", F.row_number().over(W.partitionBy(*part).orderBy(*order)))
-        if bound is not None:
-            salted = salted.filter(F.col("_rn") <= F.lit(bound))
         salted = salted.filter(F.col("_rn") <= k)
     return salted.drop("_salt", "_rn")
 

@@ -72,19 +72,18 @@ def spread_round_robin(quotas, subjects, seed, key="subject_id"):
     return row_numbers(dealt, [], hash_rank(f"{seed}-deal", "group_name", "i"), ["group_name", "i"])
 
 
-def sample_region_centers(label_voxels, labels, quota, seed, by="volume_id", k_max=None):
+def sample_region_centers(label_voxels, labels, quota, seed, by="volume_id"):
     """``quota`` random voxels inside each region group of each subject.
 
     ``labels``: (label, group_name); ``quota``: (group_name, n) or
-    (by, group_name, n). ``k_max``, an upper bound of n, lets most voxels drop
-    out before the shuffle.
+    (by, group_name, n), of any size.
     """
     keys = [by, "group_name"] if by in quota.columns else ["group_name"]
     tagged = label_voxels.join(labels, "label").join(quota, keys)
     cell = [by, "z", "y", "x"]
     ranked = tagged.withColumn("_h", hash_rank(seed, *cell))
     return top_k_per_group(
-        ranked, [by, "group_name"], F.col("n"), ["_h", "z", "y", "x"], ["z", "y", "x"], k_max=k_max
+        ranked, [by, "group_name"], F.col("n"), ["_h", "z", "y", "x"], ["z", "y", "x"]
     ).drop("_h", "n")
 
 

@@ -71,13 +71,14 @@ FIXTURES = {
                cast(s_suppkey % 10 as double) * 3e-2 as oz, 48e-3 as oy, 0e0 as ox,
                4e-3 as sz, -4e-3 as sy, 4e-3 as sx, 12 as nz, 12 as ny, 12 as nx
         from {supplier}""",
-    # Physical boxes to cut from the tiled masks.
+    # Physical boxes to cut from the tiled masks, output steps of either sign.
     "BX": """
         select c_custkey as box_id, cast(floor(c_custkey / 150) as bigint) as brain,
                cast(c_custkey % 150 as double) * 2e-3 as lo_z, cast(c_custkey % 150 as double) * 2e-3 + 3e-2 as hi_z,
                cast(c_custkey % 7 as double) * 3e-3 as lo_y, cast(c_custkey % 7 as double) * 3e-3 + 3e-2 as hi_y,
                cast(c_custkey % 5 as double) * 3e-3 as lo_x, cast(c_custkey % 5 as double) * 3e-3 + 3e-2 as hi_x,
-               4e-3 as st_z, 4e-3 as st_y, 4e-3 as st_x
+               case when c_custkey % 2 = 0 then 4e-3 else -4e-3 end as st_z, case when c_custkey % 3 = 0 then -4e-3 else 4e-3 end as st_y,
+               4e-3 as st_x
         from {customer}""",
     # Embedding pairs: consecutive vectors are two views of one item.
     "E": """

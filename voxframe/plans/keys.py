@@ -193,14 +193,14 @@ def spread_round_robin(s):
 
 
 @query("sample_region_centers", "V L G", f"""
-    with lg as (select l.label, g.name as group_name, cast(g.pos + 1 as bigint) as n from L l join G g on l.group_pos = g.pos)
+    with lg as (select l.label, g.name as group_name, cast(g.pos * g.pos + 3 as bigint) as n from L l join G g on l.group_pos = g.pos)
     select volume_id, group_name, z, y, x, round(z * 4e-3, 6) as mm_z, round(y * 4e-3, 6) as mm_y, round(x * 4e-3, 6) as mm_x
     from (select v.*, lg.group_name, lg.n, row_number() over (partition by volume_id, group_name order by {sql_rank(7, 'volume_id', 'z', 'y', 'x')}, z, y, x) as rn
           from ({LV}) v join lg on v.label = lg.label) where rn <= n""")
 def sample_region_centers(s):
-    groups = s.G.select(F.col("pos").alias("group_pos"), F.col("name").alias("group_name"), (F.col("pos") + 1).cast("bigint").alias("n"))
+    groups = s.G.select(F.col("pos").alias("group_pos"), F.col("name").alias("group_name"), (F.col("pos") * F.col("pos") + 3).cast("bigint").alias("n"))
     labels = s.L.select("label", "group_pos").join(groups.select("group_pos", "group_name"), "group_pos").drop("group_pos")
-    picked = sampling.sample_region_centers(label_voxels(s), labels, groups.select("group_name", "n"), 7, k_max=5)
+    picked = sampling.sample_region_centers(label_voxels(s), labels, groups.select("group_name", "n"), 7)
     return picked.select("volume_id", "group_name", "z", "y", "x", *[F.round(F.col(a) * 4e-3, 6).alias(f"mm_{a}") for a in "zyx"])
 
 

@@ -130,15 +130,23 @@ def overlap_share(s):
 # --- metrics --------------------------------------------------------------
 
 
+PATCHES = "select cast(s_suppkey as int) as volume_id from supplier"
+
+
+def patches(s):
+    return s.supplier.select(F.col("s_suppkey").cast("int").alias("volume_id"))
+
+
 def dice_query(by):
     return f"""
-    with j as (select coalesce(p.volume_id, t.volume_id) as volume_id, p.z is not null as p, t.z is not null as t from M p full join M2 t on p.volume_id = t.volume_id and p.z = t.z and p.y = t.y and p.x = t.x)
-    select {by} as sample, round((2 * count(*) filter (where p and t) + 1) / (count(*) filter (where p) + count(*) filter (where t) + 1), 6) as dice from j group by 1"""
+    with j as (select coalesce(p.volume_id, t.volume_id) as volume_id, p.z is not null as p, t.z is not null as t from M p full join M2 t on p.volume_id = t.volume_id and p.z = t.z and p.y = t.y and p.x = t.x),
+    a as ({PATCHES}), k as (select a.volume_id, coalesce(j.p, false) as p, coalesce(j.t, false) as t from a left join j on j.volume_id = a.volume_id)
+    select {by} as sample, round((2 * count(*) filter (where p and t) + 1) / (count(*) filter (where p) + count(*) filter (where t) + 1), 6) as dice from k group by 1"""
 
 
 @query("dice_per_patch", "M M2", dice_query("volume_id"))
 def dice_per_patch(s):
-    out = metrics.dice(s.M, s.M2, ["volume_id"], ["volume_id", "z", "y", "x"])
+    out = metrics.dice(s.M, s.M2, ["volume_id"], ["volume_id", "z", "y", "x"], patches=patches(s))
     return out.select(F.col("volume_id").alias("sample"), F.round("dice", 6).alias("dice"))
 
 
@@ -146,7 +154,7 @@ def dice_per_patch(s):
 def dice_per_batch(s):
     batch = F.floor(F.col("volume_id") / 8).alias("sample")
     cell = ["sample", "volume_id", "z", "y", "x"]
-    out = metrics.dice(s.M.select(batch, "*"), s.M2.select(batch, "*"), ["sample"], cell)
+    out = metrics.dice(s.M.select(batch, "*"), s.M2.select(batch, "*"), ["sample"], cell, patches=patches(s).select(batch))
     return out.withColumn("dice", F.round("dice", 6))
 
 
@@ -261,9 +269,9 @@ def regression_loss(s):
     p as (select volume_id, component, count(m.z) as h from pc left join M2 m using (volume_id, z, y, x) group by 1, 2), t as (select volume_id, component, count(m.z) as h from tc left join M m using (volume_id, z, y, x) group by 1, 2),
     pn as (select volume_id, count(*) as n_pred, count(*) filter (where h = 0) as spurious from p group by 1), tn as (select volume_id, count(*) as n_truth, count(*) filter (where h = 0) as missed from t group by 1)
     select volume_id, coalesce(n_pred, 0) as n_pred, coalesce(spurious, 0) as spurious, coalesce(n_truth, 0) as n_truth, coalesce(missed, 0) as missed, abs(coalesce(n_pred, 0) - coalesce(n_truth, 0)) as count_error
-    from pn full join tn using (volume_id)""")
+    from ({PATCHES}) a left join pn using (volume_id) left join tn using (volume_id)""")
 def component_count_error(s):
-    return metrics.component_count_error(s.M, s.M2, KEY, 6)
+    return metrics.component_count_error(s.M, s.M2, KEY, 6, patches(s))
 
 
 # --- review ---------------------------------------------------------------

@@ -253,29 +253,20 @@ def points_in_boxes(s):
     return joins.points_in_boxes(points, boxes, 32, ["brain"]).select("box_id", "region_tag", "z", "y", "x")
 
 
-def _assemble_axis(a):
-    return f"""case when s{a} > 0 then greatest(lo_{a}, tl_{a}) else least(hi_{a}, th_{a}) end as near_{a},
-               case when s{a} > 0 then least(hi_{a}, th_{a}) else greatest(lo_{a}, tl_{a}) end as far_{a}"""
+def _index(a):
+    return f"floor((t.o{a} + t.s{a} * (m.{a} + 5e-1) - case when b.st_{a} > 0 then b.lo_{a} else b.hi_{a} end) / b.st_{a})"
 
 
-def _t01(a):
-    return f"cast(greatest(0, floor((near_{a} - o{a}) / s{a})) as int) as t0_{a}, cast(least(n{a}, ceil((far_{a} - o{a}) / s{a})) as int) as t1_{a}"
-
-
-def _o0(a):
-    p0, p1 = f"(o{a} + s{a} * t0_{a})", f"(o{a} + s{a} * t1_{a})"
-    return f"cast(greatest(0, floor((case when st_{a} > 0 then least({p0}, {p1}) else greatest({p0}, {p1}) end - lo_{a}) / st_{a})) as int) as o0_{a}, cast(ceil((hi_{a} - lo_{a}) / abs(st_{a})) as int) as w_{a}"
+def _meets(a):
+    ends = f"t.o{a}, t.o{a} + t.s{a} * t.n{a}"
+    return f"least(b.hi_{a}, greatest({ends})) > greatest(b.lo_{a}, least({ends})) + 1e-9"
 
 
 ASSEMBLE = f"""
-    with te as (select *, {', '.join(f'least(o{a}, o{a} + s{a} * n{a}) as tl_{a}, greatest(o{a}, o{a} + s{a} * n{a}) as th_{a}' for a in ZYX)} from TI),
-    pr as (select te.*, {', '.join(f'b.lo_{a}, b.hi_{a}, b.st_{a}' for a in ZYX)}, b.box_id from te join BX b on te.brain = b.brain
-           and {' and '.join(f'least(hi_{a}, th_{a}) > greatest(lo_{a}, tl_{a}) + 1e-9' for a in ZYX)}),
-    p1 as (select *, {', '.join(_assemble_axis(a) for a in ZYX)} from pr),
-    p2 as (select *, {', '.join(_t01(a) for a in ZYX)} from p1),
-    p3 as (select *, {', '.join(_o0(a) for a in ZYX)} from p2),
-    px as (select distinct p3.box_id, o0_z + m.z - t0_z as z, o0_y + m.y - t0_y as y, o0_x + m.x - t0_x as x from p3 join M m on m.volume_id = p3.tile_id
-           where {' and '.join(f'm.{a} >= t0_{a} and m.{a} < t1_{a} and o0_{a} + m.{a} - t0_{a} < w_{a}' for a in ZYX)})
+    with pr as (select t.tile_id, b.box_id from TI t join BX b on t.brain = b.brain and {' and '.join(map(_meets, ZYX))}),
+    ix as (select b.box_id, {', '.join(f'{_index(a)} as {a}, ceil((b.hi_{a} - b.lo_{a}) / abs(b.st_{a})) as w_{a}' for a in ZYX)}
+           from pr join TI t on t.tile_id = pr.tile_id join BX b on b.box_id = pr.box_id join M m on m.volume_id = t.tile_id),
+    px as (select distinct box_id, {', '.join(f'cast({a} as int) as {a}' for a in ZYX)} from ix where {' and '.join(f'{a} >= 0 and {a} < w_{a}' for a in ZYX)})
     select px.box_id, z, y, x, n.n_tiles from px join (select box_id, count(*) as n_tiles from pr group by 1) n using (box_id)"""
 
 

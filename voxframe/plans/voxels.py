@@ -81,7 +81,8 @@ def window_stats(s):
 GLOBAL = """
     with p as (select volume_id, count(*) as nz, quantile_cont(value, 0.05) as q from V where value > 0 group by 1),
     f as (select v.volume_id, v.value from V v join p using (volume_id) where v.value > case when nz > 200 then q else 0 end)
-    select volume_id, count(*) as n_fore, case when count(*) <= 200 then 0e0 else avg(value) end as mu, case when count(*) <= 200 then 1e0 else stddev_pop(value) end as sigma from f group by 1"""
+    select a.volume_id, count(f.value) as n_fore, case when count(f.value) <= 200 then 0e0 else avg(f.value) end as mu, case when count(f.value) <= 200 then 1e0 else stddev_pop(f.value) end as sigma
+    from (select distinct volume_id from V) a left join f on f.volume_id = a.volume_id group by 1"""
 
 
 @query("global_stats", "V", f"select volume_id, cast(n_fore as bigint) as n_fore, round(mu, 6) as mu, round(sigma, 6) as sigma from ({GLOBAL})")
@@ -424,9 +425,11 @@ BINS_SQL = ", ".join(
 
 
 @query("size_bins", "M", f"""
-    with recursive {cc_sql('M', 6)}, sz as (select volume_id, component, count(*) as size from cc group by 1, 2) select volume_id, {BINS_SQL} from sz group by 1""")
+    with recursive {cc_sql('M', 6)}, sz as (select volume_id, component, count(*) as size from cc group by 1, 2)
+    select a.volume_id, {BINS_SQL} from (select cast(s_suppkey as int) as volume_id from supplier) a left join sz on sz.volume_id = a.volume_id group by 1""")
 def size_bins(s):
-    return components.size_bins(components.component_sizes(components.connected_components(s.M, KEY, 6), KEY), KEY)
+    sizes = components.component_sizes(components.connected_components(s.M, KEY, 6), KEY)
+    return components.size_bins(sizes, KEY, s.supplier.select(F.col("s_suppkey").cast("int").alias("volume_id")))
 
 
 @query("confidence_counts", "D M", f"""

@@ -1,6 +1,5 @@
 """Session settings the library relies on, and the checkpoint folder."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -34,23 +33,17 @@ def local_session(cpus="*", app="voxframe", **extra):
 
 
 def ensure_checkpoint_dir(spark):
-    """Use the shared folder named in ``spark.checkpoint.dir``.
+    """The shared folder: ``spark.checkpoint.dir``, or one below the warehouse.
 
-    Only a local master may fall back to a temporary folder: on a cluster the
-    other machines could not read it after an executor is lost.
+    Both are folders that all executors reach; nothing goes to a folder of one
+    machine, which others could not read after an executor is lost.
     """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return sc.getCheckpointDir()
-    configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="voxframe-ckpt-")
-    sc.setCheckpointDir(configured)
-    return configured
+    if sc.getCheckpointDir() is None:
+        configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        sc.setCheckpointDir(configured or f"{warehouse}/_checkpoints")
+    return sc.getCheckpointDir()
 
 
 def scratch_dir(spark, name):
