@@ -298,8 +298,10 @@ def test_contrastive_loss_falls_for_similar_pairs(spark):
     s = metrics.ntxent(vectors(spark, same), "batch_id").collect()[0]
     o = metrics.ntxent(vectors(spark, other), "batch_id").collect()[0]
     assert s["loss"] < o["loss"] and s["accuracy"] == 1.0
-    with pytest.raises(Exception, match="batch too large"):
-        metrics.ntxent(vectors(spark, same), "batch_id", max_batch=4).collect()
+    cut = metrics.ntxent(vectors(spark, same), "batch_id", block=3).collect()[0]
+    assert cut["loss"] == pytest.approx(s["loss"]) and cut["accuracy"] == 1.0
+    with pytest.raises(Exception, match="no mate"):
+        metrics.ntxent(vectors(spark, same[1:]), "batch_id").collect()
 
 
 def test_dice_smoothing(spark):
@@ -516,14 +518,14 @@ def test_materialize_skips_and_reports(spark, tmp_path):
     assert [r["data"] for r in spark.read.parquet(out).collect()] == [[0, 65535]] * 2
 
 
-@pytest.mark.parametrize("block", [7, 100])
-def test_ema_blocks(spark, block):
+@pytest.mark.parametrize("alpha, block", [(0.2, 1), (0.2, 7), (0.2, 100), (0.5, 10000), (0.999, 3), (1.0, 5), (1e-6, 4)])
+def test_ema_blocks(spark, alpha, block):
     values = RNG.random(60).tolist()
     df = spark.createDataFrame([("r", i, v) for i, v in enumerate(values)], "run string, step long, value double")
     want = [values[0]]
     for v in values[1:]:
-        want.append(0.2 * v + 0.8 * want[-1])
-    got = series.ema_smooth(df, "run", alpha=0.2, block=block).orderBy("step").collect()
+        want.append(alpha * v + (1 - alpha) * want[-1])
+    got = series.ema_smooth(df, "run", alpha=alpha, block=block).orderBy("step").collect()
     assert np.allclose([r["smooth"] for r in got], want)
 
 

@@ -198,34 +198,40 @@ def otsu_index(counts, classes):
     return _otsu(counts, F.lit(classes))
 
 
-def _contrastive(rows, pairs, temperature, cosine):
-    """Mean NT-Xent loss and top-1 accuracy of one batch of paired views."""
+def _contrastive(anchors, pairs, others, mates, same, temperature, cosine):
+    """Parts of the NT-Xent loss of some anchors against some other views.
+
+    Per anchor: the positive's logit (-inf if it is not here), the largest
+    negative logit, and the sum of exp(logit - largest). ``same`` says that the
+    views are the anchors themselves.
+    """
     if cosine:
-        rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-8)
-    logits = rows @ rows.T / temperature
-    n = len(rows)
-    mate = pairs[None, :] == pairs[:, None]
-    positive = logits[np.arange(n), np.argmax(mate & ~np.eye(n, dtype=bool), axis=1)]
+        anchors, others = (r / np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-8) for r in (anchors, others))
+    logits = anchors @ others.T / temperature
+    mate = pairs[:, None] == mates[None, :]
     negative = np.where(mate, -np.inf, logits)
-    top = np.maximum(negative.max(axis=1), positive)
-    total = np.exp(positive - top) + np.exp(negative - top[:, None]).sum(axis=1)
-    loss = top + np.log(total) - positive
-    # the positive is listed first, so a tie counts as right
-    return [float(loss.mean()), float((positive >= negative.max(axis=1)).mean())]
+    if same:
+        mate = mate & ~np.eye(len(pairs), dtype=bool)
+    positive = np.where(mate, logits, -np.inf).max(axis=1)
+    top = negative.max(axis=1)
+    total = np.exp(negative - np.where(np.isfinite(top), top, 0.0)[:, None]).sum(axis=1)
+    return np.stack([positive, top, total], axis=1)
 
 
 @_kernel(ARRAY)
-def _ntxent(flat: pa.Array, pairs: pa.Array, temperature: pa.Array, cosine: pa.Array) -> pa.Array:
-    out = (
-        np.array(_contrastive(v.reshape(len(p), -1), p, t, c))
-        for v, p, t, c in zip(_rows(flat), _rows(pairs), temperature.to_pylist(), cosine.to_pylist())
+def _ntxent(a: pa.Array, p: pa.Array, b: pa.Array, q: pa.Array, same: pa.Array, temperature: pa.Array, cosine: pa.Array) -> pa.Array:
+    ids = lambda column: (np.array(x) for x in column.to_pylist())
+    return _pack(
+        _contrastive(x.reshape(len(i), -1), i, y.reshape(len(j), -1), j, s, t, c).ravel()
+        for x, i, y, j, s, t, c in zip(
+            _rows(a), ids(p), _rows(b), ids(q), same.to_pylist(), temperature.to_pylist(), cosine.to_pylist()
+        )
     )
-    return _pack(out)
 
 
-def ntxent(flat, pairs, temperature, cosine):
-    """[loss, accuracy] of one batch: concatenated vectors and their pair ids."""
-    return _ntxent(flat, pairs, F.lit(float(temperature)), F.lit(bool(cosine)))
+def ntxent(a, p, b, q, same, temperature, cosine):
+    """[positive, top, total] of each anchor of one block against another block."""
+    return _ntxent(a, p, b, q, same, F.lit(float(temperature)), F.lit(bool(cosine)))
 
 
 def _assemble_box(flat, place, shape):

@@ -70,24 +70,44 @@ def deep_supervision_score(preds, truth, keys, full, sizes, weights=LEVEL_WEIGHT
     return per_level.groupBy(*keys).agg(F.sum(weight * F.col("loss")).alias("score"))
 
 
-def ntxent(views, batch, temperature=0.5, similarity="cosine", pair="pair_id", vector="embedding", max_batch=4096):
+def ntxent(views, batch, temperature=0.5, similarity="cosine", pair="pair_id", vector="embedding", block=512):
     """Contrastive loss and top-1 accuracy per batch of paired views.
 
-    A batch is a bounded set by nature; ``max_batch`` turns a missing or wrong
-    batch key into an error instead of a quadratic job.
+    Views are dealt into blocks of about ``block`` rows. Every block of anchors
+    meets every block of its batch, and the log sum of exponentials is put
+    together from the parts, so a batch may have any size. A view without a mate
+    in its batch is an error.
     """
     if similarity not in ("cosine", "dot"):
         raise ValueError("similarity must be cosine or dot")
-    row = F.struct(F.col(pair).cast("double").alias("p"), F.col(vector).cast("array<double>").alias("v"))
-    sizes = views.groupBy(batch).agg(F.count("*").alias("_n"))
-    checked = views.join(sizes, batch).filter(
-        F.assert_true(F.col("_n") <= max_batch, "batch too large for a pairwise loss").isNull()
+    sizes = views.groupBy(batch).agg(F.ceil(F.count("*") / block).alias("_blocks"))
+    rows = F.sort_array(F.collect_list(F.struct(F.col(pair).alias("p"), F.col(vector).cast("array<double>").alias("v"))))
+    dealt = views.join(sizes, batch).withColumn("_block", F.pmod(F.xxhash64(pair, F.col(vector).cast("string")), F.col("_blocks")))
+    packed = dealt.groupBy(batch, "_block").agg(rows.alias("_r"), F.first("_blocks").alias("_blocks"))
+    packed = packed.select(batch, "_block", "_blocks", F.flatten(F.transform("_r", lambda r: r["v"])).alias("_a"), F.transform("_r", lambda r: r["p"]).alias("_p"))
+    others = packed.select(batch, F.col("_block").alias("_other"), F.col("_a").alias("_b"), F.col("_p").alias("_q"))
+    meet = packed.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    both = meet.join(others, [batch, "_other"])
+    both = kernels.pin(both, "_a").withColumn("_same", F.col("_block") == F.col("_other"))
+    parts = kernels.ntxent(F.col("_a"), F.col("_p"), F.col("_b"), F.col("_q"), F.col("_same"), temperature, similarity == "cosine")
+    part = both.select(batch, "_block", parts.alias("_s")).select(
+        batch, "_block", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_s") - 2, F.lit(3)), lambda i: F.slice("_s", i, 3))).alias("_i", "_t")
+    )
+    part = part.select(batch, "_block", "_i", *[F.get("_t", F.lit(j)).alias(n) for j, n in enumerate(("_pos", "_top", "_sum"))])
+    anchor = part.groupBy(batch, "_block", "_i").agg(
+        F.max("_pos").alias("_pos"), F.max("_top").alias("_top"), F.collect_list(F.struct("_top", "_sum")).alias("_parts")
+    )
+    found = F.assert_true(F.col("_pos") > F.lit(float("-inf")), "a view has no mate in its batch").isNull()
+    high = F.greatest("_pos", "_top")
+    total = F.exp(F.col("_pos") - F.col("_high")) + F.aggregate(
+        "_parts", F.lit(0.0), lambda acc, t: acc + F.when(t["_sum"] > 0, t["_sum"] * F.exp(t["_top"] - F.col("_high"))).otherwise(F.lit(0.0))
+    )
+    scored = anchor.filter(found).withColumn("_high", high)
+    # the positive is listed first, so a tie counts as right
+    return scored.groupBy(batch).agg(
+        F.avg(F.col("_high") + F.ln(total) - F.col("_pos")).alias("loss"),
+        F.avg((F.col("_pos") >= F.col("_top")).cast("double")).alias("accuracy"),
     )
-    grouped = checked.groupBy(batch).agg(F.sort_array(F.collect_list(row)).alias("_r"))
-    flat = F.flatten(F.transform("_r", lambda r: r["v"]))
-    pairs = F.transform("_r", lambda r: r["p"])
-    scored = grouped.withColumn("_s", kernels.ntxent(flat, pairs, temperature, similarity == "cosine"))
-    return scored.select(batch, F.get("_s", F.lit(0)).alias("loss"), F.get("_s", F.lit(1)).alias("accuracy"))
 
 
 def regression_loss(online, target, on, by, vector="embedding"):

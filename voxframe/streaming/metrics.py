@@ -94,30 +94,48 @@ def collapse_alert(series, run, thr=COLLAPSE_LOSS, epochs=COLLAPSE_EPOCHS):
     return per.select(run, "first_epoch", F.coalesce(alert, F.lit(False)).alias("collapsed"))
 
 
-def ema_smooth(series, run, order="step", alpha=0.01, block=10000, value="value"):
+#: Longest block of a running sum, and the powers of ten a scaled sum may span.
+EMA_BLOCK = 10000
+EMA_SPAN = 250
+
+
+def ema_smooth(series, run, order="step", alpha=0.01, value="value", block=EMA_BLOCK):
     """Exponential smoothing; the first value of a run is its seed.
 
     Positions are cut into blocks. Inside a block the recursion is a scaled
-    running sum; across blocks only each block's end value is carried, and only
-    from so many blocks back as a double can notice. No task ever sorts a whole
-    run.
+    running sum; the block ends are carried by the same recursion with the decay
+    of a whole block, level by level. The block length follows from ``alpha``
+    (at most ``block``), so any alpha in (0, 1] works. No task ever sorts a whole
+    run, and nothing that a double can hold is cut off.
     """
-    keep = 1.0 - alpha
-    if block * -math.log10(keep) > 250:
-        raise ValueError("block too long for the scaled sum")
-    df = row_numbers(series, [run], F.col(order), [], "_i", bucket=F.floor(F.col(order) / block))
-    df = df.withColumns({"_b": F.floor(F.col("_i") / block), "_k": F.col("_i") % block})
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be in (0, 1]")
+    bucket = F.floor(F.col(order) / EMA_BLOCK)
+    df = row_numbers(series, [run], F.col(order), [], "_i", bucket=bucket)
+    if alpha == 1:
+        return df.withColumn("smooth", F.col(value).cast("double")).drop("_i")
     weight = F.when(F.col("_i") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-    term = weight * F.col(value) * F.pow(F.lit(keep), -F.col("_k").cast("double"))
-    inside = W.partitionBy(run, "_b").orderBy("_k").rowsBetween(W.unboundedPreceding, 0)
-    df = df.withColumn("_local", F.sum(term).over(inside) * F.pow(F.lit(keep), F.col("_k").cast("double")))
-    ends = df.groupBy(run, "_b").agg(F.max_by("_local", "_k").alias("_end"))
-    q = keep**block
-    back = max(1, math.ceil(-17.0 / math.log10(q)))
-    blocks = W.partitionBy(run).orderBy("_b")
-    carry = F.lit(0.0)
-    for j in range(1, back + 1):
-        carry = carry + F.coalesce(F.lag("_end", j).over(blocks), F.lit(0.0)) * (q ** (j - 1))
-    carried = ends.select(run, "_b", carry.alias("_carry"))
-    smooth = F.col("_local") + F.col("_carry") * F.pow(F.lit(keep), F.col("_k").cast("double") + 1)
-    return df.join(carried, [run, "_b"]).withColumn("smooth", smooth).drop("_i", "_b", "_k", "_local", "_carry")
+    terms = df.withColumn("_v0", weight * F.col(value))
+    return _decayed(terms, run, "_i", "_v0", 1.0 - alpha, block, 0).withColumnRenamed("_s0", "smooth").drop("_i", "_v0")
+
+
+def _decayed(df, run, index, term, keep, block, level):
+    """Add ``_s<level>``: the sum of all earlier terms and this one, each times
+    ``keep`` to the power of its distance; ``index`` counts from 0 per run."""
+    out, digits = f"_s{level}", -math.log10(keep)
+    if digits > EMA_SPAN / 10:
+        # So steep that terms further back than this are 0 as doubles.
+        rows = W.partitionBy(run).orderBy(index)
+        parts = [F.coalesce(F.lag(term, j).over(rows), F.lit(0.0)) * keep**j for j in range(1, math.ceil(330 / digits))]
+        return df.withColumn(out, sum(parts, F.col(term)))
+    size = max(2, min(block, int(EMA_SPAN / digits)))
+    b, k, end, carry = f"_b{level}", f"_k{level}", f"_v{level + 1}", f"_s{level + 1}"
+    df = df.withColumns({b: F.floor(F.col(index) / size), k: (F.col(index) % size).cast("double")})
+    inside = W.partitionBy(run, b).orderBy(k).rowsBetween(W.unboundedPreceding, 0)
+    scaled = F.sum(F.col(term) * F.pow(F.lit(keep), -F.col(k))).over(inside)
+    df = df.withColumn("_local", scaled * F.pow(F.lit(keep), F.col(k)))
+    ends = df.groupBy(run, b).agg(F.max_by("_local", k).alias(end))
+    carried = _decayed(ends, run, b, end, keep**size, block, level + 1).select(run, (F.col(b) + 1).alias(b), carry)
+    joined = df.join(carried, [run, b], "left")
+    total = F.col("_local") + F.coalesce(carry, F.lit(0.0)) * F.pow(F.lit(keep), F.col(k) + 1)
+    return joined.withColumn(out, total).drop(b, k, "_local", carry)
