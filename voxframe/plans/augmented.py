@@ -43,7 +43,7 @@ class Sql:
     def add(self, text, name="s"):
         self.n += 1
         label = f"{name}{self.n}"
-        self.ctes.append(f"{label} as ({text})")
+        self.ctes.append(f"{label} as materialized ({text})")
         return label
 
     def params(self, columns):

@@ -14,10 +14,14 @@ from voxframe.session import scratch_dir
 from voxframe.sources import readers, sinks
 
 
-@query("list_dataset")
+@query("list_dataset", "", "select distinct concat('n', cast(c_nationkey as varchar), '.ome.zarr') as name from customer")
 def list_dataset(s):
-    files = readers.list_dataset(s.spark, [s.sf_dir], "*.parquet")
-    return files.select(file_name(F.col("path")).alias("name"), "length", "n_files")
+    """Stores are written from a table, one folder each, and listed by name."""
+    path = scratch_dir(s.spark, "stores")
+    stores = s.customer.select("c_custkey", F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit(".ome.zarr")).alias("store"))
+    stores.repartition("store").write.partitionBy("store").parquet(path)
+    files = readers.list_dataset(s.spark, [path], "*.parquet")
+    return files.select(F.regexp_extract("path", "store=([^/]*)$", 1).alias("name"))
 
 
 FULL = "'^(.*)/bids/(sub-[^/]+)/micr/[^/]*_SPIM[.]ome[.]zarr$'"

@@ -200,9 +200,10 @@ def oracle(uses, sql):
     names = uses.split()
     need = _closure(["V" if n == "D" else n for n in names], [])
     ident = {t: t for t in TABLES} | {f: f for f in FIXTURES}
-    ctes = [f"{n} as ({FIXTURES[n].format(**ident)})" for n in need]
+    # Steps that are read more than once are worked out once.
+    ctes = [f"{n} as materialized ({FIXTURES[n].format(**ident)})" for n in need]
     if "D" in names:
-        ctes.append(f"D as ({DENSE_SQL})")
+        ctes.append(f"D as materialized ({DENSE_SQL})")
     body = sql.strip()
     if not ctes:
         return body

@@ -215,7 +215,7 @@ def linear_sql(out, coord, final):
     for n, a in enumerate("zyx"):
         others = [b for b in "zyx" if b != a]
         cols = ", ".join([f"l.{b}" for b in others])
-        text += f", l{n} as (select l.volume_id, ax.i as {a}, {cols}, l.value * (1 - ax.t) + h.value * ax.t as value from {prev} l join ax on l.{a} = ax.lo join {prev} h on h.volume_id = l.volume_id and h.{a} = ax.hi and {' and '.join(f'h.{b} = l.{b}' for b in others)})"
+        text += f", l{n} as materialized (select l.volume_id, ax.i as {a}, {cols}, l.value * (1 - ax.t) + h.value * ax.t as value from {prev} l join ax on l.{a} = ax.lo join {prev} h on h.volume_id = l.volume_id and h.{a} = ax.hi and {' and '.join(f'h.{b} = l.{b}' for b in others)})"
         prev = f"l{n}"
     return text + f" select volume_id, z, y, x, {final} as value from {prev}"
 
