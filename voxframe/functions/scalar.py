@@ -1,6 +1,5 @@
 """Column functions: seeded hashing, rounding rules, arrays, names."""
 
-from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -183,7 +182,3 @@ def strip_suffix(text, suffix):
 def clean_note(text):
     """One-line review note."""
     return F.replace(F.trim(text), F.lit("\n"), F.lit(" | "))
-
-
-def any_of(conditions):
-    return reduce(lambda a, b: a | b, conditions)

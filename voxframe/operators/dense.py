@@ -66,11 +66,3 @@ def chunk_voxels(chunks, keys, edge, keep=None, value="value"):
     rows = to_voxels(chunks, [*keys, "cz", "cy", "cx"], keep, value)
     at = [(F.col(f"c{a}") * edge + F.col(a)).alias(a) for a in "zyx"]
     return rows.select(*keys, *at, value)
-
-
-def map_voxels(patches, fn, name="data"):
-    """Apply ``fn(value, z, y, x)`` to every voxel in place."""
-    def one(v, i):
-        return fn(v, *unflatten_index(i, F.col("dy"), F.col("dx")))
-
-    return patches.withColumn(name, F.transform("data", one))

@@ -49,11 +49,12 @@ def box_from_center(df, um, center="c", voxel_um="u"):
     return df
 
 
-def bound(df, policy, dim="dim_"):
+def bound(df, policy, dim="dim_", shape=None):
     """Deal with boxes that leave the volume.
 
     clip: cut to the volume. pad: keep the size, record the valid part
-    (``{axis}_lo``, ``{axis}_hi``, box relative). reject: add ``reason``.
+    (``{axis}_lo``, ``{axis}_hi``, box relative). reject: add ``reason``;
+    with ``shape`` (z, y, x) a box of another shape is a "shape mismatch" first.
     shift: slide inside and re-derive the centre ``c{axis}``.
     """
     lo = {a: F.col(f"{a}0") for a in AXES}
@@ -73,7 +74,13 @@ def bound(df, policy, dim="dim_"):
         outside = F.lit(False)
         for a in AXES:
             outside = outside | (lo[a] < 0) | (hi[a] > full[a])
-        return df.withColumn("reason", F.when(outside, "out of bounds"))
+        reason = F.when(outside, "out of bounds")
+        if shape is not None:
+            wrong = F.lit(False)
+            for a, n in zip(AXES, shape):
+                wrong = wrong | (hi[a] - lo[a] != F.lit(n))
+            reason = F.when(wrong, "shape mismatch").otherwise(reason)
+        return df.withColumn("reason", reason)
     if policy == "shift":
         for a in AXES:
             size = hi[a] - lo[a]

@@ -166,9 +166,13 @@ def union_first_wins(first, second, key):
 def suffix_match(stale, dirs, name="name", directory="dir"):
     """Find renamed directories: the first one that ends with the old name.
 
-    A rename put an index ``NNN_`` in front, which gives the equi key.
+    The equi key is the end of a directory, once for every length that an old
+    name has; a file system bounds those lengths.
     """
-    keyed = dirs.withColumn("_key", F.regexp_replace(directory, "^[0-9]{3}_", ""))
+    lengths = stale.agg(F.collect_set(F.length(name))).scalar()
+    sized = dirs.withColumn("_lengths", lengths)
+    keyed = sized.withColumn("_n", F.explode("_lengths")).filter(F.col("_n") <= F.length(directory)).drop("_lengths")
+    keyed = keyed.withColumn("_key", F.right(F.col(directory), F.col("_n")))
     best = keyed.groupBy("_key").agg(F.min(directory).alias("resolved"))
     return stale.join(best, F.col(name) == F.col("_key"), "left").drop("_key").withColumn(
         "missing", F.col("resolved").isNull()

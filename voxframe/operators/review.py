@@ -164,7 +164,7 @@ def top_box_per_region(counts, box, extra=1, region="region_tag"):
 def best_slice(hits, box, radius):
     """Slice of each box with most points within ``radius`` slices; first on ties.
 
-    A box without points has no row here; its middle slice is the fallback.
+    A box without points has no row here; its first slice is the fallback.
     """
     spread = hits.withColumn(
         "slice",

@@ -160,12 +160,19 @@ def plan_batches(df, batch, seed, key, drop_last=True):
     return planned.filter(F.col("batch") < full)
 
 
-def middle_slab_sample(grid, n, seed, volume="volume_id", key="patch_id"):
-    """``n`` random tiles of the middle z row of each volume's grid."""
+def middle_slab_sample(grid, n, seed, volume="volume_id", key="patch_id", bright=None):
+    """``n`` random tiles of the middle z row of each volume's grid.
+
+    With ``bright``, the tiles (volume, key) that ``keys.drop_dark_patches``
+    kept, dark tiles are skipped; the middle row is that of the whole grid.
+    """
     mid = grid.groupBy(volume).agg(F.sort_array(F.collect_set("gz")).alias("_zs")).select(
         volume, F.element_at("_zs", (F.floor(F.size("_zs") / 2) + 1).cast("int")).alias("gz")
     )
-    slab = grid.join(mid, [volume, "gz"], "left_semi").withColumn("_h", hash_rank(seed, volume, key))
+    slab = grid.join(mid, [volume, "gz"], "left_semi")
+    if bright is not None:
+        slab = slab.join(bright.select(volume, key), [volume, key], "left_semi")
+    slab = slab.withColumn("_h", hash_rank(seed, volume, key))
     return top_k_per_group(slab, [volume], n, ["_h", key], [key]).drop("_h")
 
 

@@ -138,10 +138,30 @@ def meta_docs(s, unit=1.0):
     )
 
 
+def stored_texts(s, docs, name):
+    """One file per document (path, text) in a folder of its own; the folder."""
+    path = scratch_dir(s.spark, name)
+    docs.repartition("path").write.partitionBy("path").text(path)
+    return path
+
+
+def document(path):
+    return F.regexp_extract(path, "path=([^/]*)/", 1)
+
+
+@query("array_shape", "B", "select cast(volume_id as varchar) as path, dim_z, dim_y, dim_x from B")
+def array_shape(s):
+    shape = F.to_json(F.struct(F.array(F.lit(1), "dim_z", "dim_y", "dim_x").alias("shape"), F.lit("<u2").alias("dtype")))
+    path = stored_texts(s, s.B.select(F.col("volume_id").cast("string").alias("path"), shape.alias("text")), "shapes")
+    out = readers.read_array_shape(s.spark, path)
+    dims = [F.get("shape", F.lit(i + 1)).cast("int").alias(f"dim_{a}") for i, a in enumerate("zyx")]
+    return out.select(document("path").alias("path"), *dims)
+
+
 @query("read_volume_meta", "B", """
     select cast(volume_id as varchar) as path, round(mm_z * 1000, 6) as um_z, round(fr_mm_y * 1000, 6) as um_y, round(fr_mm_x, 6) as mm_x, 2 as n_levels, 'IBA1,Abeta' as labels, case when volume_id % 2 = 0 then 'RPI' end as xyz_orientation from B""")
 def read_volume_meta(s):
-    m = readers.parse_volume_meta(meta_docs(s))
+    m = readers.read_volume_meta(s.spark, stored_texts(s, meta_docs(s), "volume-meta")).withColumn("path", document("path"))
     um = lambda i: F.round(F.get("voxel_um_zyx", F.lit(i)), 6)
     return m.select(
         "path", um(0).alias("um_z"), um(1).alias("um_y"), F.round(F.get("voxel_mm_zyx", F.lit(2)), 6).alias("mm_x"),
@@ -159,8 +179,8 @@ def read_sidecar(s):
         )
     )
     docs = s.S.select(F.col("subject_id").alias("path"), F.when(F.col("pos") % 3 != 0, full).otherwise("{}").alias("text"))
-    out = readers.parse_sidecar(docs)
-    return out.select(F.col("path").alias("subject_id"), F.round("sz", 6).alias("sz"), "sy", "uz")
+    out = readers.read_sidecar(s.spark, stored_texts(s, docs, "sidecars"))
+    return out.select(document("path").alias("subject_id"), F.round("sz", 6).alias("sz"), "sy", "uz")
 
 
 @query("patch_metadata_units", "B", """

@@ -277,19 +277,24 @@ def component_count_error(s):
 # --- review ---------------------------------------------------------------
 
 STATUS = """
-    with d as (select doc_id, source from documents), mk as (select patch_id, marker from R where not regexp_matches(marker, '[.]nii[.]gz$|[.]nrrd$') and marker not in ('rebuild_mask_4um.py', 'seg_nrrd_to_binary_nifti.py', 'view_fullres.sh')),
+    with d as (select doc_id, case when source = 'src1' then 'v0.5' else source end as source, concat(lpad(cast(doc_id % 1000 as varchar), 3, '0'), '_v05_', lang) as dir, doc_id % 11 = 5 as gone from documents), mk as (select patch_id, marker from R where not regexp_matches(marker, '[.]nii[.]gz$|[.]nrrd$') and marker not in ('rebuild_mask_4um.py', 'seg_nrrd_to_binary_nifti.py', 'view_fullres.sh')),
     a as (select patch_id, bool_or(marker in ('A', 'A.txt')) as acc, bool_or(marker in ('R', 'R.txt')) as rej, bool_or(starts_with(marker, 'M')) as may, bool_or(marker = 'empty') as emp, bool_or(marker in ('A_empty', 'empty_A', 'drop_edges_too')) as edg from mk group by 1),
-    st as (select d.doc_id as patch_id, d.source as track, case when d.doc_id % 1000 between 93 and 100 and d.source = 'web' then 'reject' when a.patch_id is null then 'unreviewed' when edg then 'edge' when acc and (rej or may) then 'conflict'
+    st as (select d.doc_id as patch_id, d.source as track, case when gone then 'missing' when cast(substr(dir, 1, 3) as int) between 93 and 100 and d.source = 'v0.5' then 'reject' when a.patch_id is null then 'unreviewed' when edg then 'edge' when acc and (rej or may) then 'conflict'
              when acc then 'accept' when rej then 'reject' when may then 'maybe' when emp then 'empty' else 'unreviewed' end as status from d left join a on a.patch_id = d.doc_id)"""
 
 
 def classified(s):
-    docs = s.documents.select(F.col("doc_id").alias("patch_id"), F.col("source").alias("track"))
+    index = F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0")
+    docs = s.documents.select(
+        F.col("doc_id").alias("patch_id"),
+        F.when(F.col("source") == "src1", review.FORCED_TRACK).otherwise(F.col("source")).alias("track"),
+        F.concat(index, F.lit("_v05_"), "lang").alias("directory"),
+        (F.col("doc_id") % 11 == 5).alias("gone"),
+    )
     joined = joins.join_markers(docs, review.marker_files(s.R))
-    index = F.col("patch_id") % 1000
-    forced = index.between(*review.FORCED_RANGE) & (F.col("track") == "web")
+    forced = review.forced_reject(F.col("track"), F.col("directory"))
     names = F.coalesce("markers", F.array().cast("array<string>"))
-    return joined.withColumn("status", review.classify_markers(names, forced)).withColumn(
+    return joined.withColumn("status", review.classify_markers(names, forced, F.col("gone"))).withColumn(
         "subject_id", F.concat(F.lit("sub-"), (F.floor(F.col("patch_id") / 7)).cast("string"))
     )
 
@@ -407,7 +412,7 @@ def best_slice(s):
 
 
 MID = """
-    select b.volume_id, b.patch_id from gr b join (select volume_id, list_sort(list_distinct(list(gz)))[cast(floor(len(list_distinct(list(gz))) / 2) as int) + 1] as gz from gr group by 1) m on m.volume_id = b.volume_id and m.gz = b.gz"""
+    select b.volume_id, b.patch_id, b.gy, b.gx from gr b join (select volume_id, list_sort(list_distinct(list(gz)))[cast(floor(len(list_distinct(list(gz))) / 2) as int) + 1] as gz from gr group by 1) m on m.volume_id = b.volume_id and m.gz = b.gz"""
 
 
 def _middle_sql():
@@ -415,15 +420,18 @@ def _middle_sql():
     from voxframe.plans.spatial import GRID
 
     return f"""with gr as ({GRID}), sl as ({MID})
-    select volume_id, patch_id from (select *, row_number() over (partition by volume_id order by {sql_rank(13, 'volume_id', 'patch_id')}, patch_id) as rn from sl) where rn <= 4"""
+    select volume_id, patch_id from (select *, row_number() over (partition by volume_id order by {sql_rank(13, 'volume_id', 'patch_id')}, patch_id) as rn from sl where (gy * 37 + gx * 11 + volume_id) % 97 >= 50) where rn <= 4"""
 
 
 @query("middle_slab_sample", "B", _middle_sql())
 def middle_slab_sample(s):
-    from voxframe.operators import sampling
+    from voxframe.operators import keys, sampling
     from voxframe.plans.spatial import grid
 
-    return sampling.middle_slab_sample(grid(s), 4, 13).select("volume_id", "patch_id")
+    tiles = grid(s)
+    brightest = ((F.col("gy") * 37 + F.col("gx") * 11 + F.col("volume_id")) % 97).cast("double")
+    bright = keys.drop_dark_patches(tiles.withColumn("data", F.array(F.lit(0.0), brightest)))
+    return sampling.middle_slab_sample(tiles, 4, 13, bright=bright).select("volume_id", "patch_id")
 
 
 # --- sorts, top-k, sets ---------------------------------------------------

@@ -69,6 +69,25 @@ def bound_reject(s):
     return geometry.bound(boxes(s), "reject").select("patch_no", "reason")
 
 
+@query("bound_reject_shape", "P A", f"""
+    select reason, count(*) as n from (select case when nz <> 51 or ny <> 41 or nx <> 41 then 'shape mismatch'
+      when z0 < 0 or y0 < 0 or x0 < 0 or z1 > dim_z or y1 > dim_y or x1 > dim_x then 'out of bounds' else 'kept' end as reason from ({BOX})) group by 1""")
+def bound_reject_shape(s):
+    kept, skipped = geometry.split_rejected(geometry.bound(boxes(s), "reject", shape=(51, 41, 41)))
+    rows = skipped.select("reason").union(kept.select(F.lit("kept").alias("reason")))
+    return rows.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+AFFINE = ((1.25, 0.5, 0.0, -0.5), (0.0, 0.75, 0.25, 1.5), (-0.125, 0.0, 2.0, 0.25), (0.0, 0.0, 0.0, 1.0))
+
+
+@query("inverse_affine", "P", "select patch_no, " + ", ".join(
+    f"round({m[0]!r}::double * pz + {m[1]!r}::double * py + {m[2]!r}::double * px + {m[3]!r}::double, 6) as c{a}" for a, m in zip(ZYX, AFFINE)) + " from P")
+def inverse_affine(s):
+    matrix = F.array(*[F.lit(v) for row in AFFINE for v in row])
+    return geometry.apply_inverse_affine(s.P, matrix).select("patch_no", *rounded("cz", "cy", "cx"))
+
+
 @query("bound_shift", "P A", "select patch_no, " + ", ".join(
     f"s{a} as {a}0, s{a} + n{a} as {a}1, (s{a} + s{a} + n{a}) / 2e0 as c{a}" for a in ZYX) + " from (select *, " + ", ".join(
     f"cast(greatest(0, least({a}0, dim_{a} - n{a})) as bigint) as s{a}" for a in ZYX) + f" from ({BOX}))")
@@ -308,8 +327,8 @@ DIRS = "case when p_size % 5 = 0 then concat('other_', cast(p_partkey as string)
 
 
 @query("suffix_match", "", f"""
-    select concat('v05_', cast(p_partkey as string)) as name, case when p_size % 5 = 0 then null else dir end as resolved, p_size % 5 = 0 as missing
-    from (select *, {DIRS} from part)""")
+    with d as (select p_partkey, {DIRS} from part), n as (select concat('v05_', cast(p_partkey as string)) as name from part)
+    select name, min(dir) as resolved, min(dir) is null as missing from n left join d on ends_with(dir, name) group by 1""")
 def suffix_match(s):
     stale = s.part.selectExpr("concat('v05_', cast(p_partkey as string)) as name")
     return joins.suffix_match(stale, s.part.selectExpr(DIRS)).select("name", "resolved", "missing")

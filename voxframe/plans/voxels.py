@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from voxframe.operators import audit, components, dense, filters, histogram, joins, normalize, pooling
 from voxframe.plans.registry import query
 from voxframe.plans.spatial import volumes
+from voxframe.session import scratch_dir
+from voxframe.sources import sinks
 
 KEY = ["volume_id"]
 
@@ -241,7 +243,9 @@ def project_mask(s):
     a as (select 0 as level, * from D union all select 1, * from l1 union all select 2, * from l2)
     select volume_id, level, round(4e-3 * pow(2e0, level), 6) as sy, count(*) as n, sum(value) as total, sum(value * (z * 10000 + y * 100 + x)) as moment from a group by 1, 2, 3""")
 def write_pyramid(s):
-    rows, scales = pooling.pyramid(volumes(s), KEY, 2, (4e-3, 4e-3, 4e-3))
+    path = scratch_dir(s.spark, "pyramid")
+    sinks.write_pyramid(*pooling.pyramid(volumes(s), KEY, 2, (4e-3, 4e-3, 4e-3)), path)
+    rows, scales = sinks.read_pyramid(s.spark, path)
     out = dense.to_voxels(rows, ["volume_id", "level"]).groupBy("volume_id", "level").agg(
         F.count("*").alias("n"), F.sum("value").alias("total"),
         F.sum(F.col("value") * (F.col("z") * 10000 + F.col("y") * 100 + F.col("x"))).alias("moment"),

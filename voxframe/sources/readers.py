@@ -174,6 +174,11 @@ def parse_array_shape(docs):
     return docs.select("path", F.from_json("text", schemas.ARRAY_META)["shape"].alias("shape"))
 
 
+def read_array_shape(spark, paths):
+    """Shapes of arrays, from their metadata files."""
+    return parse_array_shape(_whole_texts(spark, paths))
+
+
 def parse_sidecar(docs):
     """Scale (z, y, x) and source of resampling sidecars (path, text)."""
     df = docs.withColumn("_s", F.from_json("text", schemas.SIDECAR))

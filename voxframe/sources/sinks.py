@@ -4,6 +4,7 @@ import io
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,13 +63,12 @@ def materialize_patches(cut, manifest, key, out):
 
 def existing(spark, out, key):
     """Keys already in a store, or None if there is no store."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path) or not any(
-        s.getPath().getName().endswith(".parquet") for s in fs.listStatus(path)
-    ):
-        return None
-    return spark.read.parquet(out).select(key)
+    try:
+        return spark.read.parquet(out).select(key)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def write_pyramid(rows, scales, path):
@@ -77,6 +77,11 @@ def write_pyramid(rows, scales, path):
     scales.write.mode("overwrite").parquet(f"{path}/scales")
 
 
+def read_pyramid(spark, path):
+    """(rows, scales) of a stored pyramid; a filter on ``level`` reads its folder only."""
+    return spark.read.parquet(f"{path}/levels"), spark.read.parquet(f"{path}/scales")
+
+
 @F.arrow_udf(T.BinaryType())
 def _encode(data: pa.Array, dz: pa.Array, dy: pa.Array, dx: pa.Array) -> pa.Array:
     out = []
