@@ -76,7 +76,6 @@ def _roots(edges, keys, jumps=2):
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         link = both.groupBy(*keys, "u").agg(F.min("v").alias("p")).withColumn("p", F.least("u", "p"))
-        link = link.checkpoint()
         for _ in range(jumps):
             nxt = link.select(*keys, F.col("u").alias("p"), F.col("p").alias("_q"))
             link = link.join(nxt, [*keys, "p"]).select(*keys, "u", F.col("_q").alias("p"))

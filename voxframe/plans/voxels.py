@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voxframe.operators import audit, components, dense, filters, histogram, joins, normalize, pooling
 from voxframe.plans.registry import query
 from voxframe.plans.spatial import volumes
-from voxframe.session import scratch_dir
+from voxframe.session import ensure_checkpoint_dir, scratch_dir
 from voxframe.sources import sinks
 
 KEY = ["volume_id"]
@@ -491,9 +491,15 @@ def audit_rows(rec):
     )
 
 
+def stored_norm(s):
+    """Dense rows with ``norm``, worked out once for all steps that read them."""
+    ensure_checkpoint_dir(s.spark)
+    return with_norm(s).checkpoint()
+
+
 def mask_audit(s):
     comps = components.connected_components(s.M, KEY, 6)
-    return audit.audit_patches(with_norm(s), comps, KEY, 1728, F.col("volume_id") % 3 == 0)
+    return audit.audit_patches(stored_norm(s), comps, KEY, 1728, F.col("volume_id") % 3 == 0)
 
 
 @query("audit_patches", "D M", f"with recursive {audit_sql(cc_sql('M', 6))} select {AUDIT_OUT} from au")
@@ -525,7 +531,7 @@ OTSU_ON_NORM = OTSU[OTSU.index("with") + 4:].replace("from D join (select volume
     select {AUDIT_OUT} from au""")
 def patch_audit(s):
     """Z-score, Otsu threshold, label, drop specks, audit."""
-    df = with_norm(s)
+    df = stored_norm(s)
     norm = df.select("volume_id", "dz", "dy", "dx", F.col("norm").alias("data"))
     thresholds = histogram.multi_otsu(histogram.histogram(norm, KEY), KEY, 2)
     mask = histogram.mask_above(norm, thresholds, KEY)
