@@ -4,8 +4,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Arrow batches are bounded by bytes, not rows: one dense patch row can hold
-# 16 MB, so the default of 10,000 rows per batch would not fit any executor.
+# One dense patch row can hold 16 MB, so the default of 10,000 rows per Arrow
+# batch would not fit any executor; the bytes are bounded, too.
 RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -16,6 +16,7 @@ RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "32",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
 }
 
 
@@ -46,6 +47,15 @@ def ensure_checkpoint_dir(spark):
     return sc.getCheckpointDir()
 
 
+def bound_batches(spark, size=4 << 20):
+    """Bound the Arrow batches that go to Python by bytes, not by rows.
+
+    A row may be a long text or a dense patch; the default bounds would let one
+    batch of them take a large part of an executor. Applies to the session.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def scratch_dir(spark, name):
     """A new folder next to the checkpoints, shared by all executors."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
