@@ -15,7 +15,10 @@ def con(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, sf_dir, con, name):
-    ok, message = compare(entry.queries()[name](spark, sf_dir), con, SQL[name])
+    df = entry.queries()[name](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    ok, message = compare(df, con, SQL[name])
     assert ok, message
 
 

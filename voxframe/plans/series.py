@@ -8,6 +8,7 @@ from voxframe.session import scratch_dir
 from voxframe.streaming import jobs, metrics
 
 SERIES = ["run_id", "metric"]
+STREAM_FILES = 4
 
 
 def stamp(df, name="start"):
@@ -15,9 +16,14 @@ def stamp(df, name="start"):
 
 
 def stream_of(s, table, name):
-    """The Parquet file of a source table as a stream."""
-    schema = s.spark.read.parquet(f"{s.sf_dir}/{table}.parquet").schema
-    return metrics.read_metrics(s.spark, s.sf_dir, schema, "parquet", 1, f"{table}.parquet")
+    """A source table as a stream of several files, each a micro-batch.
+
+    Rows of one series are dealt over all files, so state lives across batches.
+    """
+    rows = s.spark.read.parquet(f"{s.sf_dir}/{table}.parquet")
+    path = scratch_dir(s.spark, f"stream-{table}")
+    rows.repartition(STREAM_FILES).write.parquet(path)
+    return metrics.read_metrics(s.spark, path, rows.schema, "parquet", 1)
 
 
 def series_stream(s):
@@ -40,7 +46,7 @@ def sample_tumbling(s):
 @query("sample_tumbling_stream", "T", TUMBLE)
 def sample_tumbling_stream(s):
     path = scratch_dir(s.spark, "tumbling")
-    sampled = metrics.sample_tumbling(series_stream(s), SERIES, "6 hours", "1 hour")
+    sampled = metrics.sample_tumbling(series_stream(s), SERIES, "6 hours", "60 days")
     jobs.run_available(sampled, path, f"{path}-state")
     return stamp(jobs.latest(s.spark, path, [*SERIES, "start"]))
 
