@@ -145,6 +145,44 @@ def sample_grid(data, dz, dy, dx, z, y, x, outside=None):
     return _sample_grid(data, dz, dy, dx, z, y, x, fill)
 
 
+def _read_at(vol, *maps):
+    """Cells at three index vectors; indices outside the volume read 0."""
+    out = vol
+    for axis, at in enumerate(maps):
+        at = np.nan_to_num(np.asarray(at, np.float64), nan=-1.0).astype(np.int64)
+        n = vol.shape[axis]
+        out = np.take(out, np.clip(at, 0, n - 1), axis=axis)
+        index = [slice(None)] * 3
+        index[axis] = (at < 0) | (at >= n)
+        out[tuple(index)] = 0.0
+    return out
+
+
+@_kernel(ARRAY)
+def _gather(data: pa.Array, dz: pa.Array, dy: pa.Array, dx: pa.Array, z: pa.Array, y: pa.Array, x: pa.Array) -> pa.Array:
+    return _pack(
+        _read_at(v.reshape(s), a, b, c).ravel()
+        for v, s, a, b, c in zip(_rows(data), _shapes(dz, dy, dx), _rows(z), _rows(y), _rows(x))
+    )
+
+
+def gather(data, dz, dy, dx, z, y, x):
+    """Cells of a dense row on the grid of three index arrays."""
+    return _gather(data, dz, dy, dx, z, y, x)
+
+
+@_kernel(ARRAY)
+def _project_max(data: pa.Array, dz: pa.Array, dy: pa.Array, dx: pa.Array, axis: pa.Array) -> pa.Array:
+    return _pack(
+        v.reshape(s).max(axis=a).ravel() for v, s, a in zip(_rows(data), _shapes(dz, dy, dx), axis.to_pylist())
+    )
+
+
+def project_max(data, dz, dy, dx, axis):
+    """Largest cell along an axis (0 is z), the other two in C order."""
+    return _project_max(data, dz, dy, dx, F.lit(axis))
+
+
 @_kernel(ARRAY)
 def _orient(
     data: pa.Array, dz: pa.Array, dy: pa.Array, dx: pa.Array, flips: pa.Array, plane: pa.Array, turns: pa.Array

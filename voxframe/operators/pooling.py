@@ -102,19 +102,11 @@ def _axis_map(size, out, rule):
 def gather(patches, maps, shape):
     """Read ``data`` at three integer index arrays; negative or null reads 0."""
     oz, oy, ox = shape
-    axes = F.struct(*[m.alias(a) for m, a in zip(maps, "zyx")], F.col("data").alias("d"))
-
-    def cells(s):
-        def one(o):
-            z = F.get(s["z"], F.floor(o / (oy * ox)).cast("int"))
-            y = F.get(s["y"], F.floor(F.pmod(o, F.lit(oy * ox)) / ox).cast("int"))
-            x = F.get(s["x"], F.pmod(o, F.lit(ox)))
-            inside = (z >= 0) & (y >= 0) & (x >= 0) & (z < F.col("dz")) & (y < F.col("dy")) & (x < F.col("dx"))
-            return F.when(inside, F.get(s["d"], (z * F.col("dy") + y) * F.col("dx") + x)).otherwise(F.lit(0.0))
-
-        return F.transform(F.sequence(F.lit(0), F.lit(oz * oy * ox - 1)), one)
-
-    return patches.withColumn("data", let(axes, cells)).withColumns(
+    ready = kernels.pin(patches.withColumns({f"_m{a}": m for m, a in zip(maps, "zyx")}))
+    for a in "zyx":
+        ready = kernels.pin(ready, f"_m{a}")
+    data = kernels.gather(*[F.col(c) for c in ("data", "dz", "dy", "dx", "_mz", "_my", "_mx")])
+    return ready.withColumn("data", data).drop("_mz", "_my", "_mx").withColumns(
         {"dz": F.lit(oz), "dy": F.lit(oy), "dx": F.lit(ox)}
     )
 
@@ -152,22 +144,10 @@ def resample_linear(patches, shape, rule="endpoints", saturate=True):
 def project_max(patches, keys, axis):
     """Maximum along an axis: one row per (keys, a, b) of the other two axes."""
     others = [a for a in "zyx" if a != axis]
-    size = {a: F.col(f"d{a}") for a in "zyx"}
     a, b = others
-
-    def cells(data):
-        def one(o):
-            at = {a: F.floor(o / size[b]).cast("int"), b: F.pmod(o, size[b])}
-
-            def value(i):
-                p = {**at, axis: i}
-                return F.get(data, (p["z"] * size["y"] + p["y"]) * size["x"] + p["x"])
-
-            return F.array_max(F.transform(F.sequence(F.lit(0), size[axis] - 1), value))
-
-        return F.transform(F.sequence(F.lit(0), size[a] * size[b] - 1), one)
-
-    rows = patches.select(*keys, size[b].alias("_n"), F.posexplode(let(F.col("data"), cells)).alias("_o", "value"))
+    flat = kernels.project_max(F.col("data"), F.col("dz"), F.col("dy"), F.col("dx"), "zyx".index(axis))
+    ready = kernels.pin(patches).select(*keys, F.col(f"d{b}").alias("_n"), flat.alias("_flat"))
+    rows = ready.select(*keys, "_n", F.posexplode("_flat").alias("_o", "value"))
     return rows.select(
         *keys, F.floor(F.col("_o") / F.col("_n")).cast("int").alias(a), F.pmod("_o", "_n").alias(b), "value"
     )
