@@ -2,8 +2,9 @@
 
 ``write`` makes one gzip member per record. Of records with equal payloads of at
 least ``min_bytes`` the one with the smallest id is a response, the others
-revisit it. Tasks write under a name of their own attempt and rename at the end,
-so a lost executor leaves no half archive behind.
+revisit it. Tasks write under a hidden name and rename at the end; names hold the attempt, and
+only archives of attempts that counted are listed, so a lost executor or a
+second attempt leaves nothing half written to be read.
 
 ``read`` cuts the archives into byte ranges. A task looks for the gzip magic in
 its range, takes a place as a member only if the header there inflates to a WARC
@@ -28,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import functions as F
 
-from voxframe.session import scratch_dir
+from voxframe.session import bound_batches, scratch_dir
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -110,7 +111,7 @@ def write(spark, pages, folder, min_bytes=MIN_BYTES, stamp="2000-01-01T00:00:00Z
 
         def close():
             out.close()
-            final = f"{root}/part-{task.partitionId():06d}-{number:04d}.warc.gz"
+            final = f"{root}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{number:04d}.warc.gz"
             fs.move(temporary, final)
             made.append((final, size))
 
@@ -260,6 +261,7 @@ def round_trip(spark, pages):
     Responses are measured on the payload that was read; revisits hold none, so
     their size and digest come from their headers.
     """
+    bound_batches(spark)
     folder = scratch_dir(spark, "warc")
     records = read(write(spark, pages, folder))
     stored = F.col("record_type") == "revisit"
