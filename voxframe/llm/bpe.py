@@ -24,25 +24,42 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import functions as F
 
 from voxframe.llm import text as tx
+from voxframe.session import bound_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_BYTES = 2 << 20
 
 
-class Ranks:
-    """The rank file: merging of single words and the bytes of each token."""
+def rank_file(path):
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
-    def __init__(self, path):
+
+def ranks(path):
+    """{token bytes: id}, for the words that are tokens."""
+    return tx.worker_cache(f"ranks {path}", lambda: rank_file(path))
+
+
+def merger(path):
+    """The function from the bytes of one word to its ids."""
+
+    def build():
         import tiktoken
 
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        encoding = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=self.ranks, special_tokens={})
-        self.merge = encoding._core_bpe.encode_single_piece
-        size = max(self.ranks.values()) + 1
-        tokens = [b""] * size
-        for token, rank in self.ranks.items():
+        encoding = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=rank_file(path), special_tokens={})
+        return encoding._core_bpe.encode_single_piece
+
+    return tx.worker_cache(f"merger {path}", build)
+
+
+class TokenBytes:
+    """The table of token bytes."""
+
+    def __init__(self, path):
+        found = rank_file(path)
+        tokens = [b""] * (max(found.values()) + 1)
+        for token, rank in found.items():
             tokens[rank] = token
         self.sizes = np.array([len(x) for x in tokens], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -57,10 +74,6 @@ class Ranks:
         return self.bytes[at], size
 
 
-def ranks(path):
-    return tx.worker_cache(f"ranks {path}", lambda: Ranks(path))
-
-
 def distinct(data, offsets):
     """Distinct pre-tokens of a block, the number of each occurrence, its row."""
     starts, ends, rows = tx.pieces(data, offsets)
@@ -83,7 +96,7 @@ def expand(code, ids, sizes):
 def encode_block(data, offsets, path):
     """Ids of a block of texts and the number of ids of each text."""
     words, _, code, rows = distinct(data, offsets)
-    merge = ranks(path).merge
+    merge = merger(path)
     found = [merge(w) for w in words]
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     ids = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
@@ -92,26 +105,31 @@ def encode_block(data, offsets, path):
 
 
 def _pack(array):
-    return pa.compress(np.ascontiguousarray(array).tobytes(), codec="zstd", asbytes=True) if len(array) else b""
+    """Compressed numbers, their low bytes first, then the next ones, and so on."""
+    planes = np.ascontiguousarray(array.view(np.uint8).reshape(-1, array.itemsize).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(array) else b""
 
 
 def _unpack(blob, size, kind):
     if not size:
         return np.zeros(0, kind)
     width = np.dtype(kind).itemsize
-    return np.frombuffer(pa.decompress(blob, size * width, codec="zstd", asbytes=True), kind)
+    planes = np.frombuffer(pa.decompress(blob, size * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(kind).ravel()
 
 
 def _numbered(batches, path, buckets):
     """Each block with its number, ids where known, and bucket of the other words."""
     task = TaskContext.get()
-    table = ranks(path).ranks
+    table = ranks(path)
     for seq, batch in enumerate(tx.blocks(batches, limit=BLOCK_BYTES)):
         data, offsets = tx.raw(batch.column("text"))
         words, hashes, code, rows = distinct(data, offsets)
         known = np.fromiter((table.get(w, -1) for w in words), np.int64, len(words))
         bucket = np.where(known < 0, (hashes % np.uint64(buckets)).astype(np.int64), -1)
-        order = np.argsort(bucket, kind="stable")
+        # Neighbours in a bucket share beginnings, which compresses well.
+        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        order = order[np.argsort(bucket[order], kind="stable")]
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         yield (
@@ -158,7 +176,7 @@ def _answers(path):
     """Merge each distinct word of this task's buckets once."""
 
     def run(batches):
-        merge, seen = ranks(path).merge, {}
+        merge, seen = merger(path), {}
         for batch in batches:
             ids_out, counts_out, sizes = [], [], []
             for row in batch.to_pylist():
@@ -239,12 +257,12 @@ def _assemble(left, right):
 
 def encode(spark, docs, path):
     """One row per document: doc_id, n_tokens, ids (little-endian 32-bit)."""
+    bound_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * parts
-    texts = docs.select("doc_id", "text")
-    asked = texts.mapInArrow(_requests(path, buckets), REQUEST)
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    asked = texts.mapInArrow(_requests(path, parts), REQUEST)
     answers = asked.repartition(parts, "bucket").mapInArrow(_answers(path), ANSWER)
-    positions = texts.mapInArrow(_positions(path, buckets), POSITIONS)
+    positions = texts.mapInArrow(_positions(path, parts), POSITIONS)
     return positions.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _assemble, "doc_id long, n_tokens long, ids binary"
     )
@@ -254,7 +272,7 @@ def decode(encoded, path):
     """Add ``decoded``, the bytes of the ids."""
 
     def run(batches):
-        table = ranks(path)
+        table = tx.worker_cache(f"bytes {path}", lambda: TokenBytes(path))
         for batch in batches:
             blobs = batch.column("ids")
             decoded = []

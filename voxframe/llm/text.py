@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 # Send the helpers with the functions: executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 
 
