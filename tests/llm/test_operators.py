@@ -307,7 +307,7 @@ def test_threshold_top_k_is_exact(spark):
 def test_threshold_stops_early():
     rng = np.random.default_rng(0)
     values = np.floor(64 * rng.exponential(size=(4000, 3)))
-    order = np.argsort(values, axis=0, kind="stable")
+    order = np.argsort(values, axis=0, kind="stable").T
     query = np.array([5.0, 3.0, 1.0])
     have, scores = topk.threshold_top(np.arange(4000), values, order, query, 10, -1)
     assert len(have) < 2000

@@ -26,45 +26,60 @@ from voxframe.session import ensure_checkpoint_dir
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-FIRST_DEPTH = 8
+#: The first depth reads about as many entries as the block has rows; then it grows.
+GROWTH = 8
+
+
+def numbers(values, query):
+    """The narrowest kind of number in which all sums are exact."""
+    most = np.abs(values).max(initial=0) * np.abs(query).sum(axis=-1).max(initial=0)
+    return np.float32 if most < 2.0**24 else np.float64 if most < 2.0**53 else np.int64
 
 
 def threshold_top(ids, values, order, query, k, own):
-    """(positions, scores) of the k best rows for one query; ``order`` sorts columns."""
+    """(positions, scores) of rows that hold the k best for one query.
+
+    ``order`` has one row per dimension: the positions by ascending value.
+    """
     n = len(values)
     up, down = np.flatnonzero(query < 0), np.flatnonzero(query > 0)
-    seen = np.zeros(n, bool)
-    scores = np.full(n, np.iinfo(np.int64).min)
-    # Sums stay below 2**53 for the values in use, where doubles are exact.
-    exact = np.abs(values).max(initial=0) * np.abs(query).sum() < 2.0**53
-    depth = min(FIRST_DEPTH, n)
+    lists = len(up) + len(down)
+    fresh = np.ones(n, bool)
+    have, scores, kept, left = [], [], np.zeros(0, values.dtype), n
+    depth = min(n, max(k, n // max(lists, 16))) if lists else n
     while True:
-        met = np.zeros(n, bool)
-        met[order[:depth, up]] = True
-        met[order[n - depth :, down]] = True
-        if not len(up) and not len(down):
-            met[:] = True
-        new = np.flatnonzero(met & ~seen)
-        seen |= met
-        if exact:
-            scores[new] = (values[new] @ query).astype(np.int64)
-        else:
-            scores[new] = values[new].astype(np.int64) @ query.astype(np.int64)
-        have = np.flatnonzero(seen & (ids != own))
         if depth == n:
+            new = np.flatnonzero(fresh)
+        else:
+            met = np.zeros(n, bool)
+            met[order[up, :depth]] = True
+            met[order[down, n - depth :]] = True
+            met &= fresh
+            new = np.flatnonzero(met)
+            fresh[new] = False
+        left -= len(new)
+        new = new[ids[new] != own]
+        score = np.take(values, new, axis=0) @ query
+        have.append(new)
+        scores.append(score)
+        kept = np.concatenate([kept, score])
+        if len(kept) > k:
+            kept = np.partition(kept, len(kept) - k)[-k:]
+        if not left:
+            break
+        bound = values[order[up, depth - 1], up] @ query[up] + values[order[down, n - depth], down] @ query[down]
+        if len(kept) >= k and kept.min() > bound:
             break
-        if len(have) >= k:
-            bound = (values[order[depth - 1, up], up] @ query[up]) + (values[order[n - depth, down], down] @ query[down])
-            if np.partition(scores[have], len(have) - k)[len(have) - k] > bound:
-                break
-        depth = min(2 * depth, n)
-    return have, scores[have]
+        depth = min(GROWTH * depth, n)
+    return np.concatenate(have), np.concatenate(scores).astype(np.int64)
 
 
 def _kernel(scale):
     def run(ids, matrix, query_ids, queries, k):
         values, queries = np.floor(scale * matrix), np.floor(scale * queries)
-        order = np.argsort(values, axis=0, kind="stable")
+        kind = numbers(values, queries)
+        values, queries = values.astype(kind), queries.astype(kind)
+        order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T.astype(np.int32))
         for own, query in zip(query_ids, queries):
             have, scores = threshold_top(ids, values, order, query, k, own)
             best = vx.best_rows(ids[have], scores, k)
