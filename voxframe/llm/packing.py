@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from voxframe.llm import bpe
 from voxframe.llm import text as tx
-from voxframe.session import ensure_checkpoint_dir
+from voxframe.session import bound_batches, ensure_checkpoint_dir
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -44,7 +44,7 @@ def token_pieces(docs, path, capacity=2048, end_id=0):
     """One row per piece; ``path`` is the rank file of the vocabulary."""
 
     def run(batches):
-        for batch in tx.blocks(batches, limit=bpe.BLOCK_BYTES):
+        for batch in tx.blocks(batches, limit=tx.BLOCK_BYTES):
             ids, counts = bpe.encode_block(*tx.raw(batch.column("text")), path)
             at = np.cumsum(counts)
             content = np.insert(ids, at, end_id).astype("<u4").tobytes()
@@ -211,6 +211,7 @@ def ranked(pieces, parts):
 def pack(spark, docs, path, capacity=2048):
     """One row per piece with its sequence and its place there."""
     ensure_checkpoint_dir(spark)
+    bound_batches(spark)
     # Cutting reads all texts; the short table of pieces is used three times.
     pieces = token_pieces(docs, path, capacity).checkpoint()
     lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}

@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 
 from voxframe.llm import sample
 from voxframe.llm import text as tx
+from voxframe.session import bound_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SAMPLE = 4000
+SAMPLE = 3000
 GRAMS = (4, 5, 6, 7)
 MIN_TEXTS = 6
 MIN_EVIDENCE = 36.0
@@ -178,6 +179,7 @@ def scores(data, offsets, hashes, weights, bias):
 
 
 def fitted(spark, docs, labels, sample_size, folds, held_out):
+    bound_batches(spark)
     texts, y = sample.labelled(docs, labels, "toxic", folds, held_out, sample_size)
     return spark.sparkContext.broadcast(train(texts.to_pylist(), y))
 
