@@ -8,10 +8,10 @@
 2. Documents with equal sets collapse to one node, so a group of exact copies
    costs one row from here on.
 3. Every bucket links its members to one centre only (a star): pairs grow with
-   the members, never with their square. Candidate pairs are confirmed on the
+   the members, never with their square. Bands choose centres in two orders. Candidate pairs are confirmed on the
    full sets of both texts.
-4. Components. Then buckets that still hold several components get another
-   star with another centre, for the members of other components than the
+4. Components. Then buckets that still hold several components get new
+   stars with other centres, for the members of other components than the
    centre's only, until a round finds no new link. So members that resemble
    each other but not the first centre are found, too.
 
@@ -34,12 +34,17 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from voxframe.llm import text as tx
-from voxframe.session import ensure_checkpoint_dir
+from voxframe.session import bound_batches, ensure_checkpoint_dir
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BINS_LOG2 = 7
+BINS_LOG2 = 8
 MISS = 1e-6
+#: Orders in which buckets choose their centres in a round. All buckets share an
+#: order, so a member of many buckets meets few different centres.
+ORDERS = 2
+#: Most ids that are sent to all executors (8 bytes each); more are joined.
+BROADCAST_IDS = 400_000
 
 
 def banding(percent, bins=1 << BINS_LOG2):
@@ -141,6 +146,10 @@ def sketches(docs, k, percent):
 def confirmed(pairs, docs, k, percent):
     """Pairs (a, b) whose full sets reach the threshold; texts join by id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    if 2 * pairs.count() <= BROADCAST_IDS:
+        # Few texts are asked for: drop the others before they are shuffled.
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        texts = texts.join(F.broadcast(ids), "id", "left_semi")
     b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     both = pairs.select("a", "b", "digest_a", "digest_b").join(b, "b").join(a, "a")
@@ -180,8 +189,10 @@ def components(edges):
     """
     arcs = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-    ).checkpoint()
-    labels = arcs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).checkpoint()
+    )
+    # Rows of two numbers: a sixteenth of the usual partitions is enough for them.
+    few = max(8, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)
+    labels = arcs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).coalesce(few).checkpoint()
     total = None
     while True:
         new = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
@@ -189,66 +200,87 @@ def components(edges):
             return labels.select(F.col("u").alias("node"), "label")
         total = new
         near = arcs.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "u").select("u", F.least("label", "near").alias("label")).checkpoint()
+        hooked = labels.join(near, "u").select("u", F.least("label", "near").alias("label")).coalesce(few).checkpoint()
         up = hooked.select(F.col("u").alias("label"), F.col("label").alias("top"))
-        labels = hooked.join(up, "label", "left").select("u", F.least("label", "top").alias("label")).checkpoint()
+        labels = hooked.join(up, "label", "left").select("u", F.least("label", "top").alias("label")).coalesce(few).checkpoint()
+
+
+def _pairs(met, nodes, percent, tried=None):
+    """Distinct pairs (a, b) of members that met a centre, with their digests."""
+    near_enough = 100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")
+    pairs = (
+        met.filter((F.col("label") != F.col("label_a")) & near_enough)
+        .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        .distinct()
+    )
+    if tried is not None:
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    for side in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("digest").alias(f"digest_{side}")), side)
+    return pairs.checkpoint()
 
 
 def near_duplicates(spark, docs, k=5, percent=80):
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     ensure_checkpoint_dir(spark)
+    bound_batches(spark)
     sketched = sketches(docs, k, percent).checkpoint()
     some = sketched.filter("n_shingles > 0 and doc_id is not null")
-    nodes = some.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    banded = some.join(nodes.withColumnRenamed("node", "doc_id"), ["digest", "doc_id"]).dropDuplicates(["digest"])
-    members = banded.select(
-        F.col("doc_id").alias("node"), "digest", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")
+    nodes = (
+        some.groupBy("digest")
+        .agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("s"))
+        .select("digest", F.col("s.doc_id").alias("node"), F.col("s.n_shingles").cast("int").alias("n"), "s.bands")
+        .checkpoint()
     )
-    star = F.struct(F.col("order"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("digest").alias("digest_a"), F.col("label").alias("label_a"))
-    near_enough = 100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")
-    edges, tried, turn = None, None, 0
+    # Bands take their centres in ORDERS different orders, so that most members
+    # meet several centres at once.
+    members = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
+    turn = F.col("band") % ORDERS
+    order = F.when(turn == 0, F.col("node")).otherwise(F.xxhash64("node", turn.cast("long")))
+    star = F.struct(order.alias("order"), F.col("node").alias("a"), F.col("n").alias("n_a"))
+    centres = (
+        members.groupBy("bucket")
+        .agg(F.min(star).alias("s"), F.count("*").alias("members"))
+        .filter("members > 1")
+        .select("bucket", "s.a", "s.n_a")
+        .checkpoint()
+    )
+    # Only the buckets with several members are of any use from here on.
+    shared = members.join(centres, "bucket").select("bucket", "node", "n", "a", "n_a").checkpoint()
+    met = shared.select("*", F.col("node").alias("label"), F.col("a").alias("label_a"))
+    pairs = _pairs(met, nodes, percent)
+    edges, tried, turn = confirmed(pairs, docs, k, percent).distinct().checkpoint(), pairs.select("a", "b"), 0
     while True:
-        if turn == 0:
-            rows = members.withColumn("label", F.col("node")).withColumn("order", F.col("node"))
-        else:
-            rows = (
-                members.join(components(edges), "node", "left")
-                .withColumn("label", F.coalesce("label", "node"))
-                .withColumn("order", F.xxhash64("node", "bucket", F.lit(turn)))
-            )
+        labels = components(edges)
+        turn += 1
+        rows = (
+            shared.select("bucket", "node", "n")
+            .join(labels, "node", "left")
+            .select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
+        )
+        stars = [
+            F.min(F.struct(F.xxhash64("node", F.lit(ORDERS * turn + j)).alias("order"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a")))
+            for j in range(ORDERS)
+        ]
         centres = (
             rows.groupBy("bucket")
-            .agg(F.min(star).alias("s"), F.min("label").alias("low"), F.max("label").alias("high"))
+            .agg(F.array(*stars).alias("stars"), F.min("label").alias("low"), F.max("label").alias("high"))
             .filter("low < high")
-            .select("bucket", "s.a", "s.n_a", "s.digest_a", "s.label_a")
+            .select("bucket", F.explode(F.array_distinct(F.transform("stars", lambda s: s.dropFields("order")))).alias("s"))
+            .select("bucket", "s.*")
             .checkpoint()
         )
-        pairs = (
-            rows.join(centres, "bucket")
-            .filter((F.col("label") != F.col("label_a")) & near_enough)
-            .select("a", F.col("node").alias("b"), "digest_a", F.col("digest").alias("digest_b"))
-        )
-        if turn:
-            swap = F.col("a") > F.col("b")
-            pairs = pairs.select(
-                F.least("a", "b").alias("a"),
-                F.greatest("a", "b").alias("b"),
-                F.when(swap, F.col("digest_b")).otherwise(F.col("digest_a")).alias("digest_a"),
-                F.when(swap, F.col("digest_a")).otherwise(F.col("digest_b")).alias("digest_b"),
-            )
-        pairs = pairs.dropDuplicates(["a", "b"])
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = pairs.checkpoint()
-        found = confirmed(pairs, docs, k, percent).dropDuplicates(["a", "b"]).checkpoint()
-        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
-        edges = found if edges is None else edges.union(found)
-        turn += 1
-        if found.isEmpty() and turn > 1:
+        # Buckets of one component are done with, and stay so.
+        shared = rows.join(centres.select("bucket").distinct(), "bucket").select("bucket", "node", "n", "label").checkpoint()
+        pairs = _pairs(shared.join(centres, "bucket"), nodes, percent, tried)
+        shared = shared.drop("label")
+        found = confirmed(pairs, docs, k, percent).distinct().checkpoint()
+        if found.isEmpty():
             break
-    labels = components(edges)
+        tried = tried.union(pairs.select("a", "b"))
+        edges = edges.union(found)
     of_digest = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id")).checkpoint()
-    linked = sketched.filter("n_shingles > 0 and doc_id is not null").join(of_digest, "digest").select("doc_id", "n_shingles", "component_id")
+    linked = some.join(of_digest, "digest").select("doc_id", "n_shingles", "component_id")
     alone = sketched.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
