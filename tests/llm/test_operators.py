@@ -182,6 +182,18 @@ def test_near_duplicates_equal_brute_force(spark, k, percent):
     assert sorted(map(tuple, got), key=repr) == _classes(rows, k, percent)
 
 
+def test_near_duplicates_in_crowded_buckets(spark):
+    """True pairs that share only such buckets as many unlike documents are in."""
+    template = [f"t{i}" for i in range(200)]
+
+    def form(i, own):
+        return (i, " ".join(template + [f"d{i}x{j}" for j in range(own)]))
+
+    rows = [form(i, 80) for i in range(300)] + [form(900 + i, 20) for i in range(4)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark, docs_of(spark, rows)).collect()}
+    assert got == {i: 900 if i >= 900 else i for i, _ in rows}
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = docs_of(spark, [])
     assert neardup.near_duplicates(spark, empty).count() == 0

@@ -10,10 +10,12 @@
 3. Every bucket links its members to one centre only (a star): pairs grow with
    the members, never with their square. Bands choose centres in two orders. Candidate pairs are confirmed on the
    full sets of both texts.
-4. Components. Then buckets that still hold several components get new
-   stars with other centres, for the members of other components than the
-   centre's only, until a round finds no new link. So members that resemble
-   each other but not the first centre are found, too.
+4. Components. Then buckets that still hold several components get more
+   centres, for the members of other components than the centre's only. Their
+   number grows with each round until a bucket is one component or all its
+   members outside its largest component have been centres: then any two of its
+   members are linked or have been compared. A bucket that stays mixed thus
+   costs pairs with the square of its members, as no pair is left out.
 
 The number of bands is chosen so that a pair at the threshold shares no bucket
 with a probability below 1e-6. Shingles are compared by 64-bit hashes.
@@ -43,6 +45,10 @@ MISS = 1e-6
 #: Orders in which buckets choose their centres in a round. All buckets share an
 #: order, so a member of many buckets meets few different centres.
 ORDERS = 2
+#: Centres of a bucket in the first round after the stars, and their growth.
+FIRST_CENTRES, GROWTH = 4, 8
+#: Members of a bucket that meet its centres in one task.
+BLOCK_MEMBERS = 4096
 #: Most ids that are sent to all executors (8 bytes each); more are joined.
 BROADCAST_IDS = 400_000
 
@@ -250,35 +256,41 @@ def near_duplicates(spark, docs, k=5, percent=80):
     met = shared.select("*", F.col("node").alias("label"), F.col("a").alias("label_a"))
     pairs = _pairs(met, nodes, percent)
     edges, tried, turn = confirmed(pairs, docs, k, percent).distinct().checkpoint(), pairs.select("a", "b"), 0
+    labels = components(edges)
+    rows = shared.select("bucket", "node", "n")
     while True:
-        labels = components(edges)
-        turn += 1
-        rows = (
-            shared.select("bucket", "node", "n")
-            .join(labels, "node", "left")
-            .select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
-        )
-        stars = [
-            F.min(F.struct(F.xxhash64("node", F.lit(ORDERS * turn + j)).alias("order"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a")))
-            for j in range(ORDERS)
-        ]
-        centres = (
-            rows.groupBy("bucket")
-            .agg(F.array(*stars).alias("stars"), F.min("label").alias("low"), F.max("label").alias("high"))
-            .filter("low < high")
-            .select("bucket", F.explode(F.array_distinct(F.transform("stars", lambda s: s.dropFields("order")))).alias("s"))
-            .select("bucket", "s.*")
-            .checkpoint()
+        rows = rows.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
+        # Pairs of one component are settled. Of any other pair one member at
+        # least is outside the bucket's largest component: a centre sooner or later.
+        mixed = (
+            rows.groupBy("bucket", "label")
+            .agg(F.count("*").alias("size"))
+            .groupBy("bucket")
+            .agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("members"))
+            .withColumn("wait", F.col("members") - F.col("top.size"))
+            .filter("wait > 0")
+            .select("bucket", F.col("top.label").alias("largest"), "wait", F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("blocks"))
         )
-        # Buckets of one component are done with, and stay so.
-        shared = rows.join(centres.select("bucket").distinct(), "bucket").select("bucket", "node", "n", "label").checkpoint()
-        pairs = _pairs(shared.join(centres, "bucket"), nodes, percent, tried)
-        shared = shared.drop("label")
-        found = confirmed(pairs, docs, k, percent).distinct().checkpoint()
-        if found.isEmpty():
+        wanted = FIRST_CENTRES * GROWTH**turn
+        turn += 1
+        # A draw by node alone: all buckets of a round share it, so a member of
+        # many buckets meets few different centres.
+        draw = F.shiftrightunsigned(F.xxhash64("node", F.lit(turn)), 11) / float(1 << 53)
+        centre = (F.col("label") != F.col("largest")) & (draw * F.col("wait") < wanted)
+        rows = rows.join(mixed, "bucket").withColumn("centre", centre).checkpoint()
+        if rows.isEmpty():
             break
+        blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+        centres = rows.filter("centre").select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), blocks)
+        met = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(centres, ["bucket", "block"])
+        pairs = _pairs(met, nodes, percent, tried)
+        # A centre has met all others; its pairs are settled.
+        rows = rows.filter("not centre").select("bucket", "node", "n")
+        found = confirmed(pairs, docs, k, percent).distinct().checkpoint()
         tried = tried.union(pairs.select("a", "b"))
-        edges = edges.union(found)
+        if not found.isEmpty():
+            edges = edges.union(found)
+            labels = components(edges)
     of_digest = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id")).checkpoint()
     linked = some.join(of_digest, "digest").select("doc_id", "n_shingles", "component_id")
     alone = sketched.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
