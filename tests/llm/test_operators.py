@@ -414,6 +414,19 @@ def test_main_text_of_pages(spark):
     assert pages.main_text(spark, spark.createDataFrame([], PAGE)).count() == 0
 
 
+def test_main_text_of_a_large_host_without_articles(spark):
+    """Natural prose repeats short sequences; only common long ones are boilerplate."""
+    rng = random.Random(11)
+    legal = " ".join(f"legal{i}" for i in range(30))
+    prose = {i: _prose(rng, 60) for i in range(2000)}
+    prose[1] = prose[0]
+    # Boilerplate stands alone or in one block with the text, next to a date line.
+    html = [f"{MENU}<div>Date line {i}</div><div>{legal} {t}</div>" for i, t in prose.items()]
+    got = pages.main_text(spark, spark.createDataFrame([(i, HOST.format(i), h) for i, h in enumerate(html)], PAGE)).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Date line {i}\n{t}" for i, t in prose.items()}
+    assert all(r.n_repeated == 12 + 30 for r in got)
+
+
 def _labels(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
