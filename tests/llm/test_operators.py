@@ -273,6 +273,25 @@ def test_secrets_equal_brute_force(spark):
     assert secrets.scan(spark, docs_of(spark, [])).count() == 0
 
 
+def test_rare_secrets_and_hot_decoys(spark):
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    few = ["".join(rng.choice(letters + "0123456789") for _ in range(43)) + "7" for _ in range(5)]
+    many = ["".join(rng.choice(letters + "0123456789") for _ in range(43)) + "7" for _ in range(60)]
+    words = ["".join(rng.choice(["the", "er", "in", "on"]) for _ in range(19)) for _ in range(200)]
+    hot = "".join(rng.choice(letters) for _ in range(44))
+
+    def found(tokens):
+        docs = docs_of(spark, [(i, f"see {t} here") for i, t in enumerate(tokens)])
+        return {r.doc_id for r in secrets.scan(spark, docs).collect() if r.n_random}
+
+    # Fewer than 20 passing runs are found, and one run in many rows is one decoy.
+    rare = found(few + words)
+    assert len(rare) >= 4 and rare <= set(range(5))
+    crowd = found(many + words + [hot] * 300)
+    assert len(crowd) >= 50 and crowd <= set(range(60))
+
+
 def test_redaction_masks_spans_and_nothing_else(spark):
     rows = [(1, None), (2, ""), (3, "clean é text"), (4, "é x token=abcdef12 y " + "0123456789abcdef" * 2 + " z"), (5, "password=" + "0123456789abcdef" * 2)]
     docs = clashing(docs_of(spark, rows))

@@ -11,9 +11,13 @@ the three p-values to one.
 A high combined p alone proves little for short runs, as the tests lack power
 there. So discoveries are controlled by length class: runs of letters alone
 (words, by all odds) are tested in the same way as decoys, and each class takes
-the lowest cut p >= 0.01 at which the decoys that would pass are at most
-``MAX_FALSE`` of the candidates that pass (one decoy is added, so a few
-candidates prove nothing). The counts behind the cuts cover all documents.
+the lowest cut p >= 0.01 at which the false discoveries are estimated to be at
+most ``MAX_FALSE`` of the candidates that pass: the decoys that pass (and one
+more), times the candidates that fail all cuts for each decoy that does. Every
+distinct run counts once, however often it occurs. A class without a cut of its
+own that has fewer than ``THIN`` passing candidates or decoys is pooled with its
+neighbours, step by step. The counts behind the cuts cover all documents; where
+these hold next to no decoys, a few candidates still prove nothing.
 
 Defined results: a null text is empty and has no spans; offsets count code
 points, ends are exclusive; equal starts are ordered by kind as listed; repeated
@@ -23,6 +27,7 @@ rows and rows without id are scanned as they are.
 import functools
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from voxframe.session import ensure_checkpoint_dir
@@ -50,6 +55,7 @@ DECOYS = ((r"^[a-z]+$", LOWER), (r"^[A-Z]+$", UPPER), (r"^[A-Za-z]+$", UPPER + L
 LENGTHS = (20, 24, 28, 32, 40, 48, 64, 96)
 CUTS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5)
 MAX_FALSE = 0.05
+THIN = 20
 
 
 def _located(text, pattern, more=None):
@@ -144,6 +150,7 @@ def _tested(tokens):
             t["start"].alias("start"),
             t["end"].alias("end"),
             t["decoy"].alias("decoy"),
+            F.xxhash64(t["token"]).alias("hash"),
             t["n"].cast("int").alias("n"),
             (F.exp(-s) * (1 + s + s * s / 2)).alias("p"),
         )
@@ -178,15 +185,34 @@ def findings(docs):
     return docs.withColumn("__base", base).withColumn("__tokens", _tested(_located(text, RUN)))
 
 
+def cut_of(counts):
+    """The lowest cut at which few enough of the passing candidates are false, or None.
+
+    ``counts`` holds decoys and candidates in all, then those that pass each cut.
+    """
+    (decoys, passing_decoys), (candidates, passing) = ((side[0], side[1:]) for side in counts)
+    null = (candidates - passing[0] + 1) / (decoys - passing_decoys[0] + 1)
+    for cut, false, true in zip(CUTS, passing_decoys, passing):
+        if true and (1 + false) * null <= MAX_FALSE * true:
+            return cut
+    return None
+
+
 def thresholds(found):
     """{length class: cut of p} from the counts of all documents (a bounded table)."""
-    t = found.select(F.explode("__tokens").alias("t")).select(length_class(F.col("t.n")).alias("length"), "t.decoy", "t.p")
-    passing = [F.count_if((F.col("p") >= cut) & (F.col("decoy") == d)).alias(f"{side}{i}") for i, cut in enumerate(CUTS) for side, d in (("false", True), ("true", False))]
-    out = {}
-    for row in t.groupBy("length").agg(*passing).collect():
-        for i, cut in enumerate(CUTS):
-            if row[f"true{i}"] and (1 + row[f"false{i}"]) / row[f"true{i}"] <= MAX_FALSE:
-                out[row["length"]] = cut
+    t = found.select(F.explode("__tokens").alias("t")).select("t.hash", length_class(F.col("t.n")).alias("length"), "t.decoy", "t.p")
+    # Equal runs have equal results: each counts once.
+    t = t.groupBy("hash", "length", "decoy").agg(F.max("p").alias("p"))
+    sides = [[F.count_if((F.col("decoy") == d) & (F.col("p") >= cut)) for cut in (0.0, *CUTS)] for d in (True, False)]
+    counts = {row["length"]: np.array(row["counts"]) for row in t.groupBy("length").agg(F.array(*[F.array(*side) for side in sides]).alias("counts")).collect()}
+    none, out = np.zeros((2, 1 + len(CUTS)), np.int64), {}
+    for i, length in enumerate(LENGTHS):
+        for reach in range(len(LENGTHS)):
+            pool = sum((counts.get(near, none) for near in LENGTHS[max(0, i - reach) : i + reach + 1]), none)
+            cut = cut_of(pool.tolist())
+            if cut is not None:
+                out[length] = cut
+            if cut is not None or (pool[0, 0] >= THIN and pool[1, 1] >= THIN):
                 break
     return out
 
