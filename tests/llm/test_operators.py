@@ -292,6 +292,14 @@ def test_rare_secrets_and_hot_decoys(spark):
     assert len(crowd) >= 50 and crowd <= set(range(60))
 
 
+def test_runs_of_both_alphabets_are_tested_in_parts(spark):
+    url, plain = "aB3_dE6-gH9jK2mN5pQ8sT1vW4yZ", "aB3+dE6/gH9jK2mN5pQ8sT1vW4yZ"
+    rows = [(1, f"http://x.y/some/path/{url}/end"), (2, f"key-{plain}_x"), (3, f"see {url} or {plain} here")]
+    docs = docs_of(spark, rows)
+    got = {r.doc_id: [(t["start"], t["end"]) for t in r["__tokens"]] for r in secrets.findings(docs).collect()}
+    assert got == {i: [(m.start(), m.end()) for m in re.finditer(f"{re.escape(url)}|{re.escape(plain)}", text)] for i, text in rows}
+
+
 def test_redaction_masks_spans_and_nothing_else(spark):
     rows = [(1, None), (2, ""), (3, "clean é text"), (4, "é x token=abcdef12 y " + "0123456789abcdef" * 2 + " z"), (5, "password=" + "0123456789abcdef" * 2)]
     docs = clashing(docs_of(spark, rows))

@@ -38,7 +38,11 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 
-RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
+# A run of one alphabet as a whole; of a run that mixes both, the parts of either.
+RUN = (
+    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{20,}+(?![_-])"
+    r"|(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+|(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{20,}+"
+)
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: (pattern of the whole run, alphabet), narrowest first; decoys have no digit.
 ENCODINGS = (
