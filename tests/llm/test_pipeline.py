@@ -54,4 +54,4 @@ def test_run_equals_its_stages(spark, sf_dir, stages):
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
