@@ -182,3 +182,25 @@ def strip_suffix(text, suffix):
 def clean_note(text):
     """One-line review note."""
     return F.replace(F.trim(text), F.lit("\n"), F.lit(" | "))
+
+
+def zero_pad(number, width):
+    """Decimal text of at least ``width`` digits; longer numbers stay whole."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0"))
+
+
+def numbered_id(*parts, number, width=3, at=1):
+    """``parts`` joined by ``_`` with the padded ``number`` as part ``at``."""
+    names = [p if not isinstance(p, str) else F.lit(p) for p in parts]
+    names.insert(at, zero_pad(number, width))
+    return F.concat_ws("_", *names)
+
+
+# Fixed value: what the short name of a data set leaves out.
+DATASET_PREFIX = "mouse_app_"
+
+
+def dataset_short_name(name, prefix=DATASET_PREFIX):
+    """The name without ``prefix``, wherever it stands; null counts as ``?``."""
+    return F.replace(F.coalesce(name, F.lit("?")), F.lit(prefix), F.lit(""))

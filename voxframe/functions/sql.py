@@ -15,6 +15,8 @@ SQL_FUNCTIONS = {
     "flatten_index": "(z BIGINT, y BIGINT, x BIGINT, dim_y BIGINT, dim_x BIGINT) RETURNS BIGINT RETURN (z * dim_y + y) * dim_x + x",
     "box_volume": "(b ARRAY<BIGINT>) RETURNS BIGINT RETURN greatest(b[3] - b[0], 0) * greatest(b[4] - b[1], 0) * greatest(b[5] - b[2], 0)",
     "path_entity": "(path STRING, entity STRING) RETURNS STRING RETURN regexp_extract(path, concat('(?:^|[_/])', entity, '-([^_/.]+)'), 1)",
+    "zero_pad": "(n BIGINT, width INT) RETURNS STRING RETURN lpad(cast(n AS STRING), greatest(length(cast(n AS STRING)), width), '0')",
+    "dataset_short_name": "(name STRING) RETURNS STRING RETURN replace(coalesce(name, '?'), 'mouse_app_', '')",
     "vector_dot": "(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, v) -> s + v)",
     "monitor_time": "(s STRING) RETURNS TIMESTAMP RETURN to_timestamp(s, 'yyyy-MM-dd HH:mm:ss')",
 }

@@ -7,16 +7,7 @@ patch rows.
 
 from pyspark.sql import functions as F
 
-from voxframe.functions.scalar import (
-    CELL_MOD,
-    cell_hash,
-    hash_between,
-    hash_range,
-    hash_rank,
-    hash_uniform,
-    let,
-    normal_from_cells,
-)
+from voxframe.functions.scalar import CELL_MOD, hash_between, hash_range, hash_rank, hash_uniform
 from voxframe.operators import filters, kernels
 
 # Ranges and probabilities of the presets.
@@ -54,23 +45,6 @@ def copies(patches, n, name="copy"):
     return patches.withColumn(name, F.explode(F.sequence(F.lit(1), F.lit(int(n)))))
 
 
-def _clip01(v):
-    return F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
-
-
-def _when(patches, apply, fn):
-    """Replace ``data`` by fn(data) where ``apply`` holds.
-
-    ``data`` is named once: a second mention per step would double the merged
-    expression with every step of a chain.
-    """
-    return patches.withColumn("data", let(F.col("data"), lambda d: F.when(apply, fn(d)).otherwise(d)))
-
-
-def _map(data, fn, clamp):
-    return F.transform(data, (lambda v: _clip01(fn(v))) if clamp else fn)
-
-
 def spatial_params(df, draws, paired=False):
     """Columns of the flips and the quarter turns of each copy."""
     flips = F.array(*[draws.chance(f"flip{a}", 0.5) for a in "zyx"])
@@ -125,24 +99,15 @@ def orient_mask(mask, draws, n, flip=True, turn=True, paired=False):
     return df.drop("flips", "plane", "turns")
 
 
-def _noise(draws, name, std):
-    def add(data):
-        def with_params(p):
-            def one(v, i):
-                return v + p["s"] * normal_from_cells(cell_hash(p["a"], i), cell_hash(p["b"], i))
-
-            return F.transform(data, one)
-
-        return let(F.struct(std.alias("s"), draws.base(f"{name}1").alias("a"), draws.base(f"{name}2").alias("b")), with_params)
-
-    return add
+def _with_noise(patches, apply, draws, name, std, clamp=False):
+    a, b = draws.base(f"{name}1"), draws.base(f"{name}2")
+    return kernels.pin(patches).withColumn("data", kernels.noise(F.col("data"), apply, std, a, b, clamp))
 
 
 def gaussian_noise(patches, draws, cfg=NOISE, clamp=False):
     """Additive noise with a drawn variance."""
-    add = _noise(draws, "noise", F.sqrt(draws.uniform("noise_var", *cfg["var"])))
-    fn = (lambda d: F.transform(add(d), _clip01)) if clamp else add
-    return _when(patches, draws.chance("noise_p", cfg["p"]), fn)
+    std = F.sqrt(draws.uniform("noise_var", *cfg["var"]))
+    return _with_noise(patches, draws.chance("noise_p", cfg["p"]), draws, "noise", std, clamp)
 
 
 def blur(patches, draws, cfg=BLUR):
@@ -154,39 +119,22 @@ def blur(patches, draws, cfg=BLUR):
     return kernels.pin(patches).withColumn("data", data)
 
 
-def _mean(data):
-    return F.aggregate(data, F.lit(0.0), lambda a, v: a + v) / F.size(data)
-
-
 def intensity_jitter(patches, draws, cfg=JITTER, clamp=False):
     """Brightness shift, then contrast around the shifted mean."""
     shift = draws.uniform("brightness", -cfg["brightness"], cfg["brightness"])
     contrast = draws.uniform("contrast", *cfg["contrast"])
-
-    def fn(data):
-        p = F.struct(_mean(data).alias("m"), shift.alias("b"), contrast.alias("c"))
-        return let(p, lambda q: _map(data, lambda v: (v - q["m"]) * q["c"] + q["m"] + q["b"], clamp))
-
-    return _when(patches, draws.chance("jitter_p", cfg["p"]), fn)
+    data = kernels.jitter(F.col("data"), draws.chance("jitter_p", cfg["p"]), shift, contrast, clamp)
+    return kernels.pin(patches).withColumn("data", data)
 
 
 def paired_jitter(patches, draws, cfg=PAIRED):
     """Image-only jitter of the paired set: four independent draws."""
     shift = draws.uniform("brightness", -cfg["brightness"], cfg["brightness"])
-    df = _when(
-        patches, draws.chance("bright_p", cfg["p"]), lambda d: let(shift, lambda b: F.transform(d, lambda v: v + b))
-    )
-    contrast = draws.uniform("contrast", *cfg["contrast"])
-
-    def scale(data):
-        p = F.struct(_mean(data).alias("m"), contrast.alias("c"))
-        return let(p, lambda q: F.transform(data, lambda v: (v - q["m"]) * q["c"] + q["m"]))
-
-    df = _when(df, draws.chance("contrast_p", cfg["p"]), scale)
-    gamma = draws.uniform("gamma", *cfg["gamma"])
-    signed = lambda g: lambda v: F.signum(v) * F.pow(F.greatest(F.abs(v), F.lit(1e-6)), g)
-    df = _when(df, draws.chance("gamma_p", 0.5), lambda d: let(gamma, lambda g: F.transform(d, signed(g))))
-    return _when(df, draws.chance("noise_p", 0.2), _noise(draws, "noise", F.lit(float(cfg["noise_std"]))))
+    contrast, none = draws.uniform("contrast", *cfg["contrast"]), F.lit(0.0)
+    df = kernels.pin(patches).withColumn("data", kernels.jitter(F.col("data"), draws.chance("bright_p", cfg["p"]), shift, F.lit(1.0)))
+    df = df.withColumn("data", kernels.jitter(F.col("data"), draws.chance("contrast_p", cfg["p"]), none, contrast))
+    df = df.withColumn("data", kernels.gamma(F.col("data"), draws.chance("gamma_p", 0.5), draws.uniform("gamma", *cfg["gamma"]), "signed"))
+    return _with_noise(df, draws.chance("noise_p", 0.2), draws, "noise", F.lit(float(cfg["noise_std"])))
 
 
 def gamma(patches, draws, cfg=GAMMA, retain_stats=True, clamp=False):
@@ -194,36 +142,9 @@ def gamma(patches, draws, cfg=GAMMA, retain_stats=True, clamp=False):
 
     ``clamp`` is the plain form for values in [0, 1]: no shift, no statistics.
     """
-    g = draws.uniform("gamma", *cfg["gamma"])
-
-    def plain(data):
-        return let(g, lambda e: F.transform(data, lambda v: _clip01(F.pow(F.greatest(v, F.lit(1e-8)), e))))
-
-    def stats(data):
-        def sd(m):
-            ss = F.aggregate(data, F.lit(0.0), lambda a, v: a + (v - m) * (v - m))
-            return F.struct(m.alias("m"), (F.sqrt(ss / (F.size(data) - 1)) + 1e-8).alias("s"))
-
-        return let(_mean(data), sd)
-
-    def shifted(data):
-        p = F.struct(g.alias("g"), F.array_min(data).alias("lo"))
-        powered = let(p, lambda q: F.transform(data, lambda v: F.pow(F.greatest(v - q["lo"], F.lit(1e-8)), q["g"])))
-        if not retain_stats:
-            return powered
-
-        def restore(out):
-            both = F.struct(stats(data).alias("was"), stats(out).alias("now"))
-            return let(
-                both,
-                lambda q: F.transform(
-                    out, lambda v: (v - q["now"]["m"]) / q["now"]["s"] * q["was"]["s"] + q["was"]["m"]
-                ),
-            )
-
-        return let(powered, restore)
-
-    return _when(patches, draws.chance("gamma_p", cfg["p"]), plain if clamp else shifted)
+    mode = "plain" if clamp else "keep" if retain_stats else "free"
+    data = kernels.gamma(F.col("data"), draws.chance("gamma_p", cfg["p"]), draws.uniform("gamma", *cfg["gamma"]), mode)
+    return kernels.pin(patches).withColumn("data", data)
 
 
 def low_resolution(patches, draws, cfg=LOW_RES):
@@ -256,33 +177,10 @@ def low_resolution(patches, draws, cfg=LOW_RES):
 
 def brightness_gradient(patches, draws, cfg=GRADIENT, clamp=False):
     """Additive linear ramp from -strength to strength along a drawn axis."""
-    p = F.struct(
-        draws.uniform("strength", *cfg["strength"]).alias("s"),
-        draws.integer("axis", 0, 2).alias("axis"),
-        *[F.col(d).alias(d) for d in ("dz", "dy", "dx")],
-    )
-
-    def fn(data):
-        def ramp(q):
-            size = F.when(q["axis"] == 0, q["dz"]).when(q["axis"] == 1, q["dy"]).otherwise(q["dx"])
-
-            def with_size(n):
-                def one(v, i):
-                    at = (
-                        F.when(q["axis"] == 0, F.floor(i / (q["dy"] * q["dx"])))
-                        .when(q["axis"] == 1, F.floor(F.pmod(i, q["dy"] * q["dx"]) / q["dx"]))
-                        .otherwise(F.pmod(i, q["dx"]))
-                    )
-                    out = v - q["s"] + q["s"] * 2.0 * at / F.greatest(n - 1, F.lit(1))
-                    return _clip01(out) if clamp else out
-
-                return F.transform(data, one)
-
-            return let(size, with_size)
-
-        return let(p, ramp)
-
-    return _when(patches, draws.chance("gradient_p", cfg["p"]), fn)
+    dims = [F.col(d) for d in ("dz", "dy", "dx")]
+    strength, axis = draws.uniform("strength", *cfg["strength"]), draws.integer("axis", 0, 2)
+    data = kernels.ramp(F.col("data"), *dims, draws.chance("gradient_p", cfg["p"]), strength, axis, clamp)
+    return kernels.pin(patches).withColumn("data", data)
 
 
 PRESETS = ("symmetric", "asymmetric", "legacy")
@@ -307,7 +205,7 @@ def augment(patches, keys, seed, preset="symmetric", view=1):
         df = blur(df, d, blur_cfg)
         df = brightness_gradient(df, d, clamp=True)
         df = gaussian_noise(df, d, LEGACY_NOISE, clamp=True)
-        return df.withColumn("data", F.transform("data", _clip01))
+        return df.withColumn("data", kernels.clip(F.col("data"), 0, 1))
     df = gaussian_noise(df, d)
     df = blur(df, d, blur_cfg)
     df = intensity_jitter(df, d)

@@ -1,10 +1,15 @@
-"""Connected components of sparse masks and their statistics."""
+"""Connected components of sparse masks and whole volumes, and their statistics."""
 
+import itertools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxframe.operators.kernels import contacts, label_runs as chunk_runs
 from voxframe.operators.ranking import row_numbers
-from voxframe.session import ensure_checkpoint_dir
+from voxframe.session import RoundTables, ensure_checkpoint_dir
 
 # Bits of one axis in a voxel code; codes order by (z, y, x).
 AXIS_BITS = 21
@@ -68,30 +73,32 @@ def _roots(edges, keys, jumps=2):
     Each round links a vertex to its smallest neighbour, shortens the links by
     pointer jumping, and contracts the graph: linked vertices become one, loops
     and duplicates vanish. The graph at least halves per round, so the work is
-    that of the first rounds. Round tables are checkpointed to the shared folder
-    and composed backwards at the end.
+    that of the first rounds. Rounds are tables in the shared folder; they are
+    composed backwards at the end, and only the result stays.
     """
-    rounds = []
-    edges = edges.checkpoint()
+    tables, rounds = RoundTables(edges.sparkSession, "components"), []
+    edges = tables.keep(edges)
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         link = both.groupBy(*keys, "u").agg(F.min("v").alias("p")).withColumn("p", F.least("u", "p"))
         for _ in range(jumps):
             nxt = link.select(*keys, F.col("u").alias("p"), F.col("p").alias("_q"))
             link = link.join(nxt, [*keys, "p"]).select(*keys, "u", F.col("_q").alias("p"))
-        link = link.checkpoint()
+        link = tables.keep(link)
         rounds.append(link)
         of_u = link.select(*keys, "u", F.col("p").alias("_pu"))
         of_v = link.select(*keys, F.col("u").alias("v"), F.col("p").alias("_pv"))
-        edges = (
+        contracted = (
             edges.join(of_u, [*keys, "u"])
             .join(of_v, [*keys, "v"])
             .filter("_pu <> _pv")
             .select(*keys, F.least("_pu", "_pv").alias("u"), F.greatest("_pu", "_pv").alias("v"))
             .distinct()
-            .checkpoint()
         )
+        done, edges = edges, tables.keep(contracted)
+        tables.drop(done)
     if not rounds:
+        tables.drop(edges)
         return None
     root = rounds.pop()
     while rounds:
@@ -101,7 +108,9 @@ def _roots(edges, keys, jumps=2):
             .join(later, [*keys, "p"], "left")
             .select(*keys, "u", F.coalesce("_root", "p").alias("p"))
         )
-    return root.withColumnRenamed("p", "root")
+    root = tables.keep(root.withColumnRenamed("p", "root"))
+    tables.drop_all_but(root)
+    return root
 
 
 def label_runs(mask, keys, conn=26):
@@ -130,6 +139,136 @@ def connected_components(mask, keys, conn=26):
     return runs.select(*keys, "component", "z", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
 
 
+#: Half of the neighbours of a chunk: the other half has it as such a neighbour.
+FORWARD = [d for d in itertools.product((-1, 0, 1), repeat=3) if d > (0, 0, 0)]
+
+
+def _chunk_labels(vol, corner, conn):
+    """Labels of one chunk's cells, -1 outside the mask: codes of first voxels."""
+    dy, dx = vol.shape[1:]
+    out = np.full(vol.size, -1, np.int64)
+    at, first = chunk_runs(vol, conn)
+    z, y, x = (k + c for k, c in zip((first // (dy * dx), first // dx % dy, first % dx), corner))
+    if at.size and max(z.max(), y.max(), x.max()) >= 1 << AXIS_BITS:
+        raise ValueError("a voxel coordinate is outside 0 .. 2^21 - 1")
+    out[at] = z.astype(np.int64) << 2 * AXIS_BITS | y.astype(np.int64) << AXIS_BITS | x
+    return out.reshape(vol.shape)
+
+
+def _key_fields(df, names):
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in names)
+
+
+def _labelled(batch, edge, conn):
+    """(row, chunk position, labels) of the chunks of a batch that have foreground."""
+    for i in range(batch.num_rows):
+        data = batch.column("data")[i].values
+        vol = np.nan_to_num(data.cast(pa.float64()).to_numpy(zero_copy_only=False)).reshape((edge,) * 3) > 0 if data is not None else None
+        if vol is not None and vol.any():
+            at = [batch.column(f"c{a}")[i].as_py() for a in "zyx"]
+            yield i, at, _chunk_labels(vol, [c * edge for c in at], conn)
+
+
+def face_contacts(chunks, keys, edge, conn=26):
+    """(keys, u, v): objects of neighbouring chunks that touch, by their labels.
+
+    A chunk sends the cells at each border to the pair of chunks that share it:
+    rows of one face, edge or corner, never voxels of the inside.
+    """
+    steps = [d for d in FORWARD if conn == 26 or sum(map(abs, d)) == 1]
+    names = [*keys, "cz", "cy", "cx"]
+
+    def slabs(batches):
+        for batch in batches:
+            rows = [[] for _ in range(7)]
+            for i, at, labels in _labelled(batch, edge, conn):
+                for number, step in enumerate(steps):
+                    for side in (0, 1):
+                        # The lower chunk gives its far cells, the upper one its near cells.
+                        ends = [slice(None) if s == 0 else slice(edge - 1, edge) if (s > 0) == (side == 0) else slice(0, 1) for s in step]
+                        cells = labels[tuple(ends)]
+                        if (cells >= 0).any():
+                            lower = at if side == 0 else [c - s for c, s in zip(at, step)]
+                            for column, value in zip(rows, (i, *lower, number, side, cells.ravel())):
+                                column.append(value)
+            take = pa.array(rows[0], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k).take(take) for k in keys), *(pa.array(c, pa.int32()) for c in rows[1:6]), pa.array(rows[6], pa.list_(pa.int64()))],
+                names=[*names, "step", "side", "cells"],
+            )
+
+    def pairs(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                step = steps[batch.column("step")[i].as_py()]
+                shape = [edge if s == 0 else 1 for s in step]
+                a, b = (batch.column(c)[i].values.to_numpy().reshape(shape) for c in "ab")
+                found = contacts(a, b, step, conn)
+                take = pa.array(np.full(len(found), i))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(k).take(take) for k in keys), pa.array(found.min(axis=1, initial=2**62)), pa.array(found.max(axis=1, initial=-1))],
+                    names=[*keys, "u", "v"],
+                )
+
+    fields = _key_fields(chunks, keys)
+    sent = chunks.select(*names, "data").mapInArrow(slabs, f"{fields}, cz int, cy int, cx int, step int, side int, cells array<long>")
+    both = sent.groupBy(*names, "step").agg(
+        F.max(F.when(F.col("side") == 0, F.col("cells"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("cells"))).alias("b")
+    )
+    met = both.filter("a IS NOT NULL AND b IS NOT NULL").select(*keys, "step", "a", "b")
+    return met.mapInArrow(pairs, f"{fields}, u long, v long").distinct()
+
+
+def volume_components(chunks, keys, edge, conn=26):
+    """Chunk rows of a mask to chunk rows of component codes, -1 outside the mask.
+
+    ``chunks``: (*keys, cz, cy, cx, data) of edge^3 cells, foreground above 0;
+    absent chunks and null arrays are empty. Codes are those of
+    ``connected_components``: the first voxel of the whole object. Two levels:
+    each chunk labels its own cells, and only the labels that touch a border
+    enter the contraction, so its rows are a share of the faces, not of the
+    volume. A chunk then takes the short list of its labels that changed.
+    """
+    if conn not in (6, 26):
+        raise ValueError("conn must be 6 or 26")
+    ensure_checkpoint_dir(chunks.sparkSession)
+    roots = _roots(face_contacts(chunks, keys, edge, conn), keys)
+    names = [*keys, "cz", "cy", "cx"]
+    rows = chunks.select(*names, "data")
+    if roots is None:
+        rows = rows.withColumn("changed", F.lit(None).cast("array<struct<u:bigint,root:bigint>>"))
+    else:
+        # A label is the code of a voxel in its own chunk.
+        shift, low = (2 * AXIS_BITS, AXIS_BITS, 0), F.lit((1 << AXIS_BITS) - 1)
+        own = [F.floor(F.shiftright("u", k).bitwiseAND(low) / edge).cast("int").alias(f"_c{a}") for k, a in zip(shift, "zyx")]
+        changed = roots.filter("u <> root").groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *own).agg(
+            F.collect_list(F.struct("u", "root")).alias("changed")
+        )
+        on = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)] + [F.col(f"c{a}") == F.col(f"_c{a}") for a in "zyx"]
+        rows = rows.join(changed, on, "left").select(*names, "data", "changed")
+
+    def run(batches):
+        for batch in batches:
+            at, out = [], []
+            for i, _, labels in _labelled(batch, edge, conn):
+                flat, changed = labels.ravel(), batch.column("changed")[i].values
+                if changed is not None and len(changed):
+                    u, root = (changed.field(c).to_numpy() for c in ("u", "root"))
+                    order = np.argsort(u)
+                    u, root = u[order], root[order]
+                    place = np.minimum(np.searchsorted(u, flat), len(u) - 1)
+                    flat = np.where(u[place] == flat, root[place], flat)
+                at.append(i)
+                out.append(flat)
+            kept = [batch.column(c).take(pa.array(at, pa.int64())) for c in names]
+            size = [pa.array(np.full(len(at), edge), pa.int32())] * 3
+            offsets = pa.array(np.arange(len(at) + 1) * edge**3, pa.int32())
+            flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([*kept, *size, pa.ListArray.from_arrays(offsets, flat)], names=[*names, "dz", "dy", "dx", "data"])
+
+    return rows.mapInArrow(run, f"{_key_fields(chunks, names)}, dz int, dy int, dx int, data array<long>")
+
+
 def component_sizes(components, keys):
     return components.groupBy(*keys, "component").agg(F.count("*").alias("size"))
 

@@ -4,6 +4,7 @@ from itertools import product
 
 from pyspark.sql import functions as F
 
+from voxframe.operators import kernels
 from voxframe.functions.scalar import half_even, let
 
 AXES = "zyx"
@@ -221,10 +222,17 @@ def pick_level(stores, cap, by="volume_id", name="entry"):
 FLIPS = ["noflip", "flipx", "flipy", "flipz", "flipxy", "flipxz", "flipyz", "flipxyz"]
 
 
-def reorient(voxels, shape, flips=FLIPS):
-    """Transposed (z,y,x to x,y,z order) copies of sparse voxels, one per flip.
+def _axis_order(perm):
+    if sorted(perm) != sorted(AXES):
+        raise ValueError("perm names each of z, y and x once")
+    return list(perm)
 
-    Output columns i, j, k follow the transposed axes x, y, z.
+
+def reorient(voxels, shape, flips=FLIPS, perm="xyz"):
+    """Copies of sparse voxels with their axes in another order, one per flip.
+
+    Output columns i, j, k follow the axes that ``perm`` names, any of the six
+    orders; flips name axes of the input, whatever their new place.
     """
     dim = dict(zip(AXES, shape))
     variants = F.explode(F.array(*[F.lit(f) for f in flips]))
@@ -233,7 +241,17 @@ def reorient(voxels, shape, flips=FLIPS):
     def flipped(axis):
         return F.when(F.substring("variant", 5, 3).contains(axis), F.lit(dim[axis] - 1) - F.col(axis)).otherwise(F.col(axis))
 
-    return df.withColumns({"i": flipped("x"), "j": flipped("y"), "k": flipped("z")}).drop("z", "y", "x")
+    return df.withColumns({c: flipped(a) for c, a in zip("ijk", _axis_order(perm))}).drop("z", "y", "x")
+
+
+def reorient_dense(patches, flips=FLIPS, perm="xyz"):
+    """As ``reorient``, of dense rows: dz, dy, dx are the extents in the new order."""
+    order = _axis_order(perm)
+    df = kernels.pin(patches.withColumn("variant", F.explode(F.array(*[F.lit(f) for f in flips]))))
+    turned = [F.substring("variant", 5, 3).contains(a) for a in AXES]
+    data = kernels.transpose(F.col("data"), F.col("dz"), F.col("dy"), F.col("dx"), [AXES.index(a) for a in order], turned)
+    dims = {f"d{to}": F.col(f"d{a}").alias(f"d{to}") for to, a in zip(AXES, order)}
+    return df.select(*[c for c in df.columns if c not in ("data", *dims)], *dims.values(), data.alias("data"))
 
 
 def foreground_bbox(voxels, by, thr, value="value"):

@@ -64,16 +64,12 @@ def percentile_range(patches, keys, lo=5.0, hi=99.5, ignore_zeros=True):
 def histogram(patches, keys, bins=256):
     """Equal-width counts over [min, max] of each patch: (keys, lo, hi, bin, n).
 
-    Voxels are counted on the map side; at most ``bins`` rows per patch move.
+    Voxels are counted in their own row; at most ``bins`` rows per patch move.
     """
-    ends = patches.select(*keys, F.array_min("data").alias("lo"), F.array_max("data").alias("hi"), "data")
-    at = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins).cast("int")
-    binned = F.when(F.col("hi") > F.col("lo"), F.least(at, F.lit(bins - 1))).otherwise(F.lit(0))
-    return (
-        ends.select(*keys, "lo", "hi", F.explode("data").alias("v"))
-        .groupBy(*keys, "lo", "hi", binned.alias("bin"))
-        .agg(F.count("*").alias("n"))
-    )
+    ends = kernels.pin(patches).select(*keys, F.array_min("data").alias("lo"), F.array_max("data").alias("hi"), "data")
+    counts = ends.select(*keys, "lo", "hi", kernels.histogram(F.col("data"), F.col("lo"), F.col("hi"), bins).alias("_n"))
+    rows = counts.select(*keys, "lo", "hi", F.posexplode("_n").alias("bin", "n")).filter("n > 0")
+    return rows.groupBy(*keys, "lo", "hi", "bin").agg(F.sum("n").alias("n"))
 
 
 def multi_otsu(hist, keys, classes=2, bins=256):

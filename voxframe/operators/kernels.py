@@ -5,6 +5,8 @@ filter; these small vectorised helpers run on Arrow batches at a fraction of
 that. Spark decides the partitioning; a kernel only ever sees single patches.
 """
 
+import itertools
+import math
 import sys
 
 import numpy as np
@@ -56,6 +58,43 @@ def _pack(rows):
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.float64()))
 
 
+def _value_moments(raw, corrected):
+    """Distinct raw values above 0, their number, and of the corrected values above
+    0 there the number, the mean and the squared deviations from it."""
+    use = raw > 0
+    values, code, n_raw = np.unique(raw[use], return_inverse=True, return_counts=True)
+    c = corrected[use]
+    ok = (c > 0) & np.isfinite(c)
+    c = np.where(ok, c, 0.0)
+    n = np.bincount(code, weights=ok, minlength=len(values)).astype(np.int64)
+    mean = np.bincount(code, weights=c, minlength=len(values)) / np.maximum(n, 1)
+    off = np.where(ok, c - mean[code], 0.0)
+    return values, n_raw, n, mean, np.bincount(code, weights=off * off, minlength=len(values))
+
+
+def moments_by_value(chunks, by, raw, corrected):
+    """(*by, v, n_raw, n, mean, m2): one row per chunk and distinct raw value.
+
+    The numbers merge: over rows, squared deviations from any centre are the sum
+    of m2 + n * (mean - centre)^2.
+    """
+    names, numbers = list(by), ["v", "n_raw", "n", "mean", "m2"]
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                both = [batch.column(c)[i].values for c in ("_raw", "_corrected")]
+                if None in both:
+                    continue
+                columns = _value_moments(*(np.asarray(x.cast(pa.float64()).to_numpy(zero_copy_only=False)) for x in both))
+                key = [batch.column(k).take(pa.array(np.full(len(columns[0]), i))) for k in names]
+                yield pa.RecordBatch.from_arrays([*key, *map(pa.array, columns)], names=[*names, *numbers])
+
+    rows = chunks.select(*by, F.col(raw).alias("_raw"), F.col(corrected).alias("_corrected"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in names)
+    return rows.mapInArrow(run, f"{fields}, v double, n_raw long, n long, mean double, m2 double")
+
+
 def _shapes(dz, dy, dx):
     return zip(dz.to_pylist(), dy.to_pylist(), dx.to_pylist())
 
@@ -330,3 +369,286 @@ def blend(data, place, profile, edge):
     chunk, size, corner in the window; ``profile``: window weight along an axis.
     """
     return _blend(data, place, profile, F.lit(edge))
+
+
+def merged(n, u, v):
+    """The smallest member of each of ``n`` elements' group, given linked pairs."""
+    root = np.arange(n)
+    while True:
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            return root
+        u, v = u[apart], v[apart]
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+
+
+def label_runs(mask, conn):
+    """Flat position of the first voxel of each foreground voxel's object in one chunk.
+
+    Runs along x are linked to those they touch in the lines before and below;
+    (flat positions of the foreground, their labels), in C order.
+    """
+    dz, dy, dx = mask.shape
+    reach, steps = (1, [(0, 1), (1, -1), (1, 0), (1, 1)]) if conn == 26 else (0, [(0, 1), (1, 0)])
+    wide = np.zeros((dz * dy, dx + 2), np.int8)
+    wide[:, 1:-1] = mask.reshape(dz * dy, dx)
+    edge = np.diff(wide, axis=1)
+    line, x0 = np.nonzero(edge == 1)
+    _, x1 = np.nonzero(edge == -1)
+    z, y, width = line // dy, line % dy, dx + 4
+    first_key, end_key = line * width + x0 + 2, line * width + x1 + 2
+    us, vs = [], []
+    for sz, sy in steps:
+        use = np.flatnonzero((z + sz < dz) & (y + sy >= 0) & (y + sy < dy))
+        other = (line[use] + sz * dy + sy) * width + 2
+        lo = np.searchsorted(end_key, other + x0[use] - reach, side="right")
+        hi = np.searchsorted(first_key, other + x1[use] + reach, side="left")
+        n = np.maximum(hi - lo, 0)
+        ends = np.cumsum(n)
+        us.append(np.repeat(use, n))
+        vs.append(np.repeat(lo - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0))
+    root = merged(len(line), np.concatenate(us), np.concatenate(vs))
+    return np.flatnonzero(mask.ravel()), np.repeat((line * dx + x0)[root], x1 - x0)
+
+
+def contacts(a, b, step, conn):
+    """Distinct pairs of labels that touch across the border of two chunks.
+
+    ``a`` and ``b`` are the cells of either side, with one cell along the axes of
+    ``step`` that are not 0; background is negative.
+    """
+    spread = [range(-1, 2) if s == 0 and conn == 26 else range(1) for s in step]
+    pairs = []
+    for shift in itertools.product(*spread):
+        left = a[tuple(slice(max(0, -k), n - max(0, k)) for k, n in zip(shift, a.shape))]
+        right = b[tuple(slice(max(0, k), n - max(0, -k)) for k, n in zip(shift, b.shape))]
+        both = (left >= 0) & (right >= 0)
+        pairs.append(np.stack([left[both], right[both]], axis=1))
+    return np.unique(np.concatenate(pairs), axis=0)
+
+
+def _reduce_blocks(vol, factors, how, pad):
+    """Pooled copy of one dense row."""
+    if pad:
+        vol = np.pad(vol, [(0, -n % f) for n, f in zip(vol.shape, factors)])
+    shape = [n // f for n, f in zip(vol.shape, factors)]
+    vol = vol[tuple(slice(0, n * f) for n, f in zip(shape, factors))]
+    cells = vol.reshape([k for n, f in zip(shape, factors) for k in (n, f)])
+    if how == "max":
+        return cells.max(axis=(1, 3, 5))
+    # The order of the sum is that of the cells, whatever the shape.
+    parts = [cells[:, i, :, j, :, k] for i in range(factors[0]) for j in range(factors[1]) for k in range(factors[2])]
+    return sum(parts[1:], parts[0].copy()) / float(math.prod(factors))
+
+
+@_kernel(ARRAY)
+def _pool(data: pa.Array, dz: pa.Array, dy: pa.Array, dx: pa.Array, factors: pa.Array, how: pa.Array, pad: pa.Array) -> pa.Array:
+    return _pack(
+        _reduce_blocks(v.reshape(s), tuple(f), h, p).ravel()
+        for v, s, f, h, p in zip(_rows(data), _shapes(dz, dy, dx), factors.to_pylist(), how.to_pylist(), pad.to_pylist())
+    )
+
+
+def pool(data, dz, dy, dx, factors, how, pad):
+    """Mean or max over blocks of a dense row; the rest is padded with 0 or cropped."""
+    return _pool(data, dz, dy, dx, F.array(*[F.lit(f) for f in factors]), F.lit(how), F.lit(pad))
+
+
+@_kernel(ARRAY)
+def _transpose(data: pa.Array, dz: pa.Array, dy: pa.Array, dx: pa.Array, perm: pa.Array, flips: pa.Array) -> pa.Array:
+    return _pack(
+        np.flip(v.reshape(s), [a for a in range(3) if f[a]]).transpose(p).ravel()
+        for v, s, p, f in zip(_rows(data), _shapes(dz, dy, dx), perm.to_pylist(), flips.to_pylist())
+    )
+
+
+def transpose(data, dz, dy, dx, perm, flips):
+    """Flip axes (three boolean columns), then put them in the order ``perm``."""
+    return _transpose(data, dz, dy, dx, F.array(*[F.lit(p) for p in perm]), F.array(*flips))
+
+
+def _scaled(v, mean, sd):
+    """(v - mean) / sd."""
+    return (v - mean) / sd
+
+
+@_kernel(ARRAY)
+def _zscore(data: pa.Array, center: pa.Array, eps: pa.Array) -> pa.Array:
+    def one(v, center, eps):
+        mean, sd = v.mean(), v.std()
+        if center:
+            return _scaled(v, mean, sd) if sd >= eps else v - mean
+        return _scaled(v, mean, sd) if sd > eps else v
+
+    return _pack(one(v, c, e) if len(v) else v for v, c, e in zip(_rows(data), center.to_pylist(), eps.to_pylist()))
+
+
+def zscore(data, center, eps):
+    """Scale a row by its own mean and population sd; a flat one is kept or centred."""
+    return _zscore(data, F.lit(center), F.lit(float(eps)))
+
+
+@_kernel(ARRAY)
+def _zscore_valid(data: pa.Array, valid: pa.Array, eps: pa.Array) -> pa.Array:
+    def one(v, ok, eps):
+        ok = ok > 0
+        real = v[ok]
+        sd = real.std() if len(real) else 0.0
+        out = np.zeros(len(v))
+        out[ok] = _scaled(real, real.mean() if len(real) else 0.0, sd if sd > eps else 1.0)
+        return out
+
+    return _pack(one(v, ok, e) for v, ok, e in zip(_rows(data), _rows(valid), eps.to_pylist()))
+
+
+def zscore_valid(data, valid, eps):
+    """Scale by the cells where ``valid`` is above 0; the others become 0."""
+    return _zscore_valid(data, valid, F.lit(float(eps)))
+
+
+@_kernel(ARRAY)
+def _minmax(data: pa.Array, eps: pa.Array) -> pa.Array:
+    def one(v, eps):
+        if not len(v) or not v.max() - v.min() > eps:
+            return v
+        return (v - v.min()) / (v.max() - v.min())
+
+    return _pack(one(v, e) for v, e in zip(_rows(data), eps.to_pylist()))
+
+
+def minmax(data, eps):
+    """Scale a row to [0, 1]; unchanged if its range is at most eps."""
+    return _minmax(data, F.lit(float(eps)))
+
+
+@_kernel(ARRAY)
+def _affine(data: pa.Array, shift: pa.Array, scale: pa.Array) -> pa.Array:
+    return _pack((v - m) / k for v, m, k in zip(_rows(data), shift.to_pylist(), scale.to_pylist()))
+
+
+def affine(data, shift, scale):
+    """(v - shift) / scale with numbers of the same row."""
+    return _affine(data, shift, scale)
+
+
+# --- intensity steps of augmented copies: where ``apply`` is false, a row stays
+
+
+def _when(rows, apply, *params):
+    """Rows with the step's function where it applies; parameters as Python values."""
+    return zip(rows, apply.to_pylist(), *(p.to_pylist() for p in params))
+
+
+def _cell_hash(base, n):
+    """As the column function ``cell_hash``, for cells 0 to n - 1."""
+    mod, i = np.int64(2147483647), np.arange(n, dtype=np.int64)
+    first = (base + i * np.int64(48271)) % mod
+    second = (first * first + base) % mod
+    return (second * second + i) % mod
+
+
+def _normals(a, b, n):
+    """Standard normal draws of n cells from two hashes (Box-Muller)."""
+    u1, u2 = (_cell_hash(a, n) + 1.0) / 2147483647.0, _cell_hash(b, n) / 2147483647.0
+    return np.sqrt(-2.0 * np.log(u1)) * np.cos(6.283185307179586 * u2)
+
+
+def _limited(v, clamp):
+    return np.clip(v, 0.0, 1.0) if clamp else v
+
+
+@_kernel(ARRAY)
+def _noise(data: pa.Array, apply: pa.Array, sd: pa.Array, a: pa.Array, b: pa.Array, clamp: pa.Array) -> pa.Array:
+    return _pack(_limited(v + s * _normals(x, y, len(v)), c) if on else v for v, on, s, x, y, c in _when(_rows(data), apply, sd, a, b, clamp))
+
+
+def noise(data, apply, sd, a, b, clamp=False):
+    """Add normal draws of a standard deviation from two hash bases."""
+    return _noise(data, apply, sd, a, b, F.lit(clamp))
+
+
+@_kernel(ARRAY)
+def _jitter(data: pa.Array, apply: pa.Array, shift: pa.Array, contrast: pa.Array, clamp: pa.Array) -> pa.Array:
+    return _pack(_limited((v - v.mean()) * k + v.mean() + b, c) if on and len(v) else v for v, on, b, k, c in _when(_rows(data), apply, shift, contrast, clamp))
+
+
+def jitter(data, apply, shift, contrast, clamp=False):
+    """Contrast around the mean, then a shift."""
+    return _jitter(data, apply, shift, contrast, F.lit(clamp))
+
+
+def _power(v, g, keep):
+    out = np.maximum(v - v.min(), 1e-8) ** g
+    if not keep:
+        return out
+    sd = lambda x: np.sqrt(((x - x.mean()) ** 2).sum() / (len(x) - 1)) + 1e-8
+    return (out - out.mean()) / sd(out) * sd(v) + v.mean()
+
+
+@_kernel(ARRAY)
+def _gamma(data: pa.Array, apply: pa.Array, g: pa.Array, mode: pa.Array) -> pa.Array:
+    def one(v, g, mode):
+        if mode == "plain":
+            return np.clip(np.maximum(v, 1e-8) ** g, 0.0, 1.0)
+        if mode == "signed":
+            return np.sign(v) * np.maximum(np.abs(v), 1e-6) ** g
+        return _power(v, g, mode == "keep")
+
+    return _pack(one(v, e, m) if on and len(v) else v for v, on, e, m in _when(_rows(data), apply, g, mode))
+
+
+def gamma(data, apply, g, mode):
+    """Power of the values: ``plain`` in [0, 1], ``signed`` with their sign, or above
+    the minimum, with mean and sample sd restored (``keep``) or not (``free``)."""
+    return _gamma(data, apply, g, F.lit(mode))
+
+
+@_kernel(ARRAY)
+def _ramp(data: pa.Array, dz: pa.Array, dy: pa.Array, dx: pa.Array, apply: pa.Array, strength: pa.Array, axis: pa.Array, clamp: pa.Array) -> pa.Array:
+    def one(v, shape, s, axis, clamp):
+        n = shape[axis]
+        at = np.arange(n).reshape([-1 if i == axis else 1 for i in range(3)])
+        return _limited(v.reshape(shape) - s + s * 2.0 * at / max(n - 1, 1), clamp).ravel()
+
+    rows = zip(_shapes(dz, dy, dx), _when(_rows(data), apply, strength, axis, clamp))
+    return _pack(one(v, shape, s, a, c) if on else v for shape, (v, on, s, a, c) in rows)
+
+
+def ramp(data, dz, dy, dx, apply, strength, axis, clamp=False):
+    """Add a linear ramp from -strength to strength along an axis (0 is z)."""
+    return _ramp(data, dz, dy, dx, apply, strength, axis, F.lit(clamp))
+
+
+@_kernel(ARRAY)
+def _clip(data: pa.Array, lo: pa.Array, hi: pa.Array) -> pa.Array:
+    return _pack(np.clip(v, a, b) for v, a, b in zip(_rows(data), lo.to_pylist(), hi.to_pylist()))
+
+
+def clip(data, lo, hi):
+    return _clip(data, F.lit(float(lo)), F.lit(float(hi)))
+
+
+def _counts(v, lo, hi, bins):
+    """Equal-width counts over [lo, hi]; all in the first bin if that is empty."""
+    if not hi > lo:
+        return np.bincount([0] * len(v), minlength=bins)
+    at = np.floor((v - lo) / (hi - lo) * bins).astype(np.int64)
+    return np.bincount(np.minimum(at, bins - 1), minlength=bins)
+
+
+@_kernel(T.ArrayType(T.LongType()))
+def _histogram(data: pa.Array, lo: pa.Array, hi: pa.Array, bins: pa.Array) -> pa.Array:
+    rows = [_counts(v, a, b, k) for v, a, b, k in zip(_rows(data), lo.to_pylist(), hi.to_pylist(), bins.to_pylist())]
+    return pa.array([r.astype(np.int64) for r in rows], pa.list_(pa.int64()))
+
+
+def histogram(data, lo, hi, bins):
+    """Counts of a dense row in ``bins`` equal steps from lo to hi."""
+    return _histogram(data, lo, hi, F.lit(bins))

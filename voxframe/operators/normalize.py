@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.scalar import array_sum, let
 from voxframe.operators import kernels
+from voxframe.session import ensure_checkpoint_dir
 
 
 def moments(data, ddof=0):
@@ -27,16 +28,7 @@ def zscore(patches, degenerate="keep", eps=1e-8):
     A flat patch is left as it is ('keep': sd <= eps) or centred ('center':
     sd < eps).
     """
-    def body(data):
-        def scaled(s):
-            live = F.transform(data, lambda v: (v - s["mean"]) / s["sd"])
-            if degenerate == "keep":
-                return F.when(s["sd"] > eps, live).otherwise(data)
-            return F.when(s["sd"] >= eps, live).otherwise(F.transform(data, lambda v: v - s["mean"]))
-
-        return let(moments(data), scaled)
-
-    return patches.withColumn("data", let(F.col("data"), body))
+    return kernels.pin(patches).withColumn("data", kernels.zscore(F.col("data"), degenerate != "keep", eps))
 
 
 def zscore_valid(patches, valid, min_valid=4096, eps=1e-8):
@@ -44,34 +36,14 @@ def zscore_valid(patches, valid, min_valid=4096, eps=1e-8):
 
     Patches with fewer than ``min_valid`` valid voxels are dropped.
     """
-    def body(pair):
-        real = F.filter(pair["d"], lambda v, i: F.get(pair["ok"], i) > 0)
-
-        def scaled(s):
-            sd = F.when(s["sd"] > eps, s["sd"]).otherwise(F.lit(1.0))
-            return F.zip_with(
-                pair["d"], pair["ok"], lambda v, ok: F.when(ok > 0, (v - s["mean"]) / sd).otherwise(F.lit(0.0))
-            )
-
-        return let(let(real, moments), scaled)
-
     enough = F.aggregate(F.col(valid), F.lit(0), lambda a, v: a + v.cast("int")) >= min_valid
-    both = F.struct(F.col("data").alias("d"), F.col(valid).alias("ok"))
-    return patches.filter(enough).withColumn("data", let(both, body))
+    ready = kernels.pin(kernels.pin(patches.filter(enough)), valid)
+    return ready.withColumn("data", kernels.zscore_valid(F.col("data"), F.col(valid), eps))
 
 
 def minmax(patches, eps=1e-8):
     """Scale to [0, 1]; unchanged if the range is at most eps."""
-    def body(data):
-        ends = F.struct(F.array_min(data).alias("lo"), F.array_max(data).alias("hi"))
-
-        def scaled(e):
-            span = e["hi"] - e["lo"]
-            return F.when(span > eps, F.transform(data, lambda v: (v - e["lo"]) / span)).otherwise(data)
-
-        return let(ends, scaled)
-
-    return patches.withColumn("data", let(F.col("data"), body))
+    return kernels.pin(patches).withColumn("data", kernels.minmax(F.col("data"), eps))
 
 
 def window_stats(patches, raw="data", corrected="data", min_valid=5000, keys=("patch_id",)):
@@ -90,28 +62,32 @@ def window_stats(patches, raw="data", corrected="data", min_valid=5000, keys=("p
     )
 
 
-def global_stats(chunks, by, min_valid=1000, pct=0.05, missing=(0.0, 1.0)):
+def global_stats(chunks, by, min_valid=1000, pct=0.05, missing=(0.0, 1.0), raw="data", corrected=None):
     """Foreground mean and sd of whole volumes stored as chunk rows.
 
-    Foreground is above the 5th percentile of the non-zero voxels if there are
-    more than ``min_valid`` of them, else above 0. Voxels are reduced to counts
-    per distinct value first: 16-bit data has at most 65,536 of them, so what
-    meets in one task is small however large the volume.
+    Foreground is what the ``raw`` intensities put above the 5th percentile of
+    their non-zero voxels if there are more than ``min_valid`` of those, else
+    above 0, and what is above 0 in ``corrected`` too. Mean and population sd are
+    those of the ``corrected`` values there (by default of the raw ones). Volumes
+    with at most ``min_valid`` such voxels get ``missing``, null arrays count as
+    empty ones, and voxels that are NaN or not above 0 belong to no foreground.
+
+    One pass over the voxels, in their own rows: a chunk becomes one row per
+    distinct raw value, with the numbers that merge (``kernels.moments_by_value``).
+    16-bit data has at most 65,536 of them. These rows are stored; cut, mean and
+    deviations are three sums over them, so nothing that is large cancels.
     """
-    values = chunks.select(*by, F.explode("data").alias("v")).filter("v > 0")
-    counts = values.groupBy(*by, "v").agg(F.count("*").alias("n"))
-    cut = counts.groupBy(*by).agg(
-        F.sum("n").alias("_nz"), F.percentile("v", F.lit(pct), F.col("n")).alias("_p")
-    )
-    fore = counts.join(cut, by).filter(
-        F.col("v") > F.when(F.col("_nz") > min_valid, F.col("_p")).otherwise(F.lit(0.0))
+    ensure_checkpoint_dir(chunks.sparkSession)
+    rows = kernels.moments_by_value(chunks, by, raw, corrected or raw).checkpoint()
+    counts = rows.groupBy(*by, "v").agg(F.sum("n_raw").alias("n_raw"))
+    cut = counts.groupBy(*by).agg(F.sum("n_raw").alias("_nz"), F.percentile("v", F.lit(pct), F.col("n_raw")).alias("_p"))
+    above = F.col("v") > F.when(F.col("_nz") > min_valid, F.col("_p")).otherwise(F.lit(0.0))
+    fore = rows.join(cut, list(by)).filter(above & (F.col("n") > 0))
+    mean = fore.groupBy(*by).agg(F.sum("n").alias("n_fore"), (F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("_m"))
+    gap = F.col("mean") - F.col("_m")
+    found = fore.join(mean, list(by)).groupBy(*by).agg(
+        F.first("n_fore").alias("n_fore"), F.first("_m").alias("_m"), F.sum(F.col("m2") + F.col("n") * gap * gap).alias("_ss")
     )
-    found = fore.groupBy(*by).agg(
-        F.sum("n").alias("n_fore"),
-        (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("_m"),
-        F.sum(F.col("v") * F.col("v") * F.col("n")).alias("_ss"),
-    )
-    var = F.greatest(F.col("_ss") / F.col("n_fore") - F.col("_m") * F.col("_m"), F.lit(0.0))
     # Volumes without foreground (flat or empty ones) have a row, too.
     stats = chunks.select(*by).distinct().join(found, list(by), "left").withColumn("n_fore", F.coalesce("n_fore", F.lit(0)))
     few = F.col("n_fore") <= min_valid
@@ -119,7 +95,7 @@ def global_stats(chunks, by, min_valid=1000, pct=0.05, missing=(0.0, 1.0)):
         *by,
         "n_fore",
         F.when(few, F.lit(missing[0])).otherwise(F.col("_m")).alias("mu"),
-        F.when(few, F.lit(missing[1])).otherwise(F.sqrt(var)).alias("sigma"),
+        F.when(few, F.lit(missing[1])).otherwise(F.sqrt(F.col("_ss") / F.col("n_fore"))).alias("sigma"),
     )
 
 
@@ -150,10 +126,8 @@ def pool_reference_stats(stats, global_, by=("patch_id",), ref=("ref_dataset", "
 
 def reference_zscore(patches, mu="mu", sigma="sigma"):
     """(v - mu) / max(sigma, 1e-6) with columns of the same row."""
-    scale = F.struct(F.col(mu).alias("m"), F.greatest(F.col(sigma), F.lit(1e-6)).alias("s"))
-    return patches.withColumn(
-        "data", let(scale, lambda p: F.transform("data", lambda v: (v - p["m"]) / p["s"]))
-    )
+    scale = F.greatest(F.col(sigma), F.lit(1e-6))
+    return kernels.pin(patches).withColumn("data", kernels.affine(F.col("data"), F.col(mu).cast("double"), scale.cast("double")))
 
 
 def bias_correct(patches, fields, on, scale, origin=("z0", "y0", "x0")):

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from voxframe.functions.scalar import let
 from voxframe.operators import kernels
 
 
@@ -13,34 +12,12 @@ def block_reduce(patches, factors, how="mean", pad=True):
     block); otherwise the remainder is cropped. Chunks whose edge is a multiple
     of the factors pool on their own, without a shuffle.
     """
-    fz, fy, fx = factors
     dims = {}
     for d, f in zip(("dz", "dy", "dx"), factors):
         ratio = F.col(d) / f
         dims[d] = (F.ceil(ratio) if pad else F.floor(ratio)).cast("int")
-    oy, ox = dims["dy"], dims["dx"]
-    offsets = [(i, j, k) for i in range(fz) for j in range(fy) for k in range(fx)]
-
-    def cells(data):
-        def one(o):
-            z = F.floor(o / (oy * ox)).cast("int") * fz
-            y = F.floor(F.pmod(o, oy * ox) / ox).cast("int") * fy
-            x = F.pmod(o, ox) * fx
-            read = []
-            for i, j, k in offsets:
-                value = F.get(data, ((z + i) * F.col("dy") + (y + j)) * F.col("dx") + (x + k))
-                inside = (z + i < F.col("dz")) & (y + j < F.col("dy")) & (x + k < F.col("dx"))
-                read.append(F.when(inside, value).otherwise(F.lit(0.0)) if pad else value)
-            if how == "max":
-                return F.greatest(*read) if len(read) > 1 else read[0]
-            total = read[0]
-            for r in read[1:]:
-                total = total + r
-            return total / float(len(read))
-
-        return F.transform(F.sequence(F.lit(0), dims["dz"] * oy * ox - 1), one)
-
-    return patches.withColumn("data", let(F.col("data"), cells)).withColumns(dims)
+    pooled = kernels.pool(F.col("data"), F.col("dz"), F.col("dy"), F.col("dx"), factors, how, pad)
+    return kernels.pin(patches).withColumn("data", pooled).withColumns(dims)
 
 
 def block_mean(patches, f):
@@ -161,14 +138,13 @@ def project_mask(mask, keys, axis):
 def pyramid(chunks, keys, levels, scale_zyx):
     """Levels 0..levels of an 8-bit chunk table and their voxel scales.
 
-    Returns (level rows, scale rows); write the first with
-    ``partitionBy("level")``.
+    Every level is pooled from level 0, so that no rounding is rounded again;
+    chunk edges are multiples of 2^levels. Returns (level rows, scale rows);
+    write the first with ``partitionBy("level")``.
     """
-    current = chunks
-    rows = current.withColumn("level", F.lit(0))
+    rows = chunks.withColumn("level", F.lit(0))
     for level in range(1, levels + 1):
-        current = pyramid_mean_yx(current, 2)
-        rows = rows.unionByName(current.withColumn("level", F.lit(level)))
+        rows = rows.unionByName(pyramid_mean_yx(chunks, 2**level).withColumn("level", F.lit(level)))
     z, y, x = scale_zyx
     scales = chunks.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
     grow = F.pow(F.lit(2.0), F.col("level"))

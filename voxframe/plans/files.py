@@ -11,6 +11,7 @@ from voxframe.plans.registry import query
 from voxframe.plans.spatial import volumes
 from voxframe.plans.voxels import KEY, vox
 from voxframe.session import scratch_dir
+from voxframe.sources import patch_folder as patch_source
 from voxframe.sources import readers, sinks
 
 
@@ -24,6 +25,21 @@ def list_dataset(s):
     return files.select(F.regexp_extract("path", "store=([^/]*)$", 1).alias("name"))
 
 
+@query("list_tree", "", """
+    select distinct 'store' as kind, concat('g', cast(c_nationkey % 5 as varchar)) as parent, concat('n', cast(c_nationkey as varchar), '.ome.zarr') as name from customer
+    union all select distinct 'file', concat('g', cast(c_nationkey % 5 as varchar)), 'txt' from customer""")
+def list_tree(s):
+    """Folders of stores and loose files, listed level by level; stores are not entered."""
+    path = scratch_dir(s.spark, "tree")
+    nation = F.col("c_nationkey").cast("string")
+    rows = s.customer.select(F.concat(F.lit("g"), (F.col("c_nationkey") % 5).cast("string")).alias("parent"), F.concat(F.lit("n"), nation, F.lit(".ome.zarr")).alias("store"), nation.alias("value"))
+    rows.repartition("parent", "store").write.partitionBy("parent", "store").parquet(f"{path}/stores")
+    rows.repartition("parent").select("parent", "value").write.partitionBy("parent").text(f"{path}/loose/deep")
+    found = readers.list_tree(s.spark, [f"{path}/stores", f"{path}/loose"], glob="part-*")
+    name = F.when(F.col("kind") == "store", F.regexp_extract("path", "store=([^/]*)$", 1)).otherwise(F.regexp_extract("path", "[.]([a-z]+)$", 1))
+    return found.select("kind", F.regexp_extract("path", "parent=([^/]*)/", 1).alias("parent"), name.alias("name"))
+
+
 FULL = "'^(.*)/bids/(sub-[^/]+)/micr/[^/]*_SPIM[.]ome[.]zarr$'"
 RES = "'^(.*)/bids/derivatives/resampled/(sub-[^/]+)/micr/[^/]*_res-4um_SPIM[.]ome[.]zarr$'"
 DSEG = "'_seg-roi22_from-ABAv3_[^/]*_desc-deform_dseg[.]nii[.]gz$'"
@@ -204,6 +220,28 @@ def read_array_patches(s):
     return vox(decoded)
 
 
+@query("patch_folder", "D", "select volume_id, z, y, x, value from D")
+def patch_folder(s):
+    """Patches written to a folder of arrays and read back through the data source."""
+    patch_source.register(s.spark)
+    path = scratch_dir(s.spark, "patch-folder")
+    named = volumes(s).withColumn("patch_id", F.format_string("patch_%06d", "volume_id")).select("patch_id", "dz", "dy", "dx", "data")
+    named.write.format("patch_folder").mode("append").save(path)
+    stored = s.spark.read.format("patch_folder").load(path)
+    return vox(stored.withColumn("volume_id", F.regexp_extract("patch_id", "([0-9]+)$", 1).cast("int")))
+
+
+@query("patch_folder_shapes", "D", "select volume_id, cast(12 as int) as dz, cast(12 as int) as dy, cast(12 as int) as dx from (select distinct volume_id from D)")
+def patch_folder_shapes(s):
+    """Shapes from the headers alone: no array is read."""
+    patch_source.register(s.spark)
+    path = scratch_dir(s.spark, "patch-folder")
+    named = volumes(s).withColumn("patch_id", F.format_string("patch_%06d", "volume_id")).select("patch_id", "dz", "dy", "dx", "data")
+    named.write.format("patch_folder").mode("append").save(path)
+    shapes = s.spark.read.format("patch_folder").schema("patch_id string, dz int, dy int, dx int").load(path)
+    return shapes.select(F.regexp_extract("patch_id", "([0-9]+)$", 1).cast("int").alias("volume_id"), "dz", "dy", "dx")
+
+
 def cut_windows(s):
     chunks = dense.to_chunks(s.V, KEY, 6)
 
@@ -268,6 +306,22 @@ def string_functions(s):
     )
 
 
+@query("name_functions", "P", """
+    select patch_no, concat(track, '_', lpad(cast(label as varchar), cast(greatest(length(cast(label as varchar)), 3) as int), '0'), '_', subject_id) as name, concat('patch_', lpad(cast(patch_no as varchar), cast(greatest(length(cast(patch_no as varchar)), 6) as int), '0')) as file,
+           case when label % 9 = 0 then '?' else dataset end as short, case when label % 9 = 0 then '?' else dataset end as short_sql, lpad(cast(label as varchar), 3, '0') as padded_sql from P""")
+def name_functions(s):
+    """Padded ids and short data set names, as columns and as SQL functions."""
+    from voxframe.functions.scalar import dataset_short_name, numbered_id
+
+    register(s.spark)
+    whole = F.when(F.col("label") % 9 != 0, F.concat(F.lit("mouse_app_"), "dataset"))
+    return s.P.withColumn("whole", whole).select(
+        "patch_no", numbered_id(F.col("track"), F.col("subject_id"), number=F.col("label")).alias("name"),
+        numbered_id("patch", number=F.col("patch_no"), width=6).alias("file"), dataset_short_name(F.col("whole")).alias("short"),
+        F.expr("vox_dataset_short_name(whole)").alias("short_sql"), F.expr("vox_zero_pad(label, 3)").alias("padded_sql"),
+    )
+
+
 @query("box_functions", "P A", """
     with b as (select patch_no, label % 7 as a, stain_channel as c from P)
     select patch_no, cast(greatest(0, least(a + 4, c + 5) - greatest(a, c)) * greatest(0, least(a + 4, c + 5) - greatest(a, c)) * greatest(0, least(a + 4, c + 5) - greatest(a, c)) as bigint) as shared from b""")

@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from voxframe.operators import components, geometry, joins, metrics, pooling, review, stitch
+from voxframe.operators import components, geometry, joins, metrics, pooling, review, stitch, supertiles
 from voxframe.operators import dense
 from voxframe.plans.registry import query
 from voxframe.plans.spatial import CB, points_and_boxes, volumes
 from voxframe.plans.voxels import cc_sql
+from voxframe.session import scratch_dir
+from voxframe.sources import sinks
 
 KEY = ["volume_id"]
 PV = ["patch_id", "voxel"]
@@ -71,16 +73,42 @@ OWNED = """
 @query("blend_supertiles", "D", f"""
     select volume_id, z, y, x, round(sum(p * {WEIGHT}) / sum({WEIGHT}), 6) as prob from ({OWNED}) group by 1, 2, 3, 4""")
 def blend_supertiles(s):
-    """Cut each buffer once, slide windows inside it, keep the owned voxels."""
-    tiles = geometry.supertile_grid(volume_shapes(s), 6, 6, 3)
-    owned = [f"{a}{e}" for a in "zyx" for e in "01"]
-    corner = [f"b{a}0" for a in "zyx"]
-    boxes = tiles.select(
-        F.struct("volume_id", *owned, *corner).alias("tile"), "volume_id", *[F.col(f"b{a}{e}").alias(f"{a}{e}") for a in "zyx" for e in "01"]
+    """Windows of all super-tiles, each once, in the chunk that it starts in."""
+    windows = supertiles.windows(dense.to_chunks(s.V, KEY, 6), volume_shapes(s), KEY, 6, 6, 3, min_valid=1, normalise=False)
+    return blended(supertiles.blend(faded(windows), KEY, 6, 6, 3))
+
+
+def supertile_sql(least=100):
+    """Windows scaled by their voxels inside the volume, sigmoid, blend, codes, levels."""
+    levels = " union all ".join(
+        f"select volume_id, {k} as level, z, cast(floor(y / {2**k}) as int) as y, cast(floor(x / {2**k}) as int) as x, "
+        f"cast(floor(least(greatest(avg(code) + 0.5, 0e0), 255e0)) as int) as code from c group by 1, 2, 3, 4, 5"
+        for k in (1, 2)
     )
-    cut = joins.extract_windows(boxes, dense.to_chunks(s.V, KEY, 6), KEY, 6, "tile").select("tile.*", "data")
-    windows = geometry.slice_windows(cut, ["volume_id", *owned], 6, 3, 12)
-    return blended(stitch.blend_tiles(faded(windows), KEY, 6, 6, owner=True))
+    return f"""
+    with o as (select cast(unnest([-3, 0, 3, 6, 9]) as int) as s),
+    w as (select d.*, a.s as wz0, b.s as wy0, c.s as wx0 from D d join o a on d.z between a.s and a.s + 5 join o b on d.y between b.s and b.s + 5 join o c on d.x between c.s and c.s + 5),
+    st as (select volume_id, wz0, wy0, wx0, avg(value) as m, stddev_pop(value) as sd from w group by 1, 2, 3, 4 having count(*) >= {least}),
+    p as (select volume_id, z, y, x, {WEIGHT} as wt, 1 / (1 + exp(-(value - m) / case when sd > 1e-8 then sd else 1e0 end)) as p from w join st using (volume_id, wz0, wy0, wx0)),
+    c as (select volume_id, z, y, x, cast(floor(least(greatest(sum(p * wt) / sum(wt) * 255 + 0.5, 0e0), 255e0)) as int) as code from p group by 1, 2, 3, 4)
+    select volume_id, 0 as level, z, y, x, code from c union all {levels}"""
+
+
+@query("infer_volume", "D", supertile_sql())
+def infer_volume(s):
+    """From chunks of a volume to the stored pyramid of its prediction, in codes."""
+
+    def model(windows):
+        return windows.withColumn("data", F.transform("data", lambda v: 1 / (1 + F.exp(-v))))
+
+    codes = supertiles.infer(dense.to_chunks(s.V, KEY, 4), volume_shapes(s), KEY, model, 4, 6, 3, min_valid=100)
+    path = scratch_dir(s.spark, "inference")
+    sinks.write_pyramid(*pooling.pyramid(codes.withColumn("data", F.col("data").cast("array<double>")), KEY, 2, (4e-3, 4e-3, 4e-3)), path)
+    rows, _ = sinks.read_pyramid(s.spark, path)
+    voxels = dense.to_voxels(rows, [*KEY, "level", "cz", "cy", "cx", "dz"])
+    edge = {"z": F.col("dz"), "y": F.lit(4) / F.pow(F.lit(2), "level"), "x": F.lit(4) / F.pow(F.lit(2), "level")}
+    at = [(F.col(f"c{a}") * edge[a] + F.col(a)).cast("int").alias(a) for a in "zyx"]
+    return voxels.select("volume_id", "level", *at, F.col("value").cast("int").alias("code"))
 
 
 @query("ensemble_vote", "H", """

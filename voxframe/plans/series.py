@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from voxframe.plans.files import cut_windows
 from voxframe.plans.registry import query
+from voxframe.plans.scores import STATE
 from voxframe.session import scratch_dir
-from voxframe.streaming import jobs, metrics
+from voxframe.streaming import jobs, metrics, state
 
 SERIES = ["run_id", "metric"]
 STREAM_FILES = 4
@@ -51,6 +52,69 @@ def sample_tumbling_stream(s):
     return stamp(jobs.latest(s.spark, path, [*SERIES, "start"]))
 
 
+#: Files in which the events arrive: eight days each, every twentieth two files late.
+ARRIVAL = "cast(floor((day(ts) - 1) / 8) as int) + case when step % 20 = 0 then 2 else 0 end"
+ARRIVALS = f"""
+    with a as (select *, {ARRIVAL} as f, time_bucket(interval '6 hours', ts) as start from T), m as (select f, max(ts) as m from a group by 1),
+    c as (select f, max(m) over (order by f rows between unbounded preceding and 1 preceding) as clock from m),
+    r as (select a.*, coalesce(start + interval '6 hours' <= clock - interval '3 days', false) as late from a join c using (f))"""
+
+
+def arrivals(s):
+    """(samples, late rows) of the events in their order of arrival."""
+    path = scratch_dir(s.spark, "arrivals")
+    rows = s.T.select("step", F.col("ts").cast("timestamp").alias("ts"), "run_id", "metric", "value").withColumn("f", F.expr(ARRIVAL))
+    for f in range(6):  # one file after the other: their times are their order
+        rows.filter(F.col("f") == f).drop("f").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = metrics.read_metrics(s.spark, f"{path}/in", rows.drop("f").schema, "parquet", 1)
+    jobs.sample_arrivals(stream, SERIES, "6 hours", "3 days", path, f"{path}/state")
+    return jobs.arrived_samples(s.spark, path, SERIES)
+
+
+@query("sample_arrivals", "T", f"""{ARRIVALS}
+    select run_id, metric, strftime(start, '%Y-%m-%d %H:%M:%S') as start, arg_max(value, (ts, step)) as value from r where not late group by 1, 2, 3""")
+def sample_arrivals(s):
+    return stamp(arrivals(s)[0])
+
+
+@query("late_rows", "T", f"{ARRIVALS} select run_id, metric, count(*) as n, min(step) as first_step from r where late group by 1, 2")
+def late_rows(s):
+    return arrivals(s)[1].groupBy(*SERIES).agg(F.count("*").alias("n"), F.min("step").alias("first_step"))
+
+
+#: Two layouts of monitor files; small values are not measured (empty cells).
+MONITORS = {0: ["gpu0_util_pct", "mem_used_gb", "cpu_load_1m"], 1: ["cpu_load_1m", "gpu0_power_w", "gpu0_mem_mb", "gpu0_util_pct"]}
+
+
+def monitor_sql():
+    cells = {"gpu0_util_pct": ("%", "value"), "mem_used_gb": ("GB", "value / 4"), "cpu_load_1m": (None, "value / 8"), "gpu0_power_w": ("W", "value * 2"), "gpu0_mem_mb": ("MB", "value * 64")}
+    parts = []
+    for k, names in MONITORS.items():
+        for n in names:
+            unit, value = cells[n]
+            unit = f"'{unit}'" if unit else "cast(null as varchar)"
+            parts.append(f"select step % 2 as layout, ts, '{n}' as metric, {unit} as unit, {value} as value from m where step % 2 = {k} and {value} >= 10")
+    return "with m as (select step, date_trunc('second', ts) as ts, floor(value) as value from T), r as (" + " union all ".join(parts) + """)
+        select layout, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, metric, unit, count(*) as n, sum(value) as total from r group by 1, 2, 3, 4"""
+
+
+@query("monitor_long_form", "T", monitor_sql())
+def monitor_long_form(s):
+    """Wide monitor files with different headers, streamed into long rows."""
+    values = {"gpu0_util_pct": "value", "mem_used_gb": "value / 4", "cpu_load_1m": "value / 8", "gpu0_power_w": "value * 2", "gpu0_mem_mb": "value * 64"}
+    rows = s.T.select("step", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), F.floor("value").cast("double").alias("value"))
+    cell = {n: F.when(F.expr(v) >= 10, F.expr(v).cast("string")).otherwise("") for n, v in values.items()}
+    line = F.when(F.col("step") % 2 == 0, F.concat_ws(",", "at", *[cell[n] for n in MONITORS[0]])).otherwise(F.concat_ws(",", "at", *[cell[n] for n in MONITORS[1]]))
+    heads = s.spark.createDataFrame([(k, -1, ",".join(["timestamp", *names])) for k, names in MONITORS.items()], "layout long, pos long, line string")
+    lines = rows.select((F.col("step") % 2).alias("layout"), F.col("step").alias("pos"), line.alias("line")).unionByName(heads)
+    path = scratch_dir(s.spark, "monitor")
+    lines.repartition("layout").sortWithinPartitions("layout", "pos").select("layout", "line").write.partitionBy("layout").text(f"{path}/in")
+    jobs.monitor_stream(s.spark, f"{path}/in", f"{path}/out", f"{path}/state", 1)
+    found = s.spark.read.parquet(f"{path}/out/batch=*")
+    layout = F.regexp_extract("file", "layout=([0-9]+)/", 1).cast("long")
+    return stamp(found, "ts").groupBy(layout.alias("layout"), "ts", "metric", "unit").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
 @query("read_metrics", "T", "select run_id, count(*) as n, round(sum(value), 4) as total from T group by 1")
 def read_metrics(s):
     path = scratch_dir(s.spark, "metrics")
@@ -96,6 +160,26 @@ def collapse_alert_stream(s):
     return jobs.latest(s.spark, path, ["run_id"])
 
 
+@query("collapse_alert_state", "T", COLLAPSE)
+def collapse_alert_state(s):
+    """The alert as state per run: a row when the answer for a run changes."""
+    state.use_state_store(s.spark)
+    path = scratch_dir(s.spark, "alert-state")
+    jobs.run_available(state.collapse_alerts(series_stream(s), "run_id"), path, f"{path}-state")
+    return jobs.latest(s.spark, path, ["run_id"]).drop("alerts")
+
+
+@query("review_states", "EV", STATE)
+def review_states(s):
+    """The review log as a stream, dealt over files that do not keep its order."""
+    state.use_state_store(s.spark)
+    path = scratch_dir(s.spark, "review-state")
+    s.EV.withColumn("_f", F.pmod(F.xxhash64("seq"), F.lit(STREAM_FILES))).repartition(STREAM_FILES, "_f").drop("_f").write.parquet(f"{path}-in")
+    events = metrics.read_metrics(s.spark, f"{path}-in", s.EV.schema, "parquet", 1)
+    jobs.run_available(state.review_states(events), path, f"{path}-state")
+    return jobs.latest(s.spark, path, ["patch_id"])
+
+
 @query("ema_smooth", "T", """
     with recursive n as (select run_id, step, sqrt(value) as value, row_number() over (partition by run_id order by step) as i from T),
     e as (select run_id, step, i, value as smooth from n where i = 1 union all select n.run_id, n.step, n.i, 1e-2 * n.value + 99e-2 * e.smooth from e join n on n.run_id = e.run_id and n.i = e.i + 1)

@@ -1,10 +1,11 @@
 """Queries over voxel values: normalise, count, pool, resample, filter, label, audit."""
 
+import functools
 import math
 
 from pyspark.sql import functions as F
 
-from voxframe.operators import audit, components, dense, filters, histogram, joins, normalize, pooling
+from voxframe.operators import audit, chain, components, dense, filters, geometry, histogram, joins, normalize, pooling
 from voxframe.plans.registry import query
 from voxframe.plans.spatial import volumes
 from voxframe.session import ensure_checkpoint_dir, scratch_dir
@@ -93,6 +94,25 @@ def global_stats(s):
     return out.select("volume_id", "n_fore", F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"))
 
 
+#: A stand-in for a bias-corrected copy: some voxels fade to nothing.
+CORRECTED = "case when (y + 2 * x) % 7 = 0 then 0e0 else value / (1 + z * 5e-2) + x * 25e-2 end"
+
+
+@query("global_stats_corrected", "V", f"""
+    with p as (select volume_id, count(*) as nz, quantile_cont(value, 0.05) as q from V where value > 0 group by 1),
+    f as (select v.volume_id, {CORRECTED} as c from V v join p using (volume_id) where v.value > case when nz > 200 then q else 0 end),
+    g as (select volume_id, count(*) as n, avg(c) as m, stddev_pop(c) as s from f where c > 0 group by 1)
+    select a.volume_id, coalesce(n, 0) as n_fore, round(case when n > 200 then m else 0e0 end, 6) as mu, round(case when n > 200 then s else 1e0 end, 6) as sigma
+    from (select distinct volume_id from V) a left join g using (volume_id)""")
+def global_stats_corrected(s):
+    """Cut on the raw intensities, moments of the corrected ones."""
+    raw = dense.to_chunks(s.V, KEY, 6).withColumnRenamed("data", "raw")
+    corrected = dense.to_chunks(s.V.withColumn("value", F.expr(CORRECTED)), KEY, 6).select(*KEY, "cz", "cy", "cx", F.col("data").alias("corrected"))
+    both = raw.join(corrected, [*KEY, "cz", "cy", "cx"])
+    out = normalize.global_stats(both, KEY, 200, raw="raw", corrected="corrected")
+    return out.select("volume_id", "n_fore", F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"))
+
+
 @query("pool_reference_stats", "", """
     with st as (select l_orderkey as patch_id, l_returnflag as ref_dataset, l_linestatus as ref_subject,
                        case when count(*) >= 2 then avg(l_quantity) end as mu, case when count(*) >= 2 then stddev_pop(l_quantity) end as sigma from lineitem group by 1, 2, 3),
@@ -123,6 +143,47 @@ def reference_zscore(s):
     return vox(normalize.reference_zscore(volumes(s).join(stats, KEY)))
 
 
+CHAIN = """
+    with ds as (select distinct volume_id, cast(floor(volume_id / 10) as bigint) as ds from V),
+    c as (select volume_id, z, y, x, value as raw, value / case when z > 8 or y > 8 or x > 8 then 1e0 else 1 + volume_id % 4 / 10e0 end as c from V),
+    pr as (select w.patch_id, r.volume_id as ref, w.z0, w.y0, w.x0 from W w join ds r on r.ds = floor(w.volume_id / 10) and r.volume_id % 10 in (0, 3)),
+    st as (select patch_id, ref, avg(c.c) as m, stddev_pop(c.c) as s, count(c.c) as n from pr left join c on c.volume_id = pr.ref and c.z between z0 and z0 + 5 and c.y between y0 and y0 + 5 and c.x between x0 and x0 + 5 and c.raw > 0 group by 1, 2),
+    q as (select volume_id, count(*) as nz, quantile_cont(raw, 0.05) as q from c where raw > 0 group by 1),
+    gl as (select q.volume_id, case when count(c.c) > 200 then avg(c.c) else 0e0 end as m, case when count(c.c) > 200 then stddev_pop(c.c) else 1e0 end as s from q join c on c.volume_id = q.volume_id and c.raw > case when nz > 200 then q else 0 end and c.c > 0 group by 1),
+    u as (select st.*, n >= 30 and st.s >= 1e-6 as ok, gl.m as gm, gl.s as gs from st join gl on gl.volume_id = st.ref),
+    po as (select patch_id, avg(case when ok then m else gm end) as mu, sqrt(avg(pow(case when ok then s else gs end, 2))) as sigma, count(*) filter (where not ok) as fallback_count from u group by 1),
+    """
+
+
+def reference_chain(s):
+    """Windows of W against the windows of two reference volumes of the same set."""
+    volume = F.col("volume_id")
+    chunks = dense.to_chunks(s.V, KEY, 6)
+    boxes = s.W.selectExpr("patch_id", "volume_id", *[f"{a}0" for a in "zyx"], *[f"{a}0 + 6 as {a}1" for a in "zyx"])
+    refs = s.V.select("volume_id").distinct().filter("volume_id % 10 in (0, 3)")
+    subjects = refs.select(F.floor(volume / 10).cast("string").alias("dataset"), volume.cast("string").alias("subject_id"))
+    patches = boxes.withColumn("dataset", F.floor(volume / 10).cast("string")).drop("volume_id")
+    pairs = joins.attach_references(patches, subjects).filter("not pooled").withColumn("volume_id", F.col("ref_subject").cast("int"))
+    bias = F.array_repeat(1 + volume % 4 / F.lit(10.0), 27)
+    fields = refs.select("volume_id", *[F.lit(3).alias(f"b{a}") for a in "zyx"], bias.alias("bias"))
+    return chain.reference_normalised(boxes, pairs, chunks, fields, "patch_id", "volume_id", 6, (0.25, 0.25, 0.25), 4, 30, 200)
+
+
+@query("reference_chain_stats", "W V", CHAIN + """
+    o as (select patch_id from W) select patch_id, round(mu, 6) as mu, round(sigma, 6) as sigma, fallback_count from po join o using (patch_id)""")
+def reference_chain_stats(s):
+    out = reference_chain(s)
+    return out.select("patch_id", F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"), "fallback_count")
+
+
+@query("reference_chain", "W V", CHAIN + """
+    i as (select cast(unnest(range(4)) as int) as i)
+    select w.patch_id, a.i as z, b.i as y, d.i as x, round((coalesce(v.value, 0) - mu) / greatest(sigma, 1e-6), 6) as value from W w join po using (patch_id), i a, i b, i d
+      left join V v on v.volume_id = w.volume_id and v.z = w.z0 + 1 + a.i and v.y = w.y0 + 1 + b.i and v.x = w.x0 + 1 + d.i""")
+def reference_chain_windows(s):
+    return vox(reference_chain(s), keys=["patch_id"])
+
+
 FIELD = "select volume_id, cast(floor(z / 4) as int) as z, cast(floor(y / 4) as int) as y, cast(floor(x / 4) as int) as x, 1 + sum(value) / 6400 as b from D group by 1, 2, 3, 4"
 
 
@@ -177,6 +238,33 @@ def pyramid_max_yx(s):
     return pooling.pyramid_max_yx(s.M, KEY, 2, (12, 12))
 
 
+ORDERS = ("zyx", "zxy", "yzx", "yxz", "xzy", "xyz")
+TURNS = ("noflip", "flipxz")
+
+
+def orders_sql(source):
+    flip = lambda a: f"case when strpos(substr(variant, 5), '{a}') > 0 then 11 - {a} else {a} end"
+    parts = (f"select volume_id, '{p}' as perm, variant, " + ", ".join(f"{flip(a)} as {c}" for a, c in zip(p, "ijk")) + f", value from {source}, turns where value > 30" for p in ORDERS)
+    return "with turns as (select unnest(['noflip', 'flipxz']) as variant) " + " union all ".join(parts)
+
+
+@query("reorient_orders", "V", orders_sql("V"))
+def reorient_orders(s):
+    """Sparse voxels in all six orders of the axes."""
+    bright = s.V.filter("value > 30")
+    parts = [geometry.reorient(bright, (12, 12, 12), TURNS, p).withColumn("perm", F.lit(p)) for p in ORDERS]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts).select("volume_id", "perm", "variant", "i", "j", "k", "value")
+
+
+@query("reorient_dense", "D", orders_sql("D"))
+def reorient_dense(s):
+    """Dense rows in all six orders of the axes."""
+    parts = [geometry.reorient_dense(volumes(s), TURNS, p).withColumn("perm", F.lit(p)) for p in ORDERS]
+    rows = functools.reduce(lambda a, b: a.unionByName(b), parts)
+    cells = dense.to_voxels(rows, ["volume_id", "perm", "variant"], keep=F.col("value") > 30)
+    return cells.select("volume_id", "perm", "variant", F.col("z").alias("i"), F.col("y").alias("j"), F.col("x").alias("k"), "value")
+
+
 @query("pool_to_grid", "M", """
     select distinct volume_id, cast(least(floor(z * (5e0 / 12)), 4) as int) as z, cast(least(floor(y * (5e0 / 12)), 4) as int) as y, cast(least(floor(x * (5e0 / 12)), 4) as int) as x from M""")
 def pool_to_grid(s):
@@ -239,7 +327,7 @@ def project_mask(s):
 
 @query("write_pyramid", "D", """
     with l1 as (select volume_id, z, cast(floor(y / 2) as int) as y, cast(floor(x / 2) as int) as x, floor(least(greatest(sum(value) / 4 + 0.5, 0e0), 255e0)) as value from D group by 1, 2, 3, 4),
-    l2 as (select volume_id, z, cast(floor(y / 2) as int) as y, cast(floor(x / 2) as int) as x, floor(least(greatest(sum(value) / 4 + 0.5, 0e0), 255e0)) as value from l1 group by 1, 2, 3, 4),
+    l2 as (select volume_id, z, cast(floor(y / 4) as int) as y, cast(floor(x / 4) as int) as x, floor(least(greatest(sum(value) / 16 + 0.5, 0e0), 255e0)) as value from D group by 1, 2, 3, 4),
     a as (select 0 as level, * from D union all select 1, * from l1 union all select 2, * from l2)
     select volume_id, level, round(4e-3 * pow(2e0, level), 6) as sy, count(*) as n, sum(value) as total, sum(value * (z * 10000 + y * 100 + x)) as moment from a group by 1, 2, 3""")
 def write_pyramid(s):
@@ -378,6 +466,27 @@ def connected_components_6(s):
     return components.connected_components(s.M, KEY, 6)
 
 
+def mask_chunks(s, edge=4):
+    """The mask as dense chunk rows, several of which any larger object passes through."""
+    return dense.to_chunks(s.M.withColumn("value", F.lit(1.0)), KEY, edge)
+
+
+def label_rows(chunks, edge=4):
+    rows = dense.chunk_voxels(chunks, KEY, edge, keep=F.col("component") >= 0, value="component")
+    return rows.select("volume_id", "z", "y", "x", "component")
+
+
+@query("volume_components", "M", f"with recursive {cc_sql('M')} select volume_id, z, y, x, component from cc")
+def volume_components(s):
+    """Objects through many chunks, labelled chunk by chunk and joined at the faces."""
+    return label_rows(components.volume_components(mask_chunks(s), KEY, 4, 26))
+
+
+@query("volume_components_6", "M", f"with recursive {cc_sql('M', 6)} select volume_id, z, y, x, component from cc")
+def volume_components_6(s):
+    return label_rows(components.volume_components(mask_chunks(s, 3), KEY, 3, 6), 3)
+
+
 @query("size_filter", "M", f"""
     with recursive {cc_sql('M', 6)}, sz as (select volume_id, component, count(*) as n from cc group by 1, 2 having count(*) >= 3),
     nb as (select *, row_number() over (partition by volume_id order by component) as component_id from sz)

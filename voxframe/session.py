@@ -59,3 +59,34 @@ def bound_batches(spark, size=4 << 20):
 def scratch_dir(spark, name):
     """A new folder next to the checkpoints, shared by all executors."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+class RoundTables:
+    """Tables of an iteration in the shared folder, removed when they are done with.
+
+    A table is written before the ones it was made from go, so a lost executor
+    finds all it needs in the shared folder.
+    """
+
+    def __init__(self, spark, name):
+        self.spark, self.folder, self.paths = spark, scratch_dir(spark, name), {}
+
+    def keep(self, df):
+        """Write a table and read it back."""
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        # The schema is known: no job to infer it, and empty tables have one.
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = (path, table)
+        return table
+
+    def drop(self, table):
+        path, _ = self.paths.pop(id(table))
+        jvm = self.spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+    def drop_all_but(self, kept):
+        for _, table in list(self.paths.values()):
+            if table is not kept:
+                self.drop(table)

@@ -1,22 +1,86 @@
 """Readers: listings, manifests, metadata, centroids, array files."""
 
+import fnmatch
+import functools
 import io
+import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from voxframe import schemas
 from voxframe.functions.scalar import CELL_MOD, cell_hash, file_name, hash_rank, let
 from voxframe.operators.geometry import DEFAULT_SCALE_ZYX
 from voxframe.operators.keys import ANGLED, resolve_preferred
+from voxframe.session import RoundTables
+from voxframe.sources.patch_folder import open_folder
+
+
+#: A directory with such a name is one store; what is in it is not listed.
+STORE = r"\.ome\.zarr$"
+LISTING = "path string, kind string, length long, modified timestamp"
+#: Schemes of addresses that the tasks can list on their own.
+LISTED = ("", "file", "s3", "gs", "gcs", "hdfs", "abfs")
+
+
+def list_level(directories, store=STORE, glob="*"):
+    """What is directly in the given directories: (path, kind, length, modified).
+
+    ``kind`` is ``dir``, ``store`` or ``file``; files are those whose name fits
+    ``glob``. Directories are listed by the tasks; one that is gone lists nothing.
+    """
+    def run(batches):
+        is_store = re.compile(store)
+        for batch in batches:
+            out = [[], [], [], []]
+            for path in batch.column("path").to_pylist():
+                prefix = "file:" if path.startswith("file:") else ""
+                system, place = open_folder(path)
+                scheme = path.split("://")[0] + "://" if "://" in path and not prefix else prefix
+                for info in system.get_file_info(fs.FileSelector(place, allow_not_found=True)):
+                    directory = info.type == fs.FileType.Directory
+                    kind = ("store" if is_store.search(info.base_name) else "dir") if directory else "file"
+                    if kind != "file" or fnmatch.fnmatchcase(info.base_name, glob):
+                        for column, value in zip(out, (scheme + info.path, kind, None if directory else info.size, info.mtime)):
+                            column.append(value)
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.timestamp("us", "UTC"))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["path", "kind", "length", "modified"])
+
+    return directories.select("path").mapInArrow(run, LISTING)
+
+
+def list_tree(spark, roots, store=STORE, glob="*"):
+    """Files and stores below the roots, level by level: (path, kind, length, modified).
+
+    The directories of a level are a table that tasks share out and list; only
+    whether there is a next level comes to the driver. A store is one row and is
+    not entered, so its chunks are never listed. A root that is a store is one
+    row; roots that contain one another give their rows once each.
+    """
+    tables = RoundTables(spark, "listing")
+    start = spark.createDataFrame([(r.rstrip("/") or "/",) for r in roots], "path string").distinct()
+    own = start.filter(F.col("path").rlike(store)).select("path", F.lit("store").alias("kind"), F.lit(None).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modified"))
+    found, level = [own], start.filter(~F.col("path").rlike(store))
+    while True:
+        # A directory may hold very many others: each goes to a task of its own.
+        listed = tables.keep(list_level(level.repartition(F.col("path")), store, glob))
+        found.append(listed.filter("kind <> 'dir'"))
+        level = listed.filter("kind = 'dir'")
+        if level.isEmpty():
+            return functools.reduce(lambda a, b: a.unionAll(b), found).distinct()
 
 
 def list_dataset(spark, roots, glob="*"):
-    """Files under the roots; contents are never read.
+    """Files and stores under the roots; contents are never read.
 
-    A directory store counts as one entry, cut at its ``.ome.zarr`` name.
+    A directory store counts as one entry, cut at its ``.ome.zarr`` name. Folders
+    that only Spark's own file systems reach are listed by Spark, too.
     """
+    if all((r.split(":", 1)[0] if re.match(r"^[A-Za-z0-9+.-]+:", r) else "") in LISTED for r in roots):
+        return list_tree(spark, roots, glob=glob)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -24,10 +88,11 @@ def list_dataset(spark, roots, glob="*"):
         .load(list(roots))
         .select("path", "length", "modificationTime")
     )
-    store = F.regexp_extract("path", r"^(.*?\.ome\.zarr)(/|$)", 1)
-    entry = F.when(store != "", store).otherwise(F.col("path"))
-    return files.groupBy(entry.alias("path")).agg(
-        F.sum("length").alias("length"), F.max("modificationTime").alias("modified"), F.count("*").alias("n_files")
+    cut = F.regexp_extract("path", r"^(.*?\.ome\.zarr)(/|$)", 1)
+    entry = F.when(cut != "", cut).otherwise(F.col("path"))
+    kind = F.when(cut != "", "store").otherwise("file")
+    return files.groupBy(entry.alias("path"), kind.alias("kind")).agg(
+        F.when(F.first(kind) == "file", F.sum("length")).alias("length"), F.max("modificationTime").alias("modified")
     )
 
 

@@ -61,10 +61,14 @@ def materialize_patches(cut, manifest, key, out):
     )
 
 
-def existing(spark, out, key):
-    """Keys already in a store, or None if there is no store."""
+def existing(spark, out, key, kind=None):
+    """Keys already in a store, or None if there is no store.
+
+    With ``kind``, the key's type, no file of the store is opened to learn it.
+    """
+    reader = spark.read.schema(f"`{key}` {kind}") if kind else spark.read
     try:
-        return spark.read.parquet(out).select(key)
+        return reader.parquet(out).select(key)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None

@@ -28,26 +28,56 @@ def read_metrics(spark, path, schema=None, fmt="csv", files_per_trigger=None, gl
     return reader.load(path)
 
 
-def long_form(monitor, keys=()):
-    """Monitor rows to (keys, ts, metric, value)."""
-    values = [c for c in monitor.columns if c not in ("timestamp", *keys)]
-    pairs = F.map_from_arrays(F.array(*[F.lit(c) for c in values]), F.array(*[F.col(c) for c in values]))
-    ts = F.to_timestamp("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts")
-    return monitor.select(*keys, ts, F.explode(pairs).alias("metric", "value"))
+def monitor_lines(spark, path, files_per_trigger=None):
+    """The lines of monitor files as a stream of (file, line)."""
+    reader = spark.readStream.option("recursiveFileLookup", True)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+
 
+#: What the last part of a column name says about its unit.
+UNITS = {"pct": "%", "mb": "MB", "gb": "GB", "w": "W"}
 
-def sample_tumbling(series, keys, interval=f"{SAMPLE_SECONDS} seconds", watermark=None):
+
+def long_form(lines, first="timestamp"):
+    """Lines (file, line) of wide CSV files to (file, ts, metric, unit, value).
+
+    Each file has a header of its own, the line that begins with the ``first``
+    column; files may have different columns, in any order. Empty cells, cells
+    beyond the header and cells that are no numbers give no row. ``unit`` comes
+    from the end of the column name and is null for plain numbers.
+    """
+    cells = F.split("line", ",", -1)
+    header = F.col("line").startswith(first + ",")
+    names = lines.filter(header).groupBy("file").agg(F.split(F.max("line"), ",", -1).alias("names"))
+    rows = lines.filter(~header & (F.col("line") != "") & ~F.col("line").startswith("#")).join(names, "file")
+    wide = rows.select("file", F.to_timestamp(F.get(cells, F.lit(0)), "yyyy-MM-dd HH:mm:ss").alias("ts"), "names", cells.alias("cells"))
+    found = wide.select("file", "ts", F.explode(F.arrays_zip("names", "cells")).alias("p")).select(
+        "file", "ts", F.col("p.names").alias("metric"), F.col("p.cells").try_cast("double").alias("value")
+    )
+    units = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
+    unit = F.try_element_at(units, F.element_at(F.split("metric", "_"), -1))
+    return found.filter(F.col("metric").isNotNull() & (F.col("metric") != first) & F.col("value").isNotNull()).select(
+        "file", "ts", "metric", unit.alias("unit"), "value"
+    )
+
+
+def sample_tumbling(series, keys, interval=f"{SAMPLE_SECONDS} seconds", watermark=None, order=False):
     """Last value of each series per interval.
 
     On a stream give ``watermark``: rows later than it are dropped, which also
-    bounds the state.
+    bounds the state. ``order`` adds what the value is the last by, for samples
+    that are put together later.
     """
     if watermark:
         series = series.withWatermark("ts", watermark)
+    at = F.struct("ts", "step")
+    extra = [F.max(at).alias("order")] if order else []
     return (
         series.groupBy(F.window("ts", interval).alias("w"), *keys)
-        .agg(F.max_by("value", F.struct("ts", "step")).alias("value"))
-        .select(*keys, F.col("w.start").alias("start"), "value")
+        .agg(F.max_by("value", at).alias("value"), *extra)
+        .select(*keys, F.col("w.start").alias("start"), "value", *["order"] * order)
     )
 
 
