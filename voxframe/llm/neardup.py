@@ -8,23 +8,27 @@
 2. Documents with equal sets collapse to one node, so a group of exact copies
    costs one row from here on.
 3. Every bucket links its members to one centre only (a star): pairs grow with
-   the members, never with their square. Bands choose centres in two orders. Candidate pairs are confirmed on the
-   full sets of both texts.
-4. Components. Then buckets that still hold several components get more
-   centres, for the members of other components than the centre's only. Their
-   number grows with each round until a bucket is one component or all its
-   members outside its largest component have been centres: then any two of its
-   members are linked or have been compared. A bucket that stays mixed thus
-   costs pairs with the square of its members, as no pair is left out.
+   the members, never with their square. Bands choose centres in two orders.
+   Candidate pairs are confirmed on the full sets of both texts. Components.
+4. What the stars leave open are pairs of a bucket that are in different
+   components. The members of such buckets meet by their rarest shingles: in one
+   order for all, by rising frequency, two sets of the threshold's similarity
+   share one of their first n - ceil(t n) + 1. Pairs of one component are left
+   out, as are pairs whose sizes, or the places of the shared shingle, leave too
+   little to share. That loses no pair, and members of one template that differ
+   in what is their own never meet. Frequencies come from counters of a fixed
+   number; where they err, a shingle is only put in another place for all.
 
 The number of bands is chosen so that a pair at the threshold shares no bucket
 with a probability below 1e-6. Shingles are compared by 64-bit hashes.
 
 Defined results: texts without words (null and empty ones too) have no shingles
 and are linked with nothing; fewer words than a shingle make one shingle of the
-whole sequence; repeated rows belong to the same class and are all returned; a
-row without id takes no part (its class is null, it is kept). Other columns are
-ignored.
+whole sequence; texts of any length are compared whole; repeated rows belong to
+the same class and are all returned; ids with several texts stand for all classes
+that these are in, and each of their rows has its own; a row without id takes no
+part (its class is null, it is kept); an empty table gives no rows. Other columns
+are ignored.
 """
 
 import hashlib
@@ -36,7 +40,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from voxframe.llm import text as tx
-from voxframe.session import bound_batches, ensure_checkpoint_dir
+from voxframe.session import RoundTables, bound_batches, ensure_checkpoint_dir
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -45,9 +49,9 @@ MISS = 1e-6
 #: Orders in which buckets choose their centres in a round. All buckets share an
 #: order, so a member of many buckets meets few different centres.
 ORDERS = 2
-#: Centres of a bucket in the first round after the stars, and their growth.
-FIRST_CENTRES, GROWTH = 4, 8
-#: Members of a bucket that meet its centres in one task.
+#: Counters of shingles (8 MB at most to all executors).
+COUNTERS = 1 << 20
+#: Rows of a shingle that meet the outsiders of it in one task.
 BLOCK_MEMBERS = 4096
 #: Most ids that are sent to all executors (8 bytes each); more are joined.
 BROADCAST_IDS = 400_000
@@ -122,7 +126,11 @@ def band_keys(signature, rows, bands):
     return tx.mix(keys + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>"
+SKETCH = "doc_id long, text_hash binary, n_shingles long, digest binary, bands array<long>"
+
+
+def text_hash():
+    return F.unhex(F.md5("text"))
 
 
 def sketches(docs, k, percent):
@@ -139,22 +147,23 @@ def sketches(docs, k, percent):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_hash"),
                     pa.array(counts),
                     pa.array(digests, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel())),
                 ],
-                names=["doc_id", "n_shingles", "digest", "bands"],
+                names=["doc_id", "text_hash", "n_shingles", "digest", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), "text", text_hash().alias("text_hash")).mapInArrow(run, SKETCH)
 
 
 def confirmed(pairs, docs, k, percent):
     """Pairs (a, b) whose full sets reach the threshold; texts join by id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     if 2 * pairs.count() <= BROADCAST_IDS:
         # Few texts are asked for: drop the others before they are shuffled.
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         texts = texts.join(F.broadcast(ids), "id", "left_semi")
     b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
@@ -211,32 +220,122 @@ def components(edges):
         labels = hooked.join(up, "label", "left").select("u", F.least("label", "top").alias("label")).coalesce(few).checkpoint()
 
 
-def _pairs(met, nodes, percent, tried=None):
-    """Distinct pairs (a, b) of members that met a centre, with their digests."""
-    near_enough = 100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")
-    pairs = (
-        met.filter((F.col("label") != F.col("label_a")) & near_enough)
-        .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        .distinct()
-    )
-    if tried is not None:
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+def _pairs(met, nodes):
+    """Distinct pairs (a, b) of what met, with their digests."""
+    pairs = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     for side in "ab":
         pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("digest").alias(f"digest_{side}")), side)
-    return pairs.checkpoint()
+    return pairs
 
 
-def near_duplicates(spark, docs, k=5, percent=80):
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+def near_enough(n, m, percent):
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def _sets(batch, k):
+    """(row, its shingles) of a batch, where they are those that were hashed."""
+    hashes, counts = shingle_sets(*tx.raw(batch.column("text")), k)
+    digests, end = batch.column("digest").to_pylist(), 0
+    for i, n in enumerate(counts.tolist()):
+        end += n
+        own = hashes[end - n : end]
+        if hashlib.blake2b(own.tobytes(), digest_size=16).digest() == digests[i]:
+            yield i, own
+
+
+def counted(rows, k):
+    """(counter, n): how often the shingles of the rows' texts occur, by counter."""
+
+    def run(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in tx.blocks(batches):
+            for _, own in _sets(batch, k):
+                np.add.at(total, (own & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["counter", "n"])
+
+    return rows.mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+
+
+def rare_shingles(rows, k, percent, counts):
+    """(token, pos, node, n, label): the first shingles of each set, rarest first."""
+
+    def run(batches):
+        for batch in tx.blocks(batches):
+            out, at = [], []
+            for i, own in _sets(batch, k):
+                n = len(own)
+                often = counts.value[(own & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                out.append(own[np.lexsort((own, often))[: n + (-percent * n) // 100 + 1]])
+                at.append(i)
+            sizes = [len(x) for x in out]
+            take = pa.array(np.repeat(np.array(at, np.int64), sizes))
+            pos = np.concatenate([np.arange(x, dtype=np.int32) for x in sizes]) if sizes else np.zeros(0, np.int32)
+            token = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(token), pa.array(pos), *(batch.column(c).take(take) for c in ("node", "n", "label"))],
+                names=["token", "pos", "node", "n", "label"],
+            )
+
+    return rows.mapInArrow(run, "token long, pos int, node long, n int, label long")
+
+
+def _meetings(tokens, percent):
+    """Pairs (a, node) of different components that share a rare shingle.
+
+    Rows of a shingle meet those outside its largest component only, in blocks,
+    so that a shingle of very many sets is the work of many tasks.
+    """
+    mixed = (
+        tokens.groupBy("token", "label")
+        .agg(F.count("*").alias("size"))
+        .groupBy("token")
+        .agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("members"))
+        .filter(F.col("members") > F.col("top.size"))
+        .select("token", F.col("top.label").alias("largest"), F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("blocks"))
+    )
+    rows = tokens.join(mixed, "token")
+    outsiders = rows.filter("label <> largest").select(
+        "token",
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        *[F.col(c).alias(f"{c}_a") for c in ("pos", "n", "label")],
+        F.col("node").alias("a"),
+    )
+    dealt = rows.select("token", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "pos", "node", "n", "label")
+    # Behind a shared shingle at these places at most so many can follow.
+    room = F.least(F.col("n") - F.col("pos"), F.col("n_a") - F.col("pos_a"))
+    enough = (100 + percent) * room >= percent * (F.col("n") + F.col("n_a"))
+    return dealt.join(outsiders, ["token", "block"]).filter((F.col("label") != F.col("label_a")) & near_enough("n", "n_a", percent) & enough)
+
+
+def _open_pairs(spark, docs, nodes, shared, labels, k, percent, tables):
+    """Candidate pairs of different components among the members of mixed buckets."""
+    rows = shared.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    mixed = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    members = rows.join(mixed.select("bucket"), "bucket", "left_semi").select("node", "label").distinct()
+    members = tables.keep(members.join(nodes.select("node", "n", "digest"), "node"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    few = members.count() <= BROADCAST_IDS
+    asked = texts.join(F.broadcast(members) if few else members, F.col("id") == F.col("node")).select("node", "n", "label", "digest", "text")
+    table = np.zeros(COUNTERS, np.int32)
+    for row in counted(asked, k).toArrow().to_batches():
+        table[row.column("counter").to_numpy()] = np.minimum(row.column("n").to_numpy(), 2**31 - 1)
+    counts = spark.sparkContext.broadcast(table)
+    # One row per set: several rows of the id may hold the same text.
+    tokens = tables.keep(rare_shingles(asked, k, percent, counts).distinct())
+    return _pairs(_meetings(tokens, percent), nodes)
+
+
+def classes(spark, docs, k, percent):
+    """One row per row of ``docs``: doc_id, text_hash, n_shingles, component_id."""
     ensure_checkpoint_dir(spark)
     bound_batches(spark)
-    sketched = sketches(docs, k, percent).checkpoint()
+    tables = RoundTables(spark, "neardup")
+    sketched = tables.keep(sketches(docs, k, percent))
     some = sketched.filter("n_shingles > 0 and doc_id is not null")
-    nodes = (
-        some.groupBy("digest")
-        .agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("s"))
-        .select("digest", F.col("s.doc_id").alias("node"), F.col("s.n_shingles").cast("int").alias("n"), "s.bands")
-        .checkpoint()
+    first = F.min(F.struct("doc_id", "n_shingles", "bands")).alias("s")
+    nodes = tables.keep(
+        some.groupBy("digest").agg(first).select("digest", F.col("s.doc_id").alias("node"), F.col("s.n_shingles").cast("int").alias("n"), "s.bands")
     )
     # Bands take their centres in ORDERS different orders, so that most members
     # meet several centres at once.
@@ -244,60 +343,54 @@ def near_duplicates(spark, docs, k=5, percent=80):
     turn = F.col("band") % ORDERS
     order = F.when(turn == 0, F.col("node")).otherwise(F.xxhash64("node", turn.cast("long")))
     star = F.struct(order.alias("order"), F.col("node").alias("a"), F.col("n").alias("n_a"))
-    centres = (
-        members.groupBy("bucket")
-        .agg(F.min(star).alias("s"), F.count("*").alias("members"))
-        .filter("members > 1")
-        .select("bucket", "s.a", "s.n_a")
-        .checkpoint()
-    )
+    centres = members.groupBy("bucket").agg(F.min(star).alias("s"), F.count("*").alias("members")).filter("members > 1")
     # Only the buckets with several members are of any use from here on.
-    shared = members.join(centres, "bucket").select("bucket", "node", "n", "a", "n_a").checkpoint()
-    met = shared.select("*", F.col("node").alias("label"), F.col("a").alias("label_a"))
-    pairs = _pairs(met, nodes, percent)
-    edges, tried, turn = confirmed(pairs, docs, k, percent).distinct().checkpoint(), pairs.select("a", "b"), 0
+    shared = tables.keep(members.join(centres.select("bucket", "s.a", "s.n_a"), "bucket").select("bucket", "node", "n", "a", "n_a"))
+    met = shared.filter((F.col("node") != F.col("a")) & near_enough("n", "n_a", percent))
+    pairs = tables.keep(_pairs(met, nodes))
+    edges = tables.keep(confirmed(pairs, docs, k, percent).distinct())
     labels = components(edges)
-    rows = shared.select("bucket", "node", "n")
-    while True:
-        rows = rows.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
-        # Pairs of one component are settled. Of any other pair one member at
-        # least is outside the bucket's largest component: a centre sooner or later.
-        mixed = (
-            rows.groupBy("bucket", "label")
-            .agg(F.count("*").alias("size"))
-            .groupBy("bucket")
-            .agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("members"))
-            .withColumn("wait", F.col("members") - F.col("top.size"))
-            .filter("wait > 0")
-            .select("bucket", F.col("top.label").alias("largest"), "wait", F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("blocks"))
-        )
-        wanted = FIRST_CENTRES * GROWTH**turn
-        turn += 1
-        # A draw by node alone: all buckets of a round share it, so a member of
-        # many buckets meets few different centres.
-        draw = F.shiftrightunsigned(F.xxhash64("node", F.lit(turn)), 11) / float(1 << 53)
-        centre = (F.col("label") != F.col("largest")) & (draw * F.col("wait") < wanted)
-        rows = rows.join(mixed, "bucket").withColumn("centre", centre).checkpoint()
-        if rows.isEmpty():
-            break
-        blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-        centres = rows.filter("centre").select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), blocks)
-        met = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(centres, ["bucket", "block"])
-        pairs = _pairs(met, nodes, percent, tried)
-        # A centre has met all others; its pairs are settled.
-        rows = rows.filter("not centre").select("bucket", "node", "n")
-        found = confirmed(pairs, docs, k, percent).distinct().checkpoint()
-        tried = tried.union(pairs.select("a", "b"))
-        if not found.isEmpty():
-            edges = edges.union(found)
-            labels = components(edges)
-    of_digest = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id")).checkpoint()
-    linked = some.join(of_digest, "digest").select("doc_id", "n_shingles", "component_id")
-    alone = sketched.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    pairs = tables.keep(_open_pairs(spark, docs, nodes, shared, labels, k, percent, tables))
+    found = tables.keep(confirmed(pairs, docs, k, percent).distinct())
+    if not found.isEmpty():
+        labels = components(edges.union(found))
+    of_digest = tables.keep(nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id")))
+    linked = some.join(of_digest, "digest").select("doc_id", "text_hash", "n_shingles", "component_id")
+    alone = sketched.filter("n_shingles = 0 or doc_id is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
+    rows = tables.keep(linked.union(alone))
+    tables.drop_all_but(rows)
+    return rows
+
+
+def near_duplicates(spark, docs, k=5, percent=80):
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return classes(spark, docs, k, percent).select("doc_id", "n_shingles", "component_id", kept)
 
 
 def keep_one(spark, docs, k=5, percent=80):
-    """One document of each class, with all its columns: the smallest id."""
-    dropped = near_duplicates(spark, docs, k, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__dropped_id"))
-    return docs.join(dropped, docs["doc_id"].cast("long") == dropped["__dropped_id"], "left_anti")
+    """One row of each class, with all its columns: a row of the smallest id.
+
+    Rows are told apart by id and text, so a text of its own stays where another
+    row of the same id is a copy. Of rows with the same id, class and text one
+    stays, whichever its other columns; where the smallest id has several texts
+    of the class, the one of the smallest hash does. Rows without id or without
+    words all stay.
+    """
+    rows = classes(spark, docs, k, percent).filter("n_shingles > 0 and doc_id is not null")
+    own = rows.groupBy("component_id", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    # Of a class: its smallest text of the smallest id.
+    best = own.filter("doc_id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("best"))
+    marked = own.join(best, "component_id").withColumn("stays", (F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("best")))
+    marked = marked.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "stays", "rows").checkpoint()
+    named = docs.withColumn("__text_hash", text_hash())
+
+    def same(keys):
+        return (named["doc_id"].cast("long") == keys["__id"]) & (named["__text_hash"] == keys["__hash"])
+
+    gone, again = marked.filter("not stays"), marked.filter("stays and rows > 1")
+    if again.isEmpty():
+        return named.join(gone, same(gone), "left_anti").select(docs.columns)
+    more = marked.filter("not stays or rows > 1")
+    once = named.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "__text_hash"])
+    return named.join(more, same(more), "left_anti").unionAll(once).select(docs.columns)
