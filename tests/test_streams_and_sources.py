@@ -192,7 +192,7 @@ def test_listing_stops_at_stores(spark, tmp_path):
     assert listed("a/s.ome.zarr") == [everything[1]]
     assert listed("empty") == listed("absent") == []
     got = readers.list_dataset(spark, [f"file:{tmp_path}/a"]).collect()
-    assert {(r.path, r.kind) for r in got} == {(f"file:{p}", k) for p, k, _ in everything[:3]}
+    assert {(r.path, r.n_files, r.length) for r in got} == {(f"file:{p}", 2 if k == "store" else 1, n or 10) for p, k, n in everything[:3]}
 
 
 # --- patch folder ---------------------------------------------------------

@@ -4,11 +4,11 @@ Every interval predicate gets an equi key first (the grid cell), so Spark can
 hash or sort the sides and no nested loop over voxels can occur.
 """
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxframe.functions.scalar import col, let
+from voxframe.functions.scalar import col
 from voxframe.operators import kernels
-from voxframe.operators.geometry import cut_box
 
 AXES = "zyx"
 
@@ -45,7 +45,7 @@ def extract_windows(boxes, chunks, keys, edge, patch_key="patch_id"):
 
     place = F.array(*[F.col(f"_{name}_{a}") for name in ("box", "n") for a in AXES])
     corner = [F.col(f"_chunk_{a}") for a in AXES]
-    part = let(F.col("data"), lambda d: cut_box(d, [F.lit(edge)] * 3, corner, [F.col(f"_n_{a}") for a in AXES]))
+    part = kernels.cut(F.col("data"), corner, [F.col(f"_n_{a}") for a in AXES], edge)
     piece = F.when(F.col("data").isNotNull(), F.struct(place.alias("place"), part.alias("p")))
     size = {f"d{a}": (F.col(f"{a}1") - F.col(f"{a}0")).cast("int") for a in AXES}
     pieces = joined.select(patch_key, *[v.alias(k) for k, v in size.items()], piece.alias("_p"))
@@ -251,8 +251,10 @@ def grid_status(grid, done, queued, cap, key="run_name"):
         )
         .drop("_done", "_queued")
     )
-    active = queued.select(key).distinct().count()
-    nxt = state.filter("state = 'pending'").orderBy(key).limit(max(0, cap - active))
+    # At most ``cap`` rows are numbered, and those beyond what is running drop out.
+    active = queued.select(key).distinct().agg(F.count("*")).scalar()
+    first = state.filter("state = 'pending'").orderBy(key).limit(cap)
+    nxt = first.withColumn("_n", F.row_number().over(W.orderBy(key))).filter(F.col("_n") <= F.lit(cap) - active).drop("_n")
     return state, nxt
 
 

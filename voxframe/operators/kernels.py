@@ -52,8 +52,10 @@ def _rows(data):
 
 def _pack(rows):
     rows = list(rows)
-    offsets = np.zeros(len(rows) + 1, dtype=np.int32)
-    np.cumsum([len(r) for r in rows], out=offsets[1:])
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)]).astype(np.int64)
+    if offsets[-1] >= 1 << 31:
+        raise ValueError("a batch holds more cells than a list column can address: lower spark.sql.execution.arrow.maxBytesPerBatch")
+    offsets = offsets.astype(np.int32)
     flat = np.concatenate(rows) if rows else np.zeros(0)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.float64()))
 
@@ -311,6 +313,21 @@ def ntxent(a, p, b, q, same, temperature, cosine):
     return _ntxent(a, p, b, q, same, F.lit(float(temperature)), F.lit(bool(cosine)))
 
 
+@_kernel(ARRAY)
+def _cut(data: pa.Array, place: pa.Array, edge: pa.Array) -> pa.Array:
+    def one(v, m, n):
+        if not len(v):
+            return v
+        return v.reshape((n,) * 3)[tuple(slice(a, a + k) for a, k in zip(m[:3], m[3:]))].ravel()
+
+    return _pack(one(v, m, n) for v, m, n in zip(_rows(data), _rows(place), edge.to_pylist()))
+
+
+def cut(data, corner, size, edge):
+    """The part of a chunk of ``edge``^3 cells at ``corner``; an absent chunk has none."""
+    return _cut(data, F.array(*corner, *size), F.lit(edge))
+
+
 def _assemble_box(flat, place, shape):
     """Pieces laid into one box, zeros elsewhere."""
     out = np.zeros(shape)

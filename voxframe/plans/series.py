@@ -44,10 +44,24 @@ def sample_tumbling(s):
     return stamp(metrics.sample_tumbling(s.T, SERIES, "6 hours"))
 
 
+def in_order(s, rows, file, files, path):
+    """Rows as a stream of files that arrive one after the other, by number."""
+    for f in range(files):  # a file's time is its place in the order
+        rows.filter(F.col(file) == f).drop(file).coalesce(1).write.mode("append").parquet(path)
+    return metrics.read_metrics(s.spark, path, rows.drop(file).schema, "parquet", 1)
+
+
+def timed(s, file):
+    rows = s.T.select("step", F.col("ts").cast("timestamp").alias("ts"), "run_id", "metric", "value")
+    return rows.withColumn("f", F.expr(file))
+
+
 @query("sample_tumbling_stream", "T", TUMBLE)
 def sample_tumbling_stream(s):
+    """Events in the order of their days: none is later than the watermark."""
     path = scratch_dir(s.spark, "tumbling")
-    sampled = metrics.sample_tumbling(series_stream(s), SERIES, "6 hours", "60 days")
+    stream = in_order(s, timed(s, "cast(floor((day(ts) - 1) / 8) as int)"), "f", 4, f"{path}-in")
+    sampled = metrics.sample_tumbling(stream, SERIES, "6 hours", "1 hour")
     jobs.run_available(sampled, path, f"{path}-state")
     return stamp(jobs.latest(s.spark, path, [*SERIES, "start"]))
 
@@ -63,10 +77,7 @@ ARRIVALS = f"""
 def arrivals(s):
     """(samples, late rows) of the events in their order of arrival."""
     path = scratch_dir(s.spark, "arrivals")
-    rows = s.T.select("step", F.col("ts").cast("timestamp").alias("ts"), "run_id", "metric", "value").withColumn("f", F.expr(ARRIVAL))
-    for f in range(6):  # one file after the other: their times are their order
-        rows.filter(F.col("f") == f).drop("f").coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = metrics.read_metrics(s.spark, f"{path}/in", rows.drop("f").schema, "parquet", 1)
+    stream = in_order(s, timed(s, ARRIVAL), "f", 6, f"{path}/in")
     jobs.sample_arrivals(stream, SERIES, "6 hours", "3 days", path, f"{path}/state")
     return jobs.arrived_samples(s.spark, path, SERIES)
 

@@ -23,7 +23,7 @@ from voxframe.sources.patch_folder import open_folder
 STORE = r"\.ome\.zarr$"
 LISTING = "path string, kind string, length long, modified timestamp"
 #: Schemes of addresses that the tasks can list on their own.
-LISTED = ("", "file", "s3", "gs", "gcs", "hdfs", "abfs")
+LISTED = ("file", "s3", "gs", "gcs", "hdfs", "abfs")
 
 
 def list_level(directories, store=STORE, glob="*"):
@@ -33,7 +33,7 @@ def list_level(directories, store=STORE, glob="*"):
     ``glob``. Directories are listed by the tasks; one that is gone lists nothing.
     """
     def run(batches):
-        is_store = re.compile(store)
+        is_store = re.compile(store or "(?!)")
         for batch in batches:
             out = [[], [], [], []]
             for path in batch.column("path").to_pylist():
@@ -57,13 +57,15 @@ def list_tree(spark, roots, store=STORE, glob="*"):
 
     The directories of a level are a table that tasks share out and list; only
     whether there is a next level comes to the driver. A store is one row and is
-    not entered, so its chunks are never listed. A root that is a store is one
-    row; roots that contain one another give their rows once each.
+    not entered, so its chunks are never listed (without ``store``, a pattern of
+    names, no directory is one). A root that is a store is one row; roots that
+    contain one another give their rows once each.
     """
     tables = RoundTables(spark, "listing")
     start = spark.createDataFrame([(r.rstrip("/") or "/",) for r in roots], "path string").distinct()
-    own = start.filter(F.col("path").rlike(store)).select("path", F.lit("store").alias("kind"), F.lit(None).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modified"))
-    found, level = [own], start.filter(~F.col("path").rlike(store))
+    is_store = F.col("path").rlike(store) if store else F.lit(False)
+    own = start.filter(is_store).select("path", F.lit("store").alias("kind"), F.lit(None).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modified"))
+    found, level = [own], start.filter(~is_store)
     while True:
         # A directory may hold very many others: each goes to a task of its own.
         listed = tables.keep(list_level(level.repartition(F.col("path")), store, glob))
@@ -74,25 +76,24 @@ def list_tree(spark, roots, store=STORE, glob="*"):
 
 
 def list_dataset(spark, roots, glob="*"):
-    """Files and stores under the roots; contents are never read.
+    """Files under the roots: (path, length, modified, n_files); none is opened.
 
-    A directory store counts as one entry, cut at its ``.ome.zarr`` name. Folders
-    that only Spark's own file systems reach are listed by Spark, too.
+    A directory store counts as one entry, cut at its ``.ome.zarr`` name, with the
+    sum of its files; ``list_tree`` has it without looking into it. Tasks list the
+    directories and fold the stores. Folders that only Spark's own file systems
+    reach are listed by Spark.
     """
-    if all((r.split(":", 1)[0] if re.match(r"^[A-Za-z0-9+.-]+:", r) else "") in LISTED for r in roots):
-        return list_tree(spark, roots, glob=glob)
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .load(list(roots))
-        .select("path", "length", "modificationTime")
-    )
-    cut = F.regexp_extract("path", r"^(.*?\.ome\.zarr)(/|$)", 1)
-    entry = F.when(cut != "", cut).otherwise(F.col("path"))
-    kind = F.when(cut != "", "store").otherwise("file")
-    return files.groupBy(entry.alias("path"), kind.alias("kind")).agg(
-        F.when(F.first(kind) == "file", F.sum("length")).alias("length"), F.max("modificationTime").alias("modified")
+    scheme = [re.match(r"^([A-Za-z0-9+.-]+):", r) for r in roots]
+    if all(s is None or s[1] in LISTED for s in scheme):
+        named = [r if s else f"file:{r}" for r, s in zip(roots, scheme)]
+        files = list_tree(spark, named, store=None, glob=glob)
+    else:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+        files = reader.load(list(roots)).select("path", "length", F.col("modificationTime").alias("modified"))
+    store = F.regexp_extract("path", r"^(.*?\.ome\.zarr)(/|$)", 1)
+    entry = F.when(store != "", store).otherwise(F.col("path"))
+    return files.groupBy(entry.alias("path")).agg(
+        F.sum("length").alias("length"), F.max("modified").alias("modified"), F.count("*").alias("n_files")
     )
 
 
