@@ -11,10 +11,13 @@ unseen row might tie with a smaller id).
 Defined results: vectors that are null or hold null or non-finite components
 take no part; vectors of different dimension never meet; rows repeated with one
 id are candidates each, but never of a query with that id; fewer than k
-candidates give fewer rows; scaled values beyond 2**31 take no part. Other
-columns are ignored.
+candidates give fewer rows; texts have no part in this, and an empty table gives
+no rows. Components of any size are ranked by exact integers; a score that no
+long can hold is given as the nearest long, and scores are told apart up to 38
+digits. Other columns are ignored.
 """
 
+import math
 import sys
 
 import numpy as np
@@ -32,8 +35,28 @@ GROWTH = 8
 
 def numbers(values, query):
     """The narrowest kind of number in which all sums are exact."""
-    most = np.abs(values).max(initial=0) * np.abs(query).sum(axis=-1).max(initial=0)
-    return np.float32 if most < 2.0**24 else np.float64 if most < 2.0**53 else np.int64
+    if object in (values.dtype, query.dtype):
+        return object
+    with np.errstate(over="ignore"):
+        most = np.abs(values).max(initial=0) * np.abs(query).sum(axis=-1).max(initial=0)
+    return np.float32 if most < 2.0**24 else np.float64 if most < 2.0**53 else np.int64 if most < 2.0**62 else object
+
+
+def floored(matrix, scale):
+    """floor(scale * x), as doubles where these hold it, else as whole numbers."""
+    with np.errstate(over="ignore"):
+        values = np.floor(scale * matrix)
+    if np.isfinite(values).all():
+        return values
+    # Doubles beyond 2**53 are whole numbers.
+    whole = [math.floor(scale * x) if abs(x) < 2.0**53 else scale * int(x) for x in matrix.ravel().tolist()]
+    return np.array(whole, object).reshape(matrix.shape)
+
+
+def as_kind(values, kind):
+    if kind is not object:
+        return values.astype(kind)
+    return np.array([int(v) for v in values.ravel().tolist()], object).reshape(values.shape)
 
 
 def threshold_top(ids, values, order, query, k, own):
@@ -64,21 +87,22 @@ def threshold_top(ids, values, order, query, k, own):
         scores.append(score)
         kept = np.concatenate([kept, score])
         if len(kept) > k:
-            kept = np.partition(kept, len(kept) - k)[-k:]
+            kept = np.partition(kept, len(kept) - k)[-k:] if kept.dtype != object else np.sort(kept)[-k:]
         if not left:
             break
         bound = values[order[up, depth - 1], up] @ query[up] + values[order[down, n - depth], down] @ query[down]
         if len(kept) >= k and kept.min() > bound:
             break
         depth = min(GROWTH * depth, n)
-    return np.concatenate(have), np.concatenate(scores).astype(np.int64)
+    scores = np.concatenate(scores)
+    return np.concatenate(have), scores if scores.dtype == object else scores.astype(np.int64)
 
 
 def _kernel(scale):
     def run(ids, matrix, query_ids, queries, k):
-        values, queries = np.floor(scale * matrix), np.floor(scale * queries)
+        values, queries = floored(matrix, scale), floored(queries, scale)
         kind = numbers(values, queries)
-        values, queries = values.astype(kind), queries.astype(kind)
+        values, queries = as_kind(values, kind), as_kind(queries, kind)
         order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T.astype(np.int32))
         for own, query in zip(query_ids, queries):
             have, scores = threshold_top(ids, values, order, query, k, own)
@@ -88,14 +112,12 @@ def _kernel(scale):
     return run
 
 
-def _usable(scale):
-    return lambda matrix: (np.abs(matrix) * scale < 2.0**31).all(axis=1)
-
-
 def top_k(spark, vectors, queries, k=20, scale=64):
     """query_id, rank, vec_id, score for every row of ``queries``."""
     ensure_checkpoint_dir(spark)
-    return vx.search(spark, vectors, queries, k, _kernel(scale), "long", usable=_usable(scale))
+    found = vx.search(spark, vectors, queries, k, _kernel(scale), "decimal(38,0)")
+    low, high = F.lit(-(2**63)).cast("decimal(38,0)"), F.lit(2**63 - 1).cast("decimal(38,0)")
+    return found.withColumn("score", F.least(F.greatest("score", low), high).cast("long"))
 
 
 def every(vectors, step=20):

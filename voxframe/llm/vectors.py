@@ -5,6 +5,7 @@ size. Query blocks are sent once to every slot of candidate blocks; each pair of
 blocks yields at most k rows per query, and a window keeps the best of all.
 """
 
+import decimal
 import sys
 
 import numpy as np
@@ -24,7 +25,7 @@ def packed(rows, size, usable=None):
     """Blocks of at most ``size`` vectors of one dimension, doubles in row order.
 
     Null vectors and vectors with null or non-finite components take no part,
-    nor do rows without id or rows that ``usable`` (of a matrix) refuses.
+    nor do rows without id, nor rows that ``usable`` (of a matrix) refuses.
     """
 
     def run(batches):
@@ -60,6 +61,17 @@ def packed(rows, size, usable=None):
     return rows.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, PACKED)
 
 
+MOST = 10**38 - 1
+
+
+def _scores(values, score_type):
+    if score_type == "double":
+        return pa.array(values, pa.float64())
+    if values.dtype == object:
+        return pa.array([decimal.Decimal(max(-MOST, min(MOST, int(v)))) for v in values], pa.decimal128(38, 0))
+    return pa.array(values, pa.int64()).cast(pa.decimal128(38, 0))
+
+
 def search(spark, vectors, queries, k, kernel, score_type, block=4096, usable=None):
     """Best k candidates of every query: query_id, rank, vec_id, score.
 
@@ -91,9 +103,8 @@ def search(spark, vectors, queries, k, kernel, score_type, block=4096, usable=No
                     out[1].append(ids)
                     out[2].append(scores)
                 if out[0]:
-                    kind = pa.float64() if score_type == "double" else pa.int64()
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(out[0]), pa.int64()), pa.array(np.concatenate(out[1]), pa.int64()), pa.array(np.concatenate(out[2]), kind)],
+                        [pa.array(np.concatenate(out[0]), pa.int64()), pa.array(np.concatenate(out[1]), pa.int64()), _scores(np.concatenate(out[2]), score_type)],
                         names=["query_id", "vec_id", "score"],
                     )
 
