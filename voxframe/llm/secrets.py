@@ -19,9 +19,11 @@ own that has fewer than ``THIN`` passing candidates or decoys is pooled with its
 neighbours, step by step. The counts behind the cuts cover all documents; where
 these hold next to no decoys, a few candidates still prove nothing.
 
-Defined results: a null text is empty and has no spans; offsets count code
-points, ends are exclusive; equal starts are ordered by kind as listed; repeated
-rows and rows without id are scanned as they are.
+Defined results: a null text is empty and has no spans; a text of any length, with
+any number of matches, is scanned whole, in time that grows with both; offsets
+count code points, ends are exclusive; equal starts are ordered by kind as listed;
+repeated rows and rows without id are scanned as they are; an empty table gives no
+rows; other columns are ignored, and ``redact`` keeps them.
 """
 
 import functools
@@ -30,6 +32,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from voxframe.functions.scalar import let
 from voxframe.session import ensure_checkpoint_dir
 
 # The patterns of the base kinds, in the order of their rank.
@@ -62,33 +65,58 @@ MAX_FALSE = 0.05
 THIN = 20
 
 
+#: Values that one step of a running total adds up.
+STEP = 64
+
+
+def _fold(values, add):
+    return F.aggregate(values, F.lit(0), add)
+
+
+def _running(values, add, use):
+    """``use(before)``, where ``before(i)`` combines the first ``i`` of ``values``.
+
+    Totals of 64 values, and of 64 of these, are kept, so a place costs a few
+    hundred steps, whatever the number of values; no array grows step by step.
+    """
+
+    def blocks(v):
+        count = F.ceil(F.size(v) / STEP).cast("int")
+        return F.when(
+            count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda j: _fold(F.slice(v, j * STEP + 1, F.lit(STEP)), add))
+        ).otherwise(F.array().cast("array<int>"))
+
+    def place(i, ones, some, many):
+        block, whole = F.floor(i / STEP).cast("int"), F.floor(i / STEP**2).cast("int")
+        parts = (F.slice(many, F.lit(1), whole), F.slice(some, whole * STEP + 1, block - whole * STEP), F.slice(ones, block * STEP + 1, i - block * STEP))
+        return functools.reduce(add, [_fold(part, add) for part in parts])
+
+    return let(
+        values, lambda ones: let(blocks(ones), lambda some: let(blocks(some), lambda many: use(lambda i: place(i, ones, some, many))))
+    )
+
+
 def _located(text, pattern, more=None):
     """Structs (start, end, token[, more]) of all matches, in order.
 
     The pieces between the matches give the offsets: lengths add up.
     """
-    matches, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     empty = F.array().cast("array<struct<start:int,end:int,token:string,more:string>>")
-    extra = more if more is not None else matches
+    both = F.struct(matches.alias("matches"), F.split(text, pattern, -1).alias("pieces"), (more if more is not None else matches).alias("extra"))
 
-    def add(acc, i):
-        start = acc["at"] + F.char_length(F.get(acc["pieces"], i))
-        token = F.get(acc["matches"], i)
-        end = start + F.char_length(token)
-        row = F.struct(start.alias("start"), end.alias("end"), token.alias("token"), F.get(acc["extra"], i).alias("more"))
-        return F.struct(
-            end.alias("at"),
-            F.concat(acc["out"], F.array(row)).alias("out"),
-            acc["pieces"].alias("pieces"),
-            acc["matches"].alias("matches"),
-            acc["extra"].alias("extra"),
-        )
+    def rows(b):
+        n = F.size(b["matches"])
+        steps = F.zip_with(b["matches"], F.slice(b["pieces"], F.lit(1), n), lambda m, p: F.char_length(m) + F.char_length(p))
 
-    first = F.struct(
-        F.lit(0).alias("at"), empty.alias("out"), pieces.alias("pieces"), matches.alias("matches"), extra.alias("extra")
-    )
-    found = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), first, add, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+        def row(before, i):
+            token = F.get(b["matches"], i)
+            end = before(i + 1)
+            return F.struct((end - F.char_length(token)).alias("start"), end.alias("end"), token.alias("token"), F.get(b["extra"], i).alias("more"))
+
+        return _running(steps, lambda x, y: x + y, lambda before: F.transform(F.sequence(F.lit(0), n - 1), lambda i: row(before, i)))
+
+    return F.when(text.rlike(pattern), let(both, rows)).otherwise(empty)
 
 
 def _normal_tail(z):
@@ -229,12 +257,29 @@ def all_spans(found, cuts):
             out = F.when(n >= low, F.lit(cuts.get(low, 2.0))).otherwise(out)
         return out
 
-    def new(t):
-        touches = F.exists(F.col("__base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-        return ~t["decoy"] & (t["p"] >= limit(t["n"])) & ~touches
+    def before(spans, x):
+        """How many of the spans, in the order of their starts, start before x."""
+        def half(at, step):
+            more = (at + step <= F.size(spans)) & (F.get(spans, at + step - 1)["start"] < x)
+            return F.when(more, at + step).otherwise(at)
+
+        return F.aggregate(F.array(*[F.lit(1 << b) for b in range(29, -1, -1)]), F.lit(0), half)
+
+    def touches(spans, t):
+        # Spans of one kind do not overlap: the last that starts before the end decides.
+        last = before(spans, t["end"])
+        return (last > 0) & F.coalesce(F.get(spans, last - 1)["end"] > t["start"], F.lit(False))
+
+    def found_new(kinds):
+        def new(t):
+            free = functools.reduce(lambda x, y: x & y, [~touches(kinds[f"k{rank}"], t) for rank in range(3)])
+            return ~t["decoy"] & (t["p"] >= limit(t["n"])) & free
 
+        return F.filter("__tokens", new)
+
+    by_kind = F.struct(*[F.filter("__base", lambda b: b["rank"] == rank).alias(f"k{rank}") for rank in range(3)])
     random = F.transform(
-        F.filter("__tokens", new), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("rank"), t["end"].alias("end"))
+        let(by_kind, found_new), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("rank"), t["end"].alias("end"))
     )
     return found.withColumn("__spans", F.array_sort(F.concat("__base", random)))
 
@@ -266,24 +311,32 @@ def scan(spark, docs):
     )
 
 
+def _masked(text, spans, mask):
+    """The text with ``mask`` for each maximal union of spans, in order of start."""
+    ends = F.transform(spans, lambda s: s["end"])
+
+    def pieces(read):
+        def use(before):
+            def piece(s, i):
+                at = before(i)
+                return F.when(s["start"] >= at, F.concat(read(at, s["start"] - at), F.lit(mask))).otherwise("")
+
+            last = before(F.size(spans))
+            return F.concat(F.array_join(F.transform(spans, piece), ""), read(last, F.char_length(text) - last))
+
+        return _running(ends, lambda x, y: F.greatest(x, y), use)
+
+    # Reading at a place walks there from the start of a text; where many places
+    # are read, its characters are laid out once.
+    many = let(F.split(text, ""), lambda chars: pieces(lambda at, n: F.array_join(F.slice(chars, at + 1, n), "")))
+    return F.when(F.size(spans) > STEP, many).otherwise(pieces(lambda at, n: F.substring(text, at + 1, n)))
+
+
 def redact(docs, mask="[SECRET]"):
     """The documents with every span replaced by ``mask``; columns as before."""
-    found = findings(docs)
+    ensure_checkpoint_dir(docs.sparkSession)
+    found = findings(docs).checkpoint()
     spans = all_spans(found, thresholds(found))
     text = F.col("text")
-
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        piece = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], piece, F.lit(mask))).otherwise(acc["out"]).alias("out"),
-        )
-
-    masked = F.aggregate(
-        "__spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        step,
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))),
-    )
+    masked = let(F.col("__spans"), lambda s: _masked(text, s, mask))
     return spans.withColumn("text", F.when(F.size("__spans") > 0, masked).otherwise(text)).select(*docs.columns)
