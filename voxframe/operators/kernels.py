@@ -15,10 +15,14 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxframe.session import bound_batches
+
 # Send the helpers with the functions: executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ARRAY = T.ArrayType(T.DoubleType())
+#: Bytes of a batch of dense rows, unless the session has a lower bound.
+BATCH_BYTES = 64 << 20
 
 
 def _kernel(return_type):
@@ -38,6 +42,7 @@ def pin(patches, name="data"):
     optimiser merges them into a Python function's argument list; a
     non-deterministic guard around the column keeps the two apart.
     """
+    bound_batches(patches.sparkSession, BATCH_BYTES)
     guard = F.monotonically_increasing_id() >= 0
     return patches.withColumn(name, F.when(guard, F.col(name)))
 

@@ -1,5 +1,6 @@
 """Session settings the library relies on, and the checkpoint folder."""
 
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -51,9 +52,14 @@ def bound_batches(spark, size=4 << 20):
     """Bound the Arrow batches that go to Python by bytes, not by rows.
 
     A row may be a long text or a dense patch; the default bounds would let one
-    batch of them take a large part of an executor. Applies to the session.
+    batch of them take a large part of an executor. A bound of the session that
+    is already lower stays.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)([kmg]?)b?", spark.conf.get(name).strip().lower()).groups()
+    bound = int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit]
+    if not 0 < bound <= size:
+        spark.conf.set(name, str(size))
 
 
 def scratch_dir(spark, name):
