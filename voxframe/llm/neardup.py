@@ -25,8 +25,8 @@ with a probability below 1e-6. Shingles are compared by 64-bit hashes.
 Defined results: texts without words (null and empty ones too) have no shingles
 and are linked with nothing; fewer words than a shingle make one shingle of the
 whole sequence; texts of any length are compared whole; repeated rows belong to
-the same class and are all returned; ids with several texts stand for all classes
-that these are in, and each of their rows has its own; a row without id takes no
+the same class and are all returned; the rows of an id with several texts are in
+the classes of these; a row without id takes no
 part (its class is null, it is kept); an empty table gives no rows. Other columns
 are ignored.
 """
@@ -159,15 +159,18 @@ def sketches(docs, k, percent):
 
 
 def confirmed(pairs, docs, k, percent):
-    """Pairs (a, b) whose full sets reach the threshold; texts join by id."""
+    """Pairs of nodes (a, b) whose full sets reach the threshold.
+
+    Texts join by id, and of the texts of an id only the one that was hashed counts.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    ids = pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct()
     if 2 * pairs.count() <= BROADCAST_IDS:
         # Few texts are asked for: drop the others before they are shuffled.
         texts = texts.join(F.broadcast(ids), "id", "left_semi")
-    b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    both = pairs.select("a", "b", "digest_a", "digest_b").join(b, "b").join(a, "a")
+    b = texts.select(F.col("id").alias("id_b"), F.col("text").alias("text_b"))
+    a = texts.select(F.col("id").alias("id_a"), F.col("text").alias("text_a"))
+    both = pairs.select("a", "b", "id_a", "id_b", "digest_a", "digest_b").join(b, "id_b").join(a, "id_a")
 
     def run(batches):
         for batch in tx.blocks(batches, "text_b"):
@@ -221,10 +224,11 @@ def components(edges):
 
 
 def _pairs(met, nodes):
-    """Distinct pairs (a, b) of what met, with their digests."""
+    """Distinct pairs (a, b) of what met, with their ids and digests."""
     pairs = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     for side in "ab":
-        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("digest").alias(f"digest_{side}")), side)
+        names = {"node": side, "doc": f"id_{side}", "digest": f"digest_{side}"}
+        pairs = pairs.join(nodes.select(*[F.col(c).alias(n) for c, n in names.items()]), side)
     return pairs
 
 
@@ -313,10 +317,10 @@ def _open_pairs(spark, docs, nodes, shared, labels, k, percent, tables):
     rows = shared.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     mixed = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     members = rows.join(mixed.select("bucket"), "bucket", "left_semi").select("node", "label").distinct()
-    members = tables.keep(members.join(nodes.select("node", "n", "digest"), "node"))
+    members = tables.keep(members.join(nodes.select("node", "n", "digest", "doc"), "node"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     few = members.count() <= BROADCAST_IDS
-    asked = texts.join(F.broadcast(members) if few else members, F.col("id") == F.col("node")).select("node", "n", "label", "digest", "text")
+    asked = texts.join(F.broadcast(members) if few else members, F.col("id") == F.col("doc")).select("node", "n", "label", "digest", "text")
     table = np.zeros(COUNTERS, np.int32)
     for row in counted(asked, k).toArrow().to_batches():
         table[row.column("counter").to_numpy()] = np.minimum(row.column("n").to_numpy(), 2**31 - 1)
@@ -327,21 +331,28 @@ def _open_pairs(spark, docs, nodes, shared, labels, k, percent, tables):
 
 
 def classes(spark, docs, k, percent):
-    """One row per row of ``docs``: doc_id, text_hash, n_shingles, component_id."""
+    """One row per row of ``docs``: doc_id, text_hash, n_shingles, label, component_id.
+
+    ``label`` tells the classes apart, also those that share their smallest id.
+    """
     ensure_checkpoint_dir(spark)
     bound_batches(spark)
     tables = RoundTables(spark, "neardup")
     sketched = tables.keep(sketches(docs, k, percent))
     some = sketched.filter("n_shingles > 0 and doc_id is not null")
     first = F.min(F.struct("doc_id", "n_shingles", "bands")).alias("s")
+    # A node is a set; its number is its own, as an id may have several texts.
     nodes = tables.keep(
-        some.groupBy("digest").agg(first).select("digest", F.col("s.doc_id").alias("node"), F.col("s.n_shingles").cast("int").alias("n"), "s.bands")
+        some.groupBy("digest")
+        .agg(first)
+        .select("digest", F.col("s.doc_id").alias("doc"), F.col("s.n_shingles").cast("int").alias("n"), "s.bands")
+        .withColumn("node", F.monotonically_increasing_id())
     )
     # Bands take their centres in ORDERS different orders, so that most members
     # meet several centres at once.
-    members = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
+    members = nodes.select("node", "doc", "n", F.posexplode("bands").alias("band", "bucket"))
     turn = F.col("band") % ORDERS
-    order = F.when(turn == 0, F.col("node")).otherwise(F.xxhash64("node", turn.cast("long")))
+    order = F.when(turn == 0, F.col("doc")).otherwise(F.xxhash64("doc", turn.cast("long")))
     star = F.struct(order.alias("order"), F.col("node").alias("a"), F.col("n").alias("n_a"))
     centres = members.groupBy("bucket").agg(F.min(star).alias("s"), F.count("*").alias("members")).filter("members > 1")
     # Only the buckets with several members are of any use from here on.
@@ -354,9 +365,12 @@ def classes(spark, docs, k, percent):
     found = tables.keep(confirmed(pairs, docs, k, percent).distinct())
     if not found.isEmpty():
         labels = components(edges.union(found))
-    of_digest = tables.keep(nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id")))
-    linked = some.join(of_digest, "digest").select("doc_id", "text_hash", "n_shingles", "component_id")
-    alone = sketched.filter("n_shingles = 0 or doc_id is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
+    named = nodes.select("digest", "node", "doc").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    smallest = named.groupBy("label").agg(F.min("doc").alias("component_id"))
+    of_digest = tables.keep(named.join(smallest, "label").select("digest", "label", "component_id"))
+    linked = some.join(of_digest, "digest").select("doc_id", "text_hash", "n_shingles", "label", "component_id")
+    none = F.lit(None).cast("long").alias("label")
+    alone = sketched.filter("n_shingles = 0 or doc_id is null").select("doc_id", "text_hash", "n_shingles", none, F.col("doc_id").alias("component_id"))
     rows = tables.keep(linked.union(alone))
     tables.drop_all_but(rows)
     return rows
@@ -378,10 +392,10 @@ def keep_one(spark, docs, k=5, percent=80):
     words all stay.
     """
     rows = classes(spark, docs, k, percent).filter("n_shingles > 0 and doc_id is not null")
-    own = rows.groupBy("component_id", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    own = rows.groupBy("label", "component_id", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
     # Of a class: its smallest text of the smallest id.
-    best = own.filter("doc_id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("best"))
-    marked = own.join(best, "component_id").withColumn("stays", (F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("best")))
+    best = own.filter("doc_id = component_id").groupBy("label").agg(F.min("text_hash").alias("best"))
+    marked = own.join(best, "label").withColumn("stays", (F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("best")))
     marked = marked.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "stays", "rows").checkpoint()
     named = docs.withColumn("__text_hash", text_hash())
 
