@@ -12,8 +12,11 @@ The sample is bounded by ``SAMPLE`` documents (exact repeats count once);
 scoring covers every whole text.
 
 Defined results: a null or empty text has no features and gets the score of the
-bias; repeated rows get the same score; a row without id is scored and counts as
-not held out; other columns are ignored.
+bias; texts of any length are scored whole; repeated rows get the same score; a
+row without id is scored and counts as not held out; a score at the cut is
+predicted 1; without labels every score is 0.5, with labels of one class, or with
+too few for any feature to be kept, it is the share of that label (smoothed where
+there is one class only); an empty table gives no rows; other columns are ignored.
 """
 
 import re
@@ -122,27 +125,33 @@ def train(texts, labels, terms=IDENTITY_TERMS, penalty=PENALTY, rounds=500):
     new = np.cumsum(strong) - 1
     use = strong[code]
     hashes, row, code = pool[strong], row[use], new[code[use]]
-    # Differences between a text and its counterfactuals, on selected features.
-    swaps = []
+    # Differences between a text and its counterfactuals, on selected features:
+    # (which, feature, +1 or -1), equal differences once.
+    seen, which, feature, sign = set(), [], [], []
     for text in names:
         base = None
         for other in counterfactuals(text, terms):
-            base = presence(text) if base is None else base
-            changed = presence(other)
-            d = np.zeros(len(hashes), np.float32)
-            d[np.isin(hashes, base)] += 1
-            d[np.isin(hashes, changed)] -= 1
-            if d.any():
-                swaps.append(d)
-    swaps = np.unique(np.array(swaps), axis=0) if swaps else np.zeros((0, len(hashes)), np.float32)
+            base = np.isin(hashes, presence(text)) if base is None else base
+            changed = np.isin(hashes, presence(other))
+            at = np.flatnonzero(base != changed).astype(np.int32)
+            way = np.where(base[at], np.int8(1), np.int8(-1))
+            key = (at.tobytes(), way.tobytes())
+            if len(at) and key not in seen:
+                which.append(np.full(len(at), len(seen), np.int32))
+                feature.append(at)
+                sign.append(way)
+                seen.add(key)
+    which, feature, sign = (np.concatenate(c) if c else np.zeros(0, np.int32) for c in (which, feature, sign))
+    n_swaps = len(seen)
     weights, bias = np.zeros(len(hashes)), float(np.log(y.mean() / (1 - y.mean())))
     m, v = np.zeros(len(hashes) + 1), np.zeros(len(hashes) + 1)
     for t in range(1, rounds + 1):
         z = bias + np.bincount(row, weights=weights[code], minlength=n)
         error = 1 / (1 + np.exp(-z)) - y
         grad = np.bincount(code, weights=error[row], minlength=len(hashes)) / n * 20 + RIDGE * weights
-        if len(swaps):
-            grad += 2 * penalty * swaps.T @ (swaps @ weights) / len(swaps)
+        if n_swaps:
+            moved = np.bincount(which, weights=sign * weights[feature], minlength=n_swaps)
+            grad += 2 * penalty * np.bincount(feature, weights=sign * moved[which], minlength=len(hashes)) / n_swaps
         grad = np.append(grad, error.mean() * 20)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
@@ -152,12 +161,19 @@ def train(texts, labels, terms=IDENTITY_TERMS, penalty=PENALTY, rounds=500):
 
 
 def _cut(z, y):
-    """The logit that parts the labels best (Youden), in the middle of its gap."""
-    order = np.argsort(z)
+    """The logit that parts the labels best (Youden), in the middle of its gap.
+
+    Only between different logits can a cut lie. Where there are none (no feature
+    was kept), or none parts the labels, the logits stay as they are: 0.
+    """
+    order = np.argsort(z, kind="stable")
     z, y = z[order], y[order]
-    below = np.concatenate([[0], np.cumsum(1 - y)]) / (1 - y).sum() - np.concatenate([[0], np.cumsum(y)]) / y.sum()
-    k = int(np.argmax(below[1:-1])) + 1
-    return (z[k - 1] + z[k]) / 2
+    gain = np.cumsum(1 - y) / (1 - y).sum() - np.cumsum(y) / y.sum()
+    gain = np.where(z[1:] > z[:-1], gain[:-1], -np.inf)
+    if not len(gain) or gain.max() <= 0:
+        return 0.0
+    k = int(np.argmax(gain))
+    return (z[k] + z[k + 1]) / 2
 
 
 def scores(data, offsets, hashes, weights, bias):
