@@ -10,12 +10,16 @@ than a rare one and no task ever gathers the occurrences of a word.
 
 ``decode`` joins the bounded table of token bytes.
 
-Defined results: a null or empty text has no tokens; repeated rows and null ids
-are kept as they are; other columns of the input are ignored.
+Defined results: a null or empty text has no tokens; in others, bytes that are no
+UTF-8 count (and are decoded) as U+FFFD; texts of any length are one unit; repeated
+rows and null ids are kept as they are; an empty table gives no rows; other columns
+of the input are ignored.
 """
 
 import base64
 import itertools
+import json
+import re
 import sys
 
 import numpy as np
@@ -29,6 +33,8 @@ from voxframe.session import bound_batches
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_BYTES = 2 << 20
+#: Words whose ids a task remembers; the table is emptied when it is full.
+REMEMBERED = 1 << 18
 
 
 def rank_file(path):
@@ -76,6 +82,7 @@ class TokenBytes:
 
 def distinct(data, offsets):
     """Distinct pre-tokens of a block, the number of each occurrence, its row."""
+    data, offsets = tx.valid(data, offsets)
     starts, ends, rows = tx.pieces(data, offsets)
     hashes = tx.slice_hash(tx.prefix_hash(data), starts, ends)
     found, first, code = np.unique(hashes, return_index=True, return_inverse=True)
@@ -104,6 +111,38 @@ def encode_block(data, offsets, path):
     return ids, np.bincount(rows, weights=n, minlength=len(offsets) - 1).astype(np.int64)
 
 
+def added_tokens(path):
+    """{text: id} of the added tokens of a tokenizer's JSON file."""
+    with open(path, encoding="utf-8") as lines:
+        return {t["content"]: t["id"] for t in json.load(lines)["added_tokens"]}
+
+
+def encode_with_added(data, offsets, path, added):
+    """As ``encode_block``; the texts of ``added`` tokens become their ids.
+
+    They are found in the raw text, and what lies between is encoded alone.
+    """
+    data, offsets = tx.valid(data, offsets)
+    if not any(token.encode() in data.tobytes() for token in added):
+        return encode_block(data, offsets, path)
+    content = data.tobytes()
+    pattern = re.compile(b"|".join(sorted((re.escape(t.encode()) for t in added), key=len, reverse=True)))
+    ends, rows, token = [0], [], []
+    kept = []
+    for i, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        for found in [*pattern.finditer(content, a, z), None]:
+            stop = found.start() if found else z
+            kept.append(content[a:stop])
+            ends.append(ends[-1] + stop - a)
+            rows.append(i)
+            token.append(added[found[0].decode()] if found else -1)
+            a = found.end() if found else z
+    ids, counts = encode_block(np.frombuffer(b"".join(kept), np.uint8), np.array(ends, np.int64), path)
+    token, rows = np.array(token), np.array(rows)
+    ids = np.insert(ids, np.cumsum(counts)[token >= 0], token[token >= 0])
+    return ids, np.bincount(rows, weights=counts + (token >= 0), minlength=len(offsets) - 1).astype(np.int64)
+
+
 def _pack(array):
     """Compressed numbers, their low bytes first, then the next ones, and so on."""
     planes = np.ascontiguousarray(array.view(np.uint8).reshape(-1, array.itemsize).T)
@@ -138,18 +177,19 @@ def _numbered(batches, path, buckets):
             [words[i] for i in order.tolist()],
             known[order],
             bucket[order],
+            hashes[order],
             place[code],
             np.bincount(rows, minlength=batch.num_rows),
         )
 
 
-REQUEST = "block long, bucket int, n int, size int, words binary, lengths binary"
+REQUEST = "block long, bucket int, n int, size int, check long, words binary, lengths binary"
 
 
 def _requests(path, buckets):
     def run(batches):
-        for block, _, words, _, bucket, _, _ in _numbered(batches, path, buckets):
-            out = {k: [] for k in ("block", "bucket", "n", "size", "words", "lengths")}
+        for block, _, words, _, bucket, hashes, _, _ in _numbered(batches, path, buckets):
+            out = {k: [] for k in ("block", "bucket", "n", "size", "check", "words", "lengths")}
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             for b in range(buckets):
                 own = words[cuts[b] : cuts[b + 1]]
@@ -159,17 +199,24 @@ def _requests(path, buckets):
                     out["bucket"].append(b)
                     out["n"].append(len(own))
                     out["size"].append(len(content))
+                    out["check"].append(_check(hashes[cuts[b] : cuts[b + 1]]))
                     out["words"].append(pa.compress(content, codec="zstd", asbytes=True))
                     out["lengths"].append(_pack(np.array([len(w) for w in own], np.uint32)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[k], t) for k, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
+                [pa.array(out[k], t) for k, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
                 names=list(out),
             )
 
     return run
 
 
-ANSWER = "block long, bucket int, n int, size int, ids binary, counts binary"
+ANSWER = "block long, bucket int, n int, check long, size int, ids binary, counts binary"
+
+
+def _check(hashes):
+    """One number for words in their order, as a signed long."""
+    weights = np.arange(1, 2 * len(hashes) + 1, 2, dtype=np.uint64)
+    return int((tx.mix(hashes) * weights).sum(dtype=np.uint64).astype(np.int64)) if len(hashes) else 0
 
 
 def _answers(path):
@@ -188,6 +235,8 @@ def _answers(path):
                     start = end
                     got = seen.get(word)
                     if got is None:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
                         got = seen[word] = tuple(merge(word))
                     ids.extend(got)
                     counts.append(len(got))
@@ -195,19 +244,26 @@ def _answers(path):
                 counts_out.append(_pack(np.array(counts, np.uint32)))
                 sizes.append(len(ids))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), batch.column("bucket"), batch.column("n"), pa.array(sizes, pa.int32()), pa.array(ids_out, pa.binary()), pa.array(counts_out, pa.binary())],
-                names=["block", "bucket", "n", "size", "ids", "counts"],
+                [*(batch.column(c) for c in ("block", "bucket", "n", "check")), pa.array(sizes, pa.int32()), pa.array(ids_out, pa.binary()), pa.array(counts_out, pa.binary())],
+                names=["block", "bucket", "n", "check", "size", "ids", "counts"],
             )
 
     return run
 
 
-POSITIONS = "block long, doc_ids array<long>, n int, total int, distinct int, counts binary, codes binary, known binary"
+POSITIONS = "block long, doc_ids array<long>, n int, total int, distinct int, check long, counts binary, codes binary, known binary"
+
+
+def _signed(n):
+    """A whole number modulo 2**64, as a signed long."""
+    return (n + (1 << 63)) % (1 << 64) - (1 << 63)
 
 
 def _positions(path, buckets):
     def run(batches):
-        for block, batch, words, known, _, code, counts in _numbered(batches, path, buckets):
+        for block, batch, words, known, bucket, hashes, code, counts in _numbered(batches, path, buckets):
+            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+            check = sum(_check(hashes[a:z]) for a, z in zip(cuts[:-1], cuts[1:]))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([block], pa.int64()),
@@ -215,11 +271,12 @@ def _positions(path, buckets):
                     pa.array([batch.num_rows], pa.int32()),
                     pa.array([len(code)], pa.int32()),
                     pa.array([len(words)], pa.int32()),
+                    pa.array([_signed(check)], pa.int64()),
                     pa.array([_pack(counts.astype(np.uint32))], pa.binary()),
                     pa.array([_pack(code.astype(np.uint32))], pa.binary()),
                     pa.array([_pack(known.astype(np.int32))], pa.binary()),
                 ],
-                names=["block", "doc_ids", "n", "total", "distinct", "counts", "codes", "known"],
+                names=["block", "doc_ids", "n", "total", "distinct", "check", "counts", "codes", "known"],
             )
 
     return run
@@ -241,7 +298,7 @@ def _assemble(left, right):
             ids.append(_unpack(a["ids"], a["size"], np.uint32))
             sizes.append(_unpack(a["counts"], a["n"], np.uint32).astype(np.int64))
         sizes = np.concatenate(sizes)
-        if len(sizes) != len(known):
+        if len(sizes) != len(known) or _signed(sum(a["check"] for a in answers.values())) != row["check"]:
             raise RuntimeError("a block of texts was cut differently when it was read again")
         code = _unpack(row["codes"], row["total"], np.uint32).astype(np.int64)
         ids, n = expand(code, np.concatenate(ids), sizes)

@@ -18,8 +18,10 @@ Pieces then find their places by their rank within their length. Ranks come from
 salted sub-groups, so a length that a third of all pieces share is spread over
 all tasks. Nothing is dropped; the packing holds every id once.
 
-Defined results: a null or empty text is one piece with the single end id;
-repeated rows and null ids are packed as they are; other columns are ignored.
+Defined results: a null or empty text is one piece with the single end id; longer
+texts than ``capacity`` are cut, whatever their length; equal lengths are placed
+in any order; repeated rows and null ids are packed as they are; an empty table
+gives no rows; other columns are ignored.
 """
 
 import sys
@@ -40,12 +42,16 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs, path, capacity=2048, end_id=0):
-    """One row per piece; ``path`` is the rank file of the vocabulary."""
+def token_pieces(docs, path, capacity=2048, end_id=0, added=None):
+    """One row per piece; ``path`` is the rank file of the vocabulary.
+
+    ``added``: {text: id} of tokens that are no merges (``bpe.added_tokens``).
+    """
+    added = dict(added or {})
 
     def run(batches):
         for batch in tx.blocks(batches, limit=tx.BLOCK_BYTES):
-            ids, counts = bpe.encode_block(*tx.raw(batch.column("text")), path)
+            ids, counts = bpe.encode_with_added(*tx.raw(batch.column("text")), path, added)
             at = np.cumsum(counts)
             content = np.insert(ids, at, end_id).astype("<u4").tobytes()
             out = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
@@ -189,11 +195,13 @@ def _slots(groups):
 
 
 def ranked(pieces, parts):
-    """Add ``rank``, numbers from 0 within each length, without hot groups."""
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts))
-    salted = pieces.withColumn("salt", salt)
-    order = [F.col(c) for c in ("doc_id", "piece", "start", "ids_crc32")]
-    local = salted.withColumn("local", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order)))
+    """Add ``rank``, numbers from 0 within each length, without hot groups.
+
+    ``row`` tells the rows of ``pieces`` apart, so that equal ones, however many,
+    are spread like all others; it is dropped.
+    """
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(parts)))
+    local = salted.withColumn("local", F.row_number().over(Window.partitionBy("length", "salt").orderBy("row")))
     n = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = n.select(
@@ -204,16 +212,16 @@ def ranked(pieces, parts):
     return (
         local.join(offsets, (F.col("length") == F.col("o_length")) & (F.col("salt") == F.col("o_salt")))
         .withColumn("rank", F.col("before") + F.col("local") - 1)
-        .select(*pieces.columns, "rank")
+        .select(*[c for c in pieces.columns if c != "row"], "rank")
     )
 
 
-def pack(spark, docs, path, capacity=2048):
+def pack(spark, docs, path, capacity=2048, added=None):
     """One row per piece with its sequence and its place there."""
     ensure_checkpoint_dir(spark)
     bound_batches(spark)
     # Cutting reads all texts; the short table of pieces is used three times.
-    pieces = token_pieces(docs, path, capacity).checkpoint()
+    pieces = token_pieces(docs, path, capacity, added=added).withColumn("row", F.monotonically_increasing_id()).checkpoint()
     lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = _slots(plan(lengths, capacity))
     keys = slots[:, 0] << 44 | slots[:, 1]

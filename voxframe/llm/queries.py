@@ -5,6 +5,7 @@ import public_tokenizers
 from voxframe.llm import bpe, merkle, neardup, neighbours, packing, pages, quality, secrets, topk, toxicity, variants, warc, wordbpe
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -21,7 +22,7 @@ def op2_counterfactual_toxicity(spark, sf_dir):
 
 
 def op3_best_fit_packing(spark, sf_dir):
-    return packing.pack(spark, _table(spark, sf_dir, "documents"), RANKS)
+    return packing.pack(spark, _table(spark, sf_dir, "documents"), RANKS, added=bpe.added_tokens(BYTE_BPE))
 
 
 def op4_stable_projection_neighbours(spark, sf_dir):

@@ -43,6 +43,19 @@ def raw(column):
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def valid(data, offsets):
+    """The same texts in UTF-8: in each, bytes that are none become U+FFFD."""
+    try:
+        data.tobytes().decode()
+        first = offsets[:-1][offsets[:-1] < len(data)]
+        if not ((data[first] & 0xC0) == 0x80).any():
+            return data, offsets
+    except UnicodeDecodeError:
+        pass
+    rows = [data[a:z].tobytes().decode("utf-8", "replace").encode() for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    return np.frombuffer(b"".join(rows), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)])
+
+
 def blocks(batches, name="text", limit=BLOCK_BYTES):
     """Cut record batches at whole rows into blocks of about ``limit`` text bytes."""
     for batch in batches:
