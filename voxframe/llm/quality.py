@@ -9,8 +9,11 @@ stochastic gradient descent in numpy on a bounded sample of labelled rows
 table are linear, scoring needs one number per hashed feature.
 
 Defined results: a null or empty text has no features and gets the score of the
-bias; repeated rows get the same score; a row without id is scored and counts as
-not held out; other columns are ignored.
+bias; texts of any length are scored whole; repeated rows get the same score; a
+row without id is scored and counts as not held out; a score at the cut is
+predicted 1; without labels, or with labels of one class, the scores are those of
+the untrained or the one-sided model; an empty table gives no rows; other columns
+are ignored.
 """
 
 import sys
