@@ -2,7 +2,9 @@
 
 import base64
 import collections
+import fractions
 import hashlib
+import math
 import random
 import re
 import struct
@@ -73,16 +75,22 @@ def test_bpe_equals_the_library_and_round_trips(spark, encoding):
     assert bpe.digests(spark, docs.limit(0), RANKS).count() == 0
 
 
-def test_bpe_equals_the_tokenizers_library(spark):
+def test_packed_ids_are_those_of_the_tokenizers_library(spark):
+    """As the library has it by default: the texts of its added tokens are their ids."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    texts = [t or "" for _, t in ODD]
-    ids, counts = bpe.encode_block(*tx.raw(pa.array(texts)), RANKS)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, added = Tokenizer.from_file(path), bpe.added_tokens(path)
+    assert tokenizer.encode("a<|endoftext|>b", add_special_tokens=False).ids == [64, 50256, 65]
+    rng = random.Random(7)
+    signs = [*"ab 1'\n<|>", "<|endoftext|>", "<|endoftext|", " é", "'s", "  "]
+    texts = [t or "" for _, t in ODD] + ["".join(rng.choice(signs) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    ids, counts = bpe.encode_with_added(*tx.raw(pa.array(texts)), RANKS, added)
     want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert counts.tolist() == [len(w) for w in want]
     assert ids.tolist() == [x for w in want for x in w]
+    got = packing.pack(spark, docs_of(spark, [(1, "a<|endoftext|>b")]), RANKS, added=added).first()
+    assert (got.length, got.ids_crc32) == (4, zlib.crc32(struct.pack("<4I", 64, 50256, 65, 0)))
 
 
 def test_packing_holds_every_id_once(spark, encoding):
@@ -129,6 +137,21 @@ def _fewest(sizes, capacity):
     return best
 
 
+def test_bytes_that_are_no_text(spark, encoding):
+    """Stray and cut-off bytes count as U+FFFD, each in its own text."""
+    raw = [b"a\x80b", b"\xff plain", "é".encode()[:1], "é".encode()[1:] + b" end", b"whole"]
+    docs = spark.createDataFrame(list(enumerate(raw)), "doc_id long, b binary").selectExpr("doc_id", "cast(b as string) as text")
+    texts = [b.decode("utf-8", "replace") for b in raw]
+    got = {r.doc_id: r for r in bpe.digests(spark, docs, RANKS).collect()}
+    for i, text in enumerate(texts):
+        ids = encoding.encode_ordinary(text)
+        assert got[i].n_tokens == len(ids)
+        assert got[i].ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    lengths = {r.doc_id: r.length for r in packing.pack(spark, docs, RANKS).collect()}
+    assert lengths == {i: r.n_tokens + 1 for i, r in got.items()}
+
+
 def test_reduction_never_costs_a_sequence():
     rng = random.Random(5)
     for _ in range(300):
@@ -203,6 +226,58 @@ def test_near_duplicates_of_nothing(spark):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 7, 8]
 
 
+def test_unlike_members_of_a_template_never_meet(spark, monkeypatch):
+    """Only pairs that can be near are candidates once the stars are done."""
+    template, asked = [f"t{i}" for i in range(200)], []
+    rows = [(i, " ".join(template + [f"d{i}x{j}" for j in range(80)])) for i in range(400)]
+    rows += [(1000 + i, " ".join(template + [f"e{i // 2}x{j}" for j in range(80 - i % 2)])) for i in range(40)]
+    whole = neardup.confirmed
+
+    def counting(pairs, *rest):
+        asked.append(pairs.count())
+        return whole(pairs, *rest)
+
+    monkeypatch.setattr(neardup, "confirmed", counting)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark, docs_of(spark, rows)).collect()}
+    assert got == {i: i if i < 1000 else i - i % 2 for i, _ in rows}
+    # 440 documents of one template have 96,580 pairs.
+    assert len(asked) == 2 and asked[1] <= 200
+
+
+def test_open_pairs_are_found_without_stars(spark, monkeypatch):
+    """The prefix search alone loses no pair: here no star links anything."""
+    rng, asked = random.Random(15), []
+    words = [f"w{i}" for i in range(40)]
+    rows = []
+    for g in range(6):
+        base = [rng.choice(words) for _ in range(60)]
+        for c in range(25):
+            copy = list(base)
+            for _ in range(rng.randint(0, 2)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((100 * g + c, " ".join(copy)))
+    whole = neardup.confirmed
+
+    def later(pairs, *rest):
+        asked.append(1)
+        return whole(pairs.limit(0) if len(asked) == 1 else pairs, *rest)
+
+    monkeypatch.setattr(neardup, "confirmed", later)
+    got = neardup.near_duplicates(spark, docs_of(spark, rows), 3, 85).collect()
+    assert sorted(map(tuple, got), key=repr) == _classes(rows, 3, 85)
+
+
+def test_one_row_of_each_class_stays(spark):
+    """Rows are told apart by id and text, and repeated rows go down to one."""
+    copied, own = "one two three four five six seven", "a text of its own that nothing else resembles"
+    rows = [(1, copied), (1, copied), (2, copied), (2, own), (3, own + " ."), (None, copied), (None, copied), (4, ""), (4, ""), (5, "x y z"), (5, "x y z")]
+    docs = clashing(docs_of(spark, rows))
+    kept = neardup.keep_one(spark, docs, k=3, percent=70)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id or 0, r.text) for r in kept.collect()))
+    assert got == [(0, copied), (0, copied), (1, copied), (2, own), (4, ""), (4, ""), (5, "x y z")]
+
+
 def _battery_p(token, alphabet):
     """Combined p of the three tests, step by step."""
     import math
@@ -300,6 +375,24 @@ def test_runs_of_both_alphabets_are_tested_in_parts(spark):
     assert got == {i: [(m.start(), m.end()) for m in re.finditer(f"{re.escape(url)}|{re.escape(plain)}", text)] for i, text in rows}
 
 
+def test_many_matches_in_one_text(spark):
+    """A megabyte of matches: time grows with the text, and no span is lost."""
+    import time
+
+    n = 60_000
+    text = "é" + "token=abcdefg " * n
+    docs = docs_of(spark, [(1, text), (2, "token=abcdefg " * 300 + "password=hunter22")])
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.scan(spark, docs).collect()}
+    assert got[1].n_assign == n
+    spans = got[1].spans.split(",")
+    assert spans[0] == "assign:1:14" and spans[-1] == f"assign:{1 + 14 * (n - 1)}:{14 * n}"
+    assert got[1].base_sha256 == hashlib.sha256(_write(_base(text)).encode()).hexdigest()
+    masked = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert masked == {1: "é" + "[SECRET] " * n, 2: "[SECRET] " * 300 + "[SECRET]"}
+    assert time.time() - began < 90
+
+
 def test_redaction_masks_spans_and_nothing_else(spark):
     rows = [(1, None), (2, ""), (3, "clean é text"), (4, "é x token=abcdef12 y " + "0123456789abcdef" * 2 + " z"), (5, "password=" + "0123456789abcdef" * 2)]
     docs = clashing(docs_of(spark, rows))
@@ -343,6 +436,20 @@ def test_threshold_top_k_is_exact(spark):
     assert topk.top_k(spark, table.limit(0), table.limit(0)).count() == 0
 
 
+def test_components_of_any_size_are_ranked(spark):
+    """Scaled values beyond 31 and 62 bits take part, exactly."""
+    rows = [(0, [4e7, 0.0]), (20, [1.0, 1.0]), (1, [4e7, 0.0]), (2, [4e7 + 0.25, 1.0]), (3, [-4e7, 5.0]), (4, [3e18, 0.0]), (5, [3e18, -1e9]), (6, [1e300, 2.0]), (7, [1e308, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(spark, table, topk.every(table)).collect()
+    exact = {i: [math.floor(64 * fractions.Fraction(x)) for x in v] for i, v in rows}
+    for query in (0, 20):
+        score = {i: sum(a * b for a, b in zip(exact[query], exact[i])) for i, _ in rows if i != query}
+        order = sorted(score, key=lambda i: (-min(score[i], 10**38 - 1), i))
+        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == query)
+        assert [r[1] for r in mine] == order
+        assert [r[2] for r in mine] == [max(-(2**63), min(2**63 - 1, score[i])) for i in order]
+
+
 def test_threshold_stops_early():
     rng = np.random.default_rng(0)
     values = np.floor(64 * rng.exponential(size=(4000, 3)))
@@ -441,6 +548,15 @@ def test_main_text_of_pages(spark):
     assert pages.main_text(spark, spark.createDataFrame([], PAGE)).count() == 0
 
 
+def test_sections_of_an_article_are_its_own():
+    html = (
+        '<body><div class="related">out</div><article><p>one</p><section id="privacy"><p>two</p></section><div class="related-work"><p>three</p></div>'
+        '<section class="discussion"><p>four</p></section><div class="related">x</div><div class="ad-slot">y</div><div class="notice">z</div>'
+        '<ul class="comment-list"><li>reader</li></ul></article></body>'
+    )
+    assert [t for z, t in pages.blocks(html) if z == pages.ARTICLE] == ["one", "two", "three", "four"]
+
+
 def test_main_text_of_a_large_host_without_articles(spark):
     """Natural prose repeats short sequences; only common long ones are boilerplate."""
     rng = random.Random(11)
@@ -503,6 +619,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.classify(spark, docs.limit(0), _labels(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("positives, share", [(2, 2 / 60), (0, 1 / 62), (None, 0.5)])
+def test_toxicity_without_features_keeps_the_prior(spark, positives, share):
+    """Few positives, one class, no labels: the share of the label, not a coin."""
+    rows = [(i, f"plain words number {i} of a text") for i in range(60)] + [(90, None), (91, "")]
+    labels = [] if positives is None else [(i, 1, int(i < positives)) for i in range(60)]
+    got = toxicity.classify(spark, docs_of(spark, rows), _labels(spark, labels), folds=1, held_out=5).collect()
+    assert len(got) == len(rows) and all(abs(r.score - share) < 0.02 for r in got)
+    assert {r.predicted for r in got} == ({1} if positives is None else {0})
+
+
 def test_counterfactuals_neutralise_identity_terms():
     rng = random.Random(9)
     texts, labels = [], []
