@@ -1,6 +1,7 @@
 """Whole-volume work against plain numpy: statistics, inference, components, axes."""
 
 import itertools
+import math
 import os
 
 import numpy as np
@@ -261,3 +262,48 @@ def test_reorient_in_all_orders(spark):
             assert all(want[s.i, s.j, s.k] == s.value for s in sparse_rows if s.variant == name)
     with pytest.raises(ValueError, match="perm"):
         geometry.reorient(voxels, (2, 3, 4), perm="zzx")
+
+
+def test_windows_in_slices_are_those_of_single_rows(spark, monkeypatch):
+    """Slices of any size give the same windows and blends, also where no window is inside."""
+    rng = np.random.default_rng(3)
+    dims = {1: (5, 7, 4), 2: (9, 3, 6), 3: (2, 2, 2)}
+    cells = [(v, z, y, x, float(rng.integers(0, 9))) for v, d in dims.items() for z, y, x in np.ndindex(*d)]
+    chunks = dense.to_chunks(spark.createDataFrame(cells, "volume_id int, z int, y int, x int, value double"), ["volume_id"], 4)
+    volumes = spark.createDataFrame([(v, *d) for v, d in dims.items()], "volume_id int, dim_z int, dim_y int, dim_x int")
+
+    def found():
+        windows = supertiles.windows(chunks, volumes, ["volume_id"], 4, 6, 3, min_valid=20)
+        blended = supertiles.blend(windows, ["volume_id"], 4, 6, 3)
+        return [sorted(map(str, df.collect())) for df in (windows, blended)]
+
+    whole = found()
+    monkeypatch.setattr(supertiles, "BATCH", 1)
+    assert found() == whole and len(whole[0]) > 8
+
+
+def test_infer_volume_reads_stored_codes(spark, tmp_path):
+    """The inference runs once: the levels and the scales read what it has stored."""
+    rows = [(o, 5 * o, s, 1, float(o % 50)) for o in range(60) for s in (1, 2)]
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/lineitem.parquet")
+    calls = spark.sparkContext.accumulator(0)
+    infer = supertiles.infer
+
+    def counted(chunks, volumes, keys, model, *args, **options):
+        def seen(batches):
+            for batch in batches:
+                calls.add(batch.num_rows)
+                yield batch
+
+        return infer(chunks, volumes, keys, lambda w: model(w.mapInArrow(seen, w.schema)), *args, **options)
+
+    from voxframe.plans import all_queries
+
+    supertiles.infer = counted
+    try:
+        found = all_queries.QUERIES["infer_volume"](spark, str(tmp_path)).count()
+    finally:
+        supertiles.infer = infer
+    windows = 2 * sum(math.prod(n) >= 100 for n in itertools.product([3, 6, 6, 6, 3], repeat=3))
+    assert found == 2 * (12**3 + 12 * 6 * 6 + 12 * 3 * 3) and calls.value == windows

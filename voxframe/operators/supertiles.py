@@ -17,6 +17,8 @@ A row holds one window, or one chunk and its halo; what moves is
 ((edge + patch - stride) / edge)^3 times the volume each way, whatever the overlap.
 """
 
+import collections
+import functools
 import itertools
 import math
 import sys
@@ -47,6 +49,16 @@ def _starts(t, edge, patch, stride):
     return range(-(-low // stride) * stride, (t + 1) * edge, stride)
 
 
+def _some_start(t, edge, patch, stride):
+    return len(_starts(t, edge, patch, stride)) > 0
+
+
+def _spans(t, dim, edge, patch, stride):
+    """(start in the chunk's block, first and end voxel inside the volume) of an axis' windows."""
+    starts = [x for x in _starts(t, edge, patch, stride) if x < dim]
+    return [(x - t * edge, max(0, -x), min(patch, dim - x)) for x in starts]
+
+
 class _Rows:
     """Rows collected into record batches; arrays come as numpy arrays."""
 
@@ -84,8 +96,42 @@ def _schema(df, keys, ints, arrays):
     return ", ".join(ddl), pa.schema(arrow)
 
 
-def _flat(scalar):
-    return scalar.values.to_numpy(zero_copy_only=False)
+def _column(array):
+    """A column without nulls as numbers."""
+    return array.to_numpy(zero_copy_only=False)
+
+
+def _lists(array):
+    """All values of an array column and the bounds of its rows in them."""
+    return array.values.to_numpy(zero_copy_only=False), array.offsets.to_numpy()
+
+
+def _cubes(array, edge):
+    """An array column of rows of edge^3 values, as one array of cubes."""
+    values, ends = _lists(array)
+    if (np.diff(ends) != edge**3).any():
+        raise ValueError(f"rows must have {edge}^3 values")
+    return values[ends[0] : ends[-1]].reshape(len(array), edge, edge, edge)
+
+
+def _slices(n, size):
+    """Bounds of slices of n rows of ``size`` bytes that hold about BATCH bytes, one row at least."""
+    step = max(1, BATCH // max(1, size))
+    return [(a, min(n, a + step)) for a in range(0, n, step)]
+
+
+def _take(batch, names, rows):
+    return [batch.column(c).take(pa.array(rows)) for c in names]
+
+
+def _table(schema, keys, ints, arrays):
+    """A record batch: key columns, integers, and arrays of one length per column."""
+    columns = [*keys, *[pa.array(x, pa.int32()) for x in ints]]
+    for field, x in zip(list(schema)[len(columns) :], arrays):
+        x = x.reshape(len(x), -1)
+        offsets = np.arange(len(x) + 1, dtype=np.int32) * np.int32(x.shape[1])
+        columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.ravel(), field.type.value_type)))
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def _kind(df):
@@ -104,24 +150,22 @@ def halo_parts(chunks, keys, edge, patch, stride):
     ddl, schema = _schema(chunks, keys, ["tz", "ty", "tx"], {"place": "int", "part": kind})
 
     def run(batches):
-        out = _Rows(schema)
+        some_start = functools.lru_cache(1 << 14)(_some_start)
         for batch in batches:
-            named = {c: batch.column(c) for c in batch.schema.names}
-            for i in range(batch.num_rows):
-                if not named["data"][i].is_valid:
-                    continue
-                vol = _flat(named["data"][i]).reshape(edge, edge, edge)
-                key = [named[k][i].as_py() for k in keys]
-                at = [named[f"c{a}"][i].as_py() for a in AXES]
+            batch = batch.filter(batch.column("data").is_valid())
+            for a, z in _slices(batch.num_rows, 8 * edge**3):
+                some = batch.slice(a, z - a)
+                vols = _cubes(some.column("data"), edge)
+                at = np.stack([_column(some.column(f"c{x}")) for x in AXES], axis=1)
                 for step in itertools.product(steps, repeat=3):
-                    to = [c - d for c, d in zip(at, step)]
-                    if all(len(_starts(t, edge, patch, stride)) for t in to):
+                    to = at - np.array(step)
+                    # A chunk in which no window starts gets nothing.
+                    rows = np.flatnonzero([all(some_start(t, edge, patch, stride) for t in place) for place in to.tolist()])
+                    if len(rows):
                         size = [min(edge, width - d * edge) for d in step]
-                        part = vol[: size[0], : size[1], : size[2]].ravel()
-                        out.add((*key, *to, np.array([*(d * edge for d in step), *size], np.int32), part))
-                        if out.full():
-                            yield out.take()
-        yield out.take()
+                        place = np.array([*(d * edge for d in step), *size], np.int32)
+                        part = vols[rows, : size[0], : size[1], : size[2]]
+                        yield _table(schema, _take(some, keys, rows), to[rows].T, [np.tile(place, (len(rows), 1)), part])
 
     return chunks.select(*keys, "cz", "cy", "cx", "data").mapInArrow(run, ddl)
 
@@ -152,41 +196,52 @@ def windows(chunks, volumes, keys, edge, patch, stride, min_valid=4096, eps=1e-8
     ddl, schema = _schema(whole, keys, ints, {"data": kind})
     dtype = np.float64 if kind == "double" else np.float32
 
-    def cut(block, start, origin, dim):
-        """The window at ``start``, or None if too little of it is inside."""
-        lo = [max(0, -s) for s in start]
-        hi = [min(patch, d - s) for s, d in zip(start, dim)]
-        if min(h - b for b, h in zip(lo, hi)) <= 0 or math.prod(h - b for b, h in zip(lo, hi)) < min_valid:
-            return None
-        window = block[tuple(slice(s - o, s - o + patch) for s, o in zip(start, origin))]
-        inside = tuple(slice(b, h) for b, h in zip(lo, hi))
-        out = np.zeros((patch,) * 3, dtype)
-        out[inside] = window[inside]
-        if normalise:
-            real = out[inside].astype(np.float64)
-            sd = real.std()
-            out[inside] = (real - real.mean()) / (sd if sd > eps else 1.0)
-        return out.ravel()
+    def cut(blocks, found):
+        """The windows ``found`` of ``blocks``, those alike at once."""
+        out = np.zeros((len(found), patch, patch, patch), dtype)
+        alike = collections.defaultdict(list)
+        for j, (_, *spans) in enumerate(found):
+            alike[tuple(spans)].append(j)
+        for spans, own in alike.items():
+            source = tuple(slice(s + b, s + h) for s, b, h in spans)
+            inside = tuple(slice(b, h) for _, b, h in spans)
+            real = blocks[(np.array([found[j][0] for j in own]), *source)]
+            if normalise:
+                shape = real.shape
+                real = real.astype(np.float64).reshape(len(own), -1)
+                sd = real.std(axis=1, keepdims=True)
+                real = ((real - real.mean(axis=1, keepdims=True)) / np.where(sd > eps, sd, 1.0)).reshape(shape)
+            out[(np.array(own), *inside)] = real
+        return out
 
     def run(batches):
-        out = _Rows(schema)
+        size = (edge + reach) ** 3 * np.dtype(dtype).itemsize
+        windows_of = functools.lru_cache(1 << 14)(_spans)
         for batch in batches:
-            named = {c: batch.column(c) for c in batch.schema.names}
-            for i in range(batch.num_rows):
-                to, dim = ([named[c][i].as_py() for c in names] for names in (at, dims))
-                block = np.zeros((edge + reach,) * 3, dtype)
-                for p in named["pieces"][i].values or ():
-                    place = _flat(p["place"])
-                    block[tuple(slice(b, b + n) for b, n in zip(place[:3], place[3:]))] = _flat(p["part"]).reshape(place[3:])
-                key = [named[k][i].as_py() for k in keys]
-                origin = [t * edge for t in to]
-                for start in itertools.product(*[_starts(t, edge, patch, stride) for t in to]):
-                    data = cut(block, start, origin, dim) if all(s < d for s, d in zip(start, dim)) else None
-                    if data is not None:
-                        out.add((*key, *to, *dim, *start, patch, patch, patch, data))
-                        if out.full():
-                            yield out.take()
-        yield out.take()
+            for a, z in _slices(batch.num_rows, size):
+                some = batch.slice(a, z - a)
+                to, dim = (np.stack([_column(some.column(c)) for c in names], axis=1) for names in (at, dims))
+                blocks = np.zeros((z - a, *(edge + reach,) * 3), dtype)
+                pieces = some.column("pieces")
+                ends = pieces.offsets.to_numpy()
+                place, place_ends = _lists(pieces.values.field("place"))
+                part, part_ends = _lists(pieces.values.field("part"))
+                for i, (first, last) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                    for k in range(first, last):
+                        z0, y0, x0, *n = place[place_ends[k] : place_ends[k] + 6].tolist()
+                        blocks[i, z0 : z0 + n[0], y0 : y0 + n[1], x0 : x0 + n[2]] = part[part_ends[k] : part_ends[k + 1]].reshape(n)
+                found = []
+                for i, (t, d) in enumerate(zip(to.tolist(), dim.tolist())):
+                    for spans in itertools.product(*[windows_of(x, y, edge, patch, stride) for x, y in zip(t, d)]):
+                        reaches = [h - b for _, b, h in spans]
+                        if min(reaches) > 0 and math.prod(reaches) >= min_valid:
+                            found.append((i, *spans))
+                for a_, z_ in _slices(len(found), patch**3 * np.dtype(dtype).itemsize):
+                    use = found[a_:z_]
+                    rows = np.array([i for i, *_ in use])
+                    start = to[rows] * edge + np.array([[s for s, _, _ in spans] for _, *spans in use])
+                    same = np.full((3, len(use)), patch)
+                    yield _table(schema, _take(some, keys, rows), [*to[rows].T, *dim[rows].T, *start.T, *same], [cut(blocks, use)])
 
     return whole.mapInArrow(run, ddl)
 
@@ -195,6 +250,17 @@ def _profile(patch, sigma):
     return np.array(gaussian_profile(patch, float(sigma))) if sigma else np.ones(patch)
 
 
+def _covered(starts, edge, patch, width):
+    """(step, size, starts that reach it) of the chunks that a block's windows cover."""
+    found = []
+    for step in itertools.product(range(-(-width // edge)), repeat=3):
+        size = [min(edge, width - d * edge) for d in step]
+        over = [s for s in starts if all(x < d * edge + n and x + patch > d * edge for x, d, n in zip(s, step, size))]
+        if over:
+            found.append((step, size, np.array(over, np.int32)))
+    return found
+
+
 def _weight(profile, lo, hi):
     z, y, x = (profile[a:b] for a, b in zip(lo, hi))
     return np.maximum(z[:, None, None] * y[None, :, None] * x[None, None, :], 1e-3)
@@ -210,41 +276,42 @@ def blend(preds, keys, edge, patch, stride, gaussian=True, sigma=None, encode=Fa
     """
     reach, kind = _check(edge, patch, stride), _kind(preds)
     width = edge + reach
-    steps = range(-(-width // edge))
     profile = _profile(patch, (sigma or patch / 8.0) if gaussian else None)
     at, dims = [f"t{a}" for a in AXES], [f"dim_{a}" for a in AXES]
     ints = ["cz", "cy", "cx", *dims, *[f"s{a}" for a in AXES]]
     ddl, schema = _schema(preds, keys, ints, {"size": "int", "starts": "int", "part": kind})
 
-    def send(key, to, dim, total, starts):
-        for step in itertools.product(steps, repeat=3):
+    def send(covered, key, to, dim, total, starts):
+        low = [t * edge for t in to]
+        for step, size, over in covered(tuple(tuple(x - b for x, b in zip(s, low)) for s in starts), edge, patch, width):
             c = [t + d for t, d in zip(to, step)]
-            size = [min(edge, width - d * edge) for d in step]
-            low = [k * edge for k in c]
-            over = [s for s in starts if all(s[j] < low[j] + size[j] and s[j] + patch > low[j] for j in range(3))]
-            if over and all(0 <= k * edge < d for k, d in zip(c, dim)):
+            if all(0 <= k * edge < d for k, d in zip(c, dim)):
                 part = total[tuple(slice(d * edge, d * edge + n) for d, n in zip(step, size))]
-                yield (*key, *c, *dim, *to, np.array(size, np.int32), np.array(over, np.int32).ravel(), part.ravel())
+                yield (*key, *c, *dim, *to, np.array(size, np.int32), (over + np.array(low, np.int32)).ravel(), part.ravel())
 
     def add(batches):
         out, group, total, starts = _Rows(schema), None, None, []
+        covered, weight = functools.lru_cache(256)(_covered), _weight(profile, (0, 0, 0), (patch,) * 3)
         for batch in batches:
-            named = {c: batch.column(c) for c in batch.schema.names}
-            for i in range(batch.num_rows):
-                own = tuple(tuple(named[c][i].as_py() for c in names) for names in (keys, at, dims))
-                if own != group:
-                    if starts:
-                        for row in send(*group, total, starts):
-                            out.add(row)
-                            if out.full():
-                                yield out.take()
-                    group, total, starts = own, np.zeros((width,) * 3), []
-                start = tuple(named[f"w{a}0"][i].as_py() for a in AXES)
-                box = tuple(slice(s - t * edge, s - t * edge + patch) for s, t in zip(start, own[1]))
-                total[box] += _flat(named["data"][i]).reshape((patch,) * 3) * _weight(profile, (0, 0, 0), (patch,) * 3)
-                starts.append(start)
+            if not batch.num_rows:
+                continue
+            owns = list(zip(*[batch.column(c).to_pylist() for c in (*keys, *at, *dims)]))
+            places = list(zip(*[batch.column(f"w{a}0").to_pylist() for a in AXES]))
+            for a, z in _slices(batch.num_rows, 8 * patch**3):
+                scaled = _cubes(batch.column("data").slice(a, z - a), patch) * weight
+                for own, start, data in zip(owns[a:z], places[a:z], scaled):
+                    if own != group:
+                        if starts:
+                            for row in send(covered, group[: len(keys)], group[-6:-3], group[-3:], total, starts):
+                                out.add(row)
+                                if out.full():
+                                    yield out.take()
+                        group, total, starts = own, np.zeros((width,) * 3), []
+                    oz, oy, ox = (s - t * edge for s, t in zip(start, own[-6:-3]))
+                    total[oz : oz + patch, oy : oy + patch, ox : ox + patch] += data
+                    starts.append(start)
         if starts:
-            for row in send(*group, total, starts):
+            for row in send(covered, group[: len(keys)], group[-6:-3], group[-3:], total, starts):
                 out.add(row)
         yield out.take()
 
@@ -254,31 +321,49 @@ def blend(preds, keys, edge, patch, stride, gaussian=True, sigma=None, encode=Fa
     out_kind = "int" if encode else kind
     out_ddl, out_schema = _schema(whole, keys, ["cz", "cy", "cx", "dz", "dy", "dx"], {"data": out_kind})
 
+    def weights(starts):
+        """Sum of the weights of the windows at ``starts``, counted from the chunk."""
+        weight = np.zeros((edge,) * 3)
+        for start in starts:
+            a, z = [max(s, 0) for s in start], [min(s + patch, edge) for s in start]
+            box = tuple(slice(x, y) for x, y in zip(a, z))
+            weight[box] += _weight(profile, [x - s for x, s in zip(a, start)], [y - s for y, s in zip(z, start)])
+        return weight
+
     def mean(batches):
         out = _Rows(out_schema)
+        # As many sums of weights as fit a batch stay with a task.
+        summed = functools.lru_cache(max(1, BATCH // (8 * edge**3)))(weights)
         for batch in batches:
-            named = {c: batch.column(c) for c in batch.schema.names}
-            for i in range(batch.num_rows):
-                c, dim = ([named[n][i].as_py() for n in names] for names in (("cz", "cy", "cx"), dims))
-                total, weight, low = np.zeros((edge,) * 3), np.zeros((edge,) * 3), [k * edge for k in c]
+            if not batch.num_rows:
+                continue
+            own = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+            at, sizes = ([*zip(*[batch.column(n).to_pylist() for n in names])] for names in (("cz", "cy", "cx"), dims))
+            parts = batch.column("parts")
+            ends = parts.offsets.to_numpy().tolist()
+            fields = {c: parts.values.field(c) for c in ("sz", "sy", "sx", "size", "starts", "part")}
+            sent = list(zip(*[_column(fields[f"s{a}"]).tolist() for a in AXES]))
+            size, size_ends = _lists(fields["size"])
+            starts, start_ends = _lists(fields["starts"])
+            part, part_ends = _lists(fields["part"])
+            for i, (c, dim) in enumerate(zip(at, sizes)):
+                total, low = np.zeros((edge,) * 3), [k * edge for k in c]
                 # Parts in a fixed order: sums of floats depend on it.
-                parts = [(tuple(p[f"s{a}"].as_py() for a in AXES), tuple(_flat(p["starts"])), p) for p in named["parts"][i].values]
-                for _, starts, p in sorted(parts, key=lambda x: x[:2]):
-                    size = _flat(p["size"])
-                    total[tuple(slice(0, n) for n in size)] += _flat(p["part"]).reshape(size)
-                    for start in np.array(starts).reshape(-1, 3).tolist():
-                        a = [max(s, b) for s, b in zip(start, low)]
-                        z = [min(s + patch, b + edge) for s, b in zip(start, low)]
-                        box = tuple(slice(x - b, y - b) for x, y, b in zip(a, z, low))
-                        weight[box] += _weight(profile, [x - s for x, s in zip(a, start)], [y - s for y, s in zip(z, start)])
+                found = sorted((sent[k], starts[start_ends[k] : start_ends[k + 1]].tolist(), k) for k in range(ends[i], ends[i + 1]))
+                for _, _, k in found:
+                    n = size[size_ends[k] : size_ends[k + 1]].tolist()
+                    total[: n[0], : n[1], : n[2]] += part[part_ends[k] : part_ends[k + 1]].reshape(n)
+                from_chunk = np.array([x for _, s, _ in found for x in s]).reshape(-1, 3) - np.array(low)
+                weight = summed(tuple(map(tuple, from_chunk.tolist())))
                 data = np.where(weight > 1e-6, total / np.maximum(weight, 1e-6), 0.0)
                 for axis, (b, d) in enumerate(zip(low, dim)):
-                    index = [slice(None)] * 3
-                    index[axis] = slice(max(0, d - b), None)
-                    data[tuple(index)] = 0.0
+                    if d - b < edge:
+                        index = [slice(None)] * 3
+                        index[axis] = slice(max(0, d - b), None)
+                        data[tuple(index)] = 0.0
                 if encode:
                     data = np.floor(np.clip(data * 255.0 + 0.5, 0, 255)).astype(np.int32)
-                out.add((*[named[k][i].as_py() for k in keys], *c, edge, edge, edge, data.ravel()))
+                out.add((*own[i], *c, edge, edge, edge, data.ravel()))
                 if out.full():
                     yield out.take()
         yield out.take()

@@ -103,6 +103,9 @@ def infer_volume(s):
 
     codes = supertiles.infer(dense.to_chunks(s.V, KEY, 4), volume_shapes(s), KEY, model, 4, 6, 3, min_valid=100)
     path = scratch_dir(s.spark, "inference")
+    # Every level and the scales read the codes: written once, they are inferred once.
+    codes.write.parquet(f"{path}/codes")
+    codes = s.spark.read.schema(codes.schema).parquet(f"{path}/codes")
     sinks.write_pyramid(*pooling.pyramid(codes.withColumn("data", F.col("data").cast("array<double>")), KEY, 2, (4e-3, 4e-3, 4e-3)), path)
     rows, _ = sinks.read_pyramid(s.spark, path)
     voxels = dense.to_voxels(rows, [*KEY, "level", "cz", "cy", "cx", "dz"])
