@@ -1,5 +1,6 @@
 """Whole-volume work against plain numpy: statistics, inference, components, axes."""
 
+import io
 import itertools
 import math
 import os
@@ -9,8 +10,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from voxframe.operators import components, dense, geometry, kernels, normalize, pooling, supertiles
+from voxframe.functions import scalar
+from voxframe.operators import augment, components, dense, geometry, kernels, normalize, pooling, stitch, supertiles
 from voxframe.session import scratch_dir
+from voxframe.sources import readers
 
 AXES = "zyx"
 
@@ -307,3 +310,24 @@ def test_infer_volume_reads_stored_codes(spark, tmp_path):
         supertiles.infer = infer
     windows = 2 * sum(math.prod(n) >= 100 for n in itertools.product([3, 6, 6, 6, 3], repeat=3))
     assert found == 2 * (12**3 + 12 * 6 * 6 + 12 * 3 * 3) and calls.value == windows
+
+
+# --- batches --------------------------------------------------------------
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_views_are_worked_out_in_one_function(spark):
+    """Every Python function of a plan costs a process per task, with a batch of rows in each."""
+    vol = np.random.default_rng(5).random((4, 4, 4))
+    patches = spark.createDataFrame([(1, 4, 4, 4, vol.ravel().tolist())], "patch_id int, dz int, dy int, dx int, data array<double>")
+    for preset in augment.PRESETS:
+        assert plan_of(augment.augment(patches, ["patch_id"], 3, preset, 2)).count("ArrowEvalPython") == 1
+    d = augment.Draws("3-view1", ["patch_id"])
+    steps = (augment.orient, augment.gaussian_noise, augment.blur, augment.intensity_jitter, augment.gamma, augment.low_resolution, augment.brightness_gradient)
+    alone = patches
+    for step in steps:
+        alone = step(alone, d)
+    np.testing.assert_allclose(augment.augment(patches, ["patch_id"], 3).first().data, alone.first().data, rtol=0, atol=0)

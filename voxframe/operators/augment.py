@@ -45,15 +45,25 @@ def copies(patches, n, name="copy"):
     return patches.withColumn(name, F.explode(F.sequence(F.lit(1), F.lit(int(n)))))
 
 
-def spatial_params(df, draws, paired=False):
-    """Columns of the flips and the quarter turns of each copy."""
+def _moves(draws, paired=False):
     flips = F.array(*[draws.chance(f"flip{a}", 0.5) for a in "zyx"])
     if paired:
         plane, turns = F.lit(2), draws.integer("turns", 0, 3)
     else:
         plane = draws.integer("plane", 0, 2)
         turns = F.when(draws.chance("rot", 0.5), draws.integer("turns", 1, 3)).otherwise(F.lit(0))
-    return df.withColumns({"flips": flips, "plane": plane, "turns": turns})
+    return flips, plane, turns
+
+
+def spatial_params(df, draws, paired=False):
+    """Columns of the flips and the quarter turns of each copy."""
+    return df.withColumns(dict(zip(("flips", "plane", "turns"), _moves(draws, paired))))
+
+
+def _run(patches, *steps):
+    """Dense rows after some steps, worked out together."""
+    data = kernels.run_steps(F.col("data"), F.col("dz"), F.col("dy"), F.col("dx"), steps)
+    return kernels.pin(patches).withColumn("data", data)
 
 
 def flip3d(patches, draws):
@@ -64,13 +74,14 @@ def rot90_3d(patches, draws, paired=False):
     return orient(patches, draws, flip=False, paired=paired)
 
 
+def orient_step(draws, flip=True, turn=True, paired=False):
+    flips, plane, turns = _moves(draws, paired)
+    return kernels.orient(flips if flip else F.array_repeat(F.lit(False), 3), plane, turns if turn else F.lit(0))
+
+
 def orient(patches, draws, flip=True, turn=True, paired=False):
     """Random flips, then random quarter turns, of cubic dense patches."""
-    df = spatial_params(kernels.pin(patches), draws, paired)
-    flips = F.col("flips") if flip else F.array_repeat(F.lit(False), 3)
-    turns = F.col("turns") if turn else F.lit(0)
-    data = kernels.orient(F.col("data"), F.col("dz"), F.col("dy"), F.col("dx"), flips, F.col("plane"), turns)
-    return df.withColumn("data", data).drop("flips", "plane", "turns")
+    return _run(patches, orient_step(draws, flip, turn, paired))
 
 
 def orient_mask(mask, draws, n, flip=True, turn=True, paired=False):
@@ -99,42 +110,58 @@ def orient_mask(mask, draws, n, flip=True, turn=True, paired=False):
     return df.drop("flips", "plane", "turns")
 
 
-def _with_noise(patches, apply, draws, name, std, clamp=False):
-    a, b = draws.base(f"{name}1"), draws.base(f"{name}2")
-    return kernels.pin(patches).withColumn("data", kernels.noise(F.col("data"), apply, std, a, b, clamp))
+def noise_step(apply, draws, std, clamp=False):
+    return kernels.noise(apply, std, draws.base("noise1"), draws.base("noise2"), clamp)
+
+
+def gaussian_noise_step(draws, cfg=NOISE, clamp=False):
+    std = F.sqrt(draws.uniform("noise_var", *cfg["var"]))
+    return noise_step(draws.chance("noise_p", cfg["p"]), draws, std, clamp)
 
 
 def gaussian_noise(patches, draws, cfg=NOISE, clamp=False):
     """Additive noise with a drawn variance."""
-    std = F.sqrt(draws.uniform("noise_var", *cfg["var"]))
-    return _with_noise(patches, draws.chance("noise_p", cfg["p"]), draws, "noise", std, clamp)
+    return _run(patches, gaussian_noise_step(draws, cfg, clamp))
 
 
-def blur(patches, draws, cfg=BLUR):
-    """Five-tap blur with a drawn sigma."""
+def blur_step(draws, cfg=BLUR):
     taps = F.when(
         draws.chance("blur_p", cfg["p"]), filters.blur_taps(draws.uniform("blur_sigma", *cfg["sigma"]))
     ).otherwise(F.array().cast("array<double>"))
-    data = kernels.separable(F.col("data"), F.col("dz"), F.col("dy"), F.col("dx"), taps, "replicate")
-    return kernels.pin(patches).withColumn("data", data)
+    return kernels.blur(taps)
+
+
+def blur(patches, draws, cfg=BLUR):
+    """Five-tap blur with a drawn sigma."""
+    return _run(patches, blur_step(draws, cfg))
+
+
+def jitter_step(draws, cfg=JITTER, clamp=False):
+    shift = draws.uniform("brightness", -cfg["brightness"], cfg["brightness"])
+    return kernels.jitter(draws.chance("jitter_p", cfg["p"]), shift, draws.uniform("contrast", *cfg["contrast"]), clamp)
 
 
 def intensity_jitter(patches, draws, cfg=JITTER, clamp=False):
     """Brightness shift, then contrast around the shifted mean."""
-    shift = draws.uniform("brightness", -cfg["brightness"], cfg["brightness"])
-    contrast = draws.uniform("contrast", *cfg["contrast"])
-    data = kernels.jitter(F.col("data"), draws.chance("jitter_p", cfg["p"]), shift, contrast, clamp)
-    return kernels.pin(patches).withColumn("data", data)
+    return _run(patches, jitter_step(draws, cfg, clamp))
 
 
 def paired_jitter(patches, draws, cfg=PAIRED):
     """Image-only jitter of the paired set: four independent draws."""
     shift = draws.uniform("brightness", -cfg["brightness"], cfg["brightness"])
     contrast, none = draws.uniform("contrast", *cfg["contrast"]), F.lit(0.0)
-    df = kernels.pin(patches).withColumn("data", kernels.jitter(F.col("data"), draws.chance("bright_p", cfg["p"]), shift, F.lit(1.0)))
-    df = df.withColumn("data", kernels.jitter(F.col("data"), draws.chance("contrast_p", cfg["p"]), none, contrast))
-    df = df.withColumn("data", kernels.gamma(F.col("data"), draws.chance("gamma_p", 0.5), draws.uniform("gamma", *cfg["gamma"]), "signed"))
-    return _with_noise(df, draws.chance("noise_p", 0.2), draws, "noise", F.lit(float(cfg["noise_std"])))
+    return _run(
+        patches,
+        kernels.jitter(draws.chance("bright_p", cfg["p"]), shift, F.lit(1.0)),
+        kernels.jitter(draws.chance("contrast_p", cfg["p"]), none, contrast),
+        kernels.gamma(draws.chance("gamma_p", 0.5), draws.uniform("gamma", *cfg["gamma"]), "signed"),
+        noise_step(draws.chance("noise_p", 0.2), draws, F.lit(float(cfg["noise_std"]))),
+    )
+
+
+def gamma_step(draws, cfg=GAMMA, retain_stats=True, clamp=False):
+    mode = "plain" if clamp else "keep" if retain_stats else "free"
+    return kernels.gamma(draws.chance("gamma_p", cfg["p"]), draws.uniform("gamma", *cfg["gamma"]), mode)
 
 
 def gamma(patches, draws, cfg=GAMMA, retain_stats=True, clamp=False):
@@ -142,45 +169,30 @@ def gamma(patches, draws, cfg=GAMMA, retain_stats=True, clamp=False):
 
     ``clamp`` is the plain form for values in [0, 1]: no shift, no statistics.
     """
-    mode = "plain" if clamp else "keep" if retain_stats else "free"
-    data = kernels.gamma(F.col("data"), draws.chance("gamma_p", cfg["p"]), draws.uniform("gamma", *cfg["gamma"]), mode)
-    return kernels.pin(patches).withColumn("data", data)
+    return _run(patches, gamma_step(draws, cfg, retain_stats, clamp))
 
 
-def low_resolution(patches, draws, cfg=LOW_RES):
-    """Nearest-neighbour shrink by a drawn zoom, then trilinear growth back."""
+def low_resolution_step(draws, cfg=LOW_RES):
     zoom = draws.uniform("zoom", *cfg["zoom"])
     apply = draws.chance("low_p", cfg["p"]) & draws.chance("low_channel", cfg["p_channel"])
-    dims = ["dz", "dy", "dx"]
     # a copy that is not shrunk keeps its own size, where both steps are exact
-    df = kernels.pin(patches).withColumns(
-        {
-            f"_n{d}": F.when(apply, F.greatest(F.lit(1), F.bround(F.col(d) * zoom, 0).cast("int"))).otherwise(F.col(d))
-            for d in dims
-        }
-    )
+    small = lambda d: F.when(apply, F.greatest(F.lit(1), F.bround(d * zoom, 0).cast("int"))).otherwise(d)
+    return kernels.regrow(*(small(F.col(d)) for d in ("dz", "dy", "dx")))
 
-    def down(d):
-        steps = F.sequence(F.lit(0), F.col(f"_n{d}") - 1)
-        return F.transform(steps, lambda i: F.floor(i * F.col(d) / F.col(f"_n{d}")).cast("double"))
 
-    def up(d):
-        steps = F.sequence(F.lit(0), F.col(d) - 1)
-        ratio = F.col(f"_n{d}") / F.col(d)
-        return F.transform(steps, lambda i: F.greatest((i + 0.5) * ratio - 0.5, F.lit(0.0)))
+def low_resolution(patches, draws, cfg=LOW_RES):
+    """Nearest-neighbour shrink by a drawn zoom, then trilinear growth back."""
+    return _run(patches, low_resolution_step(draws, cfg))
 
-    small = kernels.sample_grid(F.col("data"), *[F.col(d) for d in dims], *[down(d) for d in dims])
-    df = df.withColumn("data", small)
-    big = kernels.sample_grid(F.col("data"), *[F.col(f"_n{d}") for d in dims], *[up(d) for d in dims])
-    return df.withColumn("data", big).drop(*[f"_n{d}" for d in dims])
+
+def gradient_step(draws, cfg=GRADIENT, clamp=False):
+    strength, axis = draws.uniform("strength", *cfg["strength"]), draws.integer("axis", 0, 2)
+    return kernels.ramp(draws.chance("gradient_p", cfg["p"]), strength, axis, clamp)
 
 
 def brightness_gradient(patches, draws, cfg=GRADIENT, clamp=False):
     """Additive linear ramp from -strength to strength along a drawn axis."""
-    dims = [F.col(d) for d in ("dz", "dy", "dx")]
-    strength, axis = draws.uniform("strength", *cfg["strength"]), draws.integer("axis", 0, 2)
-    data = kernels.ramp(F.col("data"), *dims, draws.chance("gradient_p", cfg["p"]), strength, axis, clamp)
-    return kernels.pin(patches).withColumn("data", data)
+    return _run(patches, gradient_step(draws, cfg, clamp))
 
 
 PRESETS = ("symmetric", "asymmetric", "legacy")
@@ -198,20 +210,20 @@ def augment(patches, keys, seed, preset="symmetric", view=1):
     d = Draws(f"{seed}-view{view}", keys)
     weak = view == 2 and preset != "symmetric"
     blur_cfg = {**BLUR, "p": SECOND_VIEW_BLUR_P} if weak else BLUR
-    df = orient(patches, d)
     if preset == "legacy":
-        df = intensity_jitter(df, d, clamp=True)
-        df = gamma(df, d, clamp=True)
-        df = blur(df, d, blur_cfg)
-        df = brightness_gradient(df, d, clamp=True)
-        df = gaussian_noise(df, d, LEGACY_NOISE, clamp=True)
-        return df.withColumn("data", kernels.clip(F.col("data"), 0, 1))
-    df = gaussian_noise(df, d)
-    df = blur(df, d, blur_cfg)
-    df = intensity_jitter(df, d)
-    df = gamma(df, d)
-    df = low_resolution(df, d)
-    return brightness_gradient(df, d)
+        return _run(
+            patches,
+            orient_step(d),
+            jitter_step(d, clamp=True),
+            gamma_step(d, clamp=True),
+            blur_step(d, blur_cfg),
+            gradient_step(d, clamp=True),
+            gaussian_noise_step(d, LEGACY_NOISE, clamp=True),
+            kernels.clip(0, 1),
+        )
+    return _run(
+        patches, orient_step(d), gaussian_noise_step(d), blur_step(d, blur_cfg), jitter_step(d), gamma_step(d), low_resolution_step(d), gradient_step(d)
+    )
 
 
 def two_views(patches, keys, seed, preset="symmetric"):

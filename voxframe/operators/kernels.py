@@ -22,7 +22,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ARRAY = T.ArrayType(T.DoubleType())
 #: Bytes of a batch of dense rows, unless the session has a lower bound.
-BATCH_BYTES = 64 << 20
+BATCH_BYTES = 4 << 20
 
 
 def _kernel(return_type):
@@ -229,26 +229,9 @@ def project_max(data, dz, dy, dx, axis):
     return _project_max(data, dz, dy, dx, F.lit(axis))
 
 
-@_kernel(ARRAY)
-def _orient(
-    data: pa.Array, dz: pa.Array, dy: pa.Array, dx: pa.Array, flips: pa.Array, plane: pa.Array, turns: pa.Array
-) -> pa.Array:
-    planes = [(0, 1), (0, 2), (1, 2)]
-    out = []
-    for v, s, f, p, k in zip(
-        _rows(data), _shapes(dz, dy, dx), flips.to_pylist(), plane.to_pylist(), turns.to_pylist()
-    ):
-        vol = np.flip(v.reshape(s), [a for a in range(3) if f[a]])
-        out.append(np.rot90(vol, k, planes[p]).ravel())
-    return _pack(out)
-
-
-def orient(data, dz, dy, dx, flips, plane, turns):
-    """Flip axes (array of three booleans), then rotate by quarter turns in a plane.
-
-    Planes: 0 is (z, y), 1 is (z, x), 2 is (y, x).
-    """
-    return _orient(data, dz, dy, dx, flips, plane, turns)
+def _oriented(v, shape, flips, plane, turns):
+    vol = np.flip(v.reshape(shape), [a for a in range(3) if flips[a]])
+    return np.rot90(vol, turns, [(0, 1), (0, 2), (1, 2)][plane]).ravel()
 
 
 def _otsu_index(counts, classes):
@@ -560,12 +543,7 @@ def affine(data, shift, scale):
     return _affine(data, shift, scale)
 
 
-# --- intensity steps of augmented copies: where ``apply`` is false, a row stays
-
-
-def _when(rows, apply, *params):
-    """Rows with the step's function where it applies; parameters as Python values."""
-    return zip(rows, apply.to_pylist(), *(p.to_pylist() for p in params))
+# --- steps of augmented copies, one after the other in one function
 
 
 def _cell_hash(base, n):
@@ -586,24 +564,18 @@ def _limited(v, clamp):
     return np.clip(v, 0.0, 1.0) if clamp else v
 
 
-@_kernel(ARRAY)
-def _noise(data: pa.Array, apply: pa.Array, sd: pa.Array, a: pa.Array, b: pa.Array, clamp: pa.Array) -> pa.Array:
-    return _pack(_limited(v + s * _normals(x, y, len(v)), c) if on else v for v, on, s, x, y, c in _when(_rows(data), apply, sd, a, b, clamp))
+def _noised(v, shape, apply, sd, a, b, clamp):
+    return _limited(v + sd * _normals(a, b, len(v)), clamp) if apply else v
 
 
-def noise(data, apply, sd, a, b, clamp=False):
-    """Add normal draws of a standard deviation from two hash bases."""
-    return _noise(data, apply, sd, a, b, F.lit(clamp))
-
-
-@_kernel(ARRAY)
-def _jitter(data: pa.Array, apply: pa.Array, shift: pa.Array, contrast: pa.Array, clamp: pa.Array) -> pa.Array:
-    return _pack(_limited((v - v.mean()) * k + v.mean() + b, c) if on and len(v) else v for v, on, b, k, c in _when(_rows(data), apply, shift, contrast, clamp))
+def _blurred(v, shape, taps):
+    return _convolve(v.reshape(shape), taps, "edge").ravel()
 
 
-def jitter(data, apply, shift, contrast, clamp=False):
-    """Contrast around the mean, then a shift."""
-    return _jitter(data, apply, shift, contrast, F.lit(clamp))
+def _jittered(v, shape, apply, shift, contrast, clamp):
+    if not apply or not len(v):
+        return v
+    return _limited((v - v.mean()) * contrast + v.mean() + shift, clamp)
 
 
 def _power(v, g, keep):
@@ -614,47 +586,97 @@ def _power(v, g, keep):
     return (out - out.mean()) / sd(out) * sd(v) + v.mean()
 
 
-@_kernel(ARRAY)
-def _gamma(data: pa.Array, apply: pa.Array, g: pa.Array, mode: pa.Array) -> pa.Array:
-    def one(v, g, mode):
-        if mode == "plain":
-            return np.clip(np.maximum(v, 1e-8) ** g, 0.0, 1.0)
-        if mode == "signed":
-            return np.sign(v) * np.maximum(np.abs(v), 1e-6) ** g
-        return _power(v, g, mode == "keep")
+def _powered(v, shape, apply, g, mode):
+    if not apply or not len(v):
+        return v
+    if mode == "plain":
+        return np.clip(np.maximum(v, 1e-8) ** g, 0.0, 1.0)
+    if mode == "signed":
+        return np.sign(v) * np.maximum(np.abs(v), 1e-6) ** g
+    return _power(v, g, mode == "keep")
+
+
+def _regrown(v, shape, *small):
+    """Nearest-neighbour shrink to ``small``, then trilinear growth back."""
+    down = [np.floor(np.arange(n) * d / n) for n, d in zip(small, shape)]
+    up = [np.maximum((np.arange(d) + 0.5) * (n / d) - 0.5, 0.0) for n, d in zip(small, shape)]
+    return _trilinear(_trilinear(v.reshape(shape), *down, None), *up, None).ravel()
+
+
+def _ramped(v, shape, apply, strength, axis, clamp):
+    if not apply:
+        return v
+    n = shape[axis]
+    at = np.arange(n).reshape([-1 if i == axis else 1 for i in range(3)])
+    return _limited(v.reshape(shape) - strength + strength * 2.0 * at / max(n - 1, 1), clamp).ravel()
+
 
-    return _pack(one(v, e, m) if on and len(v) else v for v, on, e, m in _when(_rows(data), apply, g, mode))
+def _clipped(v, shape, lo, hi):
+    return np.clip(v, lo, hi)
 
 
-def gamma(data, apply, g, mode):
+def orient(flips, plane, turns):
+    """Flip axes (array of three booleans), then rotate by quarter turns in a plane.
+
+    Planes: 0 is (z, y), 1 is (z, x), 2 is (y, x).
+    """
+    return _oriented, flips, plane, turns
+
+
+def noise(apply, sd, a, b, clamp=False):
+    """Add normal draws of a standard deviation from two hash bases."""
+    return _noised, apply, sd, a, b, F.lit(clamp)
+
+
+def blur(taps):
+    """The same taps along z, y and x, edges replicated; none leave a row as it is."""
+    return _blurred, taps
+
+
+def jitter(apply, shift, contrast, clamp=False):
+    """Contrast around the mean, then a shift."""
+    return _jittered, apply, shift, contrast, F.lit(clamp)
+
+
+def gamma(apply, g, mode):
     """Power of the values: ``plain`` in [0, 1], ``signed`` with their sign, or above
     the minimum, with mean and sample sd restored (``keep``) or not (``free``)."""
-    return _gamma(data, apply, g, F.lit(mode))
-
+    return _powered, apply, g, F.lit(mode)
 
-@_kernel(ARRAY)
-def _ramp(data: pa.Array, dz: pa.Array, dy: pa.Array, dx: pa.Array, apply: pa.Array, strength: pa.Array, axis: pa.Array, clamp: pa.Array) -> pa.Array:
-    def one(v, shape, s, axis, clamp):
-        n = shape[axis]
-        at = np.arange(n).reshape([-1 if i == axis else 1 for i in range(3)])
-        return _limited(v.reshape(shape) - s + s * 2.0 * at / max(n - 1, 1), clamp).ravel()
 
-    rows = zip(_shapes(dz, dy, dx), _when(_rows(data), apply, strength, axis, clamp))
-    return _pack(one(v, shape, s, a, c) if on else v for shape, (v, on, s, a, c) in rows)
+def regrow(*small):
+    """Shrink to ``small`` cells along z, y and x, and grow back."""
+    return _regrown, *small
 
 
-def ramp(data, dz, dy, dx, apply, strength, axis, clamp=False):
+def ramp(apply, strength, axis, clamp=False):
     """Add a linear ramp from -strength to strength along an axis (0 is z)."""
-    return _ramp(data, dz, dy, dx, apply, strength, axis, F.lit(clamp))
+    return _ramped, apply, strength, axis, F.lit(clamp)
 
 
-@_kernel(ARRAY)
-def _clip(data: pa.Array, lo: pa.Array, hi: pa.Array) -> pa.Array:
-    return _pack(np.clip(v, a, b) for v, a, b in zip(_rows(data), lo.to_pylist(), hi.to_pylist()))
+def clip(lo, hi):
+    return _clipped, F.lit(float(lo)), F.lit(float(hi))
+
+
+def run_steps(data, dz, dy, dx, steps):
+    """Dense rows after some steps, each a row function and its parameter columns.
+
+    All of them run in one Python function: every function of its own costs a
+    worker process per task, with a batch of rows in each. Where a step's
+    ``apply`` is false, a row stays as it is.
+    """
+    functions = [(fn, [f"s{i}_{k}" for k in range(len(params))]) for i, (fn, *params) in enumerate(steps)]
+    columns = [p.alias(name) for (_, names), (_, *params) in zip(functions, steps) for name, p in zip(names, params)]
+
+    def run(data: pa.Array, dz: pa.Array, dy: pa.Array, dx: pa.Array, params: pa.Array) -> pa.Array:
+        def one(v, shape, p):
+            for fn, names in functions:
+                v = fn(v, shape, *(p[n] for n in names))
+            return v
 
+        return _pack(one(v, s, p) for v, s, p in zip(_rows(data), _shapes(dz, dy, dx), params.to_pylist()))
 
-def clip(data, lo, hi):
-    return _clip(data, F.lit(float(lo)), F.lit(float(hi)))
+    return _kernel(ARRAY)(run)(data, dz, dy, dx, F.struct(*columns))
 
 
 def _counts(v, lo, hi, bins):
