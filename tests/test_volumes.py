@@ -331,3 +331,13 @@ def test_views_are_worked_out_in_one_function(spark):
     for step in steps:
         alone = step(alone, d)
     np.testing.assert_allclose(augment.augment(patches, ["patch_id"], 3).first().data, alone.first().data, rtol=0, atol=0)
+
+
+def test_chunks_of_a_batch_are_labelled_at_once(monkeypatch):
+    calls, runs = [], components.chunk_runs
+    monkeypatch.setattr(components, "chunk_runs", lambda mask, conn: calls.append(1) or runs(mask, conn))
+    full, none = [1.0] * 8, [0.0] * 8
+    batch = pa.RecordBatch.from_pydict({"cz": [0, 1, 2, 3], "cy": [0] * 4, "cx": [0] * 4, "data": [full, none, None, full]})
+    rows, corners, cells, firsts = components._labelled(batch, 2, 26)
+    assert len(calls) == 1 and rows.tolist() == [0, 3] and corners[:, 0].tolist() == [0, 6]
+    assert cells.tolist() == list(range(16)) and firsts.tolist() == [0] * 8 + [8] * 8

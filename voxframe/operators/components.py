@@ -4,12 +4,13 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxframe.operators.kernels import contacts, label_runs as chunk_runs
 from voxframe.operators.ranking import row_numbers
-from voxframe.session import RoundTables, ensure_checkpoint_dir
+from voxframe.session import RoundTables, bound_batches, ensure_checkpoint_dir
 
 # Bits of one axis in a voxel code; codes order by (z, y, x).
 AXIS_BITS = 21
@@ -143,30 +144,36 @@ def connected_components(mask, keys, conn=26):
 FORWARD = [d for d in itertools.product((-1, 0, 1), repeat=3) if d > (0, 0, 0)]
 
 
-def _chunk_labels(vol, corner, conn):
-    """Labels of one chunk's cells, -1 outside the mask: codes of first voxels."""
-    dy, dx = vol.shape[1:]
-    out = np.full(vol.size, -1, np.int64)
-    at, first = chunk_runs(vol, conn)
-    z, y, x = (k + c for k, c in zip((first // (dy * dx), first // dx % dy, first % dx), corner))
-    if at.size and max(z.max(), y.max(), x.max()) >= 1 << AXIS_BITS:
-        raise ValueError("a voxel coordinate is outside 0 .. 2^21 - 1")
-    out[at] = z.astype(np.int64) << 2 * AXIS_BITS | y.astype(np.int64) << AXIS_BITS | x
-    return out.reshape(vol.shape)
-
-
 def _key_fields(df, names):
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in names)
 
 
 def _labelled(batch, edge, conn):
-    """(row, chunk position, labels) of the chunks of a batch that have foreground."""
-    for i in range(batch.num_rows):
-        data = batch.column("data")[i].values
-        vol = np.nan_to_num(data.cast(pa.float64()).to_numpy(zero_copy_only=False)).reshape((edge,) * 3) > 0 if data is not None else None
-        if vol is not None and vol.any():
-            at = [batch.column(f"c{a}")[i].as_py() for a in "zyx"]
-            yield i, at, _chunk_labels(vol, [c * edge for c in at], conn)
+    """Objects of the chunks of a batch that have foreground: (rows, corners, cells, firsts).
+
+    All chunks are labelled at once, one below the other with an empty plane in
+    between. ``cells`` are the places of the foreground in the stack of these
+    chunks, ``firsts`` those of the first voxel of each one's object.
+    """
+    data = batch.column("data")
+    rows = np.flatnonzero(data.is_valid().to_numpy(zero_copy_only=False))
+    mask = data.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(rows), edge, edge, edge) > 0
+    use = mask.any(axis=(1, 2, 3))
+    rows, mask = rows[use], mask[use]
+    corners = np.stack([batch.column(f"c{a}").to_numpy(zero_copy_only=False)[rows].astype(np.int64) * edge for a in "zyx"], axis=1)
+    apart = np.zeros((len(rows), edge + 1, edge, edge), bool)
+    apart[:, :edge] = mask
+    plane, size = edge**2, edge**3
+    return rows, corners, *(i - i // (size + plane) * plane for i in chunk_runs(apart.reshape(len(rows) * (edge + 1), edge, edge), conn))
+
+
+def _codes(places, corners, edge):
+    """Codes of voxels by their places in a stack of chunks."""
+    of, at = np.divmod(places, edge**3)
+    z, y, x = (k + corners[of, i] for i, k in enumerate((at // edge**2, at // edge % edge, at % edge)))
+    if len(places) and max(z.max(), y.max(), x.max()) >= 1 << AXIS_BITS:
+        raise ValueError("a voxel coordinate is outside 0 .. 2^21 - 1")
+    return z << 2 * AXIS_BITS | y << AXIS_BITS | x
 
 
 def face_contacts(chunks, keys, edge, conn=26):
@@ -180,34 +187,35 @@ def face_contacts(chunks, keys, edge, conn=26):
 
     def slabs(batches):
         for batch in batches:
-            rows = [[] for _ in range(7)]
-            for i, at, labels in _labelled(batch, edge, conn):
-                for number, step in enumerate(steps):
-                    for side in (0, 1):
-                        # The lower chunk gives its far cells, the upper one its near cells.
-                        ends = [slice(None) if s == 0 else slice(edge - 1, edge) if (s > 0) == (side == 0) else slice(0, 1) for s in step]
-                        cells = labels[tuple(ends)]
-                        if (cells >= 0).any():
-                            lower = at if side == 0 else [c - s for c, s in zip(at, step)]
-                            for column, value in zip(rows, (i, *lower, number, side, cells.ravel())):
-                                column.append(value)
-            take = pa.array(rows[0], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k).take(take) for k in keys), *(pa.array(c, pa.int32()) for c in rows[1:6]), pa.array(rows[6], pa.list_(pa.int64()))],
-                names=[*names, "step", "side", "cells"],
-            )
+            rows, corners, cells, firsts = _labelled(batch, edge, conn)
+            labels = np.full(len(rows) * edge**3, -1, np.int64)
+            labels[cells] = _codes(firsts, corners, edge)
+            labels = labels.reshape(len(rows), edge, edge, edge)
+            for number, step in enumerate(steps):
+                for side in (0, 1):
+                    # The lower chunk gives its far cells, the upper one its near cells.
+                    ends = [slice(None) if s == 0 else slice(edge - 1, edge) if (s > 0) == (side == 0) else slice(0, 1) for s in step]
+                    border = labels[(slice(None), *ends)].reshape(len(rows), edge ** step.count(0))
+                    use = np.flatnonzero((border >= 0).any(axis=1))
+                    if not len(use):
+                        continue
+                    lower = corners[use] // edge - (0 if side == 0 else np.array(step))
+                    sent = pa.ListArray.from_arrays(pa.array(np.arange(len(use) + 1) * border.shape[1], pa.int32()), pa.array(border[use].ravel()))
+                    same = (pa.array(np.full(len(use), k), pa.int32()) for k in (number, side))
+                    kept = (batch.column(k).take(pa.array(rows[use])) for k in keys)
+                    yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, pa.int32()) for c in lower.T), *same, sent], names=[*names, "step", "side", "cells"])
 
     def pairs(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                step = steps[batch.column("step")[i].as_py()]
-                shape = [edge if s == 0 else 1 for s in step]
-                a, b = (batch.column(c)[i].values.to_numpy().reshape(shape) for c in "ab")
-                found = contacts(a, b, step, conn)
-                take = pa.array(np.full(len(found), i))
+            number = batch.column("step").to_numpy()
+            for k in np.unique(number).tolist():
+                of = np.flatnonzero(number == k)
+                shape = [len(of), *(edge if s == 0 else 1 for s in steps[k])]
+                a, b = (batch.column(c).take(pa.array(of)).flatten().to_numpy().reshape(shape) for c in "ab")
+                pair, u, v = contacts(a, b, steps[k], conn).T
+                take = pa.array(of[pair])
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).take(take) for k in keys), pa.array(found.min(axis=1, initial=2**62)), pa.array(found.max(axis=1, initial=-1))],
-                    names=[*keys, "u", "v"],
+                    [*(batch.column(c).take(take) for c in keys), pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=[*keys, "u", "v"]
                 )
 
     fields = _key_fields(chunks, keys)
@@ -232,6 +240,7 @@ def volume_components(chunks, keys, edge, conn=26):
     if conn not in (6, 26):
         raise ValueError("conn must be 6 or 26")
     ensure_checkpoint_dir(chunks.sparkSession)
+    bound_batches(chunks.sparkSession)
     roots = _roots(face_contacts(chunks, keys, edge, conn), keys)
     names = [*keys, "cz", "cy", "cx"]
     rows = chunks.select(*names, "data")
@@ -249,22 +258,23 @@ def volume_components(chunks, keys, edge, conn=26):
 
     def run(batches):
         for batch in batches:
-            at, out = [], []
-            for i, _, labels in _labelled(batch, edge, conn):
-                flat, changed = labels.ravel(), batch.column("changed")[i].values
-                if changed is not None and len(changed):
-                    u, root = (changed.field(c).to_numpy() for c in ("u", "root"))
-                    order = np.argsort(u)
-                    u, root = u[order], root[order]
-                    place = np.minimum(np.searchsorted(u, flat), len(u) - 1)
-                    flat = np.where(u[place] == flat, root[place], flat)
-                at.append(i)
-                out.append(flat)
-            kept = [batch.column(c).take(pa.array(at, pa.int64())) for c in names]
-            size = [pa.array(np.full(len(at), edge), pa.int32())] * 3
-            offsets = pa.array(np.arange(len(at) + 1) * edge**3, pa.int32())
-            flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([*kept, *size, pa.ListArray.from_arrays(offsets, flat)], names=[*names, "dz", "dy", "dx", "data"])
+            found, corners, cells, firsts = _labelled(batch, edge, conn)
+            roots = np.full(len(found) * edge**3, -1, np.int64)
+            roots[firsts] = _codes(firsts, corners, edge)
+            changed = batch.column("changed").take(pa.array(found))
+            size = pa.compute.fill_null(pa.compute.list_value_length(changed), 0).to_numpy(zero_copy_only=False)
+            if size.any():
+                # A label is the code of a voxel of its chunk, so it tells its own place.
+                of, new = np.repeat(np.arange(len(found)), size), changed.flatten()
+                u, low = new.field("u").to_numpy(), (1 << AXIS_BITS) - 1
+                z, y, x = ((u >> k & low) - corners[of, i] for i, k in enumerate((2 * AXIS_BITS, AXIS_BITS, 0)))
+                roots[((of * edge + z) * edge + y) * edge + x] = new.field("root").to_numpy()
+            flat = np.full(len(found) * edge**3, -1, np.int64)
+            flat[cells] = roots[firsts]
+            kept = [batch.column(c).take(pa.array(found)) for c in names]
+            dims = [pa.array(np.full(len(found), edge), pa.int32())] * 3
+            offsets = pa.array(np.arange(len(found) + 1) * edge**3, pa.int32())
+            yield pa.RecordBatch.from_arrays([*kept, *dims, pa.ListArray.from_arrays(offsets, pa.array(flat))], names=[*names, "dz", "dy", "dx", "data"])
 
     return rows.mapInArrow(run, f"{_key_fields(chunks, names)}, dz int, dy int, dx int, data array<long>")
 

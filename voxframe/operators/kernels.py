@@ -424,19 +424,19 @@ def label_runs(mask, conn):
 
 
 def contacts(a, b, step, conn):
-    """Distinct pairs of labels that touch across the border of two chunks.
+    """Distinct labels that touch across the borders of pairs of chunks: (pair, label, label).
 
-    ``a`` and ``b`` are the cells of either side, with one cell along the axes of
-    ``step`` that are not 0; background is negative.
+    ``a`` and ``b`` are the cells of either side, pair by pair, with one cell along
+    the axes of ``step`` that are not 0; background is negative.
     """
     spread = [range(-1, 2) if s == 0 and conn == 26 else range(1) for s in step]
-    pairs = []
+    found = []
     for shift in itertools.product(*spread):
-        left = a[tuple(slice(max(0, -k), n - max(0, k)) for k, n in zip(shift, a.shape))]
-        right = b[tuple(slice(max(0, k), n - max(0, -k)) for k, n in zip(shift, b.shape))]
+        left = a[(slice(None), *(slice(max(0, -k), n - max(0, k)) for k, n in zip(shift, a.shape[1:])))]
+        right = b[(slice(None), *(slice(max(0, k), n - max(0, -k)) for k, n in zip(shift, b.shape[1:])))]
         both = (left >= 0) & (right >= 0)
-        pairs.append(np.stack([left[both], right[both]], axis=1))
-    return np.unique(np.concatenate(pairs), axis=0)
+        found.append(np.stack([np.nonzero(both)[0], left[both], right[both]], axis=1))
+    return np.unique(np.concatenate(found), axis=0)
 
 
 def _reduce_blocks(vol, factors, how, pad):
