@@ -333,6 +333,33 @@ def test_views_are_worked_out_in_one_function(spark):
     np.testing.assert_allclose(augment.augment(patches, ["patch_id"], 3).first().data, alone.first().data, rtol=0, atol=0)
 
 
+def test_synthetic_volumes_in_bounded_batches(spark, monkeypatch):
+    ids = spark.createDataFrame([(i,) for i in range(5)], "pos long")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(26)), lambda i: scalar.cell_hash(scalar.hash_rank(7, "pos") % scalar.CELL_MOD, i) / float(scalar.CELL_MOD))
+    want = {r.pos: r.data for r in ids.select("pos", cells.alias("data")).collect()}
+    monkeypatch.setattr(kernels, "BATCH_BYTES", 1)
+    rows = readers.synthetic_volumes(ids, "pos", 3, 7)
+    assert {r.pos: r.data for r in rows.collect()} == want
+    assert "MapInArrow" in plan_of(rows)
+
+
+def test_decoded_arrays_are_bounded_by_bytes(spark, monkeypatch):
+    name, files = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    for i in range(4):
+        out = io.BytesIO()
+        np.save(out, np.full((1, 2, i + 1, 2), i, np.uint16))
+        files.append((f"p{i}", bytearray(out.getvalue())))
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(64 << 20))
+    monkeypatch.setattr(kernels, "BATCH_BYTES", 100)
+    try:
+        decoded = readers.decode_arrays(spark.createDataFrame(files, "path string, content binary").coalesce(1))
+        assert spark.conf.get(name) == "100"
+        assert sorted((r.path, r.dz, r.dy, r.dx, r.data) for r in decoded.collect()) == [(f"p{i}", 2, i + 1, 2, [float(i)] * (4 * i + 4)) for i in range(4)]
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_chunks_of_a_batch_are_labelled_at_once(monkeypatch):
     calls, runs = [], components.chunk_runs
     monkeypatch.setattr(components, "chunk_runs", lambda mask, conn: calls.append(1) or runs(mask, conn))

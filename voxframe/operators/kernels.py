@@ -679,6 +679,31 @@ def run_steps(data, dz, dy, dx, steps):
     return _kernel(ARRAY)(run)(data, dz, dy, dx, F.struct(*columns))
 
 
+def hashed_volumes(ids, key, edge):
+    """(key, dz, dy, dx, data) of (key, base): a cube of values in [0, 1) per hash base.
+
+    An id takes a few bytes and its volume many, so what is returned at once is
+    bounded, not what is read.
+    """
+    cells = edge**3
+    most = max(1, BATCH_BYTES // (8 * cells))
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, most):
+                part = batch.slice(first, most)
+                bases = part.column("base").to_pylist()
+                flat = [np.full(cells, np.nan) if b is None else _cell_hash(b, cells) / 2147483647.0 for b in bases]
+                unknown = np.repeat([b is None for b in bases], cells)
+                data = pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(bases) + 1) * cells, pa.int32()), pa.array(np.concatenate(flat), mask=unknown)
+                )
+                size = [pa.array(np.full(len(bases), edge), pa.int32())] * 3
+                yield pa.RecordBatch.from_arrays([part.column(key), *size, data], names=[key, "dz", "dy", "dx", "data"])
+
+    return ids.mapInArrow(run, f"`{key}` {ids.schema[key].dataType.simpleString()}, dz int, dy int, dx int, data array<double>")
+
+
 def _counts(v, lo, hi, bins):
     """Equal-width counts over [lo, hi]; all in the first bin if that is empty."""
     if not hi > lo:

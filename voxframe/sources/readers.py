@@ -2,20 +2,19 @@
 
 import fnmatch
 import functools
-import io
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import functions as F
 
 from voxframe import schemas
-from voxframe.functions.scalar import CELL_MOD, cell_hash, file_name, hash_rank, let
+from voxframe.functions.scalar import CELL_MOD, file_name, hash_rank
+from voxframe.operators import kernels
 from voxframe.operators.geometry import DEFAULT_SCALE_ZYX
 from voxframe.operators.keys import ANGLED, resolve_preferred
-from voxframe.session import RoundTables
+from voxframe.session import RoundTables, bound_batches
 from voxframe.sources.patch_folder import open_folder
 
 
@@ -297,19 +296,35 @@ def decode_arrays(files):
 
     Leading axes of length 1 are dropped; what is left must have three axes.
     """
+    most = kernels.BATCH_BYTES
+
+    def table(paths, arrays):
+        flat, ends = np.concatenate([a.ravel() for a in arrays]), np.cumsum([0, *(a.size for a in arrays)])
+        size = [pa.array([a.shape[i] for a in arrays], pa.int32()) for i in range(3)]
+        cells = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), *size, cells], names=["path", "dz", "dy", "dx", "data"])
+
     def decode(batches):
+        # What is returned at once is bounded: cells take up to eight times the bytes of their file.
+        paths, arrays, held = [], [], 0
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"]):
-                a = np.load(io.BytesIO(content), allow_pickle=False)
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                a = np.load(pa.BufferReader(content.as_buffer()), allow_pickle=False)
                 while a.ndim > 3 and a.shape[0] == 1:
                     a = a[0]
                 if a.ndim != 3:
                     raise ValueError(f"{path}: expected 3 axes, found {a.shape}")
-                rows.append((path, *a.shape, a.astype(np.float64).ravel()))
-            yield pd.DataFrame(rows, columns=["path", "dz", "dy", "dx", "data"])
+                paths.append(path.as_py())
+                arrays.append(a.astype(np.float64))
+                held += 8 * a.size
+                if held >= most:
+                    yield table(paths, arrays)
+                    paths, arrays, held = [], [], 0
+        if arrays:
+            yield table(paths, arrays)
 
-    return files.select("path", "content").mapInPandas(decode, DENSE)
+    bound_batches(files.sparkSession, most)
+    return files.select("path", "content").mapInArrow(decode, DENSE)
 
 
 def read_array_patches(spark, path, glob="*.npy"):
@@ -322,7 +337,5 @@ def read_array_patches(spark, path, glob="*.npy"):
 
 def synthetic_volumes(ids, key, edge, seed=0):
     """A deterministic dense volume in [0, 1) per id."""
-    cells = F.sequence(F.lit(0), F.lit(edge**3 - 1))
     base = hash_rank(seed, key) % CELL_MOD
-    data = let(base, lambda b: F.transform(cells, lambda i: cell_hash(b, i) / float(CELL_MOD)))
-    return ids.select(key, F.lit(edge).alias("dz"), F.lit(edge).alias("dy"), F.lit(edge).alias("dx"), data.alias("data"))
+    return kernels.hashed_volumes(ids.select(key, base.alias("base")), key, edge)
