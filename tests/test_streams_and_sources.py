@@ -9,8 +9,8 @@ import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
-from voxframe.operators import review
-from voxframe.sources import patch_folder, readers
+from voxframe.operators import joins, review
+from voxframe.sources import patch_folder, readers, sinks
 from voxframe.streaming import jobs, metrics, state
 
 DAY = datetime.datetime(2024, 1, 1)
@@ -252,3 +252,19 @@ def test_patch_folder_names_files_of_other_shapes(spark, tmp_path):
     np.save(f"{tmp_path}/in/flat.npy", np.zeros((2, 2)))
     with pytest.raises(PythonException, match="flat.npy"):
         spark.read.format("patch_folder").load(f"{tmp_path}/in").collect()
+
+
+def test_patch_folder_moves_bounded_batches(spark, tmp_path, monkeypatch):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(64 << 20))
+    try:
+        patch_folder.register(spark)
+        assert spark.conf.get(name) == str(patch_folder.BATCH_BYTES)
+    finally:
+        spark.conf.set(name, before)
+    out = str(tmp_path / "patches")
+    patches_of(spark, range(5)).coalesce(1).write.format("patch_folder").mode("append").save(out)
+    monkeypatch.setattr(patch_folder, "BATCH_ROWS", 2)
+    reader = patch_folder.PatchFolder({"path": out}).reader(spark.range(0).selectExpr("'' as patch_id", "0 as dz").schema)
+    assert [b.num_rows for part in reader.partitions() for b in reader.read(part)] == [2, 2, 1]

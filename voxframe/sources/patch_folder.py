@@ -22,9 +22,12 @@ import sys
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import cloudpickle
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
+
+from voxframe.session import bound_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -32,6 +35,9 @@ SCHEMA = "patch_id string, dz int, dy int, dx int, data array<double>"
 STAGING = "_staging"
 #: Bytes of files in one partition, unless a single file is larger.
 PARTITION_BYTES = 128 << 20
+#: Bytes of cells, and number of rows, that a task holds at once, unless one patch has more.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
+KINDS = {"patch_id": pa.string(), "dz": pa.int32(), "dy": pa.int32(), "dx": pa.int32(), "data": pa.list_(pa.float64())}
 
 
 def open_folder(path):
@@ -91,6 +97,7 @@ class PatchReader(DataSourceReader):
 
     def read(self, partition):
         system, _ = open_folder(self.path)
+        rows, held = [], 0
         for path in partition.paths:
             with system.open_input_file(path) as stream:
                 shape, fortran, dtype = read_header(stream)
@@ -100,8 +107,18 @@ class PatchReader(DataSourceReader):
                 if "data" in self.columns:
                     cells = np.frombuffer(stream.read(), dtype)
                     cells = cells.reshape(shape, order="F" if fortran else "C").ravel()
-                    row["data"] = cells.astype(np.float64).tolist()
-            yield tuple(row[c] for c in self.columns)
+                    row["data"] = cells.astype(np.float64)
+                    held += row["data"].nbytes
+            rows.append(row)
+            if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                yield self._batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield self._batch(rows)
+
+    def _batch(self, rows):
+        arrays = [pa.array([r[c] for r in rows], KINDS[c]) for c in self.columns]
+        return pa.RecordBatch.from_arrays(arrays, names=self.columns)
 
 
 class Staged(WriterCommitMessage):
@@ -109,20 +126,22 @@ class Staged(WriterCommitMessage):
         self.folder = folder
 
 
-class PatchWriter(DataSourceWriter):
+class PatchWriter(DataSourceArrowWriter):
     def __init__(self, schema, options, overwrite):
         self.columns, self.path, self.overwrite = schema.fieldNames(), options["path"], overwrite
         self.job = uuid.uuid4().hex
 
-    def write(self, rows):
+    def write(self, batches):
         system, path = open_folder(self.path)
         folder = f"{path}/{STAGING}/{self.job}/{uuid.uuid4().hex}"
         system.create_dir(folder, recursive=True)
         try:
-            for row in rows:
-                cells = np.asarray(row["data"], np.float64).reshape(row["dz"], row["dy"], row["dx"])
-                with system.open_output_stream(f"{folder}/{row['patch_id']}.npy") as out:
-                    np.lib.format.write_array(out, np.clip(cells, 0, 65535).astype(np.uint16), allow_pickle=False)
+            for batch in batches:
+                ids, *sizes = (batch.column(self.columns.index(c)).to_pylist() for c in ("patch_id", "dz", "dy", "dx"))
+                for name, data, shape in zip(ids, batch.column(self.columns.index("data")), zip(*sizes)):
+                    cells = data.values.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(shape)
+                    with system.open_output_stream(f"{folder}/{name}.npy") as out:
+                        np.lib.format.write_array(out, np.clip(cells, 0, 65535).astype(np.uint16), allow_pickle=False)
         except BaseException:
             system.delete_dir(folder)
             raise
@@ -172,4 +191,5 @@ class PatchFolder(DataSource):
 def register(spark):
     """Make ``patch_folder`` known to a session, filters included."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    bound_batches(spark, BATCH_BYTES)
     spark.dataSource.register(PatchFolder)
