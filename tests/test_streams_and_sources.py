@@ -268,3 +268,21 @@ def test_patch_folder_moves_bounded_batches(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(patch_folder, "BATCH_ROWS", 2)
     reader = patch_folder.PatchFolder({"path": out}).reader(spark.range(0).selectExpr("'' as patch_id", "0 as dz").schema)
     assert [b.num_rows for part in reader.partitions() for b in reader.read(part)] == [2, 2, 1]
+
+
+def test_documents_are_stored_as_partitioned_text(spark, tmp_path):
+    """The same files as Spark's own, without one task for all of them."""
+    rows = [("a", "1"), ("b/c=d 100%", "2"), ("a", "3"), (None, "4"), ("", "5"), ("e", None), *((f"n{i}", str(i)) for i in range(40))]
+    docs = spark.createDataFrame(rows, "path string, text string")
+    ours, spark_own = str(tmp_path / "ours"), str(tmp_path / "own")
+    sinks.write_texts(docs, ours)
+    docs.repartition("path").write.partitionBy("path").text(spark_own)
+
+    def stored(root):
+        texts = {}
+        for f in glob.glob(f"{root}/*/part-*"):
+            texts.setdefault(os.path.basename(os.path.dirname(f)), []).extend(open(f).read().splitlines())
+        return {k: sorted(v) for k, v in texts.items()}
+
+    assert stored(ours) == stored(spark_own)
+    assert len(stored(ours)) == 44

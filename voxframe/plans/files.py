@@ -157,7 +157,7 @@ def meta_docs(s, unit=1.0):
 def stored_texts(s, docs, name):
     """One file per document (path, text) in a folder of its own; the folder."""
     path = scratch_dir(s.spark, name)
-    docs.repartition("path").write.partitionBy("path").text(path)
+    sinks.write_texts(docs, path)
     return path
 
 

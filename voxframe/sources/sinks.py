@@ -1,6 +1,8 @@
 """Writers: manifests, patch stores, pyramids, array contents."""
 
 import io
+import itertools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,9 @@ from pyspark.sql import types as T
 
 from voxframe.functions.scalar import sat_u16
 from voxframe.operators.joins import pending
+from voxframe.operators.kernels import BATCH_BYTES
+from voxframe.session import bound_batches
+from voxframe.sources.patch_folder import open_folder
 
 
 def write_manifest(patches, config, path):
@@ -86,6 +91,37 @@ def read_pyramid(spark, path):
     return spark.read.parquet(f"{path}/levels"), spark.read.parquet(f"{path}/scales")
 
 
+def write_texts(docs, path):
+    """One file per document (path, text), in a folder ``path=<name>`` each.
+
+    As ``partitionBy("path").text`` would write them: rows of one path are lines of
+    one file, a null or empty path is Spark's default partition. Tasks write their
+    files in place, without a commit that renames each one on the driver; a file of
+    a repeated task is written again.
+    """
+    name = F.col("path").cast("string")
+    rows = docs.select(F.when(name != "", name).alias("path"), F.col("text").cast("string").alias("text"))
+    # A fixed number: joined into few partitions by their bytes, small files wait for each other.
+    dealt = rows.repartition(docs.sparkSession.sparkContext.defaultParallelism, "path").sortWithinPartitions("path")
+    special = re.compile(r"""[\x00-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
+
+    def write(batches):
+        system, root = open_folder(path)
+        found = ((p, t) for b in batches for p, t in zip(b.column("path").to_pylist(), b.column("text").to_pylist()))
+        for number, (name, group) in enumerate(itertools.groupby(found, key=lambda r: r[0])):
+            folder = "__HIVE_DEFAULT_PARTITION__" if name is None else special.sub(lambda m: f"%{ord(m[0]):02X}", name)
+            system.create_dir(f"{root}/path={folder}")
+            with system.open_output_stream(f"{root}/path={folder}/part-00000.txt") as out:
+                for _, text in group:
+                    out.write(f"{text or ''}\n".encode())
+            if number % 1000 == 999:
+                yield pa.RecordBatch.from_arrays([pa.array([1000])], names=["n"])
+
+    open_folder(path)[0].create_dir(open_folder(path)[1], recursive=True)
+    bound_batches(docs.sparkSession)
+    dealt.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 @F.arrow_udf(T.BinaryType())
 def _encode(data: pa.Array, dz: pa.Array, dy: pa.Array, dx: pa.Array) -> pa.Array:
     out = []
@@ -99,4 +135,5 @@ def _encode(data: pa.Array, dz: pa.Array, dy: pa.Array, dx: pa.Array) -> pa.Arra
 
 def encode_arrays(patches, name):
     """``.npy`` contents of dense rows as (path, content), unsigned 16-bit."""
+    bound_batches(patches.sparkSession, BATCH_BYTES)
     return patches.select(name.alias("path"), _encode("data", "dz", "dy", "dx").alias("content"))
