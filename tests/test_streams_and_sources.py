@@ -286,3 +286,11 @@ def test_documents_are_stored_as_partitioned_text(spark, tmp_path):
 
     assert stored(ours) == stored(spark_own)
     assert len(stored(ours)) == 44
+
+
+def test_suffixes_are_dealt_before_they_multiply(spark):
+    stale = spark.createDataFrame([("v5_1",), ("nowhere",)], "name string")
+    dirs = spark.createDataFrame([("x_v5_1",), ("a_v5_1",), ("v5_2",)], "dir string")
+    found = joins.suffix_match(stale, dirs)
+    assert sorted((r.name, r.resolved, r.missing) for r in found.collect()) == [("nowhere", None, True), ("v5_1", "a_v5_1", False)]
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()

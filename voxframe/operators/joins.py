@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.scalar import col
 from voxframe.operators import kernels
+from voxframe.session import spread
 
 AXES = "zyx"
 
@@ -170,7 +171,9 @@ def suffix_match(stale, dirs, name="name", directory="dir"):
     name has; a file system bounds those lengths.
     """
     lengths = stale.agg(F.collect_set(F.length(name))).scalar()
-    sized = dirs.withColumn("_lengths", lengths)
+    # Names are few bytes and their ends many: a small file must not stay one task.
+    dealt = dirs.repartition(spread(dirs.sparkSession), directory)
+    sized = dealt.withColumn("_lengths", lengths)
     keyed = sized.withColumn("_n", F.explode("_lengths")).filter(F.col("_n") <= F.length(directory)).drop("_lengths")
     keyed = keyed.withColumn("_key", F.right(F.col(directory), F.col("_n")))
     best = keyed.groupBy("_key").agg(F.min(directory).alias("resolved"))
