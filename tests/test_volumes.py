@@ -368,3 +368,19 @@ def test_chunks_of_a_batch_are_labelled_at_once(monkeypatch):
     rows, corners, cells, firsts = components._labelled(batch, 2, 26)
     assert len(calls) == 1 and rows.tolist() == [0, 3] and corners[:, 0].tolist() == [0, 6]
     assert cells.tolist() == list(range(16)) and firsts.tolist() == [0] * 8 + [8] * 8
+
+
+def test_balls_move_as_lines(spark):
+    rng = np.random.default_rng(6)
+    points = [(f"r{i % 2}", *map(float, p)) for i, p in enumerate(rng.integers(-4, 52, (40, 3)) / 4)] * 2
+    df = spark.createDataFrame(points, "region string, z double, y double, x double")
+    shape, mm = (9, 10, 11), (3e-3, 1e-3, 2e-3)
+    got = stitch.rasterize_spheres(df, ["region"], 5.0, mm, shape)
+    want = set()
+    for region, *p in set(points):
+        for at in np.ndindex(*shape):
+            if sum(((a - c) * m * 1000.0) ** 2 for a, c, m in zip(at, p, mm)) <= 25.0:
+                want.add((region, *at))
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    assert "REPARTITION_BY_NUM" in plan_of(got)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxframe.functions.scalar import binarize_u8, encode_prob_u8, let
 from voxframe.operators import kernels
 from voxframe.operators.geometry import cut_box
+from voxframe.session import spread
 
 AXES = "zyx"
 
@@ -107,18 +108,31 @@ def foreground_share(masked, keys):
 
 def rasterize_spheres(points, keys, radius_um, voxel_mm, shape):
     """Union of balls of a physical radius around points, in anisotropic voxels."""
-    df = points
-    d2 = F.lit(0.0)
+    r2, lo, hi, step = float(radius_um) ** 2, {}, {}, {}
     for a, mm, size in zip(AXES, voxel_mm, shape):
         reach = radius_um / (mm * 1000.0)
-        lo = F.greatest(F.lit(0), F.floor(F.col(a) - reach).cast("int"))
-        hi = F.least(F.lit(size), F.ceil(F.col(a) + reach).cast("int") + 1)
-        steps = F.when(lo < hi, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<int>"))
-        df = df.withColumn(f"_{a}", F.explode(steps))
-        step = (F.col(f"_{a}") - F.col(a)) * F.lit(mm) * 1000.0
-        d2 = d2 + step * step
-    inside = df.filter(d2 <= float(radius_um) ** 2)
-    return inside.select(*keys, *[F.col(f"_{a}").alias(a) for a in AXES]).distinct()
+        lo[a] = F.greatest(F.lit(0), F.floor(F.col(a) - reach).cast("int"))
+        hi[a] = F.least(F.lit(size), F.ceil(F.col(a) + reach).cast("int") + 1) - 1
+        step[a] = lambda at, a=a, mm=mm: (at - F.col(a)) * F.lit(mm) * 1000.0
+    cells = {a: F.when(lo[a] <= hi[a], F.sequence(lo[a], hi[a])).otherwise(F.array().cast("array<int>")) for a in "zy"}
+    # Small files of points must not stay one task; points that are the same count once.
+    df = points.select(*keys, *AXES).repartition(spread(points.sparkSession), *keys, *AXES)
+    df = df.withColumn("_z", F.explode(cells["z"])).withColumn("_y", F.explode(cells["y"]))
+    dz, dy = step["z"](F.col("_z")), step["y"](F.col("_y"))
+    flat = F.lit(0.0) + dz * dz + dy * dy
+    inside = lambda x: F.col("_d2") + step["x"](x) * step["x"](x) <= r2
+    # The ends of a line by the root, then put right by the exact test.
+    half = F.sqrt(F.lit(r2) - F.col("_d2")) / F.lit(voxel_mm[2] * 1000.0)
+    first, last = F.ceil(F.col("x") - half).cast("int"), F.floor(F.col("x") + half).cast("int")
+    first = F.when(inside(first - 1), first - 1).when(inside(first), first).otherwise(first + 1)
+    last = F.when(inside(last + 1), last + 1).when(inside(last), last).otherwise(last - 1)
+    lines = df.withColumn("_d2", flat).filter(F.col("_d2") <= r2)
+    # What moves and is merged is one line of a ball, never single voxels.
+    lines = lines.select(*keys, "_z", "_y", F.greatest(first, lo["x"]).alias("_x0"), F.least(last, hi["x"]).alias("_x1"))
+    lines = lines.filter("_x0 <= _x1").distinct()
+    merged = lines.groupBy(*keys, "_z", "_y").agg(F.collect_list(F.sequence("_x0", "_x1")).alias("_x"))
+    x = F.explode(F.array_distinct(F.flatten("_x")))
+    return merged.select(*keys, F.col("_z").alias("z"), F.col("_y").alias("y"), x.alias("x"))
 
 
 def overlap_share(candidate, reference, keys, variant, thr):
