@@ -9,6 +9,7 @@ no shuffle and no group can grow past one patch.
 from pyspark.sql import functions as F
 
 from voxframe.functions.scalar import flatten_index, unflatten_index
+from voxframe.operators import kernels
 
 
 def _fill(entries, cells, zero):
@@ -25,22 +26,18 @@ def _fill(entries, cells, zero):
 
 
 def to_patches(voxels, keys, shape, value="value"):
-    """Sparse voxels to one dense row per key."""
+    """Sparse voxels to one dense row per key; of a repeated voxel the largest value."""
     dz, dy, dx = shape
     entry = F.struct(
         flatten_index(F.col("z"), F.col("y"), F.col("x"), dy, dx).cast("int").alias("idx"),
         F.col(value).cast("double").alias("value"),
     )
-    return (
-        voxels.groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(entry)).alias("_e"))
-        .select(
-            *keys,
-            F.lit(dz).alias("dz"),
-            F.lit(dy).alias("dy"),
-            F.lit(dx).alias("dx"),
-            _fill(F.col("_e"), dz * dy * dx, F.lit(0.0)).alias("data"),
-        )
+    # Voxels move as they are: collected before, there would be a list of one or two
+    # of them for each patch in each task.
+    grouped = voxels.repartition(*keys).groupBy(*keys).agg(F.collect_list(entry).alias("_e"))
+    ready = kernels.pin(grouped, "_e")
+    return ready.select(
+        *keys, F.lit(dz).alias("dz"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), kernels.fill(F.col("_e"), dz * dy * dx).alias("data")
     )
 
 

@@ -27,7 +27,8 @@ def extract_windows(boxes, chunks, keys, edge, patch_key="patch_id"):
     ``dense.to_chunks`` with the same ``edge``. The join is on the chunk key; a
     chunk is cut to the box before it moves on, as one array.
     """
-    touched = boxes
+    # A box is a few bytes and its chunks many: a small file must not stay one task.
+    touched = boxes.repartition(spread(boxes.sparkSession), patch_key)
     for a in AXES:
         touched = touched.withColumn(f"c{a}", F.explode(_cells(F.col(f"{a}0"), F.col(f"{a}1"), edge)))
     chunk_key = [*keys, "cz", "cy", "cx"]
@@ -51,18 +52,11 @@ def extract_windows(boxes, chunks, keys, edge, patch_key="patch_id"):
     size = {f"d{a}": (F.col(f"{a}1") - F.col(f"{a}0")).cast("int") for a in AXES}
     pieces = joined.select(patch_key, *[v.alias(k) for k, v in size.items()], piece.alias("_p"))
     # A window is bounded by its own shape, so its collected pieces are too;
-    # absent chunks are null and leave zeros.
-    grouped = pieces.groupBy(patch_key, "dz", "dy", "dx").agg(F.collect_list("_p").alias("_p")).select(
-        patch_key,
-        "dz",
-        "dy",
-        "dx",
-        F.flatten(F.transform("_p", lambda p: p["place"])).alias("_place"),
-        F.flatten(F.transform("_p", lambda p: p["p"])).alias("data"),
-    )
-    ready = kernels.pin(kernels.pin(grouped, "_place"))
-    data = kernels.assemble(F.col("data"), F.col("_place"), F.col("dz"), F.col("dy"), F.col("dx"))
-    return ready.select(patch_key, "dz", "dy", "dx", data.alias("data"))
+    # absent chunks are null and leave zeros. Pieces move as they are, because a
+    # task has one or two of a window before.
+    grouped = pieces.repartition(patch_key).groupBy(patch_key, "dz", "dy", "dx").agg(F.collect_list("_p").alias("_p"))
+    data = kernels.assemble(F.col("_p"), F.col("dz"), F.col("dy"), F.col("dx"))
+    return kernels.pin(grouped, "_p").select(patch_key, "dz", "dy", "dx", data.alias("data"))
 
 
 def points_in_boxes(points, boxes, cell, keys=()):

@@ -65,6 +65,59 @@ def _pack(rows):
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.float64()))
 
 
+def _packed(flat, sizes, unknown=None, absent=None):
+    """Rows of ``sizes`` cells from one flat array; null cells and null rows by mask."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    if len(ends) and ends[-1] >= 1 << 31:
+        raise ValueError("a batch holds more cells than a list column can address: lower spark.sql.execution.arrow.maxBytesPerBatch")
+    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(flat, pa.float64(), mask=unknown), mask=None if absent is None else pa.array(absent))
+
+
+def _ints(*columns):
+    """Columns of whole numbers side by side."""
+    return np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1).astype(np.int64)
+
+
+def _matrix(lists, width):
+    """A list column of ``width`` whole numbers per row as one matrix."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, width)
+
+
+#: Boxes of more cells than this on average are worth a numpy call each.
+LARGE_BOX = 4096
+
+
+def _box_cells(size):
+    """(box, z, y, x) of every cell of some boxes, box by box in C order."""
+    n = size.prod(axis=1)
+    box = np.repeat(np.arange(len(size)), n)
+    at = np.arange(len(box)) - np.repeat(np.cumsum(n) - n, n)
+    line, x = np.divmod(at, size[box, 2])
+    z, y = np.divmod(line, size[box, 1])
+    return box, z, y, x
+
+
+def _cut_boxes(flat, first, dims, corner, size):
+    """Cells of boxes, one after the other: box i lies in the row of ``dims`` cells
+    that starts at ``first[i]`` of the flat array."""
+    n = size.prod(axis=1)
+    if n.sum() > LARGE_BOX * len(n):
+        boxes = (tuple(slice(a, a + k) for a, k in zip(c, s)) for c, s in zip(corner.tolist(), size.tolist()))
+        return np.concatenate([flat[f : f + math.prod(dims)].reshape(dims)[b].ravel() if k else flat[:0] for f, b, k in zip(first.tolist(), boxes, n.tolist())])
+    box, z, y, x = _box_cells(size)
+    z, y, x = (k + corner[box, i] for i, k in enumerate((z, y, x)))
+    return flat[first[box] + (z * dims[1] + y) * dims[2] + x]
+
+
+def _pieces(lists, width):
+    """(row, place, cells) of a list column of (place, p): the row of each piece, its
+    ``width`` numbers, and the cells of all pieces."""
+    of = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    inner = lists.flatten()
+    return of, _matrix(inner.field("place"), width), inner.field("p").flatten().to_numpy(zero_copy_only=False)
+
+
 def _value_moments(raw, corrected):
     """Distinct raw values above 0, their number, and of the corrected values above
     0 there the number, the mean and the squared deviations from it."""
@@ -117,7 +170,7 @@ def _convolve(vol, taps, edge):
         wide = np.pad(vol, pad, mode=edge)
         out = np.zeros_like(vol)
         for k, w in enumerate(taps):
-            out += w * np.take(wide, range(k, k + n), axis=axis)
+            out += w * wide[tuple(slice(k, k + n) if a == axis else slice(None) for a in range(3))]
         vol = out
     return vol
 
@@ -303,12 +356,13 @@ def ntxent(a, p, b, q, same, temperature, cosine):
 
 @_kernel(ARRAY)
 def _cut(data: pa.Array, place: pa.Array, edge: pa.Array) -> pa.Array:
-    def one(v, m, n):
-        if not len(v):
-            return v
-        return v.reshape((n,) * 3)[tuple(slice(a, a + k) for a, k in zip(m[:3], m[3:]))].ravel()
-
-    return _pack(one(v, m, n) for v, m, n in zip(_rows(data), _rows(place), edge.to_pylist()))
+    if not len(data):
+        return _packed(np.zeros(0), [])
+    first, m = data.offsets.to_numpy().astype(np.int64), _matrix(place, 6)
+    # An absent chunk has no cells.
+    size = np.where((np.diff(first) > 0)[:, None], m[:, 3:], 0)
+    flat = data.values.to_numpy(zero_copy_only=False)
+    return _packed(_cut_boxes(flat, first[:-1], [edge[0].as_py()] * 3, m[:, :3], size), size.prod(axis=1))
 
 
 def cut(data, corner, size, edge):
@@ -316,64 +370,124 @@ def cut(data, corner, size, edge):
     return _cut(data, F.array(*corner, *size), F.lit(edge))
 
 
-def _assemble_box(flat, place, shape):
-    """Pieces laid into one box, zeros elsewhere."""
-    out = np.zeros(shape)
-    at = 0
-    for m in place.reshape(-1, 6):
-        first, size = m[:3], m[3:]
-        n = int(size.prod())
-        box = tuple(slice(f, f + k) for f, k in zip(first, size))
-        out[box] = flat[at : at + n].reshape(size)
-        at += n
-    return out
-
-
 @_kernel(ARRAY)
-def _assemble(data: pa.Array, place: pa.Array, dz: pa.Array, dy: pa.Array, dx: pa.Array) -> pa.Array:
-    return _pack(
-        _assemble_box(v, m, s).ravel() for v, m, s in zip(_rows(data), _rows(place), _shapes(dz, dy, dx))
-    )
-
+def _assemble(pieces: pa.Array, dz: pa.Array, dy: pa.Array, dx: pa.Array) -> pa.Array:
+    dims = _ints(dz, dy, dx)
+    cells = dims.prod(axis=1)
+    first = np.cumsum(cells) - cells
+    out = np.zeros(cells.sum())
+    of, m, flat = _pieces(pieces, 6)
+    if len(flat) > LARGE_BOX * len(m):
+        at = 0
+        for row, (*corner, nz, ny, nx) in zip(of.tolist(), m.tolist()):
+            n = nz * ny * nx
+            box = tuple(slice(a, a + k) for a, k in zip(corner, (nz, ny, nx)))
+            out[first[row] : first[row] + cells[row]].reshape(dims[row])[box] = flat[at : at + n].reshape(nz, ny, nx)
+            at += n
+        return _packed(out, cells)
+    box, z, y, x = _box_cells(m[:, 3:])
+    z, y, x = (k + m[box, i] for i, k in enumerate((z, y, x)))
+    row = of[box]
+    out[first[row] + (z * dims[row, 1] + y) * dims[row, 2] + x] = flat
+    return _packed(out, cells)
+
+
+def assemble(pieces, dz, dy, dx):
+    """Dense row of disjoint pieces, zeros elsewhere; each has a ``place`` (corner and
+    size) and the cells ``p``."""
+    return _assemble(pieces, dz, dy, dx)
+
+
+def window_pieces(windows, keys, patch, edge):
+    """(*keys, cz, cy, cx, place, p): windows of ``patch``^3 cells cut at chunk borders.
+
+    ``windows``: (*keys, w{a} corner, lo{a} and hi{a} of the part to keep, data).
+    ``place`` is nine integers: corner in the chunk, size, corner in the window.
+    """
+    names = [*keys, "cz", "cy", "cx", "place", "p"]
+    bound_batches(windows.sparkSession, BATCH_BYTES)
 
-def assemble(data, place, dz, dy, dx):
-    """Dense row of disjoint pieces; ``place``: corner and size of each, in order."""
-    return _assemble(data, place, dz, dy, dx)
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            corner, lo, hi = (_ints(*[batch.column(f"{c}{a}") for a in "zyx"]) for c in ("w", "lo", "hi"))
+            start = lo // edge
+            row, *steps = _box_cells(np.where(lo < hi, (hi - 1) // edge - start + 1, 0))
+            chunk = start[row] + np.stack(steps, axis=1)
+            first = np.maximum(lo[row], chunk * edge)
+            size = np.minimum(hi[row], (chunk + 1) * edge) - first
+            inside = first - corner[row]
+            data = batch.column("data")
+            cells = _cut_boxes(data.values.to_numpy(zero_copy_only=False), data.offsets.to_numpy().astype(np.int64)[row], [patch] * 3, inside, size)
+            place = np.concatenate([first - chunk * edge, size, inside], axis=1).astype(np.int32)
+            place = pa.ListArray.from_arrays(pa.array(np.arange(len(place) + 1) * 9, pa.int32()), pa.array(place.ravel()))
+            kept = [batch.column(k).take(pa.array(row)) for k in keys]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, *(pa.array(c, pa.int32()) for c in chunk.T), place, _packed(cells, size.prod(axis=1))], names=names
+            )
+
+    fields = [f for k in keys for f in windows.schema.fields if f.name == k]
+    ints = [T.StructField(c, T.IntegerType()) for c in ("cz", "cy", "cx")]
+    lists = [T.StructField("place", T.ArrayType(T.IntegerType())), T.StructField("p", ARRAY)]
+    return windows.mapInArrow(run, T.StructType([*fields, *ints, *lists]))
+
+
+def blend(pieces, profile, edge):
+    """Weighted mean of the pieces of one chunk, as ``window_pieces`` gives them.
+
+    ``profile``: window weight along an axis; a cell's weights are floored at 1e-3.
+    """
+    profile = np.array(profile, np.float64)
 
+    def run(pieces: pa.Array) -> pa.Array:
+        of, m, flat = _pieces(pieces, 9)
+        box, z, y, x = _box_cells(m[:, 3:6])
+        w = profile[z + m[box, 6]] * profile[y + m[box, 7]] * profile[x + m[box, 8]]
+        w = np.maximum(w, 1e-3)
+        at = ((of[box] * edge + z + m[box, 0]) * edge + y + m[box, 1]) * edge + x + m[box, 2]
+        n = len(pieces) * edge**3
+        total, weight = (np.bincount(at, weights=v, minlength=n) for v in (flat * w, w))
+        out = np.where(weight > 1e-6, total / np.maximum(weight, 1e-6), 0.0)
+        return _packed(out, np.full(len(pieces), edge**3))
 
-def _blend_chunk(flat, place, profile, edge):
-    """Weighted mean of pieces laid into one chunk; weights floored at 1e-3."""
-    total = np.zeros((edge,) * 3)
-    weight = np.zeros((edge,) * 3)
-    at = 0
-    for m in place.reshape(-1, 9):
-        first, size, inside = m[:3], m[3:6], m[6:]
-        n = int(size.prod())
-        p = flat[at : at + n].reshape(size)
-        at += n
-        z, y, x = (profile[i : i + k] for i, k in zip(inside, size))
-        w = np.maximum(z[:, None, None] * y[None, :, None] * x[None, None, :], 1e-3)
-        box = tuple(slice(f, f + k) for f, k in zip(first, size))
-        total[box] += p * w
-        weight[box] += w
-    return np.where(weight > 1e-6, total / np.maximum(weight, 1e-6), 0.0)
+    return _kernel(ARRAY)(run)(pieces)
 
 
 @_kernel(ARRAY)
-def _blend(data: pa.Array, place: pa.Array, profile: pa.Array, edge: pa.Array) -> pa.Array:
-    return _pack(
-        _blend_chunk(v, m, w, e).ravel()
-        for v, m, w, e in zip(_rows(data), _rows(place), _rows(profile), edge.to_pylist())
-    )
-
-
-def blend(data, place, profile, edge):
-    """Blend the pieces of one chunk.
-
-    ``place``: nine integers per piece, in the order of ``data``: corner in the
-    chunk, size, corner in the window; ``profile``: window weight along an axis.
+def _fill(entries: pa.Array, cells: pa.Array) -> pa.Array:
+    if not len(entries):
+        return _packed(np.zeros(0), [])
+    n, rows = cells[0].as_py(), len(entries)
+    of = np.repeat(np.arange(rows), np.diff(entries.offsets.to_numpy()))
+    inner = entries.flatten()
+    idx, value = inner.field("idx"), inner.field("value")
+    placed, known = idx.is_valid().to_numpy(zero_copy_only=False), value.is_valid().to_numpy(zero_copy_only=False)
+    absent = np.zeros(rows, bool)
+    absent[of[~placed]] = True
+    value = value.to_numpy(zero_copy_only=False)
+    if not placed.all():
+        of, value, known, idx = of[placed], value[placed], known[placed], idx.drop_null()
+    idx = idx.to_numpy(zero_copy_only=False).astype(np.int64)
+    if len(idx) and not (0 <= idx.min() and idx.max() < n):
+        raise ValueError("a voxel lies outside the shape of its patch")
+    at = of * n + idx
+    flat, unknown = np.zeros(rows * n), np.zeros(rows * n, bool)
+    flat[at] = 1.0
+    if flat.sum() < len(at):
+        # The largest value of a repeated voxel stays.
+        order = np.lexsort((value, known, at))
+        at, value, known = at[order], value[order], known[order]
+    flat[at], unknown[at] = value, ~known
+    return _packed(flat, np.full(rows, n), unknown, absent)
+
+
+def fill(entries, cells):
+    """Dense row of ``cells`` cells from its (idx, value) entries in any order, 0 elsewhere.
+
+    A null value is a null cell; a null index makes the row null.
     """
-    return _blend(data, place, profile, F.lit(edge))
+    return _fill(entries, F.lit(cells))
 
 
 def merged(n, u, v):
@@ -501,8 +615,11 @@ def zscore(data, center, eps):
 
 
 @_kernel(ARRAY)
-def _zscore_valid(data: pa.Array, valid: pa.Array, eps: pa.Array) -> pa.Array:
-    def one(v, ok, eps):
+def _zscore_valid(data: pa.Array, valid: pa.Array, least: pa.Array, eps: pa.Array) -> pa.Array:
+    def one(v, ok, least, eps):
+        # As in SQL, nothing is at least a sum with an unknown part.
+        if not np.trunc(ok).sum() >= least:
+            return None
         ok = ok > 0
         real = v[ok]
         sd = real.std() if len(real) else 0.0
@@ -510,12 +627,17 @@ def _zscore_valid(data: pa.Array, valid: pa.Array, eps: pa.Array) -> pa.Array:
         out[ok] = _scaled(real, real.mean() if len(real) else 0.0, sd if sd > eps else 1.0)
         return out
 
-    return _pack(one(v, ok, e) for v, ok, e in zip(_rows(data), _rows(valid), eps.to_pylist()))
+    rows = zip(_rows(data), _rows(valid.cast(pa.list_(pa.float64()))), least.to_pylist(), eps.to_pylist())
+    out = [one(v, ok, k, e) if known else None for (v, ok, k, e), known in zip(rows, valid.is_valid().to_pylist())]
+    absent = np.array([r is None for r in out], bool)
+    rows = [np.zeros(0) if r is None else r for r in out]
+    return _packed(np.concatenate(rows) if rows else np.zeros(0), [len(r) for r in rows], None, absent)
 
 
-def zscore_valid(data, valid, eps):
-    """Scale by the cells where ``valid`` is above 0; the others become 0."""
-    return _zscore_valid(data, valid, F.lit(float(eps)))
+def zscore_valid(data, valid, min_valid, eps):
+    """Scale by the cells where ``valid`` is above 0; the others become 0. Null where
+    fewer than ``min_valid`` are valid."""
+    return _zscore_valid(data, valid, F.lit(min_valid), F.lit(float(eps)))
 
 
 @_kernel(ARRAY)
@@ -533,6 +655,118 @@ def minmax(data, eps):
     return _minmax(data, F.lit(float(eps)))
 
 
+@_kernel(ARRAY)
+def _positive_moments(raw: pa.Array, corrected: pa.Array) -> pa.Array:
+    starts, ends = (x.offsets.to_numpy().astype(np.int64) for x in (raw, corrected))
+    sizes = np.diff(ends)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(ends[0], ends[-1])
+    own = at - ends[:-1][row] + starts[:-1][row]
+    there = own < starts[1:][row]
+    r, c = (x.values.to_numpy(zero_copy_only=False) for x in (raw, corrected))
+    there[there] = raw.values.is_valid().to_numpy(zero_copy_only=False)[own[there]]
+    # A cell that is not a number counts as above 0, as in Spark; a null one does not.
+    there[there] = ~(r[own[there]] <= 0)
+    row, at = row[there], at[there]
+    n = np.bincount(row, minlength=len(sizes))
+    total = np.bincount(row, weights=c[at], minlength=len(sizes))
+    mean = total / np.maximum(n, 1)
+    sd = np.sqrt(np.bincount(row, weights=(c[at] - mean[row]) ** 2, minlength=len(sizes)) / np.maximum(n, 1))
+    absent = n == 0
+    absent[row[~corrected.values.is_valid().to_numpy(zero_copy_only=False)[at]]] = True
+    return _packed(np.stack([n, mean, sd], axis=1).ravel(), np.full(len(sizes), 3), None, absent)
+
+
+def positive_moments(raw, corrected):
+    """[n, mean, population sd] of the corrected cells where ``raw`` is above 0; null
+    without such cells."""
+    return _positive_moments(raw, corrected)
+
+
+def _fields_at(vols, at, outside):
+    """As ``_trilinear``, for many volumes of one shape with coordinates of their own."""
+    out = vols
+    for axis, a in enumerate(at, 1):
+        n = out.shape[axis]
+        shape = [len(a), *(a.shape[1] if k == axis else 1 for k in (1, 2, 3))]
+        low = np.clip(np.floor(a).astype(np.int64), 0, n - 1)
+        t = np.clip(a - low, 0.0, 1.0).reshape(shape)
+        low, high = low.reshape(shape), np.minimum(low + 1, n - 1).reshape(shape)
+        out = np.take_along_axis(out, low, axis) * (1.0 - t) + np.take_along_axis(out, high, axis) * t
+    for axis, a in enumerate(at, 1):
+        off = (a < 0) | (a > vols.shape[axis] - 1)
+        out = np.where(off.reshape([len(a), *(a.shape[1] if k == axis else 1 for k in (1, 2, 3))]), outside, out)
+    return out
+
+
+def over_field(data, dims, origin, field, shape, scale):
+    """Cells divided by a low-resolution field, sampled linearly; 1 outside it.
+
+    ``origin``: corner of the row in the field's volume; ``scale``: field cells per
+    cell along z, y and x.
+    """
+    def run(data: pa.Array, dz: pa.Array, dy: pa.Array, dx: pa.Array, z: pa.Array, y: pa.Array, x: pa.Array,
+            field: pa.Array, bz: pa.Array, by: pa.Array, bx: pa.Array) -> pa.Array:
+        sizes, corners, shapes = _ints(dz, dy, dx), _ints(z, y, x), _ints(bz, by, bx)
+        values, fields = (c.values.to_numpy(zero_copy_only=False) for c in (data, field))
+        first, start = data.offsets.to_numpy(), field.offsets.to_numpy()
+        unknown = data.values.is_null().to_numpy(zero_copy_only=False)[first[0] : first[-1]]
+        out = np.array(values[first[0] : first[-1]])
+        # Neighbouring rows of one shape are sampled at once.
+        both = np.concatenate([sizes, shapes], axis=1)
+        cells = max(1, BATCH_BYTES // (8 * int(sizes.prod(axis=1).max(initial=1))))
+        apart = [0, *(np.flatnonzero((both[1:] != both[:-1]).any(axis=1)) + 1).tolist(), len(both)]
+        for a, z in ((i, min(i + cells, z)) for a, z in zip(apart, apart[1:]) for i in range(a, z, cells)):
+            if np.any(first[a + 1 : z + 1] == first[a:z]):
+                # A null row among them.
+                full = [i for i in range(a, z) if first[i + 1] > first[i]]
+            else:
+                full = range(a, z)
+            if not len(full):
+                continue
+            at = [(corners[full, k][:, None] + np.arange(sizes[a, k])) * scale[k] for k in range(3)]
+            vols = np.stack([fields[start[i] : start[i + 1]].reshape(shapes[a]) for i in full])
+            b = np.maximum(_fields_at(vols, at, 1.0).reshape(len(full), -1), 1e-6)
+            for i, row in zip(full, b):
+                out[first[i] - first[0] : first[i + 1] - first[0]] /= row
+        return _packed(out, np.diff(first), unknown, data.is_null().to_numpy(zero_copy_only=False))
+
+    return _kernel(ARRAY)(run)(data, *dims, *origin, field, *shape)
+
+
+def cells_at(patches, keys, entries, arrays):
+    """(*keys, *entry fields, *arrays): a row per entry with the cells at its place.
+
+    ``entries``: list of structs with z, y, x among their fields; ``arrays``: new
+    names of columns of dense cells. A place outside reads null.
+    """
+    fields = patches.schema[entries].dataType.elementType.fields
+    bound_batches(patches.sparkSession, BATCH_BYTES)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(entries)
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            inner = lists.flatten()
+            z, y, x = _ints(*[inner.field(a) for a in "zyx"]).T
+            dims = _ints(batch.column("dy"), batch.column("dx"))[row]
+            place = (z * dims[:, 0] + y) * dims[:, 1] + x
+            found = []
+            for name in arrays:
+                data = batch.column(name)
+                first = data.offsets.to_numpy().astype(np.int64)
+                size = np.diff(first)[row]
+                found.append(data.values.take(pa.array(first[row] + place, mask=(place < 0) | (place >= size))))
+            kept = [batch.column(k).take(pa.array(row)) for k in keys]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, *(inner.field(f.name) for f in fields), *found], names=[*keys, *(f.name for f in fields), *arrays.values()]
+            )
+
+    known = {f.name: f for f in patches.schema.fields}
+    rows = patches.select(*keys, "dy", "dx", entries, *arrays)
+    return rows.mapInArrow(run, T.StructType([*(known[k] for k in keys), *fields, *(T.StructField(n, T.DoubleType()) for n in arrays.values())]))
+
+
 @_kernel(ARRAY)
 def _affine(data: pa.Array, shift: pa.Array, scale: pa.Array) -> pa.Array:
     return _pack((v - m) / k for v, m, k in zip(_rows(data), shift.to_pylist(), scale.to_pylist()))

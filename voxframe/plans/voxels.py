@@ -46,18 +46,19 @@ WD = """
 
 def windows(s):
     """Windows of W with their corner and an inside-the-volume array."""
-    boxes = s.W.selectExpr("patch_id", "volume_id", *[f"{a}0" for a in "zyx"], *[f"{a}0 + 6 as {a}1" for a in "zyx"])
-    cut = joins.extract_windows(boxes, dense.to_chunks(s.V, KEY, 6), KEY, 6)
-    both = cut.join(boxes.select("patch_id", "volume_id", "z0", "y0", "x0"), "patch_id")
-
-    def inside(i):
-        at = {"z": F.floor(i / 36), "y": F.floor(F.pmod(i, F.lit(36)) / 6), "x": F.pmod(i, F.lit(6))}
-        ok = F.lit(True)
-        for a in "zyx":
-            ok = ok & (F.col(f"{a}0") + at[a]).between(0, 11)
-        return ok.cast("int")
-
-    return both.withColumn("valid", F.transform(F.sequence(F.lit(0), F.lit(215)), inside))
+    corner = [f"{a}0" for a in "zyx"]
+    # A window that is listed again is cut once and returned as often.
+    boxes = s.W.groupBy("patch_id", "volume_id", *corner).agg(F.count("*").alias("_n"))
+    tile = F.struct("patch_id", "volume_id", *corner, "_n").alias("tile")
+    boxes = boxes.select(tile, "volume_id", *corner, *[(F.col(c) + 6).alias(c.replace("0", "1")) for c in corner])
+    cut = joins.extract_windows(boxes, dense.to_chunks(s.V, KEY, 6), KEY, 6, "tile").select("tile.*", "dz", "dy", "dx", "data")
+    # Planes of lines of cells: six flags along each axis tell those of all cells.
+    for a in "zyx":
+        at = F.sequence(F.col(f"{a}0"), F.col(f"{a}0") + 5)
+        cut = cut.withColumn(f"_{a}", F.transform(at, lambda i: i.between(0, 11).cast("int")))
+    cut = cut.withColumn("_y", F.flatten(F.transform("_y", lambda ok: F.when(ok == 1, F.col("_x")).otherwise(F.array_repeat(F.lit(0), 6)))))
+    cut = cut.withColumn("_z", F.flatten(F.transform("_z", lambda ok: F.when(ok == 1, F.col("_y")).otherwise(F.array_repeat(F.lit(0), 36)))))
+    return cut.withColumn("valid", F.col("_z")).withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("_n").cast("int")))).drop("_n", "_z", "_y", "_x")
 
 
 @query("zscore_valid", "W V", f"""
