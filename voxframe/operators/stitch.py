@@ -4,9 +4,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from voxframe.functions.scalar import binarize_u8, encode_prob_u8, let
+from voxframe.functions.scalar import binarize_u8, encode_prob_u8
 from voxframe.operators import kernels
-from voxframe.operators.geometry import cut_box
 from voxframe.session import spread
 
 AXES = "zyx"
@@ -26,55 +25,17 @@ def blend_tiles(preds, keys, patch, edge, gaussian=True, owner=False, sigma=None
     lo = {a: F.greatest(F.col(f"w{a}0"), F.col(f"{a}0")) if owner else F.col(f"w{a}0") for a in AXES}
     end = {a: F.col(f"w{a}0") + patch for a in AXES}
     hi = {a: F.least(end[a], F.col(f"{a}1")) if owner else end[a] for a in AXES}
-    touched = {
-        a: F.when(
-            lo[a] < hi[a],
-            F.sequence(F.floor(lo[a] / edge).cast("int"), F.floor((hi[a] - 1) / edge).cast("int")),
-        ).otherwise(F.array().cast("array<int>"))
-        for a in AXES
-    }
-    cells = F.flatten(
-        F.transform(
-            touched["z"],
-            lambda z: F.flatten(
-                F.transform(
-                    touched["y"],
-                    lambda y: F.transform(touched["x"], lambda x: F.struct(z.alias("z"), y.alias("y"), x.alias("x"))),
-                )
-            ),
-        )
-    )
-
-    def piece(data, c):
-        first = {a: F.greatest(lo[a], c[a] * edge).cast("int") for a in AXES}
-        size = {a: (F.least(hi[a], (c[a] + 1) * edge) - first[a]).cast("int") for a in AXES}
-        in_chunk = [(first[a] - c[a] * edge).cast("int") for a in AXES]
-        in_window = [(first[a] - F.col(f"w{a}0")).cast("int") for a in AXES]
-
-        def placed(m):
-            at = [F.get(m, F.lit(i)) for i in range(9)]
-            cut = cut_box(data, [F.lit(patch)] * 3, at[6:], at[3:6])
-            return F.struct(c.alias("c"), m.alias("place"), cut.alias("p"))
-
-        return let(F.array(*in_chunk, *[size[a] for a in AXES], *in_window), placed)
-
-    pieces = let(F.col("data"), lambda d: F.transform(cells, lambda c: piece(d, c)))
-    rows = preds.select(*keys, F.explode(pieces).alias("_p")).select(
-        *keys, *[F.col(f"_p.c.{a}").alias(f"c{a}") for a in AXES], F.struct("_p.place", "_p.p").alias("_p")
-    )
-    grouped = rows.groupBy(*keys, "cz", "cy", "cx").agg(F.sort_array(F.collect_list("_p")).alias("_p")).select(
-        *keys,
-        "cz",
-        "cy",
-        "cx",
-        F.flatten(F.transform("_p", lambda p: p["place"])).alias("_place"),
-        F.flatten(F.transform("_p", lambda p: p["p"])).alias("data"),
-    )
+    bounds = {f"{n}{a}": v[a].cast("long") for n, v in (("w", {a: F.col(f"w{a}0") for a in AXES}), ("lo", lo), ("hi", hi)) for a in AXES}
+    rows = preds.select(*keys, *[v.alias(n) for n, v in bounds.items()], "data").dropna(subset=[*bounds, "data"])
+    pieces = kernels.window_pieces(rows, keys, patch, edge)
+    chunk = [*keys, "cz", "cy", "cx"]
+    # Pieces move as they are; the order of a sum is that of their places.
+    grouped = pieces.repartition(*chunk).groupBy(*chunk).agg(F.sort_array(F.collect_list(F.struct("place", "p"))).alias("_p"))
     width = float(sigma) if sigma else patch / 8.0
     profile = gaussian_profile(patch, width) if gaussian else [1.0] * patch
-    blended = kernels.blend(F.col("data"), F.col("_place"), F.array(*[F.lit(v) for v in profile]), edge)
-    ready = kernels.pin(kernels.pin(grouped, "_place"))
-    return ready.select(*keys, "cz", "cy", "cx", *[F.lit(edge).alias(f"d{a}") for a in AXES], blended.alias("data"))
+    blended = kernels.blend(F.col("_p"), profile, edge)
+    ready = kernels.pin(grouped, "_p")
+    return ready.select(*chunk, *[F.lit(edge).alias(f"d{a}") for a in AXES], blended.alias("data"))
 
 
 def gaussian_profile(patch, sigma):

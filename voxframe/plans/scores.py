@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from voxframe.operators import components, geometry, joins, metrics, pooling, review, stitch, supertiles
+from voxframe.operators import components, geometry, joins, kernels, metrics, pooling, review, stitch, supertiles
 from voxframe.operators import dense
 from voxframe.plans.registry import query
 from voxframe.plans.spatial import CB, points_and_boxes, volumes
@@ -28,7 +28,9 @@ WEIGHT = f"greatest(exp((0.75e0 - {R2}) / (2e0 * 0.75e0 * 0.75e0)), 1e-3)"
 def faded(windows):
     """A stand-in for the model: intensity, weakened away from the origin."""
     fade = 1 - F.lit(1e-2) * (F.col("wz0") + F.col("wy0") + F.col("wx0"))
-    return windows.withColumn("data", F.transform("data", lambda v: v / 50.0 * fade))
+    step = (lambda v, shape, k: v / 50.0 * k, fade)
+    size = [F.col(f"d{a}") for a in "zyx"]
+    return kernels.pin(windows).withColumn("data", kernels.run_steps(F.col("data"), *size, [step]))
 
 
 def volume_shapes(s):
