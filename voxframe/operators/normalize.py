@@ -36,9 +36,8 @@ def zscore_valid(patches, valid, min_valid=4096, eps=1e-8):
 
     Patches with fewer than ``min_valid`` valid voxels are dropped.
     """
-    enough = F.aggregate(F.col(valid), F.lit(0), lambda a, v: a + v.cast("int")) >= min_valid
-    ready = kernels.pin(kernels.pin(patches.filter(enough)), valid)
-    return ready.withColumn("data", kernels.zscore_valid(F.col("data"), F.col(valid), eps))
+    ready = kernels.pin(kernels.pin(patches), valid)
+    return ready.withColumn("data", kernels.zscore_valid(F.col("data"), F.col(valid), min_valid, eps)).filter("data IS NOT NULL")
 
 
 def minmax(patches, eps=1e-8):
@@ -48,12 +47,11 @@ def minmax(patches, eps=1e-8):
 
 def window_stats(patches, raw="data", corrected="data", min_valid=5000, keys=("patch_id",)):
     """mu, sigma, n over voxels with raw > 0; null if too few or flat."""
-    def stats(pair):
-        values = F.filter(pair["c"], lambda v, i: F.get(pair["r"], i) > 0)
-        return let(values, lambda v: F.when(F.size(v) >= min_valid, moments(v)))
-
-    both = F.struct(F.col(raw).alias("r"), F.col(corrected).alias("c"))
-    s = patches.withColumn("_s", let(both, stats)).withColumn("_ok", F.col("_s.sd") >= 1e-6)
+    ready = kernels.pin(kernels.pin(patches, raw), corrected)
+    m = ready.select(*keys, kernels.positive_moments(F.col(raw), F.col(corrected)).alias("_m"))
+    n, mean, sd = (F.get("_m", F.lit(i)) for i in range(3))
+    enough = F.when(n >= min_valid, F.struct(n.cast("int").alias("n"), mean.alias("mean"), sd.alias("sd")))
+    s = m.withColumn("_s", enough).withColumn("_ok", F.col("_s.sd") >= 1e-6)
     return s.select(
         *keys,
         F.when(F.col("_ok"), F.col("_s.mean")).alias("mu"),
@@ -137,14 +135,9 @@ def bias_correct(patches, fields, on, scale, origin=("z0", "y0", "x0")):
     voxels per image voxel (z, y, x); ``origin``: window corner columns. Only
     field rows are joined, so no voxel is shuffled.
     """
-    df = kernels.pin(patches.join(fields, on), "bias")
-    def coordinates(d, o, k):
-        return F.transform(F.sequence(F.lit(0), F.col(d) - 1), lambda i: (F.col(o) + i) * F.lit(float(k)))
-
-    at = [coordinates(d, o, k) for d, o, k in zip(("dz", "dy", "dx"), origin, scale)]
-    sampled = kernels.sample_grid(F.col("bias"), F.col("bz"), F.col("by"), F.col("bx"), *at, outside=1.0)
-    return (
-        df.withColumn("_b", sampled)
-        .withColumn("data", F.zip_with("data", "_b", lambda v, b: v / F.greatest(b, F.lit(1e-6))))
-        .drop("_b", "bz", "by", "bx", "bias")
+    df = kernels.pin(kernels.pin(patches.join(fields, on), "bias"))
+    columns = lambda names: [F.col(n) for n in names]
+    data = kernels.over_field(
+        F.col("data"), columns(("dz", "dy", "dx")), columns(origin), F.col("bias"), columns(("bz", "by", "bx")), [float(k) for k in scale]
     )
+    return df.withColumn("data", data).drop("bz", "by", "bx", "bias")
