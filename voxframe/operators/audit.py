@@ -2,9 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from voxframe.functions.scalar import flatten_index
 from voxframe.operators import components as cc
-from voxframe.operators import filters, histogram
+from voxframe.operators import filters, histogram, kernels
 
 # Window of the local mean, thresholds of the flags.
 LOCAL_FILTER_SIZE = 15
@@ -24,15 +23,9 @@ def component_values(components, patches, keys, arrays):
     one dense row of that patch; dense voxels are never exploded or shuffled.
     """
     e = F.struct("component", "z", "y", "x")
-    grouped = components.groupBy(*keys).agg(F.collect_list(e).alias("_v"))
+    grouped = components.repartition(*keys).groupBy(*keys).agg(F.collect_list(e).alias("_v"))
     joined = patches.select(*keys, "dy", "dx", *arrays.values()).join(grouped, list(keys))
-
-    def read(v):
-        i = flatten_index(v["z"], v["y"], v["x"], F.col("dy"), F.col("dx"))
-        values = [F.get(F.col(c), i).alias(n) for n, c in arrays.items()]
-        return F.struct(v["component"].alias("component"), v["z"].alias("z"), v["y"].alias("y"), v["x"].alias("x"), *values)
-
-    return joined.select(*keys, F.explode(F.transform("_v", read)).alias("_r")).select(*keys, "_r.*")
+    return kernels.cells_at(joined, keys, "_v", {c: n for n, c in arrays.items()})
 
 
 def audit_flags(batch_expected="expected_sparse"):
