@@ -110,3 +110,60 @@ def test_rows_of_one_page_are_cut_by_their_own_repeats(spark):
     rows = [(i, "http://h/", f"{menu}<div>page {i} {' '.join(f'w{i}x{j}' for j in range(25))}</div>") for i in range(5)] + [(0, "http://h/", own)]
     got = [r.text for r in pages.main_text(spark, spark.createDataFrame(rows, PAGE)).collect()]
     assert sorted(got) == sorted([f"page {i} {' '.join(f'w{i}x{j}' for j in range(25))}" for i in range(5)] + [own[5:-6]])
+
+
+def _words(name, n):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def _mixed():
+    """Pages with and without an article: a menu, a passage that articles hold, text of their own."""
+    passage, menu = _words("passage", 30), _words("menu", 25)
+    rows = []
+    for i in range(60):
+        own = _words(f"own{i}x", 40)
+        inside = i % 3 > 0
+        text = f"<p>{own}</p>" + (f"<p>{passage}</p>" if i % 4 < 2 else "")
+        rows.append((i, "http://h/", f"<div>{menu}</div>" + (f"<article>{text}</article>" if inside else text)))
+    return rows, passage, menu
+
+
+def test_article_text_is_in_the_order(spark):
+    rows, passage, _ = _mixed()
+    got = {r.page_id: r for r in pages.main_text(spark, spark.createDataFrame(rows, PAGE)).collect()}
+    for i in range(60):
+        # Covered are the menu and, inside an article or not, the passage.
+        assert got[i].n_repeated == 25 + 30 * (i % 4 < 2)
+        # Most pages have the passage in their article, so it is no boilerplate elsewhere.
+        assert got[i].text == _words(f"own{i}x", 40) + ("\n" + passage if i % 4 < 2 else "")
+
+
+def test_parts_of_a_host_count_what_any_of_them_names(spark, monkeypatch):
+    rows, _, _ = _mixed()
+    # On exactly the least share of the pages, which no part need have on LEAST of its own.
+    rows = [(i, u, h + (f"<div>{_words('rare', 22)}</div>" if i < 3 else "")) for i, u, h in rows]
+    df = spark.createDataFrame(rows + rows[:7], PAGE)
+    whole = sorted(map(tuple, pages.main_text(spark, df).collect()))
+    assert {r[4] for r in whole if r[0] == 2} == {25 + 22}
+    monkeypatch.setattr(pages, "PART", 50)
+    monkeypatch.setattr(pages, "FEW", 4)
+    assert sorted(map(tuple, pages.main_text(spark, df).collect())) == whole
+
+
+def test_rows_without_id_are_ordered_too(spark):
+    rows, passage, _ = _mixed()
+    rows = [(None if i % 3 == 0 else i, u, h) for i, u, h in rows]
+    got = [r for r in pages.main_text(spark, spark.createDataFrame(rows + rows[:1], PAGE)).collect() if r.page_id is None]
+    want = [_words(f"own{i}x", 40) + ("\n" + passage if i % 4 < 2 else "") for i in [*range(0, 60, 3), 0]]
+    assert sorted(r.text for r in got) == sorted(want)
+    assert {r.n_repeated for r in got} == {25, 55}
+
+
+def test_blocks_are_dealt_once(spark):
+    rows, _, _ = _mixed()
+    out = pages.main_text(spark, spark.createDataFrame(rows, PAGE))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.find("Initial Plan")] if "Initial Plan" in plan else plan
+    # The texts of a host move once; its three uses read the same shuffle.
+    assert final.count("_parsed(") == 1
