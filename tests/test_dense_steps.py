@@ -101,3 +101,10 @@ def test_component_values_outside_are_null(spark):
     got = audit.component_values(comps, df, ["patch_id"], {"raw": "data"}).collect()
     assert sorted((r.component, r.z, r.y, r.x, r.raw) for r in got if r.raw is not None) == [(5, 0, 0, 1, 2.0)]
     assert len(got) == 3 and {r.patch_id for r in got} == {0}
+
+
+@pytest.mark.parametrize("name", ["reference_chain", "reference_chain_stats"])
+def test_chunks_and_pairs_of_the_chain_are_made_once(spark, sf_dir, name):
+    text = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    # All steps read the stored chunks and pairs; none goes back to the source or makes pairs again.
+    assert "l_suppkey" not in text and "_salt" not in text

@@ -9,6 +9,7 @@ reach the patch's box before its own window is cut.
 from pyspark.sql import functions as F
 
 from voxframe.operators import geometry, joins, normalize
+from voxframe.session import RoundTables
 
 AXES = "zyx"
 CORNERS = [f"{a}{e}" for a in AXES for e in "01"]
@@ -42,6 +43,8 @@ def reference_normalised(boxes, pairs, chunks, fields, key, volume, edge, scale,
     windows are pooled; those of the whole volume stand in where a window holds
     too little. Returns (key, mu, sigma, fallback_count, references, dz, dy, dx, data).
     """
+    # Pairs are a join that three steps read, so they are stored.
+    pairs = RoundTables(pairs.sparkSession, "reference-pairs").keep(pairs)
     stats = reference_window_stats(pairs, chunks, fields, key, volume, edge, scale, min_valid)
     subjects = pairs.select("ref_dataset", "ref_subject", volume).distinct()
     wild = chunks.join(subjects.select(volume).distinct(), volume, "left_semi")

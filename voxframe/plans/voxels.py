@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxframe.operators import audit, chain, components, dense, filters, geometry, histogram, joins, normalize, pooling
 from voxframe.plans.registry import query
 from voxframe.plans.spatial import volumes
-from voxframe.session import ensure_checkpoint_dir, scratch_dir
+from voxframe.session import RoundTables, ensure_checkpoint_dir, scratch_dir
 from voxframe.sources import sinks
 
 KEY = ["volume_id"]
@@ -159,9 +159,10 @@ CHAIN = """
 def reference_chain(s):
     """Windows of W against the windows of two reference volumes of the same set."""
     volume = F.col("volume_id")
-    chunks = dense.to_chunks(s.V, KEY, 6)
+    # Read by every step below, so the chunks are made once.
+    chunks = RoundTables(s.spark, "reference-chunks").keep(dense.to_chunks(s.V, KEY, 6))
     boxes = s.W.selectExpr("patch_id", "volume_id", *[f"{a}0" for a in "zyx"], *[f"{a}0 + 6 as {a}1" for a in "zyx"])
-    refs = s.V.select("volume_id").distinct().filter("volume_id % 10 in (0, 3)")
+    refs = chunks.select("volume_id").distinct().filter("volume_id % 10 in (0, 3)")
     subjects = refs.select(F.floor(volume / 10).cast("string").alias("dataset"), volume.cast("string").alias("subject_id"))
     patches = boxes.withColumn("dataset", F.floor(volume / 10).cast("string")).drop("volume_id")
     pairs = joins.attach_references(patches, subjects).filter("not pooled").withColumn("volume_id", F.col("ref_subject").cast("int"))
